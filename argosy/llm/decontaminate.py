@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from argosy.llm.common import map_batches, texts
+from argosy.llm.common import kept, map_batches, texts
 
 WINDOW = 13
 BLOCK_CHARS = 8_000_000
@@ -202,7 +202,7 @@ def find_matches(docs: DataFrame, items: DataFrame, text: str = "text", item_id:
     keep: the document columns that go on (all if None).
     """
     spark = docs.sparkSession
-    keep = [c for c in (keep or docs.columns) if c not in {f.name for f in FIELDS}]
+    keep = kept(docs, keep, [f.name for f in FIELDS])
     known = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).dropna().distinct()
     chars = known.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = int(chars // BLOCK_CHARS) + 1

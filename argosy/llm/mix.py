@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from argosy.llm.common import WORD
+from argosy.llm.common import WORD, kept, row, unpacked
 from argosy.session import with_checkpoint_dir
 
 WEIGHTS = (5, 2, 1)
@@ -110,7 +110,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, doc_id: str =
     """
     with_checkpoint_dir(docs.sparkSession)
     made = ["size", "source_size", "target", "rate", "copies", "taken"]
-    keep = [c for c in (keep or docs.columns) if c not in made]
+    on = kept(docs, keep, made)
     ours = {
         "_n": word_count(F.col(text)),
         "_key": F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")),
@@ -118,7 +118,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, doc_id: str =
         "_source": F.col(source),
         "_id": F.col(doc_id),
     }
-    d = docs.select(*keep, *(v.alias(k) for k, v in ours.items())).withColumn("_cell", F.pmod("_by", F.lit(SPLIT)))
+    d = docs.select(row(on).alias("_row"), *(v.alias(k) for k, v in ours.items())).withColumn("_cell", F.pmod("_by", F.lit(SPLIT)))
     cells = d.groupBy("_key", "_n", "_cell").agg(F.count("*").alias("cc"), F.first("_source").alias("source")).checkpoint()
     hist = cells.groupBy(F.col("_key").alias("key"), F.col("_n").alias("n")).agg(F.sum("cc").alias("c"), F.first("source").alias("source"))
     sources = hist.groupBy("key").agg(F.first("source").alias("source"), F.sum(F.col("n") * F.col("c")).alias("source_size"))
@@ -136,5 +136,5 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, doc_id: str =
     return (
         d.join(dealt, ["_key", "_n", "_cell"])
         .withColumn("copies", (F.col("base") + (rank <= F.col("more")).cast("int")).cast("int"))
-        .select(*keep, F.col("_n").alias("size"), "source_size", "target", "rate", "copies", (F.col("_n") * F.col("copies")).alias("taken"))
+        .select(*unpacked(on), F.col("_n").alias("size"), "source_size", "target", "rate", "copies", (F.col("_n") * F.col("copies")).alias("taken"))
     )
