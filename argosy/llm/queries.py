@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argosy.llm import decontaminate, mix, shard
+from argosy.llm import decontaminate, mix, quality, shard
 from argosy.session import table
 
 
@@ -27,13 +27,18 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(docs, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
     out = shard.shard(docs, keep=["doc_id", "text_crc32"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_mix": op2_mix, "op7_shard": op7_shard}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_mix": op2_mix, "op5_quality": op5_quality, "op7_shard": op7_shard}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
