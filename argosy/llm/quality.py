@@ -26,6 +26,8 @@ from argosy.llm.common import SPACE, WORD, kept, row, unpacked
 BUCKETS = 8192
 TRUSTED = 20_000
 SMOOTHING = 0.5
+#: Counts per bucket, dealt like the raw corpus, that the target begins with: few trusted documents move no ratio far.
+PRIOR = 20.0
 THRESHOLD = -0.04
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -89,14 +91,13 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, doc_i
     d = grams(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")), "_t")
     marked = d.join(F.broadcast(trusted_ids(labels)), F.col("_id") == F.col("_good"), "left").select(F.col("_good").isNotNull().alias("good"), F.explode(F.concat("_h1", "_h2")).alias("h"))
     found = marked.groupBy(F.pmod("h", F.lit(buckets)).alias("b")).agg(F.count("*").alias("raw"), F.count_if("good").alias("target")).collect()
-    raw, target = [SMOOTHING] * buckets, [SMOOTHING] * buckets
+    raw, target = [SMOOTHING] * buckets, [0.0] * buckets
     for r in found:
         raw[r.b] += r.raw
-        target[r.b] += r.target
-    if sum(r.target for r in found) == 0:
-        return [0.0] * buckets
-    shift = math.log(sum(raw)) - math.log(sum(target))
-    return [math.log(t) - math.log(r) + shift for t, r in zip(target, raw, strict=True)]
+        target[r.b] = r.target
+    whole, prior = sum(raw), PRIOR * buckets
+    seen = sum(target)
+    return [math.log((t + prior * r / whole) / (seen + prior)) - math.log(r / whole) for t, r in zip(target, raw, strict=True)]
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
