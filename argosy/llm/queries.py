@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argosy.llm import decontaminate, mix, quality, shard
+from argosy.llm import decontaminate, mix, neardup, quality, shard
 from argosy.session import table
 
 
@@ -38,7 +38,11 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_mix": op2_mix, "op5_quality": op5_quality, "op7_shard": op7_shard}
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2)
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_mix": op2_mix, "op5_quality": op5_quality, "op7_shard": op7_shard, "op10_neardup": op10_neardup}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
