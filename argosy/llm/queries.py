@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argosy.llm import decontaminate, mix, neardup, quality, shard
+from argosy.llm import decontaminate, mix, neardup, quality, shard, substring
 from argosy.session import table
 
 
@@ -38,11 +38,17 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = substring.remove_repeats(docs, keep=["doc_id"])
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2)
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_mix": op2_mix, "op5_quality": op5_quality, "op7_shard": op7_shard, "op10_neardup": op10_neardup}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_mix": op2_mix, "op5_quality": op5_quality, "op7_shard": op7_shard, "op8_substring": op8_substring, "op10_neardup": op10_neardup}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -67,4 +73,14 @@ its as (select rn, count(*) as n_items, string_agg(item, ',' order by item) as i
 select doc_id, n as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
        sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= n as contaminated
 from d left join hit using (rn) left join its using (rn)""",
+    "op8_substring": r"""
+with d as (
+  select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as ws from documents),
+win as (select doc_id, p, md5(array_to_string(ws[p:p + 12], ' ')) as w from d, unnest(range(1, len(ws) - 11)) t(p)),
+late as (select doc_id, p from (select doc_id, p, min(doc_id) over (partition by w) as m from win) where doc_id > m),
+gone as (select distinct doc_id, q from late, unnest(range(p, p + 13)) t(q)),
+word as (select doc_id, q, ws[q] as x from d, unnest(range(1, len(ws) + 1)) t(q)),
+left_ as (select doc_id, string_agg(x, ' ' order by q) as kept, count(*) as n from word anti join gone using (doc_id, q) group by doc_id)
+select doc_id, len(ws) as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join left_ using (doc_id)""",
 }
