@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argosy.llm import decontaminate, mix, neardup, quality, shard, substring
+from argosy.llm import decontaminate, html, langid, linedup, mix, neardup, quality, shard, substring
 from argosy.session import table
 
 
@@ -27,11 +27,20 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(docs, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
 
 
+def op6_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_near", F.array_join("removed", ",").alias("removed"))
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
     out = shard.shard(docs, keep=["doc_id", "text_crc32"])
@@ -44,11 +53,17 @@ def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out(F.col("doc_id")).alias("held_out"))
+    model = langid.train(docs.filter(~F.col("held_out")))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model, keep=["doc_id", "held_out"])
+
+
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2)
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_mix": op2_mix, "op5_quality": op5_quality, "op7_shard": op7_shard, "op8_substring": op8_substring, "op10_neardup": op10_neardup}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_mix": op2_mix, "op3_html": op3_html, "op5_quality": op5_quality, "op6_linedup": op6_linedup, "op7_shard": op7_shard, "op8_substring": op8_substring, "op9_langid": op9_langid, "op10_neardup": op10_neardup}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
