@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argosy.llm import decontaminate, html, langid, linedup, mix, neardup, quality, shard, substring
+from argosy.llm import chat, decontaminate, html, langid, linedup, mix, neardup, quality, shard, substring
 from argosy.session import table
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -31,6 +37,17 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    held_out = F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit(""))) % 3 == 1
+    model = chat.train(turns.filter(~held_out))
+    out = chat.format_transcripts(chat.transcripts_of(turns), model, keep=["conv_id", "block", "true_roles"])
+    right = F.size(F.filter(F.arrays_zip("line_roles", "true_roles"), lambda x: x["line_roles"] == x["true_roles"]))
+    return out.select(
+        "conv_id", "block", held_out.alias("held_out"), F.size("line_roles").alias("n_lines"), right.alias("n_right"), F.size("turns").alias("n_turns"), "rendered"
+    )
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
@@ -63,7 +80,7 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2)
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_mix": op2_mix, "op3_html": op3_html, "op5_quality": op5_quality, "op6_linedup": op6_linedup, "op7_shard": op7_shard, "op8_substring": op8_substring, "op9_langid": op9_langid, "op10_neardup": op10_neardup}
+QUERIES = {"pipeline": pipeline, "op1_decontaminate": op1_decontaminate, "op2_mix": op2_mix, "op3_html": op3_html, "op4_chat": op4_chat, "op5_quality": op5_quality, "op6_linedup": op6_linedup, "op7_shard": op7_shard, "op8_substring": op8_substring, "op9_langid": op9_langid, "op10_neardup": op10_neardup}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
