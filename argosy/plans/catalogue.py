@@ -1,6 +1,402 @@
-"""The registered queries over the given tables and their SQL twins."""
+"""The registered queries over the given tables and their SQL twins for DuckDB."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from argosy.functions import tags
+from argosy.functions import text as tx
+from argosy.operators import audit, chunk, compare, extract, layout, redflag, report, research, retrieve
+from argosy.plans.filings import ORACLE as FILINGS_SQL
+from argosy.plans.filings import filings
+from argosy.session import table
+from argosy.sources import files
+
+AS_OF_YEAR = 2026
+
+
+def filing_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filings as a document table."""
+    return filings(spark, sf_dir).select(F.col("filing_id").alias("doc_id"), "company", "period", "text")
+
+
+def filing_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filings in word windows of 40 with the columns of the chunk contract; a session is a year's last digit."""
+    d = filing_docs(spark, sf_dir).withColumns({"doc_hash": F.sha2("text", 256), "text": tx.squash(F.col("text"))})
+    c = chunk.word_chunks(d, 40, 10)
+    c = c.withColumns({"chunk_order": F.col("doc_id") * 1000 + F.col("chunk_index"), "doc_type": F.lit("Annual Report"), "source_file": F.concat("doc_id", F.lit(".txt"))})
+    c = c.withColumns({"source": F.col("source_file"), "analysis_id": F.concat(F.lit("s"), F.col("doc_id") % 10), "financial_year": F.col("doc_id") % 10000, "report_type": tags.report_type(F.col("text"))})
+    return c.withColumn("financial_metrics", tags.financial_metrics(F.col("text")))
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question of two parts about each supplier that has filings; only the first part names it."""
+    suppliers = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("long").alias("question_id")).distinct()
+    name = F.concat(F.lit("Supplier "), F.col("question_id"), F.lit(" Holdings Ltd"))
+    return suppliers.withColumn("question", F.concat(F.lit("What is total revenue for "), name, F.lit(", and what is total debt?")))
+
+
+def values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.statement_values(filing_docs(spark, sf_dir).drop("period"))
+
+
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(company, fy, revenue, debt, assets) of each filing's own year."""
+    v = values(spark, sf_dir).filter(F.col("fy") == F.col("doc_id") % 10000)
+    pick = lambda m: F.max(F.when(F.col("metric") == m, F.col("value")))
+    return v.groupBy("company", "fy").agg(pick("Total Revenue").alias("revenue"), pick("Total Debt").alias("debt"), pick("Total Assets").alias("assets"))
+
+
+def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redflag.rule_flags(filing_docs(spark, sf_dir).drop("period"))
+
+
+# Queries
+
+
+def doc_hash_dedupe(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("doc_hash"))
+    known = d.filter(F.col("doc_id") < 0).select("doc_hash")
+    return chunk.drop_known(d, known)
+
+
+def word_windows(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "text")
+    c = chunk.with_neighbours(chunk.exploded(d, tx.word_windows(F.col("text"), 450, 100)))
+    return c.select("doc_id", "chunk_id", "chunk_index", "total_chunks", "previous_chunk_id", "next_chunk_id", F.md5("text").alias("text_md5"), F.length("window_text").alias("window_chars"))
+
+
+def char_windows(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunk.char_chunks(d).select("doc_id", "chunk_index", F.md5("text").alias("text_md5"))
+
+
+def clean_documents(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.md5(tx.squash(F.col("text"))).alias("squashed_md5"), F.length(tx.clean_text(F.col("text"))).alias("clean_chars"))
+
+
+def sentence_stats(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", *(c.cast("long").alias(n) for n, c in tx.text_measures(F.col("text")).items() if n != "reading_seconds"))
+
+
+def paragraph_pack(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    return chunk.paragraph_chunks(d).select("doc_id", "chunk_index", F.length("text").alias("chars"))
+
+
+def sentence_pack(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunk.sentence_chunks(d, 450, 100).select("doc_id", "chunk_index", F.size(tx.words(F.col("text"))).alias("words"))
+
+
+def page_margins(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"(?<=\.)\n")).alias("page_number", "text"))
+    return chunk.strip_repeated_margins(d).select("doc_id", "page_number", F.md5("text").alias("text_md5"))
+
+
+def searchable(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "text")).withColumn("page_number", F.col("p") + 1)
+    return files.searchable_docs(d)
+
+
+def filing_lines(spark, sf_dir):
+    return values(spark, sf_dir).select("doc_id", "metric", "fy", "amount", "unit", "value")
+
+
+def metric_trend(spark, sf_dir):
+    return extract.metric_trend(values(spark, sf_dir)).select("company", "metric", "fy", "value", "previous", F.round("change", 6).alias("change"), "direction")
+
+
+def metric_ranking(spark, sf_dir):
+    one = values(spark, sf_dir).groupBy("company", "metric", "fy").agg(F.max("value").alias("value"))
+    return compare.ranking(one)
+
+
+def compare_companies(spark, sf_dir):
+    v = values(spark, sf_dir).groupBy("company", "metric", "fy").agg(F.max("value").alias("value"))
+    side = lambda name: v.filter(F.col("company") == name).select(F.concat("metric", F.lit(" FY"), "fy").alias("metric"), "value")
+    return compare.compare_two(side("Supplier 1 Holdings Ltd"), side("Supplier 2 Holdings Ltd"))
+
+
+def comparison_series(spark, sf_dir):
+    return compare.long_form(compare_companies(spark, sf_dir))
+
+
+def compare_peers(spark, sf_dir):
+    v = values(spark, sf_dir).groupBy("company", "metric", "fy").agg(F.max("value").alias("value"))
+    return compare.compare_peers(v, "Supplier 1 Holdings Ltd").select("company", "metric", "fy", "own", "value", "winner")
+
+
+def filing_tags(spark, sf_dir):
+    d = filing_docs(spark, sf_dir)
+    c = F.col("text")
+    return d.select("doc_id", tags.report_type(c).alias("report_type"), tags.guess_section(c).alias("section"), tags.financial_metrics(c).alias("financial_metrics"), tags.semantic_tags(c).alias("semantic_tags"), tags.financial_year(c, AS_OF_YEAR).alias("financial_year"))
+
+
+def section_carry(spark, sf_dir):
+    d = layout.section_carry(layout.blocks(filing_docs(spark, sf_dir).drop("period")))
+    return d.select("doc_id", "pos", "kind", "section_title", "section_type")
+
+
+def block_chunks(spark, sf_dir):
+    return layout.block_chunks(filing_docs(spark, sf_dir).drop("period")).select("doc_id", "chunk_index", "section_title", F.md5("text").alias("text_md5"))
+
+
+def decomposed_questions(spark, sf_dir):
+    return research.sub_questions(questions(spark, sf_dir)).select("question_id", "step", "sub_question")
+
+
+def inferred_companies(spark, sf_dir):
+    return retrieve.infer_company(research.sub_questions(questions(spark, sf_dir)), filing_docs(spark, sf_dir)).select("question_id", "step", "company")
+
+
+def evidence(spark, sf_dir):
+    return research.evidence(questions(spark, sf_dir), filing_chunks(spark, sf_dir))
+
+
+def research_topk(spark, sf_dir):
+    return evidence(spark, sf_dir).select("question_id", "step", "rank", "chunk_id", F.round("score", 6).alias("score"), "section")
+
+
+def citations(spark, sf_dir):
+    return research.all_citations(evidence(spark, sf_dir)).select("question_id", "citation_no", "citation", F.md5("snippet").alias("snippet_md5"))
+
+
+def research_answers(spark, sf_dir):
+    q = questions(spark, sf_dir)
+    return research.answers(research.evidence(q, filing_chunks(spark, sf_dir)), q)
+
+
+def rule_flags(spark, sf_dir):
+    return flags(spark, sf_dir).select("doc_id", "category", "severity", "title", "confidence", F.md5("evidence").alias("evidence_md5"))
+
+
+def risk_rollup(spark, sf_dir):
+    return redflag.risk_rollup(flags(spark, sf_dir), "company")
+
+
+def severity_distribution(spark, sf_dir):
+    return redflag.severity_distribution(flags(spark, sf_dir), "company")
+
+
+def passage_risks(spark, sf_dir):
+    rows = redflag.passage_risks(filing_docs(spark, sf_dir).drop("period", "company"))
+    return rows.groupBy("doc_id", "category").agg(F.count("*").alias("n"))
+
+
+def company_contexts(spark, sf_dir):
+    c = filing_chunks(spark, sf_dir)
+    return redflag.context_text(c, "company", "chunk_order").select("company", F.md5("text").alias("text_md5"))
+
+
+def response_flags(spark, sf_dir):
+    f = redflag.rule_flags(filing_docs(spark, sf_dir).select("doc_id", "text"))
+    as_json = F.to_json(F.struct(F.array(F.struct("category", "severity", "title", "confidence")).alias("flags")))
+    shapes = F.array(as_json, F.concat(F.lit("Here:\n```json\n"), as_json, F.lit("\n```")), F.concat(F.lit("I found "), as_json, F.lit(" in it.")), F.lit("no flags"))
+    r = f.select("doc_id", F.col("category").alias("asked"), F.get(shapes, (F.col("doc_id") % 4).cast("int")).alias("response"))
+    return redflag.flags_of_responses(r).select("doc_id", "asked", "category", "severity", "confidence", "valid")
+
+
+def vector_topk(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    q = v.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return retrieve.vector_top_k(q, v, 5).select("query_id", "vec_id", "rank", F.round("distance", 6).alias("distance"))
+
+
+def embedding_dimensions(spark, sf_dir):
+    return audit.embedding_dimensions(table(spark, sf_dir, "embeddings"))
+
+
+def quality_totals(spark, sf_dir):
+    return audit.quality_totals(filing_chunks(spark, sf_dir)).withColumn("avg_chunk_words", F.round("avg_chunk_words", 6))
+
+
+def metadata_completeness(spark, sf_dir):
+    return audit.completeness(table(spark, sf_dir, "documents"), ["doc_id", "text", "lang", "source", "company"])
+
+
+def session_breakdown(spark, sf_dir):
+    return audit.session_breakdown(filing_chunks(spark, sf_dir))
+
+
+def tag_counts(spark, sf_dir):
+    return audit.tag_counts(filing_chunks(spark, sf_dir), "financial_metrics", 10)
+
+
+def duplicate_hashes(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source"), F.sha2("text", 256).alias("doc_hash"))
+    return audit.duplicate_hashes(d, True)
+
+
+def broken_links(spark, sf_dir):
+    c = chunk.with_neighbours(filing_chunks(spark, sf_dir)).filter("section != 'General'")
+    return audit.broken_links(c)
+
+
+def tagged_metrics(spark, sf_dir):
+    rules = [("Revenue", r"total revenue: \$([\d.,]+)"), ("Debt", r"total debt: \$([\d.,]+)"), ("EPS", r"earnings per share.*?([\d.]+)")]
+    return extract.tagged_metrics(filing_chunks(spark, sf_dir), rules)
+
+
+def report_metrics(spark, sf_dir):
+    return report.metrics_table(wide(spark, sf_dir).withColumns({c: F.round(c, 2).cast("decimal(20,2)") for c in ("revenue", "debt", "assets")}))
+
+
+def chart_series(spark, sf_dir):
+    return report.chart_series(wide(spark, sf_dir))
+
+
+def swot(spark, sf_dir):
+    return report.swot(wide(spark, sf_dir)).select("company", "fy", "quadrant", "statement")
+
+
+def key_takeaways(spark, sf_dir):
+    risks = redflag.risk_rollup(flags(spark, sf_dir).withColumn("fy", (F.col("doc_id") % 10000).cast("int")).withColumn("key", F.struct("company", "fy")), "key")
+    return report.key_takeaways(wide(spark, sf_dir).withColumns({c: F.round(c, 2).cast("decimal(20,2)") for c in ("revenue", "debt", "assets")}), risks.select("key.company", "key.fy", "overall_risk"))
+
+
+def report_sections(spark, sf_dir):
+    w = wide(spark, sf_dir).withColumns({c: F.round(c, 2).cast("decimal(20,2)") for c in ("revenue", "debt", "assets")})
+    return report.sections(w, flags(spark, sf_dir).select("company", "category", "severity", "title")).select("company", "section_no", "section", F.md5("body").alias("body_md5"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        research_topk, doc_hash_dedupe, word_windows, char_windows, clean_documents, sentence_stats, paragraph_pack, sentence_pack, page_margins, searchable,
+        filing_lines, metric_trend, metric_ranking, compare_companies, comparison_series, compare_peers, filing_tags, section_carry, block_chunks,
+        decomposed_questions, inferred_companies, citations, research_answers, rule_flags, risk_rollup, severity_distribution, passage_risks, company_contexts,
+        response_flags, vector_topk, embedding_dimensions, quality_totals, metadata_completeness, session_breakdown, tag_counts, duplicate_hashes, broken_links,
+        tagged_metrics, report_metrics, chart_series, swot, key_takeaways, report_sections,
+    )
+}
+
+# Oracles
+
+_F = f"filings as ({FILINGS_SQL}), docs as (select filing_id as doc_id, company, text from filings)"
+_SQUASH = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+
+
+def _windows(size: int, step: int, src: str) -> str:
+    """CTE w (doc_id, i, n, piece): word windows of src (doc_id, ws)."""
+    return f"w as (select doc_id, i // {step} as i, cast(ceil(len(ws) / {step}.0) as int) as n, array_to_string(ws[i + 1:i + {size}], ' ') as piece from {src}, unnest(range(0, len(ws), {step})) t(i))"
+
+
+def _case(rules: list[tuple[str, str]], col: str, default: str) -> str:
+    whens = " ".join(f"when regexp_matches({col}, '{p.replace(chr(39), chr(39) * 2)}') then '{v.replace(chr(39), chr(39) * 2)}'" for v, p in rules)
+    return f"case {whens} else '{default}' end"
+
+
+def _csv(rules: list[tuple[str, str]], col: str) -> str:
+    items = ", ".join(f"case when regexp_matches({col}, '{p.replace(chr(39), chr(39) * 2)}') then '{v}' end" for v, p in rules)
+    return f"coalesce(array_to_string(list_transform(list_sort(list_transform(list_distinct(list_filter([{items}], lambda x: x is not null)), lambda x: {{'k': lower(x), 'v': x}})), lambda x: x.v), ','), '')"
+
+
+_CHUNKS = rf"""{_F},
+src as (select doc_id, company, sha256(text) as doc_hash, list_filter(string_split({_SQUASH}, ' '), lambda x: x <> '') as ws from docs),
+{_windows(40, 30, "src")},
+chunks as (
+  select w.doc_id, company, doc_hash, i as chunk_index, n as total_chunks, piece as text, w.doc_id || '-' || i as chunk_id, w.doc_id * 1000 + i as chunk_order,
+    {_case(tags.GUESSES, "lower(piece)", "General")} as section, w.doc_id || '.txt' as source, 's' || (w.doc_id % 10) as analysis_id, w.doc_id % 10000 as financial_year,
+    {_case(tags.REPORT_TYPES, "lower(piece)", "Other")} as report_type, {_csv(tags.METRICS, "lower(piece)")} as financial_metrics
+  from w join src using (doc_id))"""
+_VALUES = rf"""{_F},
+m as (select doc_id, company, unnest(regexp_extract_all(text, '{extract.STATEMENT}')) as x from docs),
+vals as (
+  select doc_id, company, regexp_extract(x, '{extract.STATEMENT}', 1) as metric, cast(regexp_extract(x, '{extract.STATEMENT}', 4) as int) as fy,
+    cast(replace(regexp_extract(x, '{extract.STATEMENT}', 2), ',', '') as double) as amount, nullif(regexp_extract(x, '{extract.STATEMENT}', 3), '') as unit from m),
+v as (select *, amount * case unit when 'thousand' then 1e3 when 'million' then 1e6 when 'billion' then 1e9 else 1.0 end as value from vals),
+one as (select company, metric, fy, max(value) as value from v group by all),
+wide as (
+  select company, fy, max(value) filter (metric = 'Total Revenue') as revenue, max(value) filter (metric = 'Total Debt') as debt, max(value) filter (metric = 'Total Assets') as assets
+  from v where fy = doc_id % 10000 group by company, fy),
+dec as (select company, fy, cast(cast(round(revenue, 2) as decimal(20,2)) as varchar) as revenue, cast(cast(round(debt, 2) as decimal(20,2)) as varchar) as debt, cast(cast(round(assets, 2) as decimal(20,2)) as varchar) as assets from wide)"""
+_FLAGS = rf"""{_F},
+hit as (
+  {" union all ".join(f"select doc_id, company, '{c}' as category, '{s}' as severity, '{t}' as title, cast({p} as double) as confidence, substring(text, 1, 240) as evidence from docs where regexp_matches(lower(text), '{r}')" for r, c, s, t, p in redflag.RULES)}),
+flags as (
+  select * from hit union all
+  select doc_id, company, '{redflag.CLEAR[0]}', '{redflag.CLEAR[1]}', '{redflag.CLEAR[2]}', {redflag.CLEAR[3]}, substring(text, 1, 240) from docs where doc_id not in (select doc_id from hit))"""
+_QUESTIONS = r"""q as (select distinct cast(l_suppkey as bigint) as question_id from lineitem),
+sub as (select question_id, 1 as step, 'What is total revenue for Supplier ' || question_id || ' Holdings Ltd' as sub_question, 'Supplier ' || question_id || ' Holdings Ltd' as company from q
+  union all select question_id, 2, 'what is total debt', null from q)"""
+_TOPK = rf"""{_CHUNKS}, {_QUESTIONS},
+tok as (select *, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) as t from chunks),
+uq as (select distinct sub_question, company as scope, list_distinct(regexp_extract_all(lower(sub_question), '[a-z]+')) as qt from sub),
+sc as (select sub_question, scope, chunk_id, chunk_order, section, company, text, source, len(list_intersect(qt, t)) / len(qt) as score from uq join tok on scope is null or scope = company),
+best as (select *, row_number() over (partition by sub_question, scope order by score desc, chunk_order) as rank from sc qualify rank <= 4),
+ev as (select question_id, step, rank, chunk_id, score, section, best.company, text, source from sub join best on sub.sub_question = best.sub_question and sub.company is not distinct from best.scope)"""
+
+ORACLES = {
+    "research_topk": f"with {_TOPK} select question_id, step, rank, chunk_id, round(score, 6) as score, section from ev",
+    "citations": f"""with {_TOPK}, one as (select * from ev qualify row_number() over (partition by question_id, chunk_id order by step, rank) = 1)
+select question_id, row_number() over (partition by question_id order by step, rank) as citation_no,
+  '[' || company || ' | Annual Report | ' || section || ' | ' || source || ' | chunk ' || chunk_id || ']' as citation,
+  md5(case when length(text) > 220 then substring(text, 1, 220) || '{tx.ELLIPSIS}' else text end) as snippet_md5 from one""",
+    "doc_hash_dedupe": "select doc_id, source, sha256(text) as doc_hash from documents qualify row_number() over (partition by sha256(text) order by source, doc_id) = 1",
+    "word_windows": rf"""with src as (select doc_id, list_filter(string_split_regex({_SQUASH}, ' '), lambda x: x <> '') as ws from documents where lang = 'en'), {_windows(450, 350, "src")}
+select doc_id, doc_id || '-' || i as chunk_id, i as chunk_index, n as total_chunks, case when i > 0 then doc_id || '-' || (i - 1) else '' end as previous_chunk_id,
+  case when i < n - 1 then doc_id || '-' || (i + 1) else '' end as next_chunk_id, md5(piece) as text_md5,
+  length(piece) + coalesce(length(lag(piece) over p) + 2, 0) + coalesce(length(lead(piece) over p) + 2, 0) as window_chars from w window p as (partition by doc_id order by i)""",
+    "char_windows": "select doc_id, i // 800 as chunk_index, md5(substring(text, i + 1, 1000)) as text_md5 from documents, unnest(range(0, length(text), 800)) t(i)",
+    "clean_documents": rf"""select doc_id, md5({_SQUASH}) as squashed_md5,
+  length(trim(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'))) as clean_chars from documents""",
+    "sentence_stats": r"""select doc_id, length(text) as characters, len(list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda x: x <> '')) as words,
+  len(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) as sentences,
+  len(list_filter(string_split_regex(text, '\n\s*\n'), lambda x: trim(x) <> '')) as paragraphs from documents""",
+    "searchable": r"""with p as (select doc_id, i, string_split(text, chr(10))[i] as line from documents, unnest(range(1, least(5, len(string_split(text, chr(10)))) + 1)) t(i))
+select doc_id from p group by doc_id having count(*) filter (len(list_filter(string_split(trim(regexp_replace(line, '\s+', ' ', 'g')), ' '), lambda x: x <> '')) >= 5) >= greatest(1, count(*) // 2)""",
+    "filing_lines": f"with {_VALUES} select doc_id, metric, fy, amount, unit, value from v",
+    "metric_trend": f"""with {_VALUES}, t as (select *, lag(value) over (partition by company, metric order by fy) as previous from one)
+select company, metric, fy, value, previous, round((value - previous) / nullif(abs(previous), 0), 6) as change,
+  case when previous is null then 'first' when value > previous then 'rising' when value < previous then 'falling' else 'flat' end as direction from t""",
+    "metric_ranking": f"""with {_VALUES}, r as (select metric, fy, count(*) as companies, max(row(value, company)) as b, min(row(value, company)) as w from one where value is not null group by metric, fy)
+select metric, fy, companies, b[2] as best, b[1] as best_value, w[2] as worst, w[1] as worst_value from r""",
+    "compare_companies": f"""with {_VALUES}, k as (select company, metric || ' FY' || fy as metric, value from one)
+select a.metric, a.value as value_1, b.value as value_2, case when a.value > b.value then 'Company 1' when b.value > a.value then 'Company 2' else 'Equal' end as winner
+from k a join k b using (metric) where a.company = 'Supplier 1 Holdings Ltd' and b.company = 'Supplier 2 Holdings Ltd'""",
+    "comparison_series": f"""with {_VALUES}, k as (select company, metric || ' FY' || fy as metric, value from one)
+select metric, case company when 'Supplier 1 Holdings Ltd' then 'Company 1' else 'Company 2' end as series, value from k
+where company in ('Supplier 1 Holdings Ltd', 'Supplier 2 Holdings Ltd') and metric in (select metric from k where company = 'Supplier 1 Holdings Ltd' intersect select metric from k where company = 'Supplier 2 Holdings Ltd')""",
+    "compare_peers": f"""with {_VALUES} select b.company, metric, fy, a.value as own, b.value, case when a.value > b.value then a.company when b.value > a.value then b.company else 'Equal' end as winner
+from one a join one b using (metric, fy) where a.company = 'Supplier 1 Holdings Ltd' and b.company <> a.company""",
+    "filing_tags": rf"""with {_F} select doc_id, {_case(tags.REPORT_TYPES, "lower(" + _SQUASH + ")", "Other")} as report_type, {_case(tags.GUESSES, "lower(text)", "General")} as section,
+  {_csv(tags.METRICS, "lower(text)")} as financial_metrics, {_csv(tags.TOPICS, "lower(text)")} as semantic_tags,
+  cast(regexp_extract(lower(text), '\bfy\s*((19|20)\d{{2}})\b', 1) as int) as financial_year from docs""",
+    "decomposed_questions": f"with {_QUESTIONS} select question_id, step, sub_question from sub",
+    "inferred_companies": f"with {_QUESTIONS} select question_id, step, company from sub",
+    "rule_flags": f"with {_FLAGS} select doc_id, category, severity, title, confidence, md5(evidence) as evidence_md5 from flags",
+    "risk_rollup": f"with {_FLAGS} select company, case when bool_or(severity = 'High') then 'High' when count(*) > 1 then 'Medium' else 'Low' end as overall_risk, count(*) as total_flags from flags group by company",
+    "severity_distribution": f"with {_FLAGS} select company, count(*) filter (severity = 'Low') as low, count(*) filter (severity = 'Medium') as medium, count(*) filter (severity = 'High') as high from flags group by company",
+    "company_contexts": f"with {_CHUNKS} select company, md5(string_agg(text, chr(10) order by chunk_order)) as text_md5 from chunks group by company",
+    "response_flags": f"""with {_FLAGS} select doc_id, category as asked, case when doc_id % 4 < 3 then category end as category, case when doc_id % 4 < 3 then severity end as severity,
+  case when doc_id % 4 < 3 then confidence end as confidence, doc_id % 4 < 3 as valid from flags""",
+    "vector_topk": """with d as (select a.vec_id as query_id, b.vec_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (cast(x[1] as double) - x[2]) * (cast(x[1] as double) - x[2]))) as d
+  from embeddings a, embeddings b where a.vec_id % 50 = 0)
+select query_id, vec_id, row_number() over (partition by query_id order by d, vec_id) as rank, round(d, 6) as distance from d qualify rank <= 5""",
+    "embedding_dimensions": "select len(embedding) as dimension, count(*) as n from embeddings where embedding is not null group by 1",
+    "quality_totals": f"""with {_CHUNKS} select count(*) as chunks, count(distinct doc_hash) as documents, count(distinct analysis_id) as sessions, array_to_string(list_sort(list(distinct company)), ',') as companies,
+  array_to_string(list_sort(list(distinct report_type)), ',') as report_types, array_to_string(list_sort(list(distinct cast(financial_year as varchar))), ',') as years, round(avg(len(string_split(text, ' '))), 6) as avg_chunk_words from chunks""",
+    "metadata_completeness": """with s as (select count(*) as n, count(doc_id) as a, count(nullif(text, '')) as b, count(nullif(lang, '')) as c, count(nullif(source, '')) as d from documents),
+f as (select n, unnest([{'f': 'doc_id', 'h': a}, {'f': 'text', 'h': b}, {'f': 'lang', 'h': c}, {'f': 'source', 'h': d}, {'f': 'company', 'h': 0}]) as x from s)
+select x.f as field, n - x.h as missing, coalesce(x.h / nullif(n, 0), 0.0) as share from f""",
+    "session_breakdown": f"""with {_CHUNKS}, s as (select analysis_id as session, count(*) as chunks, count(distinct doc_hash) as documents, count(distinct source) as sources, count(distinct company) as companies from chunks group by 1)
+select *, row_number() over (order by session) as session_no from s""",
+    "tag_counts": f"with {_CHUNKS}, t as (select unnest(string_split(financial_metrics, ',')) as tag from chunks) select tag, count(*) as n from t where tag <> '' group by tag order by n desc, tag limit 10",
+    "duplicate_hashes": "select sha256(text) as doc_hash, count(*) as n from documents group by 1 having count(*) > 1",
+    "broken_links": f"""with {_CHUNKS}, c as (select * from chunks where section <> 'General'),
+l as (select chunk_id, unnest([case when chunk_index > 0 then doc_id || '-' || (chunk_index - 1) end, case when chunk_index < total_chunks - 1 then doc_id || '-' || (chunk_index + 1) end]) as link from c)
+select chunk_id, link from l where link is not null and link not in (select chunk_id from c)""",
+    "report_metrics": f"with {_VALUES} select company, fy, unnest(['Revenue', 'Debt', 'Assets']) as metric, unnest([coalesce(revenue, 'N/A'), coalesce(debt, 'N/A'), coalesce(assets, 'N/A')]) as value from dec",
+    "chart_series": f"""with {_VALUES} select company, fy, unnest(['revenue_profit', 'assets_liabilities', 'assets_liabilities']) as chart, unnest(['Revenue', 'Assets', 'Debt']) as label,
+  unnest([coalesce(revenue, 0), coalesce(assets, 0), coalesce(debt, 0)]) as value from wide""",
+    "swot": f"""with {_VALUES}
+select company, fy, 'strength' as quadrant, 'The company earns revenue.' as statement from wide where revenue <> 0
+union all select company, fy, 'strength', 'The company holds assets.' from wide where assets <> 0
+union all select company, fy, 'weakness', 'The company carries debt.' from wide where debt <> 0
+union all select company, fy, 'opportunity', 'Assets exceed debt.' from wide where assets > debt
+union all select company, fy, 'threat', 'Debt exceeds assets.' from wide where debt > assets""",
+}
