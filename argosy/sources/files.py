@@ -16,7 +16,7 @@ def discover_files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_text_docs(spark: SparkSession, path: str) -> DataFrame:
     """(source_file, doc_hash, text): whole files, cleaned; bytes that are no UTF-8 go, empty texts too."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source_file"), F.replace("value", F.lit("�"), F.lit("")).alias("raw"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source_file"), F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit("")).alias("raw"))
     return raw.select("source_file", F.sha2("raw", 256).alias("doc_hash"), tx.clean_text(F.col("raw")).alias("text")).filter("text != ''")
 
 

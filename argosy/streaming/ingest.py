@@ -17,7 +17,7 @@ def ingest_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, s
     """
 
     def store(batch: DataFrame, number: int) -> None:
-        docs = batch.select(F.sha2("value", 256).alias("doc_hash"), F.col("file").alias("source"), tx.clean_text(F.col("value")).alias("text")).withColumn("doc_id", F.col("doc_hash")).filter("text != ''")
+        docs = batch.select(F.sha2("value", 256).alias("doc_hash"), F.col("file").alias("source"), tx.clean_text(F.make_valid_utf8("value")).alias("text")).withColumn("doc_id", F.col("doc_hash")).filter("text != ''")
         docs = docs.groupBy("doc_hash", "doc_id").agg(F.min_by(F.struct("source", "text"), "source").alias("d")).select("doc_hash", "doc_id", "d.source", "d.text")
         try:
             known = spark.read.schema("doc_hash STRING, batch INT").parquet(out).filter(F.col("batch") != number)
