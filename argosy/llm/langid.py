@@ -52,7 +52,7 @@ def trigram_counts(text: str) -> np.ndarray:
 def codewords(n: int, seed: int = 7) -> np.ndarray:
     """A row of +1 and -1 for each of n languages: all splits for up to 7, else random ones that are all different."""
     if n <= 7:
-        splits = range(1, 2 ** (n - 1))
+        splits = range(1, 2 ** max(0, n - 1))
         return np.array([[1 if (s >> i) & 1 else -1 for s in splits] for i in range(n)], np.int8).reshape(n, len(splits))
     draw, columns = random.Random(seed), []
     while len(columns) < int(15 * np.log2(n)):

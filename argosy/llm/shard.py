@@ -90,7 +90,7 @@ def find_cells(ranges: list[tuple], total: int, count: int, shards: int) -> list
             cells.append({"bin": bin_, "low": low, "shard": shard, "slot": seen[shard], "n": n})
         seen[shard] += n
         before += size
-    ends = [c["low"] for c in cells[1:]] + [(1 << HALF, 0)]
+    ends = [c["low"] for c in cells[1:]] + [(1 << HALF, 0)] * bool(cells)
     return [(c["bin"], *c["low"], *end, c["shard"], c["slot"], i) for i, (c, end) in enumerate(zip(cells, ends, strict=True))]
 
 
