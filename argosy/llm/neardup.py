@@ -2,9 +2,10 @@
 
 Equal shingle sets collapse to the smallest id first, so copies cost one row each. Signatures make 30
 band keys of 5 values: two texts of similarity 0.8 share none of them with probability 7e-6. In a
-bucket every member is verified against the smallest one; after the components of these links, only
-members of different components are compared with each other, so a large group of near copies costs
-about one comparison a member, and no link between different components is left out.
+bucket every member is verified against the smallest one. After the components of these links, only
+members of different components are compared, and of these only pairs whose bit maps leave room for a
+link. So a large group of near copies costs about one
+comparison a member, and no link between different components is left out.
 
 Defined cases: a text without words has the empty set and is linked with nothing; one with fewer
 words than a shingle has one shingle, the whole sequence; a null id is never linked, has no component
@@ -32,10 +33,13 @@ from argosy.session import with_checkpoint_dir
 SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS = 30, 5
+#: Numbers of 64 bits in a text's bit map, in which each shingle sets the bit that its hash names.
+MAP = 32
 SKETCH = [
     T.StructField("_n", T.LongType()),
     T.StructField("_set", T.BinaryType()),
     T.StructField("_bands", T.ArrayType(T.LongType())),
+    T.StructField("_bits", T.ArrayType(T.LongType())),
 ]
 
 
@@ -102,15 +106,22 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
     return key.view(np.int64)
 
 
+def bit_map(hashes: np.ndarray) -> np.ndarray:
+    out = np.zeros(MAP * 64, np.uint8)
+    out[hashes % np.uint64(MAP * 64)] = 1
+    return np.packbits(out).view(np.int64)
+
+
 def sketch(batch: pa.RecordBatch, text: str, k: int) -> list:
-    sizes, names, keys = [], [], []
+    sizes, names, keys, maps = [], [], [], []
     for _, _, words in chunks(batch.column(text), lower=True):
         sets = shingle_sets(words, k)
         sizes += [len(x) for x in sets]
         names += [blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
         found = band_keys(super_min_hash(sets, BANDS * ROWS))
         keys += [x if len(s) else None for x, s in zip(found, sets, strict=True)]
-    return [sizes, names, keys]
+        maps += [bit_map(x) for x in sets]
+    return [sizes, names, keys, maps]
 
 
 def squeezed(batch: pa.RecordBatch, text: str) -> list:
@@ -149,11 +160,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     d = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t"))
     made = map_batches(d, lambda batch: sketch(batch, "_t", shingle), SKETCH, ["_id"]).checkpoint()
     some = made.filter(F.col("_id").isNotNull() & (F.col("_n") > 0))
-    sets = some.groupBy("_set").agg(F.min("_id").alias("rep"), F.max("_n").alias("n"), F.min_by("_bands", "_id").alias("bands"))
+    sets = some.groupBy("_set").agg(F.min("_id").alias("rep"), F.max("_n").alias("n"), F.min_by(F.struct("_bands", "_bits"), "_id").alias("of")).select("_set", "rep", "n", "of._bands", "of._bits")
+    sets = sets.withColumnsRenamed({"_bands": "bands", "_bits": "bits"})
     keyed = sets.select("rep", "n", F.explode("bands").alias("band"))
     leaders = keyed.groupBy("band").agg(F.min("rep").alias("lead"), F.count("*").alias("members")).filter("members > 1")
     shared = keyed.join(leaders, "band").checkpoint()
-    close = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
     packed = map_batches(d.filter(F.col("_id").isNotNull()), lambda batch: squeezed(batch, "_t"), [T.StructField("_z", T.BinaryType())], ["_id"])
 
     tested = shared.filter(F.col("rep") != F.col("lead")).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
@@ -163,8 +174,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     placed = shared.filter("members > 2").join(first, F.col("rep") == F.col("node"), "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("part"))
     apart = placed.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q")
     open_ = placed.join(apart.select("band"), "band").checkpoint()
-    x, y = (open_.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "part"))) for s in "xy")
-    rest = x.join(y, "band").filter((F.col("part_x") < F.col("part_y")) & close(F.col("n_x"), F.col("n_y")))
+    bits = open_.select("rep").distinct().join(sets.select(F.col("rep").alias("_of"), "bits"), F.col("rep") == F.col("_of")).drop("_of")
+    open_ = open_.join(bits, "rep")
+    x, y = (open_.select("band", *(F.col(c).alias(f"{c}_{i}") for c in ("rep", "n", "part", "bits"))) for i in "xy")
+    # a bit that only one text has is a shingle at least that the other lacks, which bounds the similarity from above
+    lacks = lambda a, b: sum((F.bit_count(F.get(a, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(i))))) for i in range(MAP)), F.lit(0))
+    most = F.least(F.col("n_x") - lacks("bits_x", "bits_y"), F.col("n_y") - lacks("bits_y", "bits_x"))
+    within = F.lit(100) * most >= F.lit(percent) * (F.col("n_x") + F.col("n_y") - most)
+    rest = x.join(y, (x["band"] == y["band"]) & (F.col("part_x") < F.col("part_y")) & within)
     rest = rest.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     late = verify(rest, packed, shingle, percent).distinct().checkpoint()
     final = first
