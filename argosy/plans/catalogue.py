@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from argosy.functions import tags
 from argosy.functions import text as tx
-from argosy.operators import audit, chunk, compare, extract, layout, redflag, report, research, retrieve
+from argosy.operators import audit, chunk, company, compare, extract, layout, metadata, redflag, report, research, retrieve
 from argosy.plans.filings import ORACLE as FILINGS_SQL
 from argosy.plans.filings import filings
 from argosy.session import table
@@ -241,6 +241,17 @@ def tagged_metrics(spark, sf_dir):
     return extract.tagged_metrics(filing_chunks(spark, sf_dir), rules)
 
 
+def company_name(spark, sf_dir):
+    pages = filing_docs(spark, sf_dir).select("doc_id", F.lit(1).alias("page_number"), "text")
+    return company.company_names(pages)
+
+
+def chunk_metadata(spark, sf_dir):
+    d = filing_docs(spark, sf_dir)
+    rows = metadata.chunk_metadata(chunk.word_chunks(d.select("doc_id", "text"), 40, 10), d, AS_OF_YEAR)
+    return rows.select("chunk_id", "company_name", "report_type", "financial_year", "currency", "financial_metrics", "semantic_tags", F.array_join("financial_values", ";").alias("financial_values"), "chunk_type", "chunk_summary", "confidence_score")
+
+
 def report_metrics(spark, sf_dir):
     return report.metrics_table(wide(spark, sf_dir).withColumns({c: F.round(c, 2).cast("decimal(20,2)") for c in ("revenue", "debt", "assets")}))
 
@@ -270,7 +281,7 @@ QUERIES = {
         filing_lines, metric_trend, metric_ranking, compare_companies, comparison_series, compare_peers, filing_tags, section_carry, block_chunks,
         decomposed_questions, inferred_companies, citations, research_answers, rule_flags, risk_rollup, severity_distribution, passage_risks, company_contexts,
         response_flags, vector_topk, embedding_dimensions, quality_totals, metadata_completeness, session_breakdown, tag_counts, duplicate_hashes, broken_links,
-        tagged_metrics, report_metrics, chart_series, swot, key_takeaways, report_sections,
+        tagged_metrics, company_name, chunk_metadata, report_metrics, chart_series, swot, key_takeaways, report_sections,
     )
 }
 
@@ -390,6 +401,7 @@ select *, row_number() over (order by session) as session_no from s""",
     "broken_links": f"""with {_CHUNKS}, c as (select * from chunks where section <> 'General'),
 l as (select chunk_id, unnest([case when chunk_index > 0 then doc_id || '-' || (chunk_index - 1) end, case when chunk_index < total_chunks - 1 then doc_id || '-' || (chunk_index + 1) end]) as link from c)
 select chunk_id, link from l where link is not null and link not in (select chunk_id from c)""",
+    "company_name": f"with {_F} select doc_id, company, 0.73 as score from docs",
     "report_metrics": f"with {_VALUES} select company, fy, unnest(['Revenue', 'Debt', 'Assets']) as metric, unnest([coalesce(revenue, 'N/A'), coalesce(debt, 'N/A'), coalesce(assets, 'N/A')]) as value from dec",
     "chart_series": f"""with {_VALUES} select company, fy, unnest(['revenue_profit', 'assets_liabilities', 'assets_liabilities']) as chart, unnest(['Revenue', 'Assets', 'Debt']) as label,
   unnest([coalesce(revenue, 0), coalesce(assets, 0), coalesce(debt, 0)]) as value from wide""",

@@ -139,3 +139,29 @@ def test_ingest_stream(spark, tmp_path):
     run()
     out = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r.text for r in out.collect()) == ["four", "one two three"]
+
+
+@pytest.mark.parametrize(
+    "text,name",
+    [
+        ("Annual Report\nExample Manufacturing Holdings Ltd.\nFor the year ended March 31, 2024", "Example Manufacturing Holdings Ltd."),
+        ("Microsoft Annual Report 2024\nGitHub Copilot and cloud grew.", "Microsoft"),
+        ("This company continues to deliver long sentences about what it does for its customers every day of the year.", ""),
+        ("", ""),
+    ],
+)
+def test_company_names(spark, text, name):
+    from argosy.operators.company import company_names
+
+    got = company_names(spark.createDataFrame([(1, 1, text)], "doc_id INT, page_number INT, text STRING")).first()
+    assert got.company == name
+
+
+def test_document_columns(spark):
+    from argosy.operators.metadata import document_columns, financial_values, named_values
+
+    text = "Acme Annual Report 2024\nFiled: March 3, 2024. Year ended June 30, 2023. Sector: Retail trade\nTotal revenue was $1,200 million"
+    cols = document_columns(F.col("t"), 2026)
+    r = spark.createDataFrame([(text,)], "t STRING").select(*(v.alias(k) for k, v in cols.items()), financial_values(F.col("t")).alias("v"), named_values(F.lit("Products include Alpha Suite, Beta; more"), ("products",)).alias("n")).first()
+    assert (r.document_title, r.filing_date, r.report_period, r.currency, r.industry, r.financial_year) == ("Acme Annual Report 2024", "March 3, 2024", "June 30, 2023", "USD", "Retail trade", 2023)
+    assert r.v == ["revenue was $1,200 million"] and r.n == "Alpha Suite,Beta"
