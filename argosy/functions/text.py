@@ -65,7 +65,7 @@ def normalize_heading(c: Column) -> Column:
 
 def csv_set(c: Column) -> Column:
     """Trimmed distinct values of an array, sorted without regard to case, joined by commas."""
-    values = F.array_distinct(F.filter(F.transform(c, F.trim), lambda x: x != ""))
+    values = F.array_distinct(F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != ""))
     by = F.transform(values, lambda x: F.struct(F.lower(x).alias("k"), x.alias("v")))
     return F.array_join(F.transform(F.array_sort(by), lambda x: x["v"]), ",")
 

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from argosy.functions import tags
+from argosy.operators.chunk import pack
 
 
 def blocks(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """(..., pos, text, kind): the parts between blank lines with their kind."""
     keep = [c for c in docs.columns if c != "text"]
-    rows = docs.select(*keep, F.posexplode(F.filter(F.transform(F.split("text", r"\n\s*\n"), F.trim), lambda x: x != "")).alias("pos", "text"))
+    rows = docs.select(*keep, F.posexplode(F.filter(F.transform(F.split("text", r"\n\s*\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("pos", "text"))
     return rows.withColumn("kind", tags.block_type(F.col("text")))
 
 
@@ -25,9 +30,9 @@ def section_carry(parts: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 def table_rows(c: Column) -> Column:
     """The rows of a table block with their cells joined by " | ": cells part at bars, else tabs, else wide gaps."""
-    lines = F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     cells = lambda x: F.when(F.contains(x, F.lit("|")), F.split(x, r"\|")).when(F.contains(x, F.lit("\t")), F.split(x, r"\t+")).otherwise(F.split(x, r"\s{2,}"))
-    return F.transform(lines, lambda x: F.array_join(F.filter(F.transform(cells(x), F.trim), lambda y: y != ""), " | "))
+    return F.transform(lines, lambda x: F.array_join(F.filter(F.transform(cells(x), lambda x: F.trim(x)), lambda y: y != ""), " | "))
 
 
 def block_chunks(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -43,3 +48,100 @@ def block_chunks(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     keep = [c for c in docs.columns if c != "text"]
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n\n")
     return grouped.groupBy(*keep, "section_title", "section_type", "chunk_index").agg(joined.alias("text"))
+
+
+PIECE = "array<struct<text: string, kind: string, pages: array<int>, section_title: string, section_type: string>>"
+ATOMIC = ("list", "heading", "note")
+
+
+class Chunker:
+    """Packs the blocks of one document, in order, into chunks of up to ``size`` words."""
+
+    def __init__(self, size: int, overlap: int) -> None:
+        self.size, self.overlap = size, overlap
+        self.done: list[dict] = []
+        self.parts: list[str] = []
+        self.pages: list[int] = []
+        self.kinds: list[str] = []
+        self.words, self.fresh, self.title, self.type = 0, False, "", "other"
+
+    def emit(self, text: str, kind: str, pages: list[int]) -> None:
+        self.done.append({"text": text, "kind": kind, "pages": sorted(set(pages)), "section_title": self.title, "section_type": self.type})
+
+    def flush(self, carry: bool) -> None:
+        if self.fresh:
+            self.emit("\n\n".join(self.parts), self.kinds[0] if len(set(self.kinds)) == 1 else "narrative", self.pages)
+        tail = " ".join(self.parts).split()[-self.overlap :] if self.fresh and self.overlap else []
+        self.words = len(tail)
+        # what is carried counts even where its text is not handed on
+        self.parts, self.pages, self.kinds = ([" ".join(tail)], self.pages[-1:], ["narrative"]) if carry and tail else ([], [], [])
+        self.fresh = False
+
+    def table(self, rows: list[str], page: int) -> None:
+        self.flush(False)
+        self.words = 0
+        held: list[str] = []
+        for row in rows:
+            if len(held) > 1 and sum(len(x.split()) for x in [*held, row]) > self.size:
+                self.emit("\n".join(held), "table", [page])
+                held = held[:1]
+            held.append(row)
+        self.emit("\n".join(held), "table", [page])
+
+    def add(self, text: str, kind: str, page: int) -> None:
+        n = len(text.split())
+        if self.fresh and (self.words + n > self.size or kind in ATOMIC):
+            self.flush(kind not in ATOMIC)
+        self.parts.append(text)
+        self.pages.append(page)
+        self.kinds.append(kind)
+        self.words, self.fresh = self.words + n, True
+
+
+def _sentences(text: str, size: int) -> list[str]:
+    if len(text.split()) <= size:
+        return [text]
+    return pack([s for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()], size, lambda s: len(s.split()), " ")
+
+
+def chunk_blocks(blocks_: list, size: int, overlap: int) -> list[dict]:
+    """The chunks of a document's blocks (page, text, kind, title, type, rows), which stand in order."""
+    c, at = Chunker(size, overlap), 0
+    while at < len(blocks_):
+        b = blocks_[at]
+        text, kind = b["text"], b["kind"]
+        if kind == "heading":
+            new = (b["title"] or text, b["type"] or "other")
+            if new[0] != c.title and c.fresh:
+                c.flush(False)
+            c.title, c.type = new
+            if at + 1 < len(blocks_) and blocks_[at + 1]["page"] == b["page"]:
+                at += 1
+                text, kind = f"{text}\n\n{blocks_[at]['text']}", "narrative"
+        if kind == "table":
+            c.table(list(b["rows"]), b["page"])
+        else:
+            for piece in _sentences(text, size) if kind == "narrative" else [text]:
+                c.add(piece, kind, b["page"])
+        at += 1
+    c.flush(False)
+    return c.done
+
+
+def layout_chunks(pages: DataFrame, size: int = 450, overlap: int = 100) -> DataFrame:
+    """(doc_id, chunk_index, text, kind, pages, section_title, section_type) from (doc_id, page_number, text).
+
+    Blocks, their kinds, headings and table rows are columns; only the packing, which depends on all before it in its
+    document, is a small helper over each document's blocks.
+    """
+    parts = blocks(pages.select("doc_id", "page_number", "text"))
+    head = tags.section_heading(F.col("text"))
+    one = F.struct(F.col("page_number").alias("page"), "pos", "text", "kind", head["title"].alias("title"), head["type"].alias("type"), table_rows(F.col("text")).alias("rows"))
+    docs = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("b"))
+
+    def fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda b: chunk_blocks(list(b), size, overlap))
+
+    made = docs.select("doc_id", F.posexplode(F.pandas_udf(fold, PIECE)("b")).alias("chunk_index", "c"))
+    return made.select("doc_id", "chunk_index", "c.*")

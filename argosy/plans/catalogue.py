@@ -145,6 +145,11 @@ def block_chunks(spark, sf_dir):
     return layout.block_chunks(filing_docs(spark, sf_dir).drop("period")).select("doc_id", "chunk_index", "section_title", F.md5("text").alias("text_md5"))
 
 
+def layout_chunks(spark, sf_dir):
+    pages = filing_docs(spark, sf_dir).select("doc_id", F.lit(1).alias("page_number"), "text")
+    return layout.layout_chunks(pages, 40, 10).select("doc_id", "chunk_index", "kind", "section_title", F.md5("text").alias("text_md5"))
+
+
 def decomposed_questions(spark, sf_dir):
     return research.sub_questions(questions(spark, sf_dir)).select("question_id", "step", "sub_question")
 
@@ -278,7 +283,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         research_topk, doc_hash_dedupe, word_windows, char_windows, clean_documents, sentence_stats, paragraph_pack, sentence_pack, page_margins, searchable,
-        filing_lines, metric_trend, metric_ranking, compare_companies, comparison_series, compare_peers, filing_tags, section_carry, block_chunks,
+        filing_lines, metric_trend, metric_ranking, compare_companies, comparison_series, compare_peers, filing_tags, section_carry, block_chunks, layout_chunks,
         decomposed_questions, inferred_companies, citations, research_answers, rule_flags, risk_rollup, severity_distribution, passage_risks, company_contexts,
         response_flags, vector_topk, embedding_dimensions, quality_totals, metadata_completeness, session_breakdown, tag_counts, duplicate_hashes, broken_links,
         tagged_metrics, company_name, chunk_metadata, report_metrics, chart_series, swot, key_takeaways, report_sections,

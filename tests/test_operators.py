@@ -165,3 +165,12 @@ def test_document_columns(spark):
     r = spark.createDataFrame([(text,)], "t STRING").select(*(v.alias(k) for k, v in cols.items()), financial_values(F.col("t")).alias("v"), named_values(F.lit("Products include Alpha Suite, Beta; more"), ("products",)).alias("n")).first()
     assert (r.document_title, r.filing_date, r.report_period, r.currency, r.industry, r.financial_year) == ("Acme Annual Report 2024", "March 3, 2024", "June 30, 2023", "USD", "Retail trade", 2023)
     assert r.v == ["revenue was $1,200 million"] and r.n == "Alpha Suite,Beta"
+
+
+def test_layout_chunks(spark):
+    from argosy.operators.layout import layout_chunks
+
+    text = "Risk Factors\n\nDebt rose.\n\nA | 1\nB | 2\n\none two three four five six.\n\nseven eight nine ten."
+    got = layout_chunks(spark.createDataFrame([(1, 1, text), (2, 1, "")], "doc_id INT, page_number INT, text STRING"), 7, 2).orderBy("chunk_index").collect()
+    assert [(r.kind, r.text) for r in got] == [("narrative", "Risk Factors\n\nDebt rose."), ("table", "A | 1\nB | 2"), ("narrative", "one two three four five six."), ("narrative", "five six.\n\nseven eight nine ten.")]
+    assert {r.section_title for r in got} == {"Risk Factors"} and got[0].pages == [1]
