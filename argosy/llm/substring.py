@@ -1,9 +1,9 @@
 """Substring dedup: remove words inside 13-word windows that also start in a document with a smaller id.
 
 Every window becomes a 64-bit hash. A window belongs to the bucket of its smallest hash of three
-words in a row, so equal windows meet in one bucket and neighbours mostly travel together. Within an
-Arrow batch of documents repeated windows are settled at once and only the first document's windows
-travel, so a passage that a third of all documents share reaches its bucket once a batch. A bucket
+words in a row, so equal windows meet in one bucket and neighbours mostly travel together. Within a
+block of documents repeated windows are settled at once and only the first document's windows
+travel, so a passage that a third of all documents share reaches its bucket once a block. A bucket
 sorts its hashes; those of a later document than the first go back to it as spans of window starts.
 
 Suffix automata of reference shards would have to meet every document in turn, so their work grows
@@ -32,6 +32,7 @@ from argosy.llm.wordhash import chunks, mix
 WINDOW = 13
 ANCHOR = 3
 BUCKET_BYTES = 8_000_000
+BLOCK_WORDS = 1_000_000
 MAX_BUCKETS = 1 << 16
 
 
@@ -73,12 +74,23 @@ def later_windows(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def batch_windows(batch: pa.RecordBatch, window: int) -> tuple[np.ndarray, ...]:
-    """(id, start, hash, anchor) of every window of a batch, by id and start."""
-    ids, parts, at = batch.column("_id"), [], 0
+def block_windows(batch: pa.RecordBatch, window: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(id, start, hash, anchor) of every window, by id and start, for blocks of documents of some BLOCK_WORDS words."""
+    ids = batch.column("_id")
     known = np.array(ids.is_valid())
     ids = np.array(ids.fill_null(0), np.int64)
     k = min(ANCHOR, window)
+    parts: list[tuple] = []
+
+    def joined() -> tuple[np.ndarray, ...]:
+        out = [np.concatenate([p[i] for p in parts]) for i in range(4)]
+        if (np.diff(out[0]) < 0).any():
+            by = np.argsort(out[0], kind="stable")
+            out = [x[by] for x in out]
+        parts.clear()
+        return tuple(out)
+
+    size = 0
     for a, b, words in chunks(batch.column("_t")):
         runs, small = words.runs(window), words.runs(k)
         anchor = small[: len(runs)].copy()
@@ -89,13 +101,12 @@ def batch_windows(batch: pa.RecordBatch, window: int) -> tuple[np.ndarray, ...]:
         start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         place = np.repeat(first[:-1], count) + start
         parts.append((np.repeat(ids[a:b], count), start, runs[place], anchor[place]))
-        at = b
-    assert at == batch.num_rows
-    out = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(4)]
-    if len(out[0]) and (np.diff(out[0]) < 0).any():
-        by = np.argsort(out[0], kind="stable")
-        out = [x[by] for x in out]
-    return tuple(out)
+        size += len(place)
+        if size >= BLOCK_WORDS:
+            yield joined()
+            size = 0
+    if parts:
+        yield joined()
 
 
 BUCKETED = "bucket int, settled boolean, hashes binary, starts binary"
@@ -105,8 +116,7 @@ def repeated_starts(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     """(_id, starts): packed starts of the windows to remove; ``docs`` has _id and _t."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, start, hashes, anchor = batch_windows(batch, window)
+        for ids, start, hashes, anchor in (x for batch in batches for x in block_windows(batch, window)):
             rows: list[tuple] = []
             late = later_windows(hashes, ids)
             if late.any():
