@@ -36,9 +36,10 @@ def segment(length: Column, i: int, t: int) -> tuple[Column, Column]:
     return base * i + longer + 1, base + (F.lit(i) >= t + 1 - length % (t + 1)).cast("int")
 
 
-def keys(line: str, t: int) -> Column:
-    """An array of (key, indexed): the line's own segments, and its substrings that may equal a shorter line's segment."""
-    own, out = F.length(line), []
+def keys(line: str, t: int) -> tuple[Column, list[int]]:
+    """An array of keys, null where there is none: the line's own segments, and its substrings that may equal a shorter
+    line's segment. Also the places in it of the line's own segments, which index the line."""
+    own, out, indexed = F.length(line), [], []
     for gap in range(t + 1):
         length = own - gap
         for i in range(t + 1):
@@ -46,23 +47,30 @@ def keys(line: str, t: int) -> Column:
             # multi-match-aware bounds of how far segment i can have moved
             for off in range(max(-i, gap - (t - i)), min(i, gap + (t - i)) + 1):
                 at = start + off
-                key = F.when((at >= 1) & (at + size - 1 <= own), F.xxhash64(F.lit(i), length, F.substring(F.col(line), at, size)))
-                out.append(F.struct(key.alias("key"), F.lit(gap == 0 and off == 0).alias("indexed")))
-    return F.array(*out)
+                if gap == 0 and off == 0:
+                    indexed.append(len(out))
+                out.append(F.when((at >= 1) & (at + size - 1 <= own), F.xxhash64(F.lit(i), length, F.substring(F.col(line), at, size))))
+    return F.array(*out), indexed
+
+
+def common(x: str, y: str, take) -> Column:
+    """Length of the common beginning (take: left) or end (right), by halving; 2**22 code points take 22 steps."""
+
+    def step(acc: Column, _: Column) -> Column:
+        lo, hi = acc["lo"], acc["hi"]
+        mid = F.shiftright(lo + hi + 1, 1)
+        same = (lo < hi) & (take(F.col(x), mid) == take(F.col(y), mid))
+        return F.struct(F.when(same, mid).otherwise(lo).alias("lo"), F.when(same | (lo >= hi), hi).otherwise(mid - 1).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.least(F.length(x), F.length(y)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(22)), start, step, lambda acc: acc["lo"])
 
 
 def trimmed(pairs: DataFrame) -> DataFrame:
-    """Cut the common beginning and end off x and y, each found by halving."""
-    for cut, take in (("pre", F.left), ("post", F.right)):
-        pairs = pairs.withColumns({"lo": F.lit(0), "hi": F.least(F.length("x"), F.length("y"))})
-        # 2**22 code points and less take 22 halvings; what a longer common part leaves is only not trimmed
-        for _ in range(22):
-            pairs = pairs.withColumn("mid", F.ceil((F.col("lo") + F.col("hi")) / 2).cast("int"))
-            same = (F.col("lo") < F.col("hi")) & (take("x", F.col("mid")) == take("y", F.col("mid")))
-            pairs = pairs.withColumns({"lo": F.when(same, F.col("mid")).otherwise(F.col("lo")), "hi": F.when(same | (F.col("lo") >= F.col("hi")), F.col("hi")).otherwise(F.col("mid") - 1)})
-        part = (lambda c: F.substr(F.col(c), F.col("lo") + 1)) if cut == "pre" else (lambda c: F.left(F.col(c), F.length(c) - F.col("lo")))
-        pairs = pairs.withColumns({"x": part("x"), "y": part("y")}).drop("lo", "hi", "mid")
-    return pairs
+    """Cut the common beginning and then the common end off x and y."""
+    pairs = pairs.withColumn("cut", common("x", "y", F.left))
+    pairs = pairs.withColumns({c: F.substr(F.col(c), F.col("cut") + 1) for c in "xy"}).withColumn("cut", common("x", "y", F.right))
+    return pairs.withColumns({c: F.left(F.col(c), F.length(c) - F.col("cut")) for c in "xy"}).drop("cut")
 
 
 def within(x: str, y: str, t: int) -> Column:
@@ -117,24 +125,28 @@ def _shift(r: Column, j: Column, t: int, mask: Column, n: Column) -> Column:
     return F.struct(new_vp.alias("vp"), new_vn.alias("vn"), (r["d"] + F.when(j + t <= n, diagonal).otherwise(across)).alias("d"))
 
 
-def verify(pairs: DataFrame, lines: DataFrame, t: int) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, t: int) -> DataFrame:
     """The (a, b) whose lines are within t edits."""
-    x, y = (lines.select(F.col("id").alias(i), F.col("line").alias(c)) for i, c in (("a", "x"), ("b", "y")))
+    x, y = (texts.select(F.col("id").alias(i), F.col("line").alias(c)) for i, c in (("a", "x"), ("b", "y")))
     both = trimmed(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"))
-    chars = both.withColumns({"x": F.array_remove(F.split("x", ""), ""), "y": F.array_remove(F.split("y", ""), "")})
+    chars = both.withColumns({c: F.array_remove(F.split(c, ""), "") for c in "xy"})
     return chars.filter(within("x", "y", t)).select("a", "b")
 
 
 def line_classes(lines: DataFrame, t: int = THRESHOLD) -> DataFrame:
-    """(node, component) of the distinct lines (id, line) that are within t edits of another."""
+    """(node, component) of the lines (id, line; equal lines have one id) that are within t edits of a different one."""
     with_checkpoint_dir(lines.sparkSession)
-    rows = lines.filter(F.length("line") >= max(MIN_LENGTH, t + 1)).select("id", F.explode(keys("line", t)).alias("k")).select("id", "k.key", "k.indexed").filter("key IS NOT NULL")
+    long_ = lines.filter(F.length("line") >= max(MIN_LENGTH, t + 1))
+    made, indexed = keys("line", t)
+    each = long_.select("id", made.alias("keys")).groupBy("id").agg(F.first("keys").alias("keys"))
+    rows = each.select("id", F.posexplode("keys").alias("i", "key")).filter("key IS NOT NULL").select("id", "key", F.col("i").isin(indexed).alias("indexed"))
     w = Window.partitionBy("key")
     met = rows.withColumns({"lead": F.min(F.when(F.col("indexed"), F.col("id"))).over(w), "low": F.min("id").over(w), "high": F.max("id").over(w)})
     met = met.filter("lead IS NOT NULL AND low < high").select("key", "id", "indexed", "lead").checkpoint()
+    texts = long_.groupBy("id").agg(F.first("line").alias("line")).join(met.select("id").distinct(), "id", "left_semi").checkpoint()
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     tested = met.filter("id != lead").select(*pair("lead", "id")).distinct().checkpoint()
-    links = verify(tested, lines, t).checkpoint()
+    links = verify(tested, texts, t).checkpoint()
     first = components(links)
     placed = met.join(first, F.col("id") == F.col("node"), "left").select("key", "id", "indexed", F.coalesce("component", "id").alias("part"))
     apart = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("key")
@@ -142,7 +154,7 @@ def line_classes(lines: DataFrame, t: int = THRESHOLD) -> DataFrame:
     a = open_.filter("indexed").select("key", F.col("id").alias("i"), F.col("part").alias("p"))
     b = open_.select("key", F.col("id").alias("j"), F.col("part").alias("q"))
     rest = a.join(b, "key").filter("p != q").select(*pair("i", "j")).distinct().join(tested, ["a", "b"], "left_anti")
-    late = verify(rest, lines, t).checkpoint()
+    late = verify(rest, texts, t).checkpoint()
     return first if late.isEmpty() else components(links.unionByName(late))
 
 
@@ -152,9 +164,10 @@ def drop_repeated_lines(docs: DataFrame, t: int = THRESHOLD, doc_id: str = "doc_
     parts = docs.select(F.col(doc_id).alias("doc"), F.posexplode_outer(F.split(text, "\n", -1)).alias("pos", "line"))
     worded = F.coalesce(F.col("line").rlike(WORD), F.lit(False))
     all_lines = parts.withColumn("id", F.when(worded, F.xxhash64("line")))
-    lines = all_lines.filter("id IS NOT NULL").groupBy("id").agg(F.first("line").alias("line"), F.min(F.struct("doc", "pos")).alias("at"))
-    classes = line_classes(lines.select("id", "line"), t)
-    at = lines.select("id", "at").join(classes, F.col("id") == F.col("node"), "left").select("id", "at", "component")
+    known = all_lines.filter("id IS NOT NULL")
+    classes = line_classes(known.select("id", "line"), t)
+    first = known.groupBy("id").agg(F.min(F.struct("doc", "pos")).alias("at"))
+    at = first.join(classes, F.col("id") == F.col("node"), "left").select("id", "at", "component")
     linked = at.filter("component IS NOT NULL").groupBy("component").agg(F.min("at").alias("best")).withColumnRenamed("component", "of")
     stays = at.join(linked, F.col("component") == F.col("of"), "left").select(F.col("id").alias("line_id"), F.col("at").alias("own"), F.coalesce("best", "at").alias("stays"))
     judged = all_lines.select("doc", "pos", "id").join(stays, F.col("id") == F.col("line_id"), "left")
