@@ -54,7 +54,7 @@ def keys(line: str, t: int) -> tuple[Column, list[int]]:
 
 
 def common(x: str, y: str, take) -> Column:
-    """Length of the common beginning (take: left) or end (right), by halving; 2**22 code points take 22 steps."""
+    """Length of the common beginning (take: left) or end (right), by halving."""
 
     def step(acc: Column, _: Column) -> Column:
         lo, hi = acc["lo"], acc["hi"]
@@ -63,7 +63,8 @@ def common(x: str, y: str, take) -> Column:
         return F.struct(F.when(same, mid).otherwise(lo).alias("lo"), F.when(same | (lo >= hi), hi).otherwise(mid - 1).alias("hi"))
 
     start = F.struct(F.lit(0).alias("lo"), F.least(F.length(x), F.length(y)).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(22)), start, step, lambda acc: acc["lo"])
+    steps = F.ceil(F.log2(F.least(F.length(x), F.length(y)) + 2)).cast("int") + 1
+    return F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda acc: acc["lo"])
 
 
 def trimmed(pairs: DataFrame) -> DataFrame:
@@ -73,6 +74,18 @@ def trimmed(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({c: F.left(F.col(c), F.length(c) - F.col("cut")) for c in "xy"}).drop("cut")
 
 
+def may_match(x: str, y: str, t: int) -> Column:
+    """False only for trimmed lines that can't be within t edits. Both ends of what trimming leaves take an edit, so of t + 1
+    segments of x one between the first and the last is untouched and stands in y, moved by t at most."""
+    n = F.length(x)
+    kept_ = F.lit(False)
+    for i in range(1, t):
+        start, size = segment(n, i, t)
+        for move in range(-t, t + 1):
+            kept_ = kept_ | ((start + move >= 1) & (F.substring(F.col(x), start, size) == F.substring(F.col(y), start + move, size)))
+    return (F.abs(n - F.length(y)) <= t) & ((F.least(n, F.length(y)) < 4 * (t + 1)) | kept_)
+
+
 def within(x: str, y: str, t: int) -> Column:
     """Is the edit distance of two arrays of characters t at most? A band of 2t+1 diagonals goes over y as bits of one number.
 
@@ -129,8 +142,14 @@ def verify(pairs: DataFrame, texts: DataFrame, t: int) -> DataFrame:
     """The (a, b) whose lines are within t edits."""
     x, y = (texts.select(F.col("id").alias(i), F.col("line").alias(c)) for i, c in (("a", "x"), ("b", "y")))
     both = trimmed(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"))
-    chars = both.withColumns({c: F.array_remove(F.split(c, ""), "") for c in "xy"})
-    return chars.filter(within("x", "y", t)).select("a", "b")
+    likely = fenced(both, may_match("x", "y", t))
+    chars = likely.withColumns({c: F.array_remove(F.split(c, ""), "") for c in "xy"})
+    return fenced(chars, within("x", "y", t)).select("a", "b")
+
+
+def fenced(df: DataFrame, condition: Column) -> DataFrame:
+    """A filter that stays above the columns that it reads. Pushed below them it would compute them again at each mention."""
+    return df.withColumn("fence", F.monotonically_increasing_id()).filter(condition & (F.col("fence") >= 0)).drop("fence")
 
 
 def line_classes(lines: DataFrame, t: int = THRESHOLD) -> DataFrame:
