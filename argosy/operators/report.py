@@ -72,3 +72,33 @@ def sections(wide: DataFrame, flags: DataFrame, citations: DataFrame | None = No
         part = df.select("company", F.lit(i).alias("section_no"), F.lit(name).alias("section"), "body")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# Ratios with what they mean.
+RATIOS = [("debt_to_revenue", "how much of a year's revenue is owed"), ("debt_to_assets", "how much of the assets is owed"), ("asset_turnover", "how much revenue the assets earn")]
+
+
+def ratios(wide: DataFrame) -> DataFrame:
+    """(company, fy, ratios): a map of the ratios that can be made; one by zero or of a missing figure is left out."""
+    made = {"debt_to_revenue": F.try_divide("debt", "revenue"), "debt_to_assets": F.try_divide("debt", "assets"), "asset_turnover": F.try_divide("revenue", "assets")}
+    pairs = F.array(*(F.struct(F.lit(k).alias("key"), v.cast("double").alias("value")) for k, v in made.items()))
+    return wide.select("company", "fy", F.map_from_entries(F.filter(pairs, lambda x: x["value"].isNotNull())).alias("ratios"))
+
+
+def ratio_table(rated: DataFrame) -> DataFrame:
+    """(company, fy, ratio, value): a row for each ratio, or one that says there is none."""
+    rows = rated.select("company", "fy", F.explode_outer("ratios").alias("ratio", "value"))
+    return rows.select("company", "fy", F.coalesce("ratio", F.lit("No Ratio Available")).alias("ratio"), F.coalesce(F.format_number("value", 2), F.lit(MISSING)).alias("value"))
+
+
+def ratio_commentary(rated: DataFrame) -> DataFrame:
+    """(company, fy, ratio, sentence) for the known ratios."""
+    rows = F.array_compact(F.array(*(F.when(F.col("ratios").getItem(k).isNotNull(), F.struct(F.lit(k).alias("ratio"), F.concat(F.format_number(F.col("ratios").getItem(k), 2), F.lit(f" says {what}.")).alias("sentence"))) for k, what in RATIOS)))
+    return rated.select("company", "fy", F.inline(rows))
+
+
+def executive_summary(wide: DataFrame, risks: DataFrame) -> DataFrame:
+    """(company, summary): years covered, the latest figures and the overall risk."""
+    last = wide.groupBy("company").agg(F.min("fy").alias("a"), F.max("fy").alias("b"), F.max_by(F.struct("revenue", "debt"), "fy").alias("l")).join(risks, "company", "left")
+    say = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
+    return last.select("company", F.concat("company", F.lit(" reported from FY"), "a", F.lit(" to FY"), "b", F.lit(". Latest revenue "), say("l.revenue"), F.lit(", debt "), say("l.debt"), F.lit(". Overall risk "), F.coalesce("overall_risk", F.lit("Low")), F.lit(".")).alias("summary"))

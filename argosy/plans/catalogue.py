@@ -279,6 +279,60 @@ def report_sections(spark, sf_dir):
     return report.sections(w, flags(spark, sf_dir).select("company", "category", "severity", "title")).select("company", "section_no", "section", F.md5("body").alias("body_md5"))
 
 
+def exact_wide(spark, sf_dir):
+    """wide() with money as decimals."""
+    return wide(spark, sf_dir).withColumns({c: F.round(c, 2).cast("decimal(20,2)") for c in ("revenue", "debt", "assets")})
+
+
+def ratio_table(spark, sf_dir):
+    return report.ratio_table(report.ratios(wide(spark, sf_dir)))
+
+
+def ratio_commentary(spark, sf_dir):
+    return report.ratio_commentary(report.ratios(wide(spark, sf_dir)))
+
+
+def performance_commentary(spark, sf_dir):
+    return report.commentary(exact_wide(spark, sf_dir))
+
+
+def executive_summary(spark, sf_dir):
+    return report.executive_summary(exact_wide(spark, sf_dir), redflag.risk_rollup(flags(spark, sf_dir), "company"))
+
+
+def risk_table(spark, sf_dir):
+    shown = flags(spark, sf_dir).filter("severity != 'Low'").select("company", "category", "severity", "title").distinct()
+    return report.risk_table(shown, filing_docs(spark, sf_dir))
+
+
+def company_metrics_wide(spark, sf_dir):
+    v = values(spark, sf_dir).groupBy("company", "metric", "fy").agg(F.max("value").alias("value"))
+    w = extract.company_metrics_wide(v, ["Total Revenue", "Total Debt", "Total Assets"])
+    return w.select("company", *(F.col(f"`{c}`").alias(c.lower().replace(" ", "_")) for c in ("Total Revenue", "Total Debt", "Total Assets")))
+
+
+def documents_by_session(spark, sf_dir):
+    return audit.documents_by_session(filing_chunks(spark, sf_dir))
+
+
+def ingest_manifest(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2("text", 256).alias("doc_hash"))
+    known = d.filter("doc_id < 100").select("doc_hash")
+    new = d.filter("doc_id >= 100")
+    return files.ingest_manifest(new, known, chunk.char_chunks(new.select("doc_id", "text")))
+
+
+def replaced_sources(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("source", "doc_id")
+    new = d.filter("source = 'src1' AND doc_id % 3 = 0").withColumn("doc_id", -F.col("doc_id") - 1)
+    return files.replaced(d, new)
+
+
+def cascade_delete(spark, sf_dir):
+    gone = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return files.cascade_delete(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), gone, "l_orderkey")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -287,6 +341,8 @@ QUERIES = {
         decomposed_questions, inferred_companies, citations, research_answers, rule_flags, risk_rollup, severity_distribution, passage_risks, company_contexts,
         response_flags, vector_topk, embedding_dimensions, quality_totals, metadata_completeness, session_breakdown, tag_counts, duplicate_hashes, broken_links,
         tagged_metrics, company_name, chunk_metadata, report_metrics, chart_series, swot, key_takeaways, report_sections,
+        ratio_table, ratio_commentary, performance_commentary, executive_summary, risk_table, company_metrics_wide, documents_by_session, ingest_manifest,
+        replaced_sources, cascade_delete,
     )
 }
 
@@ -416,4 +472,16 @@ union all select company, fy, 'strength', 'The company holds assets.' from wide
 union all select company, fy, 'weakness', 'The company carries debt.' from wide where debt <> 0
 union all select company, fy, 'opportunity', 'Assets exceed debt.' from wide where assets > debt
 union all select company, fy, 'threat', 'Debt exceeds assets.' from wide where debt > assets""",
+    "performance_commentary": f"""with {_VALUES} select company, fy, unnest(['Revenue', 'Debt', 'Assets']) as metric,
+  unnest([coalesce('Revenue stood at ' || revenue || '.', 'Revenue is not available.'), coalesce('Debt stood at ' || debt || '.', 'Debt is not available.'), coalesce('Assets stood at ' || assets || '.', 'Assets is not available.')]) as sentence from dec""",
+    "risk_table": f"""with {_FLAGS}, shown as (select distinct company, category, severity, title from flags where severity <> 'Low')
+select company, coalesce(category, 'General') as category, coalesce(severity, 'Low') as severity, coalesce(title, 'No risk found') as title from (select distinct company from docs) left join shown using (company)""",
+    "company_metrics_wide": f"""with {_VALUES}, l as (select company, metric, max_by(value, fy) as value from one group by all)
+select company, max(value) filter (metric = 'Total Revenue') as total_revenue, max(value) filter (metric = 'Total Debt') as total_debt, max(value) filter (metric = 'Total Assets') as total_assets from l group by company""",
+    "documents_by_session": f"with {_CHUNKS} select analysis_id as session, array_to_string(list_sort(list(distinct source)), ',') as sources, count(distinct source) as n_sources, count(*) as n_chunks from chunks group by 1",
+    "ingest_manifest": """with d as (select doc_id, text, sha256(text) as h from documents), k as (select distinct h from d where doc_id < 100)
+select doc_id, case when trim(coalesce(text, '')) = '' then 'no_content' when h in (select h from k) then 'duplicate' else 'success' end as status,
+  case when trim(coalesce(text, '')) <> '' and h not in (select h from k) then cast(ceil(length(text) / 800.0) as bigint) else 0 end as chunks from d where doc_id >= 100""",
+    "replaced_sources": "select source, doc_id from documents where source <> 'src1' union all select source, -doc_id - 1 from documents where source = 'src1' and doc_id % 3 = 0",
+    "cascade_delete": "select l_orderkey, l_linenumber from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F')",
 }
