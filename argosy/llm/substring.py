@@ -4,7 +4,8 @@ Every window becomes a 64-bit hash. A window belongs to the bucket of its smalle
 words in a row, so equal windows meet in one bucket and neighbours mostly travel together. Within a
 block of documents repeated windows are settled at once and only the first document's windows
 travel, so a passage that a third of all documents share reaches its bucket once a block. A bucket
-sorts its hashes; those of a later document than the first go back to it as spans of window starts.
+sorts its hashes; those of a later document than the first go back to it as spans of window starts, gathered
+once more so that a document gets one row.
 
 Suffix automata of reference shards would have to meet every document in turn, so their work grows
 with the square of the corpus; see the README for figures. Buckets give the same removals.
@@ -113,7 +114,7 @@ BUCKETED = "bucket int, settled boolean, hashes binary, starts binary"
 
 
 def repeated_starts(docs: DataFrame, window: int, buckets: int) -> DataFrame:
-    """(_id, starts): packed starts of the windows to remove; ``docs`` has _id and _t."""
+    """(_of, _starts): for each document that has some, the starts of the windows to remove; ``docs`` has _id and _t."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, start, hashes, anchor in (x for batch in batches for x in block_windows(batch, window)):
@@ -127,8 +128,7 @@ def repeated_starts(docs: DataFrame, window: int, buckets: int) -> DataFrame:
             bucket = (mix(anchor[on]) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             on, bucket = on[by], bucket[by]
-            edge = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(on)]]) if len(on) else [0]
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
+            for a, b in _cuts(bucket):
                 part = on[a:b]
                 rows.append((int(bucket[a]), False, hashes[part].tobytes(), pack_starts(ids[part], start[part])))
             columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
@@ -147,14 +147,30 @@ def repeated_starts(docs: DataFrame, window: int, buckets: int) -> DataFrame:
             late = later_windows(np.concatenate(hashes), i)
             done.append((i[late], p[late]))
         i, p = (np.concatenate([x[k] for x in done]) for k in (0, 1))
+        to = (mix(i.astype(np.uint64)) % np.uint64(ends)).astype(np.int64)
+        by = np.lexsort((p, i, to))
+        i, p, to = i[by], p[by], to[by]
+        cuts = list(_cuts(to))
+        return pa.table({"to": pa.array([int(to[a]) for a, _ in cuts], pa.int32()), "starts": pa.array([pack_starts(i[a:b], p[a:b]) for a, b in cuts], pa.binary())})
+
+    def collect(table: pa.Table) -> pa.Table:
+        both = [unpack_starts(x) for x in table.column("starts").to_pylist()]
+        i, p = (np.concatenate([x[k] for x in both]) for k in (0, 1))
         by = np.lexsort((p, i))
         i, p = i[by], p[by]
-        edge = np.concatenate([[0], np.flatnonzero(i[1:] != i[:-1]) + 1, [len(i)]]) if len(i) else [0]
-        spans = list(zip(edge[:-1], edge[1:], strict=True))
-        return pa.table({"_id": pa.array([int(i[a]) for a, _ in spans], pa.int64()), "starts": pa.array([_runs(p[a:b]) for a, b in spans], pa.binary())})
+        cuts = list(_cuts(i))
+        return pa.table({"_of": pa.array([int(i[a]) for a, _ in cuts], pa.int64()), "_starts": pa.array([_runs(p[a:b]) for a, b in cuts], pa.binary())})
 
+    ends = max(4, buckets // 8)
     moved = docs.mapInArrow(spread, BUCKETED)
-    return moved.groupBy("bucket").applyInArrow(settle, "_id long, starts binary")
+    settled = moved.groupBy("bucket").applyInArrow(settle, "to int, starts binary")
+    return settled.groupBy("to").applyInArrow(collect, "_of long, _starts binary")
+
+
+def _cuts(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of the runs of equal values."""
+    edge = np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1, [len(x)]]) if len(x) else np.zeros(1, int)
+    return zip(edge[:-1], edge[1:], strict=True)
 
 
 def _runs(starts: np.ndarray) -> bytes:
@@ -176,7 +192,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     whole = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = min(MAX_BUCKETS, max(16, int(whole // BUCKET_BYTES)))
     d = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_t"))
-    late = repeated_starts(d, window, buckets).groupBy("_id").agg(F.collect_list("starts").alias("_starts")).withColumnRenamed("_id", "_of")
+    late = repeated_starts(d, window, buckets)
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,8 +205,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
             for z, starts in zip(batch.column("_z").to_pylist(), batch.column("_starts").to_pylist(), strict=True):
                 words = _unpack(z).split()
                 edges = np.zeros(len(words) + 1, np.int32)
-                for s in starts or ():
-                    runs = np.frombuffer(s, "<u4").reshape(-1, 2).astype(np.int64)
+                if starts:
+                    runs = np.frombuffer(starts, "<u4").reshape(-1, 2).astype(np.int64)
                     np.add.at(edges, runs[:, 0], 1)
                     np.add.at(edges, runs[:, 0] + runs[:, 1] + window - 1, -1)
                 covered = np.cumsum(edges[:-1]) > 0
