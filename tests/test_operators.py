@@ -174,3 +174,16 @@ def test_layout_chunks(spark):
     got = layout_chunks(spark.createDataFrame([(1, 1, text), (2, 1, "")], "doc_id INT, page_number INT, text STRING"), 7, 2).orderBy("chunk_index").collect()
     assert [(r.kind, r.text) for r in got] == [("narrative", "Risk Factors\n\nDebt rose."), ("table", "A | 1\nB | 2"), ("narrative", "one two three four five six."), ("narrative", "five six.\n\nseven eight nine ten.")]
     assert {r.section_title for r in got} == {"Risk Factors"} and got[0].pages == [1]
+
+
+def test_hooks(spark):
+    from argosy.functions import hooks
+
+    d = spark.createDataFrame([(1, "debt rose"), (2, "revenue fell"), (3, "debt rose again"), (4, "")], "vec_id INT, text STRING")
+    v = hooks.embed(d).select("vec_id", "embedding")
+    q = v.filter("vec_id = 1").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    assert [r.vec_id for r in retrieve.vector_top_k(q, v, 2).orderBy("rank").collect()] == [1, 3]
+    assert [len(r.embedding) for r in hooks.embed_with(d, lambda t: [[float(len(x))] for x in t]).collect()] == [1] * 4
+    assert hooks.generate(spark.createDataFrame([("hi",)], "prompt STRING"), lambda p: [x.upper() for x in p]).first().answer == "HI"
+    f = spark.createDataFrame([("a", b"one|two")], "path STRING, content BINARY")
+    assert [(r.page_number, r.text) for r in hooks.read_pages(f, lambda b: b.decode().split("|")).collect()] == [(1, "one"), (2, "two")]
