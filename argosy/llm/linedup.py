@@ -7,7 +7,7 @@ length, brings both together. Candidates are trimmed of their common ends and ve
 bit-parallel edit distance. Only DataFrame operations.
 
 Equal lines are one row from the start. Under a key every line is verified against the smallest
-indexed one; once these links have made classes, only lines of different classes are compared, so a
+indexed one; once these links have made classes, only lines of different classes whose gram maps allow it are compared, so a
 large family of similar lines costs about one comparison each and no link is lost. The first line of
 a class in (doc_id, position) order stays.
 
@@ -27,6 +27,8 @@ from argosy.session import with_checkpoint_dir
 
 THRESHOLD = 2
 MIN_LENGTH = 12
+#: Grams of so many characters set bits in a map of so many 64-bit numbers.
+GRAM, MAP = 3, 8
 
 
 def segment(length: Column, i: int, t: int) -> tuple[Column, Column]:
@@ -138,6 +140,21 @@ def _shift(r: Column, j: Column, t: int, mask: Column, n: Column) -> Column:
     return F.struct(new_vp.alias("vp"), new_vn.alias("vn"), (r["d"] + F.when(j + t <= n, diagonal).otherwise(across)).alias("d"))
 
 
+def _in_word(k: int):
+    return lambda b: F.floor(b / 64) == k
+
+
+def with_grams(lines: DataFrame) -> DataFrame:
+    """Add grams: a bit for each gram of the line, as MAP numbers. The line becomes an array of characters first, as taking
+    substrings of a long line at every place would take the square of its length."""
+    gram = lambda i: F.xxhash64(*(F.get("chars", i + k) for k in range(GRAM)))
+    at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("chars") - GRAM))
+    one = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b % 64)
+    words = F.array(*(F.aggregate(F.filter("bits", _in_word(k)), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(one(b))) for k in range(MAP)))
+    made = lines.withColumn("chars", F.split("line", "")).withColumn("bits", F.array_distinct(F.transform(at, lambda i: F.pmod(gram(i), F.lit(64 * MAP)).cast("int"))))
+    return made.withColumn("grams", words).drop("chars", "bits")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, t: int) -> DataFrame:
     """The (a, b) whose lines are within t edits."""
     x, y = (texts.select(F.col("id").alias(i), F.col("line").alias(c)) for i, c in (("a", "x"), ("b", "y")))
@@ -170,9 +187,14 @@ def line_classes(lines: DataFrame, t: int = THRESHOLD) -> DataFrame:
     placed = met.join(first, F.col("id") == F.col("node"), "left").select("key", "id", "indexed", F.coalesce("component", "id").alias("part"))
     apart = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("key")
     open_ = placed.join(apart, "key").checkpoint()
-    a = open_.filter("indexed").select("key", F.col("id").alias("i"), F.col("part").alias("p"))
-    b = open_.select("key", F.col("id").alias("j"), F.col("part").alias("q"))
-    rest = a.join(b, "key").filter("p != q").select(*pair("i", "j")).distinct().join(tested, ["a", "b"], "left_anti")
+    maps = texts.join(open_.select(F.col("id").alias("of")).distinct(), F.col("id") == F.col("of")).select("of", "line")
+    maps = with_grams(maps).select("of", "grams").checkpoint()
+    open_ = open_.join(maps, F.col("id") == F.col("of"))
+    a = open_.filter("indexed").select(F.col("key").alias("ka"), F.col("id").alias("i"), F.col("part").alias("p"), F.col("grams").alias("ga"))
+    b = open_.select(F.col("key").alias("kb"), F.col("id").alias("j"), F.col("part").alias("q"), F.col("grams").alias("gb"))
+    # an edit touches GRAM grams, so a line lacks GRAM * t of the other's at most
+    few = lambda x, y: sum((F.bit_count(F.get(x, F.lit(k)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(k))))) for k in range(MAP)), F.lit(0)) <= GRAM * t
+    rest = a.join(b, (F.col("ka") == F.col("kb")) & (F.col("p") != F.col("q")) & few("ga", "gb") & few("gb", "ga")).select(*pair("i", "j")).distinct().join(tested, ["a", "b"], "left_anti")
     late = verify(rest, texts, t).checkpoint()
     return first if late.isEmpty() else components(links.unionByName(late))
 
