@@ -115,6 +115,8 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, doc_
     return (
         d.withColumn("score", F.coalesce(total / F.nullif(F.size("_h1") + F.size("_h2"), F.lit(0)), F.lit(0.0)))
         .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+        # a caller's filter on kept stays above this column; pushed below it, it would compute the counts at each mention again
+        .withColumn("_fence", F.monotonically_increasing_id())
+        .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold) & (F.col("_fence") >= 0))
         .select(*unpacked(on), *made)
     )
