@@ -5,7 +5,9 @@ words in a row, so equal windows meet in one bucket and neighbours mostly travel
 block of documents repeated windows are settled at once and only the first document's windows
 travel, so a passage that a third of all documents share reaches its bucket once a block. A bucket
 sorts its hashes; those of a later document than the first go back to it as spans of window starts, gathered
-once more so that a document gets one row.
+once more so that a document gets one row. Windows settled in their block are spread by document and
+pass the buckets packed. Three words that a sample shows to draw many windows do not hold them
+together: these windows go by their own hash, which equal windows share as well.
 
 Suffix automata of reference shards would have to meet every document in turn, so their work grows
 with the square of the corpus; see the README for figures. Buckets give the same removals.
@@ -35,6 +37,9 @@ ANCHOR = 3
 BUCKET_BYTES = 8_000_000
 BLOCK_WORDS = 1_000_000
 MAX_BUCKETS = 1 << 16
+SAMPLE_BYTES = 16_000_000
+#: An anchor of so many windows (a quarter of the windows of a bucket) is heavy.
+HEAVY_WINDOWS = 500_000
 
 
 def _pack(x: bytes) -> bytes:
@@ -110,48 +115,77 @@ def block_windows(batch: pa.RecordBatch, window: int) -> Iterator[tuple[np.ndarr
         yield joined()
 
 
-BUCKETED = "bucket int, settled boolean, hashes binary, starts binary"
+def modulo(x: np.ndarray, n: int) -> np.ndarray:
+    return (mix(x) % np.uint64(n)).astype(np.int64)
 
 
-def repeated_starts(docs: DataFrame, window: int, buckets: int) -> DataFrame:
+def by_end(ids: np.ndarray, starts: np.ndarray, ends: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(end, ids, starts) for the ends where the removals of documents are gathered; both in order."""
+    to = modulo(ids.astype(np.uint64), ends)
+    by = np.lexsort((starts, ids, to))
+    ids, starts, to = ids[by], starts[by], to[by]
+    for a, b in _cuts(to):
+        yield int(to[a]), ids[a:b], starts[a:b]
+
+
+def routed(block: tuple[np.ndarray, ...], buckets: int, ends: int, heavy: np.ndarray) -> Iterator[tuple]:
+    """(bucket, to, hashes, starts) of a block: settled windows have an end ``to`` and no hashes, open ones no end."""
+    ids, start, hashes, anchor = block
+    late = later_windows(hashes, ids)
+    for to, i, p in by_end(ids[late], start[late], ends):
+        yield int(modulo(i[:1].astype(np.uint64), buckets)[0]), to, None, pack_starts(i, p)
+    on = np.flatnonzero(~late)
+    key = anchor[on]
+    if len(heavy):
+        key = np.where(np.isin(key, heavy), hashes[on], key)
+    bucket = modulo(key, buckets)
+    by = np.argsort(bucket, kind="stable")
+    on, bucket = on[by], bucket[by]
+    for a, b in _cuts(bucket):
+        part = on[a:b]
+        yield int(bucket[a]), None, hashes[part].tobytes(), pack_starts(ids[part], start[part])
+
+
+def heavy_anchors(docs: DataFrame, window: int, share: float, limit: int) -> np.ndarray:
+    """Anchors of ``limit`` windows or more, as a sample of that share of the documents shows. They decide where windows meet, not which go."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, hashes, anchor in (x for batch in batches for x in block_windows(batch, window)):
+            _, first = np.unique(hashes, return_index=True)
+            key, n = np.unique(anchor[first], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["anchor", "n"])
+
+    some = docs.sample(share, 1) if share < 1 else docs
+    found = some.mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(2.0, limit * share))
+    return np.array(sorted(r.anchor for r in found.collect()), np.int64).view(np.uint64)
+
+
+BUCKETED = "bucket int, to int, hashes binary, starts binary"
+
+
+def repeated_starts(docs: DataFrame, window: int, buckets: int, heavy: np.ndarray) -> DataFrame:
     """(_of, _starts): for each document that has some, the starts of the windows to remove; ``docs`` has _id and _t."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, start, hashes, anchor in (x for batch in batches for x in block_windows(batch, window)):
-            rows: list[tuple] = []
-            late = later_windows(hashes, ids)
-            if late.any():
-                at = np.flatnonzero(late)
-                for part in np.array_split(at, len(at) // 500_000 + 1):
-                    rows.append((int(mix(anchor[part[:1]])[0] % np.uint64(buckets)), True, None, pack_starts(ids[part], start[part])))
-            on = np.flatnonzero(~late)
-            bucket = (mix(anchor[on]) % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            on, bucket = on[by], bucket[by]
-            for a, b in _cuts(bucket):
-                part = on[a:b]
-                rows.append((int(bucket[a]), False, hashes[part].tobytes(), pack_starts(ids[part], start[part])))
-            columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "settled", "hashes", "starts"])
+        for block in (x for batch in batches for x in block_windows(batch, window)):
+            columns = list(zip(*routed(block, buckets, ends, heavy), strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "to", "hashes", "starts"])
 
     def settle(table: pa.Table) -> pa.Table:
         ids, starts, hashes, done = [], [], [], []
-        for settled, h, s in zip(*(table.column(c).to_pylist() for c in ("settled", "hashes", "starts")), strict=True):
+        for to, h, s in zip(*(table.column(c).to_pylist() for c in ("to", "hashes", "starts")), strict=True):
+            if to is not None:
+                done.append((to, s))
+                continue
             i, p = unpack_starts(s)
-            (done if settled else ids).append((i, p) if settled else i)
-            if not settled:
-                starts.append(p)
-                hashes.append(np.frombuffer(h, np.uint64))
+            ids.append(i)
+            starts.append(p)
+            hashes.append(np.frombuffer(h, np.uint64))
         if ids:
             i, p = np.concatenate(ids), np.concatenate(starts)
             late = later_windows(np.concatenate(hashes), i)
-            done.append((i[late], p[late]))
-        i, p = (np.concatenate([x[k] for x in done]) for k in (0, 1))
-        to = (mix(i.astype(np.uint64)) % np.uint64(ends)).astype(np.int64)
-        by = np.lexsort((p, i, to))
-        i, p, to = i[by], p[by], to[by]
-        cuts = list(_cuts(to))
-        return pa.table({"to": pa.array([int(to[a]) for a, _ in cuts], pa.int32()), "starts": pa.array([pack_starts(i[a:b], p[a:b]) for a, b in cuts], pa.binary())})
+            done += [(to, pack_starts(i, p)) for to, i, p in by_end(i[late], p[late], ends)]
+        return pa.table({"to": pa.array([x for x, _ in done], pa.int32()), "starts": pa.array([x for _, x in done], pa.binary())})
 
     def collect(table: pa.Table) -> pa.Table:
         both = [unpack_starts(x) for x in table.column("starts").to_pylist()]
@@ -192,7 +226,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     whole = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = min(MAX_BUCKETS, max(16, int(whole // BUCKET_BYTES)))
     d = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_t"))
-    late = repeated_starts(d, window, buckets)
+    heavy = heavy_anchors(d, window, min(1.0, SAMPLE_BYTES / max(whole, 1)), HEAVY_WINDOWS)
+    late = repeated_starts(d, window, buckets, heavy)
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

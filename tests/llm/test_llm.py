@@ -330,6 +330,47 @@ def test_substring(spark, rows):
     assert substring.remove_repeats(docs_of(spark, [])).collect() == []
 
 
+def windows_of(rows, window=13):
+    import pyarrow as pa
+
+    ids, texts = zip(*rows, strict=True)
+    return next(substring.block_windows(pa.record_batch({"_id": pa.array(ids, pa.int64()), "_t": pa.array(texts, pa.string())}), window))
+
+
+def test_substring_spreads_copies():
+    """Blocks with copies of one text do not all send their settled windows to one bucket."""
+    import numpy as np
+
+    r = random.Random(6)
+    copy, none = " ".join("c%d" % r.randrange(9999) for _ in range(40)), np.zeros(0, np.uint64)
+    load = Counter()
+    for b in range(40):
+        for bucket, to, _, starts in substring.routed(windows_of([(100 * b + i, copy) for i in range(30)]), 16, 4, none):
+            if to is not None:
+                load[bucket] += len(substring.unpack_starts(starts)[0])
+    seen = sum(load.values())
+    assert seen == 40 * 29 * 28 and max(load.values()) < 0.25 * seen
+
+
+def test_substring_splits_heavy_anchors(spark, monkeypatch):
+    import numpy as np
+
+    r = random.Random(7)
+    # the smallest of many three-word hashes stands in every text, so nearly all windows meet there
+    hot = min((" ".join("h%d" % r.randrange(9999) for _ in range(3)) for _ in range(3000)), key=lambda x: int(windows_of([(1, x)], 3)[3][0]))
+    texts = [(i, " ".join("t%d" % r.randrange(10**6) for _ in range(10)) + f" {hot} " + " ".join("t%d" % r.randrange(10**6) for _ in range(10))) for i in range(300)]
+    texts += [(1000 + i, t) for i, t in texts[:20]]
+    block = windows_of(texts)
+    d = docs_of(spark, [(i, t, "s", "en") for i, t in texts]).selectExpr("doc_id AS _id", "text AS _t")
+    heavy = substring.heavy_anchors(d, 13, 1.0, 1000)
+    assert len(heavy) == 1
+    share = lambda h: max(len(x[2]) for x in substring.routed(block, 16, 4, h) if x[2]) / sum(len(x[2]) for x in substring.routed(block, 16, 4, h) if x[2])
+    assert share(np.zeros(0, np.uint64)) > 0.9 and share(heavy) < 0.2
+    monkeypatch.setattr(substring, "HEAVY_WINDOWS", 1000)
+    got = {x.doc_id: x.n_removed for x in substring.remove_repeats(docs_of(spark, [(i, t, "s", "en") for i, t in texts])).collect()}
+    assert got == {i: 23 if i >= 1000 else 0 for i, _ in texts}
+
+
 def test_langid(spark, sf):
     got = queries.op9_langid(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").filter("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got) and all(0 <= r.score <= 1 for r in got)
