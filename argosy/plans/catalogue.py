@@ -61,12 +61,21 @@ def doc_hash_dedupe(spark, sf_dir):
     return chunk.drop_known(d, known)
 
 
-def word_windows(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "text")
+def _document_windows(d: DataFrame) -> DataFrame:
     c = chunk.with_neighbours(chunk.exploded(d, tx.word_windows(F.col("text"), 450, 100)))
     return c.select("doc_id", "chunk_id", "chunk_index", "total_chunks", "previous_chunk_id", "next_chunk_id", F.md5("text").alias("text_md5"), F.length("window_text").alias("window_chars"))
 
 
+def word_windows(spark, sf_dir):
+    """Windows of the English documents; see word_windows_all."""
+    return _document_windows(table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "text"))
+
+
+def word_windows_all(spark, sf_dir):
+    """Windows of every document, whatever its language."""
+    return _document_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def char_windows(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     return chunk.char_chunks(d).select("doc_id", "chunk_index", F.md5("text").alias("text_md5"))
@@ -336,7 +345,7 @@ def cascade_delete(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        research_topk, doc_hash_dedupe, word_windows, char_windows, clean_documents, sentence_stats, paragraph_pack, sentence_pack, page_margins, searchable,
+        research_topk, doc_hash_dedupe, word_windows, word_windows_all, char_windows, clean_documents, sentence_stats, paragraph_pack, sentence_pack, page_margins, searchable,
         filing_lines, metric_trend, metric_ranking, compare_companies, comparison_series, compare_peers, filing_tags, section_carry, block_chunks, layout_chunks,
         decomposed_questions, inferred_companies, citations, research_answers, rule_flags, risk_rollup, severity_distribution, passage_risks, company_contexts,
         response_flags, vector_topk, embedding_dimensions, quality_totals, metadata_completeness, session_breakdown, tag_counts, duplicate_hashes, broken_links,
@@ -410,6 +419,10 @@ select question_id, row_number() over (partition by question_id order by step, r
   md5(case when length(text) > 220 then substring(text, 1, 220) || '{tx.ELLIPSIS}' else text end) as snippet_md5 from one""",
     "doc_hash_dedupe": "select doc_id, source, sha256(text) as doc_hash from documents qualify row_number() over (partition by sha256(text) order by source, doc_id) = 1",
     "word_windows": rf"""with src as (select doc_id, list_filter(string_split_regex({_SQUASH}, ' '), lambda x: x <> '') as ws from documents where lang = 'en'), {_windows(450, 350, "src")}
+select doc_id, doc_id || '-' || i as chunk_id, i as chunk_index, n as total_chunks, case when i > 0 then doc_id || '-' || (i - 1) else '' end as previous_chunk_id,
+  case when i < n - 1 then doc_id || '-' || (i + 1) else '' end as next_chunk_id, md5(piece) as text_md5,
+  length(piece) + coalesce(length(lag(piece) over p) + 2, 0) + coalesce(length(lead(piece) over p) + 2, 0) as window_chars from w window p as (partition by doc_id order by i)""",
+    "word_windows_all": rf"""with src as (select doc_id, list_filter(string_split_regex({_SQUASH}, ' '), lambda x: x <> '') as ws from documents), {_windows(450, 350, "src")}
 select doc_id, doc_id || '-' || i as chunk_id, i as chunk_index, n as total_chunks, case when i > 0 then doc_id || '-' || (i - 1) else '' end as previous_chunk_id,
   case when i < n - 1 then doc_id || '-' || (i + 1) else '' end as next_chunk_id, md5(piece) as text_md5,
   length(piece) + coalesce(length(lag(piece) over p) + 2, 0) + coalesce(length(lead(piece) over p) + 2, 0) as window_chars from w window p as (partition by doc_id order by i)""",

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 
 import __spark_entry__ as entry
@@ -16,3 +18,15 @@ def test_query(spark, sf, same, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_word_windows_all(spark, sf):
+    """Every document with a word has all its windows, whatever its language; cut by brute force."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text").collect()
+    got = {(r.doc_id, r.chunk_index): r.text_md5 for r in entry.queries()["word_windows_all"](spark, sf).collect()}
+    want = {}
+    for d in docs:
+        words = (d.text or "").split()
+        want |= {(d.doc_id, i): hashlib.md5(" ".join(words[a : a + 450]).encode()).hexdigest() for i, a in enumerate(range(0, len(words), 350))}
+    assert got == want
+    assert {d.lang for d in docs if (d.doc_id, 0) in got} > {"en"}
