@@ -2,7 +2,9 @@
 
 Each paragraph gives points for its length and commas to its parent and fewer to each ancestor above;
 an element's points are discounted by the share of its text that lies in links. The best container
-and those siblings that score like it are kept, without boilerplate inside them.
+and those siblings that score like it are kept, without boilerplate inside them. Paragraphs, lists,
+tables and text runs beside it or beside what holds it are judged by their own length, commas and
+links, and headings stay that lie before or between kept blocks.
 
 Pages are independent: one scan, no shuffle; a page's tree is the only state.
 
@@ -166,7 +168,7 @@ def plain(node: Node, links_only: bool = False, inside: bool = False) -> int:
     return total
 
 
-def blocks(nodes: list[Node], html_order: bool = True) -> list[str]:
+def blocks(nodes: list[Node | str | None], html_order: bool = True) -> list[str]:
     """The text blocks below some nodes in page order."""
     out: list[str] = []
     run: list[str] = []
@@ -200,8 +202,67 @@ def blocks(nodes: list[Node], html_order: bool = True) -> list[str]:
     return out
 
 
-def choose(root: Node) -> list[Node]:
-    """The best-scored container with the siblings that score like it; nothing if there is no paragraph."""
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def own_points(parts: list) -> float:
+    """Points of some neighbours by their own text; none if half of it lies in links."""
+    holder = Node("span", None, False)
+    holder.parts = parts
+    size = plain(holder)
+    if not size:
+        return 0.0
+    linked = plain(holder, True)
+    if 2 * linked >= size:
+        return 0.0
+    commas, todo = 0, list(parts)
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            commas += x.count(",")
+        elif not x.marked:
+            todo.extend(x.parts)
+    return (1 + min(size / 100, 30) + commas) * (1 - linked / size)
+
+
+def is_paragraph(x: Node) -> bool:
+    """Is an element a block of text by itself? A container is if it holds no blocks but headings and paragraphs."""
+    return x.name not in ("div", "section", "td") or not any(isinstance(p, Node) and p.name in BLOCK - HEADINGS - {"p", "pre"} for p in x.parts)
+
+
+def beside(parent: Node, inner: Node, chosen: list, least: float) -> list:
+    """The parts of ``parent`` to keep in page order, with ``chosen`` in the place of ``inner``; None ends a block."""
+    groups: list[list] = []
+    for x in parent.parts:
+        alone = isinstance(x, Node) and x.name in BLOCK
+        if alone or not groups or isinstance(groups[-1][-1], Node) and groups[-1][-1].name in BLOCK:
+            groups.append([x])
+        else:
+            groups[-1].append(x)
+    keep: list[bool | None] = []
+    for group in groups:
+        x = group[0]
+        if inner in group:
+            keep.append(True)
+        elif isinstance(x, Node) and x.name in BLOCK:
+            if x.name in HEADINGS:
+                keep.append(None if not x.marked else False)
+            else:
+                keep.append(not x.marked and (x.score >= least or is_paragraph(x) and own_points(x.parts) >= 1))
+        else:
+            keep.append(own_points(group) >= 1)
+    last = max(i for i, k in enumerate(keep) if k)
+    out: list = []
+    for i, (group, k) in enumerate(zip(groups, keep, strict=True)):
+        if k or k is None and i < last:
+            for x in group:
+                out += chosen if x is inner else [x]
+            out.append(None)
+    return out
+
+
+def choose(root: Node) -> list[Node | str | None]:
+    """The best-scored container with what belongs to it beside it and beside its holders; nothing if there is no paragraph."""
     scored: list[Node] = []
     todo = [root]
     while todo:
@@ -245,7 +306,12 @@ def choose(root: Node) -> list[Node]:
         if node.name in ("article", "main"):
             return [node]
         node = node.parent
-    return [x for x in best.parent.parts if isinstance(x, Node) and (x is best or not x.marked and x.score >= 0.2 * top)]
+    chosen: list = [best]
+    node = best
+    while node.parent is not None:
+        chosen = beside(node.parent, node, chosen, 0.2 * top)
+        node = node.parent
+    return chosen
 
 
 def main_text(html: str | None) -> str:

@@ -134,6 +134,20 @@ def test_html():
     assert html.main_text("<p>lost < bracket & amp</p>") == "lost < bracket & amp"
 
 
+LONG = "A long paragraph, with commas, and many words that say what the page is about, line after line."
+BESIDE = f"""<body><nav><a href="/">Home</a></nav><h1>Title</h1><p>The lead.</p><div class="share">Share, it</div>Bare <b>text</b> before.
+<div>{f"<p>{LONG}</p>" * 4}</div><h2>Between</h2><pre>some code</pre><ul><li>point one<li>point two</ul><div><p>Closing words.</p></div>
+<p><a href="/a">Link</a> <a href="/b">Other link</a></p><div><a href="/c">More</a><a href="/d">And more</a></div><h3>Trailing</h3><ul><li><a href="/e">Related</a></ul></body>"""
+
+
+@pytest.mark.parametrize("wrap", ["{}", "<div id=outer>{}</div>"])
+def test_html_beside_container(wrap):
+    """Without article and main, headings, leads and text runs beside the best container or its wrapper stay."""
+    page = BESIDE.replace(f"<div>{f'<p>{LONG}</p>' * 4}</div>", wrap.format(f"<div>{f'<p>{LONG}</p>' * 4}</div>"))
+    want = ["Title", "The lead.", "Bare text before.", *[LONG] * 4, "Between", "some code", "point one", "point two", "Closing words."]
+    assert html.main_text(page).split("\n\n") == want
+
+
 def test_html_operator(spark):
     got = html.extract(spark.createDataFrame([(1, PAGE, "old"), (2, None, "old")], "page_id INT, html STRING, TEXT STRING")).collect()
     assert [(r.page_id, r.n_chars) for r in got] == [(1, len(html.main_text(PAGE))), (2, 0)]
