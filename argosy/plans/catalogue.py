@@ -337,6 +337,30 @@ def replaced_sources(spark, sf_dir):
     return files.replaced(d, new)
 
 
+def hashed_and_stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with doc_hash, and the hashes of those that labels covers, which stand for the store."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.sha2("text", 256).alias("doc_hash"))
+    return d, d.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("doc_hash")
+
+
+def doc_hash_dedupe_stored(spark, sf_dir):
+    d, known = hashed_and_stored(spark, sf_dir)
+    return chunk.drop_known(d.drop("text"), known)
+
+
+def ingest_manifest_stored(spark, sf_dir):
+    d, known = hashed_and_stored(spark, sf_dir)
+    return files.ingest_manifest(d, known, chunk.char_chunks(d.select("doc_id", "text")))
+
+
+def replaced_sources_whole(spark, sf_dir):
+    """The new batch is all of the first source, under new ids."""
+    d = table(spark, sf_dir, "documents").select("source", "doc_id")
+    first = d.agg(F.min("source").alias("_first"))
+    new = d.join(F.broadcast(first), F.col("source") == F.col("_first")).select("source", (-F.col("doc_id") - 1).alias("doc_id"))
+    return files.replaced(d, new)
+
+
 def cascade_delete(spark, sf_dir):
     gone = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
     return files.cascade_delete(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), gone, "l_orderkey")
@@ -351,7 +375,7 @@ QUERIES = {
         response_flags, vector_topk, embedding_dimensions, quality_totals, metadata_completeness, session_breakdown, tag_counts, duplicate_hashes, broken_links,
         tagged_metrics, company_name, chunk_metadata, report_metrics, chart_series, swot, key_takeaways, report_sections,
         ratio_table, ratio_commentary, performance_commentary, executive_summary, risk_table, company_metrics_wide, documents_by_session, ingest_manifest,
-        replaced_sources, cascade_delete,
+        replaced_sources, cascade_delete, doc_hash_dedupe_stored, ingest_manifest_stored, replaced_sources_whole,
     )
 }
 
@@ -411,6 +435,8 @@ sc as (select sub_question, scope, chunk_id, chunk_order, section, company, text
 best as (select *, row_number() over (partition by sub_question, scope order by score desc, chunk_order) as rank from sc qualify rank <= 4),
 ev as (select question_id, step, rank, chunk_id, score, section, best.company, text, source from sub join best on sub.sub_question = best.sub_question and sub.company is not distinct from best.scope)"""
 
+_STORED = "d as (select doc_id, source, text, sha256(text) as h from documents), k as (select distinct h from d where doc_id in (select doc_id from labels))"
+
 ORACLES = {
     "research_topk": f"with {_TOPK} select question_id, step, rank, chunk_id, round(score, 6) as score, section from ev",
     "citations": f"""with {_TOPK}, one as (select * from ev qualify row_number() over (partition by question_id, chunk_id order by step, rank) = 1)
@@ -497,4 +523,9 @@ select doc_id, case when trim(coalesce(text, '')) = '' then 'no_content' when h
   case when trim(coalesce(text, '')) <> '' and h not in (select h from k) then cast(ceil(length(text) / 800.0) as bigint) else 0 end as chunks from d where doc_id >= 100""",
     "replaced_sources": "select source, doc_id from documents where source <> 'src1' union all select source, -doc_id - 1 from documents where source = 'src1' and doc_id % 3 = 0",
     "cascade_delete": "select l_orderkey, l_linenumber from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F')",
+    "doc_hash_dedupe_stored": f"with {_STORED} select doc_id, source, h as doc_hash from d where not exists (select 1 from k where k.h = d.h) qualify row_number() over (partition by h order by source, doc_id) = 1",
+    "ingest_manifest_stored": f"""with {_STORED}, r as (select doc_id, text, case when trim(coalesce(text, '')) = '' then 'no_content' when exists (select 1 from k where k.h = d.h) then 'duplicate' else 'success' end as status from d)
+select doc_id, status, case when status = 'success' then cast(ceil(length(text) / 800.0) as bigint) else 0 end as chunks from r""",
+    "replaced_sources_whole": """with f as (select min(source) as s from documents)
+select source, doc_id from documents where source is distinct from (select s from f) union all select source, -doc_id - 1 from documents where source = (select s from f)""",
 }

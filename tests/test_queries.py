@@ -30,3 +30,17 @@ def test_word_windows_all(spark, sf):
         want |= {(d.doc_id, i): hashlib.md5(" ".join(words[a : a + 450]).encode()).hexdigest() for i, a in enumerate(range(0, len(words), 350))}
     assert got == want
     assert {d.lang for d in docs if (d.doc_id, 0) in got} > {"en"}
+
+
+def test_stored_side(spark, sf):
+    """The store holds the labelled documents, grows with them and is met; the manifest reports every document."""
+    run = lambda name: entry.queries()[name](spark, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labelled = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    assert labelled and not labelled & {r.doc_id for r in run("doc_hash_dedupe_stored").collect()}
+    status = {r.doc_id: r.status for r in run("ingest_manifest_stored").collect()}
+    assert set(status) == {r.doc_id for r in docs.select("doc_id").collect()}
+    assert all(status[i] in ("duplicate", "no_content") for i in labelled & set(status)) and "success" in status.values()
+    first = docs.agg({"source": "min"}).first()[0]
+    got = run("replaced_sources_whole").collect()
+    assert len(got) == docs.count() and all((r.doc_id < 0) == (r.source == first) for r in got)
