@@ -9,7 +9,7 @@ A transcript is one row. Conversations become transcripts in blocks of BLOCK_TUR
 a row; a longer conversation is parsed block by block, none of it is left out.
 
 Defined cases: a null or empty transcript has no lines and no turns; lines of white space join the turn
-they stand in; without labelled turns the probabilities are even and markers alone decide; ties go to
+they stand in; a null turn is turn 0; a row without conv_id is a conversation of its own; without labelled turns the probabilities are even and markers alone decide; ties go to
 the state that is first; repeated rows are parsed each by itself; a column with the name of a result
 column is replaced.
 """
@@ -124,7 +124,8 @@ def train(turns: DataFrame) -> Model:
     """Count (conv_id, turn, role, text) rows whose role is known; a few hundred counts come to the driver."""
     known = turns.select("conv_id", "turn", _role(F.col("role")).alias("r"), F.col("text").alias("x")).filter("r >= 0 AND x IS NOT NULL")
     w = Window.partitionBy("conv_id").orderBy("turn", "r", "x")
-    steps = known.select("r", F.lag("r").over(w).alias("p")).groupBy("p", "r").agg(F.count("*").alias("n")).collect()
+    alone = known.filter("conv_id IS NULL").select("r", F.lit(None).cast("int").alias("p"))
+    steps = known.filter("conv_id IS NOT NULL").select("r", F.lag("r").over(w).alias("p")).unionAll(alone).groupBy("p", "r").agg(F.count("*").alias("n")).collect()
     lines = known.select("r", F.posexplode(F.split("x", "\n", -1)).alias("i", "line")).withColumns({"later": (F.col("i") > 0).cast("int"), "form": form_column(F.col("line"))})
     forms = lines.groupBy("r", "later", "form").agg(F.count("*").alias("n")).collect()
     stays: dict = {}
@@ -147,17 +148,33 @@ def format_transcripts(transcripts: DataFrame, model: Model, text: str = "transc
     return map_batches(transcripts, run, FIELDS, kept(transcripts, keep, []))
 
 
+def numbered(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, name, text, n): the turns of each conversation with their place from 0.
+
+    Places are counted in runs of BLOCK_TURNS turn values and shifted by the runs before, so that a long
+    conversation is not sorted in one task.
+    """
+    t = turns.select("conv_id", "turn", F.coalesce(F.lower("role"), F.lit("user")).alias("name"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("turn", F.lit(0)).alias("_t"))
+    own, shared = t.filter("conv_id IS NULL"), t.filter("conv_id IS NOT NULL").withColumn("_c", F.floor(F.col("_t") / BLOCK_TURNS))
+    before = Window.partitionBy("conv_id").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    shift = shared.groupBy("conv_id", "_c").agg(F.count("*").alias("_k")).select("conv_id", "_c", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_o"))
+    place = F.row_number().over(Window.partitionBy("conv_id", "_c").orderBy("_t", "text", "name")) - 1
+    placed = shared.withColumn("_i", place).join(shift, ["conv_id", "_c"])
+    return placed.select("conv_id", "turn", "name", "text", (F.col("_o") + F.col("_i")).alias("n")).unionAll(own.select("conv_id", "turn", "name", "text", F.lit(0).cast("long").alias("n")))
+
+
 def transcripts_of(turns: DataFrame) -> DataFrame:
     """(conv_id, block, transcript, true_roles): turns written as people paste them, in one of four styles a conversation.
 
     Every fifth turn after the first of its block, by hash, has no marker, so that the model has to find it.
     """
-    name = F.coalesce(F.lower("role"), F.lit("user"))
+    name = F.col("name")
     styles = F.array(F.concat(F.initcap(name), F.lit(": ")), F.concat(F.lit("### "), F.initcap(name), F.lit(":\n")), F.concat(F.lit("<|"), name, F.lit("|>\n")), F.concat(F.lit("**"), F.upper(name), F.lit("**: ")))
-    bare = (F.pmod(F.xxhash64("conv_id", "turn"), F.lit(5)) == 0) & (F.col("turn") % BLOCK_TURNS > 0)
+    bare = (F.pmod(F.xxhash64("conv_id", "turn"), F.lit(5)) == 0) & (F.col("n") % BLOCK_TURNS > 0)
     mark = F.when(bare, F.lit("")).otherwise(F.get(styles, F.pmod(F.xxhash64("conv_id"), F.lit(4)).cast("int")))
-    text = F.concat(mark, F.coalesce("text", F.lit("")))
-    one = F.struct(F.coalesce("turn", F.lit(0)).alias("turn"), text.alias("text"), F.array_repeat(name, F.size(F.split(text, "\n", -1))).alias("roles"))
-    block = F.floor(F.coalesce("turn", F.lit(0)) / BLOCK_TURNS)
-    whole = turns.groupBy("conv_id", block.alias("block")).agg(F.array_sort(F.collect_list(one)).alias("t"))
+    text = F.concat(mark, F.col("text"))
+    one = F.struct("n", text.alias("text"), F.array_repeat(name, F.size(F.split(text, "\n", -1))).alias("roles"))
+    all_turns = numbered(turns).withColumns({"block": F.floor(F.col("n") / BLOCK_TURNS), "_one": one})
+    whole = all_turns.filter("conv_id IS NOT NULL").groupBy("conv_id", "block").agg(F.array_sort(F.collect_list("_one")).alias("t"))
+    whole = whole.unionByName(all_turns.filter("conv_id IS NULL").select("conv_id", "block", F.array("_one").alias("t")))
     return whole.select("conv_id", "block", F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("transcript"), F.flatten(F.transform("t", lambda x: x["roles"])).alias("true_roles"))

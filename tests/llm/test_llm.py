@@ -172,6 +172,15 @@ def test_chat(spark):
     assert chat.transcripts_of(empty).collect() == []
 
 
+def test_chat_blocks_by_place(spark, monkeypatch):
+    """Repeated, null and sparse turns fill blocks by their place; rows without a conversation stand alone."""
+    monkeypatch.setattr(chat, "BLOCK_TURNS", 4)
+    rows = [(1, 0, "user", f"r{i}") for i in range(6)] + [(1, None, "user", "null"), (1, 5, "user", "five"), (1, 900, "user", "last")]
+    rows += [(2, 1000 * i, "user", f"s{i}") for i in range(5)] + [(None, i % 2, "user", "same") for i in range(3)]
+    out = chat.transcripts_of(spark.createDataFrame(rows, "conv_id INT, turn INT, role STRING, text STRING")).collect()
+    assert sorted((r.conv_id or 0, r.block, sum(w in r.transcript for _, _, _, w in rows if w != "same") + r.transcript.count("same")) for r in out) == [(0, 0, 1)] * 3 + [(1, 0, 4), (1, 1, 4), (1, 2, 1), (2, 0, 4), (2, 1, 1)]
+
+
 def test_viterbi_is_best(spark):
     import itertools
 
