@@ -2,15 +2,18 @@
 
 Each paragraph gives points for its length and commas to its parent and fewer to each ancestor above;
 an element's points are discounted by the share of its text that lies in links. The best container
-and those siblings that score like it are kept, without boilerplate inside them. Paragraphs, lists,
-tables and text runs beside it or beside what holds it are judged by their own length, commas and
-links, and headings stay that lie before or between kept blocks.
+and those siblings that score like it are kept, without boilerplate and blocks of links inside them.
+Paragraphs, lists, tables and text runs beside it or beside what holds it are judged by their own
+length, commas and links, and headings stay that lie before or between kept blocks. Within an
+article element all stays but marked parts and blocks of links.
 
-Pages are independent: one scan, no shuffle; a page's tree is the only state.
+Pages are independent: one scan, no shuffle; a page's tree is the only state, and the work grows with
+the page's length.
 
 Defined cases: null or empty html, and a page without paragraphs, give an empty text; repeated rows
 are extracted each by itself; broken nesting, missing end tags and stray brackets are read as
-browsers do; a column with the name of a result column is replaced.
+browsers do, so a tag that never ends takes the rest of its page; an empty table gives no rows; a
+column with the name of a result column is replaced.
 """
 
 from __future__ import annotations
@@ -24,8 +27,10 @@ from pyspark.sql import types as T
 
 from argosy.llm.common import kept, map_batches
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of a tag up to its end; a quote counts only behind an equals sign.
+REST = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+)>""")
+ATTRIBUTE = re.compile(r"""(?<![^\s="'>/])([^\s="'>/]++)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++)""")
 SPACE = re.compile(r"\s+")
 
 # Element names of HTML by their role.
@@ -38,16 +43,14 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - {"html", "body", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 DROPPED = frozenset("nav aside footer form button select input menu dialog head object canvas audio video fieldset search".split())
 CONTAINER = frozenset("article main section div td body blockquote".split())
-#: What a start tag ends: the same kind of element, up to the nearest of the bounds.
-ENDS = {
-    "li": ({"li"}, {"ul", "ol", "menu"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "option": ({"option"}, {"select"}),
-}
+#: What a start tag ends: elements of the same kind, up to the nearest of the bounds. (start tags, what they end, bounds)
+ENDS = [
+    ({"li"}, {"li"}, {"ul", "ol", "menu"}),
+    ({"dt", "dd"}, {"dt", "dd"}, {"dl"}),
+    ({"tr"}, {"tr", "td", "th"}, {"table"}),
+    ({"td", "th"}, {"td", "th"}, {"tr", "table"}),
+    ({"option"}, {"option"}, {"select"}),
+]
 #: Words in class, id or role that mark what is not the article.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adsbygoogle banner breadcrumb breadcrumbs comment comments disqus respond replies"
@@ -64,10 +67,36 @@ NOT_ARTICLE = frozenset("comment comments reply replies ad ads advert advertisem
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "marked", "score")
-
-    def __init__(self, name: str, parent: Node | None, marked: bool) -> None:
-        self.name, self.parent, self.marked, self.parts, self.score = name, parent, marked, [], 0.0
+    """An element. ``block`` is the nearest block around it, ``scope`` the inline elements open in its block, ``p`` the open
+    paragraph around it within its block and ``outer`` the outermost open element of each of ENDS within its bounds."""
+
+    __slots__ = ("name", "parent", "parts", "marked", "wrapper", "in_article", "block", "scope", "p", "outer", "hidden", "score", "size", "linked", "own", "own_linked", "commas")
+
+    def __init__(self, name: str, parent: Node | None, marked: bool = False) -> None:
+        self.name, self.parent, self.marked, self.parts, self.wrapper, self.score = name, parent, marked, [], False, 0.0
+        self.size = self.linked = self.own = self.own_linked = self.commas = 0
+        blocky = name in BLOCK
+        if parent is None:
+            self.in_article, self.block, self.scope, self.p, self.outer = False, None, {}, None, (None,) * len(ENDS)
+            return
+        self.in_article = parent.in_article or parent.name in ("article", "main")
+        self.block = parent if parent.name in BLOCK else parent.block
+        self.scope = {} if blocky else parent.scope
+        self.p = self if name == "p" else None if blocky else parent.p
+        self.outer = parent.outer
+        if name in ENDING:
+            self.outer = tuple(None if name in bounds else at or (self if name in ended else None) for at, (_, ended, bounds) in zip(parent.outer, ENDS, strict=True))
+
+    def dense(self) -> bool:
+        """Do links make up a block? Headings never count as such, items go with their list, a paragraph counts if it is all links."""
+        if self.name in HEADINGS or self.name in ITEMS or self.name not in BLOCK:
+            return False
+        return self.linked > 0 and (self.linked >= self.size if self.name in ("p", "pre") else 2 * self.linked > self.size)
+
+
+ENDING = frozenset(x for rule in ENDS for names in rule for x in names)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ITEMS = frozenset("li dt dd tr td th tbody thead tfoot caption".split())
 
 
 def is_marked(name: str, attributes: str, in_article: bool) -> bool:
@@ -92,84 +121,115 @@ def is_marked(name: str, attributes: str, in_article: bool) -> bool:
     return bool(words & MARKS) or bool(words & WEAK_MARKS) and not words & KEEP_MARKS
 
 
-def parse(html: str) -> Node:
-    """The element tree; text stands between elements, its references still encoded."""
-    root = Node("html", None, False)
-    here, at, size = root, 0, len(html)
-    while at < size:
-        m = TOKEN.search(html, at)
-        if not m:
-            here.parts.append(html[at:])
+def parse(html: str) -> list[Node]:
+    """The elements in page order, the root first; text stands between elements, its references still encoded.
+
+    Each character is looked at a bounded number of times: open elements are found by what their inner ones inherit, and
+    whatever an end tag passes is closed for good.
+    """
+    root = Node("html", None)
+    nodes, here, at, seek, size, blocks_open = [root], root, 0, 0, len(html), {}
+
+    def close(node: Node) -> None:
+        nonlocal here
+        while here is not node.parent:
+            count = blocks_open if here.name in BLOCK else here.scope
+            count[here.name] -= 1
+            here = here.parent
+
+    while seek < size:
+        begin = html.find("<", seek)
+        if begin < 0:
             break
-        if m.start() > at:
-            here.parts.append(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        if html.startswith(("<!", "<?"), begin):
+            mark = "-->" if html.startswith("<!--", begin) else "]]>" if html.startswith("<![CDATA[", begin) else ">"
+            end = html.find(mark, begin + 2)
+            here.parts.append(html[at:begin])
+            at = seek = size if end < 0 else end + len(mark)
             continue
-        name = m[2].lower()
-        if m[1]:
-            node = here
-            while node is not None and node.name != name:
-                node = node.parent if name in BLOCK or node.name not in BLOCK else None
-            if node is not None and node.parent is not None:
-                here = node.parent
+        tag = NAME.match(html, begin)
+        if not tag:
+            seek = begin + 1
+            continue
+        here.parts.append(html[at:begin])
+        rest = REST.match(html, tag.end())
+        # a tag without an end takes the rest of the page, as in browsers
+        at = seek = rest.end() if rest else size
+        if not rest:
+            break
+        name = tag[2].lower()
+        if tag[1]:
+            if (blocks_open if name in BLOCK else here.scope).get(name):
+                node = here
+                while node.name != name:
+                    node = node.parent
+                close(node)
             continue
         if name in ("html", "body"):
             continue
-        if name in CLOSES_P:
-            node = here
-            while node.parent is not None and node.name != "p" and (node.name not in BLOCK):
-                node = node.parent
-            if node.name == "p":
-                here = node.parent
-        if name in ENDS:
-            ended, bounds = ENDS[name]
-            node = here
-            while node.parent is not None and node.name not in bounds:
-                if node.name in ended:
-                    here = node.parent
-                node = node.parent
+        if name in CLOSES_P and here.p is not None:
+            close(here.p)
+        for i, (starts, _, _) in enumerate(ENDS) if name in ENDING else ():
+            if name in starts and here.outer[i] is not None:
+                close(here.outer[i])
         if name == "head" or name in VOID:
             if name == "br" or name in BLOCK:
-                here.parts.append(Node(name, here, False))
+                here.parts.append(Node(name, here))
             continue
-        around = here
-        while around is not None and around.name not in ("article", "main"):
-            around = around.parent
-        node = Node(name, here, is_marked(name, m[3], around is not None))
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at)
-            at = end.end() if end else size
+            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*+>", re.I).search(html, at)
+            at = seek = end.end() if end else size
             here.parts.append(" ")
             continue
+        node = Node(name, here)
+        node.marked = is_marked(name, rest[1], node.in_article)
         here.parts.append(node)
+        nodes.append(node)
         if name in ("article", "main", "h1") and not node.marked:
             # what holds the article or its heading is a wrapper, whatever its class says
             up = here
-            while up is not None:
+            while up is not None and not up.wrapper:
+                up.wrapper = True
                 up.marked = up.marked and (up.name in DROPPED or up.name in ("header", "article"))
                 up = up.parent if not up.marked else None
-        if not m[3].endswith("/") or name in BLOCK:
+        if not rest[1].endswith("/") or name in BLOCK:
             here = node
-    return root
-
-
-def plain(node: Node, links_only: bool = False, inside: bool = False) -> int:
-    """Characters of text below a node, or of that in links."""
-    total, todo = 0, [(node, inside)]
-    while todo:
-        x, in_link = todo.pop()
-        in_link = in_link or x.name == "a"
+            count = blocks_open if name in BLOCK else node.scope
+            count[name] = count.get(name, 0) + 1
+    here.parts.append(html[at:])
+    return nodes
+
+
+def measure(nodes: list[Node]) -> None:
+    """Characters of each element's text and of its links, in all (size, linked) and outside inner blocks (own, own_linked,
+    with commas); marked elements count for nothing. Inner elements come later in page order, so they are summed first."""
+    linking = set()
+    for x in nodes:
+        x.hidden = x.marked or x.parent is not None and x.parent.hidden
+        if x.name == "a" or x.parent in linking:
+            linking.add(x)
+    for x in reversed(nodes):
+        if x.hidden:
+            continue
         for part in x.parts:
             if isinstance(part, str):
-                total += len(part.strip()) if in_link or not links_only else 0
+                n = len(part.strip())
+                x.size, x.own, x.commas = x.size + n, x.own + n, x.commas + part.count(",")
+                if x in linking:
+                    x.linked, x.own_linked = x.linked + n, x.own_linked + n
             elif not part.marked:
-                todo.append((part, in_link))
-    return total
+                x.size, x.linked = x.size + part.size, x.linked + part.linked
+                if part.name not in BLOCK:
+                    x.own, x.own_linked, x.commas = x.own + part.own, x.own_linked + part.own_linked, x.commas + part.commas
+
+
+def points(size: int, linked: int, commas: int) -> float:
+    """Points of a paragraph for its length and commas, discounted by the share of its text in links."""
+    return (1 + min(size / 100, 30) + commas) * (1 - linked / size) if size else 0.0
 
 
-def blocks(nodes: list[Node | str | None], html_order: bool = True) -> list[str]:
-    """The text blocks below some nodes in page order."""
+def blocks(nodes: list[Node | str | None]) -> list[str]:
+    """The text blocks below some nodes in page order, without what is marked and blocks of links; None ends a block."""
     out: list[str] = []
     run: list[str] = []
 
@@ -188,50 +248,44 @@ def blocks(nodes: list[Node | str | None], html_order: bool = True) -> list[str]
             run.append(x)
         elif x.name == "br":
             run.append(" ")
-        elif not x.marked:
+        elif x.marked or x.dense():
             if x.name in BLOCK:
                 flush()
-                todo.append(None)
-            todo.extend(reversed(x.parts))
+            else:
+                run.append(" ")
         else:
             if x.name in BLOCK:
                 flush()
-            else:
-                run.append(" ")
+                todo.append(None)
+            todo.extend(reversed(x.parts))
     flush()
     return out
 
 
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+def is_paragraph(x: Node) -> bool:
+    """Is an element a block of text by itself? A container is if it holds no blocks but headings and paragraphs."""
+    return x.name not in ("div", "section", "td") or not any(isinstance(p, Node) and p.name in BLOCK - HEADINGS - {"p", "pre"} for p in x.parts)
 
 
-def own_points(parts: list) -> float:
-    """Points of some neighbours by their own text; none if half of it lies in links."""
-    holder = Node("span", None, False)
-    holder.parts = parts
-    size = plain(holder)
-    if not size:
-        return 0.0
-    linked = plain(holder, True)
-    if 2 * linked >= size:
-        return 0.0
-    commas, todo = 0, list(parts)
-    while todo:
-        x = todo.pop()
+def group_points(group: list[Node | str]) -> float:
+    """Points of some neighbours by all their text; none if half of it lies in links."""
+    size = linked = commas = 0
+    for x in group:
         if isinstance(x, str):
-            commas += x.count(",")
+            size, commas = size + len(x.strip()), commas + x.count(",")
         elif not x.marked:
-            todo.extend(x.parts)
-    return (1 + min(size / 100, 30) + commas) * (1 - linked / size)
-
-
-def is_paragraph(x: Node) -> bool:
-    """Is an element a block of text by itself? A container is if it holds no blocks but headings and paragraphs."""
-    return x.name not in ("div", "section", "td") or not any(isinstance(p, Node) and p.name in BLOCK - HEADINGS - {"p", "pre"} for p in x.parts)
+            size, linked, commas = size + x.size, linked + x.linked, commas + x.commas
+    return points(size, linked, commas) if 2 * linked < size else 0.0
 
 
 def beside(parent: Node, inner: Node, chosen: list, least: float) -> list:
-    """The parts of ``parent`` to keep in page order, with ``chosen`` in the place of ``inner``; None ends a block."""
+    """The parts of ``parent`` to keep in page order, with ``chosen`` in the place of ``inner``; None ends a block.
+
+    Inside an article all stays but marked parts and blocks of links. Elsewhere a sibling stays if it scored ``least`` or
+    is a paragraph with points of its own, and a heading if it lies before or between kept blocks.
+    """
+    if parent.in_article or parent.name in ("article", "main"):
+        return [y for x in parent.parts for y in (chosen if x is inner else [x])]
     groups: list[list] = []
     for x in parent.parts:
         alone = isinstance(x, Node) and x.name in BLOCK
@@ -248,9 +302,9 @@ def beside(parent: Node, inner: Node, chosen: list, least: float) -> list:
             if x.name in HEADINGS:
                 keep.append(None if not x.marked else False)
             else:
-                keep.append(not x.marked and (x.score >= least or is_paragraph(x) and own_points(x.parts) >= 1))
+                keep.append(not x.marked and (x.score >= least or is_paragraph(x) and group_points(group) >= 1))
         else:
-            keep.append(own_points(group) >= 1)
+            keep.append(group_points(group) >= 1)
     last = max(i for i, k in enumerate(keep) if k)
     out: list = []
     for i, (group, k) in enumerate(zip(groups, keep, strict=True)):
@@ -261,53 +315,28 @@ def beside(parent: Node, inner: Node, chosen: list, least: float) -> list:
     return out
 
 
-def choose(root: Node) -> list[Node | str | None]:
+def choose(nodes: list[Node]) -> list[Node | str | None]:
     """The best-scored container with what belongs to it beside it and beside its holders; nothing if there is no paragraph."""
-    scored: list[Node] = []
-    todo = [root]
-    while todo:
-        x = todo.pop()
-        for part in x.parts:
-            if not isinstance(part, str) and not part.marked:
-                todo.append(part)
-        own = [p for p in x.parts if isinstance(p, str) or p.name not in BLOCK]
-        if x.name not in ("p", "pre", "td", "blockquote", "h1", "h2", "h3", "h4", "li", "dd") and not any(isinstance(p, str) and p.strip() for p in own):
-            continue
-        leaf = Node("span", None, False)
-        leaf.parts = own
-        size = plain(leaf)
-        if not size:
+    measure(nodes)
+    for x in nodes:
+        if x.hidden or not x.own or x.name not in BLOCK and x.parent is not None:
             continue
-        linked = plain(leaf, True)
-        commas = sum(p.count(",") for p in own if isinstance(p, str))
-        points = (1 + min(size / 100, 30) + commas) * (1 - linked / size)
-        up, weight = (x.parent if x.name not in CONTAINER else x), 1.0
+        worth = points(x.own, x.own_linked, x.commas)
+        # a container with text of its own is its own paragraph
+        up, weight = (x if x.name in CONTAINER or x.block is None else x.block), 1.0
         while up is not None and weight > 0.05:
-            if up.score == 0.0:
-                scored.append(up)
-            up.score += points * weight + 1e-9
-            up, weight = up.parent, weight / 2
+            up.score += worth * weight
+            up, weight = up.block, weight / 2
     best, top = None, 0.0
-    for x in scored:
-        size = plain(x)
-        final = x.score * (1 - plain(x, True) / size) if size else 0.0
-        if x.name in ("article", "main"):
-            final *= 1.5
-        x.score = final
-        if final > top:
-            best, top = x, final
+    for x in nodes:
+        x.score *= (1 - x.linked / x.size if x.size else 0.0) * (1.5 if x.name in ("article", "main") else 1.0)
+        if x.score > top and not x.hidden:
+            best, top = x, x.score
     if best is None:
         return []
     if best.parent is None:
-        return [best]
-    # an article is whole by itself: its marked parts are out, but headings and stray blocks beside the best container stay
-    node = best
-    while node.parent is not None:
-        if node.name in ("article", "main"):
-            return [node]
-        node = node.parent
-    chosen: list = [best]
-    node = best
+        return list(best.parts)
+    chosen, node = [best], best
     while node.parent is not None:
         chosen = beside(node.parent, node, chosen, 0.2 * top)
         node = node.parent
