@@ -7,7 +7,8 @@ steps for all sources run side by side over a histogram of (source, size). Rates
 into whole copies so that a source's words miss its target by little more than its smallest gap.
 
 Only DataFrame operations: one scan builds the histogram, one shuffle of the documents deals the
-copies. A hot group of copies is dealt over SPLIT cells.
+copies. A class of documents of one source and size is dealt over cells whose number grows with the
+table, so that a hot one is sorted by many tasks.
 
 Defined cases: a null text has size 0 and is taken as often as its rate of 1 says (its words are 0);
 a null source is a source of its own and comes last; repeated rows are separate documents; an empty
@@ -26,8 +27,8 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 STEPS = 16
 REPAIRS = 4
-#: Cells over which a class of documents of one source and size is dealt.
-SPLIT = 64
+#: A class of documents of one source and size is dealt over 64 cells, and over more once all rows are more than 64 times this.
+CELL_ROWS = 1_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -36,12 +37,13 @@ def word_count(text: Column) -> Column:
 
 def source_targets(sources: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame:
     """Add target to (key, source, source_size): shares of the total by weight, filled up to cap times each size."""
+    # these windows have no partition, as targets depend on all sources: a row each of the table of sources, not of documents
     in_order = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(in_order) - 1) % len(weights) + 1).cast("double")
     room = F.lit(cap) * F.col("source_size").cast("double")
     by_ratio = Window.orderBy("ratio", "key")
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
+    whole = by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
         sources.withColumn("w", w)
         .withColumn("room", room)
@@ -56,7 +58,8 @@ def source_targets(sources: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP)
 
 def balance(hist: DataFrame, cap: int = CAP, steps: int = STEPS) -> DataFrame:
     """Add rate to (key, n, c, source_size, target) by safeguarded Newton steps on each source's dual."""
-    w = Window.partitionBy("key")
+    # sums go over a fixed order, so that a rerun adds the same numbers in the same order
+    w = Window.partitionBy("key").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     n, c, t = F.col("n").cast("double"), F.col("c"), F.col("target")
     up = t >= F.col("source_size")
     h = (
@@ -86,8 +89,8 @@ def round_copies(h: DataFrame, cap: int = CAP, repairs: int = REPAIRS) -> DataFr
     Extras follow the running sum of the fractions from long to short, then a few single documents
     close what is left of the gap to the target.
     """
-    w = Window.partitionBy("key")
-    down = w.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("key").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    down = Window.partitionBy("key").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
     n = F.col("n")
     h = h.withColumn("base", F.floor("rate")).withColumn("part", F.col("c") * (F.col("rate") - F.col("base")))
     h = h.withColumn("run", F.sum("part").over(down))
@@ -111,6 +114,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, doc_id: str =
     with_checkpoint_dir(docs.sparkSession)
     made = ["size", "source_size", "target", "rate", "copies", "taken"]
     on = kept(docs, keep, made)
+    split = max(64, docs.count() // CELL_ROWS)
     ours = {
         "_n": word_count(F.col(text)),
         "_key": F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")),
@@ -118,7 +122,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, doc_id: str =
         "_source": F.col(source),
         "_id": F.col(doc_id),
     }
-    d = docs.select(row(on).alias("_row"), *(v.alias(k) for k, v in ours.items())).withColumn("_cell", F.pmod("_by", F.lit(SPLIT)))
+    d = docs.select(row(on).alias("_row"), *(v.alias(k) for k, v in ours.items())).withColumn("_cell", F.pmod("_by", F.lit(split)))
     cells = d.groupBy("_key", "_n", "_cell").agg(F.count("*").alias("cc"), F.first("_source").alias("source")).checkpoint()
     hist = cells.groupBy(F.col("_key").alias("key"), F.col("_n").alias("n")).agg(F.sum("cc").alias("c"), F.first("source").alias("source"))
     sources = hist.groupBy("key").agg(F.first("source").alias("source"), F.sum(F.col("n") * F.col("c")).alias("source_size"))
