@@ -6,7 +6,9 @@ key range that still holds an undecided splitter or too many rows, until each sp
 edge of a range (or within the tolerance of one). Then the documents are exchanged once.
 
 A row's shard is floor(shards * bytes before its key / all bytes), so sizes differ by about one
-document. A hot group of equal texts is split by the second half of the key.
+document. A hot group of equal texts is split by the second half of the key. The driver keeps some
+thousand cells of keys; where such a cell would have more than CELL_ROWS rows, it is cut into slices
+by further bits of the key, which are counted and summed up by Spark.
 
 Defined cases: a null text has no bytes and the key of an empty one; a null id has the key of an
 empty one; rows with equal text and id have one key and stay in one shard; an empty table gives no
@@ -15,7 +17,9 @@ rows; a document column with the name of a result column is replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from argosy.llm.common import kept, row, unpacked
@@ -25,8 +29,10 @@ SHARDS = 24
 STEP = 12
 HALF = 60
 DEPTH = 2 * HALF // STEP
-#: A range of keys with more than this part of all rows is refined, so that no task sorts much more.
+#: A range of keys with more than this part of all rows is refined, which bounds what the driver keeps.
 HEAVY = 1024
+#: A task sorts about so many rows at most.
+CELL_ROWS = 1_000_000
 
 
 def key_of(x: Column) -> Column:
@@ -34,6 +40,15 @@ def key_of(x: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(x.cast("string"), F.lit(""))), 1, HALF // 4), 16, 10).cast("long")
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of numbers from the driver, parsed by Spark itself from one text."""
+    body = ";".join(",".join(map(str, r)) for r in rows)
+    names = [c.strip().split() for c in schema.split(",")]
+    fields = F.split("x", ",")
+    lines = spark.range(1).select(F.explode(F.split(F.lit(body), ";")).alias("x")).filter("x != ''")
+    return lines.select(*(F.get(fields, F.lit(i)).cast(t).alias(n) for i, (n, t) in enumerate(names)))
+
+
 def _prefix(level: int) -> tuple[Column, Column]:
     """The first ``level`` steps of the key, as two numbers."""
     return (F.shiftright("k1", max(0, HALF - STEP * level)), F.shiftright("k2", HALF - max(0, STEP * level - HALF)))
@@ -70,7 +85,7 @@ def find_ranges(keys: DataFrame, shards: int, tolerance: float = 0.0) -> tuple[l
         if not open_:
             break
         a, b = _prefix(level)
-        probes = spark.createDataFrame([(r[0][0] >> max(0, HALF - STEP * level), r[0][1] >> (HALF - max(0, STEP * level - HALF))) for r in open_], "pa long, pb long")
+        probes = literal_table(spark, [(r[0][0] >> max(0, HALF - STEP * level), r[0][1] >> (HALF - max(0, STEP * level - HALF))) for r in open_], "pa long, pb long")
         inner = keys.join(F.broadcast(probes), (a == F.col("pa")) & (b == F.col("pb")), "left_semi")
         done = set(open_)
         ranges = sorted([r for r in ranges if r not in done] + histogram(inner, level + 1))
@@ -94,6 +109,11 @@ def find_cells(ranges: list[tuple], total: int, count: int, shards: int) -> list
     return [(c["bin"], *c["low"], *end, c["shard"], c["slot"], i) for i, (c, end) in enumerate(zip(cells, ends, strict=True))]
 
 
+def slice_bits(count: int, cell_rows: int) -> int:
+    """How many further bits of the key cut the largest cells down to about ``cell_rows`` rows."""
+    return max(0, math.ceil(math.log2(max(1, count) / HEAVY / cell_rows)))
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.0, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Documents with size (bytes of text plus 8), shard and slot (from 0, without gaps, in key order).
 
@@ -104,11 +124,28 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.0, doc_id:
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
     d = docs.select(row(on).alias("_row"), key_of(F.col(text)).alias("k1"), key_of(F.col(doc_id)).alias("k2"), size.alias("size"))
     keys = docs.select(key_of(F.col(text)).alias("k1"), key_of(F.col(doc_id)).alias("k2"), size.alias("size")).checkpoint()
-    cells = find_cells(*find_ranges(keys, shards, tolerance), shards)
-    made = spark.createDataFrame(cells, "bin long, l1 long, l2 long, h1 long, h2 long, shard int, base long, cell int")
+    ranges, total, count = find_ranges(keys, shards, tolerance)
+    cells = find_cells(ranges, total, count, shards)
+    made = literal_table(spark, cells, "bin long, l1 long, l2 long, h1 long, h2 long, shard int, base long, cell int")
     k1, k2 = F.col("k1"), F.col("k2")
     at_least = (k1 > F.col("l1")) | ((k1 == F.col("l1")) & (k2 >= F.col("l2")))
     below = (k1 < F.col("h1")) | ((k1 == F.col("h1")) & (k2 < F.col("h2")))
-    placed = d.join(F.broadcast(made), (F.shiftright("k1", HALF - STEP) == F.col("bin")) & at_least & below)
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("k1", "k2"))
-    return placed.withColumn("slot", F.col("base") + rank - 1).select(*unpacked(on), "size", "shard", "slot")
+    bits = slice_bits(count, CELL_ROWS)
+    # the slices of a cell in key order: the next bits of the text's hash, then of the id's hash, which alone parts equal texts
+    cut = [F.shiftright("k1", max(0, HALF - STEP - bits)).alias("s1"), F.shiftright("k2", max(0, HALF - bits)).alias("s2")]
+
+    def in_cells(df: DataFrame) -> DataFrame:
+        found = df.join(F.broadcast(made), (F.shiftright("k1", HALF - STEP) == F.col("bin")) & at_least & below)
+        return found.select("*", *cut)
+
+    placed = in_cells(d)
+    if bits:
+        before = Window.partitionBy("cell").orderBy("s1", "s2").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = in_cells(keys).groupBy("cell", "s1", "s2").agg(F.count("*").alias("n"))
+        sizes = sizes.select("cell", "s1", "s2", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
+        placed = placed.join(sizes, ["cell", "s1", "s2"])
+    else:
+        placed = placed.withColumn("skip", F.lit(0))
+    by = ["cell", "s1", "s2"] if bits else ["cell"]
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("k1", "k2"))
+    return placed.withColumn("slot", F.col("base") + F.col("skip") + rank - 1).select(*unpacked(on), "size", "shard", "slot")
