@@ -9,12 +9,16 @@ once more so that a document gets one row. Windows settled in their block are sp
 pass the buckets packed. Three words that a sample shows to draw many windows do not hold them
 together: these windows go by their own hash, which equal windows share as well.
 
+Buckets grow in number with the corpus, so none outgrows a task; a block then sends each at least one
+window, some 60 bytes. Windows are equal if their 64-bit hashes and their buckets are, so bits are
+added as buckets are: about 87 at 100 TB, where two different windows of 10^13 are expected to agree.
+
 Suffix automata of reference shards would have to meet every document in turn, so their work grows
 with the square of the corpus; see the README for figures. Buckets give the same removals.
 
 Defined cases: a null or empty text has no words; a text of fewer words than a window keeps all; a
 null id removes nothing and is no reference; rows of one id never remove each other's words, and all
-lose the same ones; an empty table gives no rows; a column with the name of a result is replaced.
+lose the same ones; ids that are not whole numbers go by their order; an empty table gives no rows; a column with the name of a result is replaced.
 """
 
 from __future__ import annotations
@@ -31,12 +35,12 @@ from pyspark.sql import types as T
 
 from argosy.llm.common import kept, row, unpacked
 from argosy.llm.wordhash import chunks, mix
+from argosy.session import with_checkpoint_dir
 
 WINDOW = 13
 ANCHOR = 3
 BUCKET_BYTES = 8_000_000
 BLOCK_WORDS = 1_000_000
-MAX_BUCKETS = 1 << 16
 SAMPLE_BYTES = 16_000_000
 #: An anchor of so many windows (a quarter of the windows of a bucket) is heavy.
 HEAVY_WINDOWS = 500_000
@@ -216,6 +220,16 @@ def _runs(starts: np.ndarray) -> bytes:
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
+def with_ranks(rows: DataFrame) -> DataFrame:
+    """Rows whose _id is a long. Ids of another type, such as texts, give way to their ranks, which keep their order."""
+    if isinstance(rows.schema["_id"].dataType, T.IntegralType):
+        return rows.withColumn("_id", F.col("_id").cast("long"))
+    with_checkpoint_dir(rows.sparkSession)
+    ids = rows.filter("_id IS NOT NULL").select(F.col("_id").alias("_name")).distinct().orderBy("_name")
+    ranks = ids.select("_name", F.monotonically_increasing_id().alias("_rank")).checkpoint()
+    return rows.join(ranks, F.col("_id") == F.col("_name"), "left").select("_row", F.col("_rank").alias("_id"), "_t")
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Documents with n_words, n_removed, removed (word spans) and kept_text (the words left, joined by one space).
 
@@ -224,8 +238,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     made = ["n_words", "n_removed", "removed", "kept_text"]
     on = kept(docs, keep, made)
     whole = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = min(MAX_BUCKETS, max(16, int(whole // BUCKET_BYTES)))
-    d = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_t"))
+    buckets = max(16, int(whole // BUCKET_BYTES))
+    rows = with_ranks(docs.select(row(on).alias("_row"), F.col(doc_id).alias("_id"), F.col(text).alias("_t")))
+    d = rows.select("_id", "_t")
     heavy = heavy_anchors(d, window, min(1.0, SAMPLE_BYTES / max(whole, 1)), HEAVY_WINDOWS)
     late = repeated_starts(d, window, buckets, heavy)
 
@@ -259,7 +274,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
                 names=["_row", *made],
             )
 
-    rows = docs.select(row(on).alias("_row"), F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_t"))
     of_row = rows.schema["_row"]
     packed = rows.mapInArrow(squeeze, T.StructType([of_row, T.StructField("_id", T.LongType()), T.StructField("_z", T.BinaryType())]))
     both = packed.join(late, F.col("_id") == F.col("_of"), "left").select("_row", "_z", "_starts")
