@@ -194,9 +194,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
-    """The documents of which one of each group stays: the smallest id, and of repeated rows one; rows without an id stay."""
+    """The documents of which one of each group stays: the smallest id; rows without an id stay. Of rows that share an id one
+    stays, the first by a hash of the whole row, so that reruns agree."""
     keep = near_duplicates(docs, doc_id=doc_id, **how).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_keep")).distinct()
     on = kept(docs, None, [])
     d = docs.select(F.col(f"`{doc_id}`").alias("_id"), row(on).alias("_row"))
-    one = d.filter(F.col("_id").isNotNull()).join(keep, F.col("_id") == F.col("_keep")).dropDuplicates(["_keep"])
+    one = d.filter(F.col("_id").isNotNull()).join(keep, F.col("_id") == F.col("_keep")).groupBy("_keep").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
     return one.select("_row").unionByName(d.filter(F.col("_id").isNull()).select("_row")).select(*unpacked(on))
