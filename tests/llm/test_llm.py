@@ -149,8 +149,58 @@ def test_html_beside_container(wrap):
 
 
 def test_html_operator(spark):
-    got = html.extract(spark.createDataFrame([(1, PAGE, "old"), (2, None, "old")], "page_id INT, html STRING, TEXT STRING")).collect()
-    assert [(r.page_id, r.n_chars) for r in got] == [(1, len(html.main_text(PAGE))), (2, 0)]
+    pages = spark.createDataFrame([(1, PAGE, "old"), (2, None, "old"), (1, PAGE, "old")], "page_id INT, html STRING, TEXT STRING")
+    got = html.extract(pages).collect()
+    assert sorted((r.page_id, r.n_chars) for r in got) == [(1, len(html.main_text(PAGE)))] * 2 + [(2, 0)]
+    assert html.extract(pages.limit(0)).collect() == []
+
+
+def test_html_drops_blocks_of_links():
+    """Lists and paragraphs that are links go wherever they stand; a sentence with a link and a linked heading stay."""
+    links = "<ul><li><a href=/x>Read this other story, now</a></li><li><a href=/y>And this one</a></li></ul>"
+    body = f"<h1><a href=/t>Title</a></h1><p>{LONG}</p>{links}<p>See <a href=/z>the whole long report on it</a>.</p><p><a href=/w>More of this</a></p><ul><li>one<li><a href=/l>two</a><li>three, and more</ul>"
+    want = ["Title", LONG, "See the whole long report on it.", "one", "two", "three, and more"]
+    for page in (f"<body><article>{body}</article></body>", f"<body><div>{body}</div></body>", f"<main><div><div>{body}</div></div></main>"):
+        assert html.main_text(page).split("\n\n") == want
+    # the best of several containers wins, and an article keeps what scoring alone would leave out
+    assert html.main_text(f"<div><p>Short.</p></div><article><header><h1>T</h1></header><p>Lead.</p><div>{f'<p>{LONG}</p>' * 3}</div><p>End</p></article>") == "\n\n".join(["Short.", "T", "Lead.", *[LONG] * 3, "End"])
+
+
+@pytest.mark.parametrize("page", ["<a " * 100_000, "<a " * 100_000 + ">", "<div>" * 20_000 + "<p>a, b", "<b>" * 20_000 + "<p>a, b" * 5_000, "<div>" * 10_000 + "<li>x" * 10_000,
+    "<div class=nav>" * 5_000 + "<h1>x</h1>" * 5_000, "<a " + "b" * 200_000 + ">", "<b><div>" + "<i>" * 20_000 + "</b>" * 20_000, "<!--" * 50_000, "<p>" + "&" * 200_000, "< " * 200_000])
+def test_html_long_pages(page):
+    """Work grows with the length of a page, whatever is left open in it."""
+    import time
+
+    began = time.time()
+    html.main_text(page)
+    assert time.time() - began < 3
+
+
+def test_html_round_trip():
+    """Random articles come back whole out of random pages around them."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghi") for _ in range(r.randint(2, 9)))
+    said = lambda n: " ".join(word() + r.choice(["", "", "", ","]) for _ in range(n)) + "."
+    noise = [
+        lambda: f"<nav><ul><li><a href='/a'>{said(2)}</a><li><a href='/b'>{said(2)}</a></ul></nav>", lambda: f"<div class=\"ad\">{said(9)}</div>", lambda: f"<script>if (a < b) {{ {said(3)} }}</script>",
+        lambda: f"<aside><p>{said(30)}</p></aside>", lambda: f"<form><p>{said(5)}</p><input name=x></form>", lambda: f"<!-- {said(4)} --><style>p {{}}</style>", lambda: f"<div id='comments'><p>{said(40)}</p></div>",
+        lambda: f"<footer>&copy; {said(4)}</footer>", lambda: f"<div class='cookie-banner'><p>{said(12)}</p></div>", lambda: f"<ul><li><a href=x>{said(3)}</a></ul>",
+    ]
+    for _ in range(60):
+        body, want = [], []
+        for k in range(r.randint(4, 12)):
+            t = said(r.randint(15, 60))
+            kind = r.choice(["p", "p", "p", "h2", "li", "quote", "table"]) if k else "h1"
+            t = said(3) if kind in ("h1", "h2") else t
+            shown = t.replace(" ", r.choice([" ", "  ", "\n", "<br>", " <b>", "&#32;"]), 1)
+            want.append(t)
+            body.append({"p": f"<p>{shown}", "h1": f"<h1>{t}</h1>", "h2": f"<h2>{t}</h2>", "li": f"<ul><li>{t}</ul>", "quote": f"<blockquote><p>{t}</p></blockquote>", "table": f"<table><tr><td>{t}</td></tr></table>"}[kind])
+            if r.random() < 0.3:
+                body.append(r.choice(noise)())
+        inside = r.choice(["<article>%s</article>", "<main><article class=post>%s</article></main>", "<div id=main><article>%s</article></div>"]) % "".join(body)
+        page = "<html><body>" + "".join(r.choice(noise)() for _ in range(r.randint(0, 4))) + inside + "".join(r.choice(noise)() for _ in range(r.randint(0, 4))) + "</body></html>"
+        assert html.main_text(page).split("\n\n") == want
 
 
 TURNS = [("system", "Be brief."), ("user", "What is it?\nTell me."), ("assistant", "It is a long explanation of something.\nWith lines."), ("user", "Why?")]
@@ -302,13 +352,55 @@ def test_linedup(spark):
     for i, p, x in occ:
         if best[of[x]] != (i, p):
             gone[i].append(p)
-    got = {r.doc_id: list(r.removed) for r in linedup.drop_repeated_lines(docs_of(spark, rows)).collect()}
-    assert got == {i: sorted(gone[i]) for i, *_ in rows}
+    out = linedup.drop_repeated_lines(docs_of(spark, rows)).collect()
+    assert {r.doc_id: list(r.removed) for r in out} == {i: sorted(gone[i]) for i, *_ in rows}
+    equal = {(i, p) for i, p, x in occ if best[of[x]] != (i, p) and best[of[x]] == first[x]}
+    assert {r.doc_id: r.n_near for r in out} == {i: sum((i, p) not in equal for p in gone[i]) for i, *_ in rows}
+    left = linedup.without_repeated_lines(docs_of(spark, rows).withColumn("N_Near", F.lit("x"))).collect()
+    assert {r.doc_id: r.text for r in left} == {i: t if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[i]) for i, t, *_ in rows}
+    shared = linedup.drop_repeated_lines(docs_of(spark, [(None, base[0], "s", "en"), (1, base[0], "s", "en"), (1, base[0], "s", "en")])).collect()
+    assert {(r.doc_id, r.n_removed, tuple(r.removed)) for r in shared} == {(None, 0, ()), (1, 2, (0,))}
     assert linedup.drop_repeated_lines(docs_of(spark, [])).collect() == []
 
 
-@pytest.mark.parametrize("copies", [0, 3000])
-def test_shard(spark, rows, copies):
+@pytest.mark.parametrize("few", [16, 10**6])
+def test_linedup_hot_segments(spark, monkeypatch, few):
+    """Lines that share a long middle, or all but two words, are not compared all with all, and no link between them is lost."""
+    monkeypatch.setattr(linedup, "FEW", few)
+    r = random.Random(8)
+    shared = "a middle that every one of these lines has in common"
+    abc = "abcdefghijklmnopqrstuvwxyz"
+    lines = ["".join(r.choice(abc) for _ in range(25)) + shared + "".join(r.choice(abc) for _ in range(25)) for _ in range(250)]
+    words = ["".join(r.choice(abc) for _ in range(5)) for _ in range(24)]
+    for _ in range(250):
+        w = list(words)
+        for k in r.sample(range(24), 3):
+            w[k] = "".join(r.choice(abc) for _ in range(5))
+        lines.append(" ".join(w))
+    planted = []
+    for x in r.sample(lines, 60):
+        y = list(x)
+        for _ in range(r.choice([1, 2, 2, 3])):
+            k = r.randrange(len(y))
+            y[k : k + r.choice([0, 1, 1])] = r.choice([[], [r.choice(abc)]])
+        planted.append("".join(y))
+    lines = sorted(set(lines + planted))
+    made = []
+    verified = linedup.verify
+    monkeypatch.setattr(linedup, "verify", lambda pairs, texts, t: made.append(pairs.count()) or verified(pairs, texts, t))
+    got = {x.node: x.component for x in linedup.line_classes(spark.createDataFrame(list(enumerate(lines)), "id LONG, line STRING")).collect()}
+    # two lines within 2 edits differ in at most 2 of their words or lie within 2 of their counts of characters
+    of = [Counter(x) for x in lines]
+    near = lambda a, b: abs(len(lines[a]) - len(lines[b])) <= 2 and sum(((of[a] - of[b]) | (of[b] - of[a])).values()) <= 4 and edits(lines[a], lines[b]) <= 2
+    want = classes(range(len(lines)), near)
+    size = Counter(want.values())
+    assert got == {x: c for x, c in want.items() if size[c] > 1} and len(got) > 40
+    assert sum(made) < 40 * len(lines)
+
+
+@pytest.mark.parametrize(("copies", "cell_rows"), [(0, 10**6), (3000, 10**6), (3000, 1)])
+def test_shard(spark, rows, monkeypatch, copies, cell_rows):
+    monkeypatch.setattr(shard, "CELL_ROWS", cell_rows)
     rows = rows + [(5000 + i, "hot copy", "s", "en") for i in range(copies)] + [rows[0]]
     got = shard.shard(docs_of(spark, rows).withColumn("Slot", F.lit("x"))).collect()
     key = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:15], 16)
@@ -320,9 +412,11 @@ def test_shard(spark, rows, copies):
         group = size if not n or (a, b) != order[n - 1][:2] else group + size
         want.append((i, 24 * before // total))
     assert sorted((r.doc_id, r.shard) for r in got) == sorted(want)
+    assert (shard.slice_bits(len(rows), cell_rows) > 0) == (cell_rows == 1)
     slots = defaultdict(list)
-    for r in got:
+    for r in sorted(got, key=lambda r: (key(r.text or ""), key(str(r.doc_id)), r.slot)):
         slots[r.shard].append(r.slot)
+    assert all(x == sorted(x) for x in slots.values())
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
     assert shard.shard(docs_of(spark, [])).collect() == []
 
@@ -353,6 +447,14 @@ def test_substring(spark, rows):
     assert substring.remove_repeats(docs_of(spark, [])).collect() == []
 
 
+def test_substring_text_ids(spark, rows):
+    """Ids that are texts remove by their order."""
+    d = docs_of(spark, rows)
+    want = {f"{r.doc_id:05d}": r.kept_text for r in substring.remove_repeats(d).collect()}
+    got = substring.remove_repeats(d.withColumn("doc_id", F.format_string("%05d", "doc_id"))).collect()
+    assert {r.doc_id: r.kept_text for r in got} == want
+
+
 def windows_of(rows, window=13):
     import pyarrow as pa
 
