@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ELLIPSIS = "\u2026"
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at both ends; trim() takes spaces alone."""
+    return F.regexp_replace(c, r"^\s+|\s+\z", "")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean_text(c: Column) -> Column:
-    """Printable characters, line feeds and tabs stay; blanks and tabs collapse, more than two line feeds too; trimmed."""
+    """Printable characters, line feeds and tabs stay; blanks and tabs collapse, more than two line feeds too; stripped."""
     printable = F.regexp_replace(c, r"[\p{C}\p{Z}&&[^ \n\t]]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(printable, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(F.regexp_replace(printable, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 
 def squash(c: Column) -> Column:
@@ -32,17 +44,27 @@ def word_windows(c: Column, size: int, overlap: int) -> Column:
     """Word windows that start every size - overlap words, the last one included even if it lies in the one before."""
     if size <= overlap:
         raise ValueError("size must be larger than overlap")
-    w, step = words(c), size - overlap
-    starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, F.lit(size)), " "))
+
+    def cut(w: Column) -> Column:
+        starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, F.lit(size)), " "))
+
+    return let(words(c), cut)
 
 
 def char_windows(c: Column, size: int = 1000, overlap: int = 200) -> Column:
-    """Plain character windows that start every size - overlap characters."""
+    """Plain character windows that start every size - overlap characters.
+
+    The text is cut into steps once; a window is the few steps that it covers, so none is looked for from the text's start.
+    """
     if size <= overlap:
         raise ValueError("size must be larger than overlap")
-    starts = F.when(F.length(c) > 0, F.sequence(F.lit(0), F.length(c) - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(c, i + 1, F.lit(size)))
+    step = size - overlap
+
+    def cut(steps: Column) -> Column:
+        return F.transform(steps, lambda _, i: F.left(F.array_join(F.slice(steps, i + 1, F.lit(-(-size // step))), ""), F.lit(size)))
+
+    return let(F.regexp_extract_all(c, F.lit(f"(?s).{{1,{step}}}"), 0), cut)
 
 
 def sentences(c: Column) -> Column:
@@ -60,12 +82,12 @@ def snippet(c: Column, size: int = 220) -> Column:
 
 def normalize_heading(c: Column) -> Column:
     """Without closing colons and dashes, white space squashed."""
-    return squash(F.regexp_replace(F.trim(c), r"[\s:\-\u2013\u2014]+$", ""))
+    return squash(F.regexp_replace(strip(c), r"\s*[:\-\u2013\u2014]\s*$", ""))
 
 
 def csv_set(c: Column) -> Column:
     """Trimmed distinct values of an array, sorted without regard to case, joined by commas."""
-    values = F.array_distinct(F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != ""))
+    values = F.array_distinct(F.filter(F.transform(c, lambda x: strip(x)), lambda x: x != ""))
     by = F.transform(values, lambda x: F.struct(F.lower(x).alias("k"), x.alias("v")))
     return F.array_join(F.transform(F.array_sort(by), lambda x: x["v"]), ",")
 
@@ -73,7 +95,7 @@ def csv_set(c: Column) -> Column:
 def text_measures(c: Column) -> dict[str, Column]:
     """Characters, words, sentences, paragraphs and minutes of reading at 3.33 words a second, as columns by name."""
     n = F.size(words(c))
-    filled = lambda parts: F.size(F.filter(parts, lambda x: F.trim(x) != ""))
+    filled = lambda parts: F.size(F.filter(parts, lambda x: strip(x) != ""))
     return {
         "characters": F.length(c),
         "words": n,

@@ -28,11 +28,13 @@ def char_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200, doc_id: s
     return exploded(docs, tx.char_windows(F.col("text"), size, overlap), doc_id)
 
 
-def with_neighbours(chunks: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Add previous_chunk_id, next_chunk_id ('' at the ends) and window_text (the chunk between its neighbours)."""
+def with_neighbours(chunks: DataFrame, doc_id: str = "doc_id", table: Column | None = None) -> DataFrame:
+    """Add previous_chunk_id, next_chunk_id ('' at the ends) and window_text (the chunk between its neighbours; where
+    ``table`` holds, behind its own text once more)."""
     w = Window.partitionBy(doc_id).orderBy("chunk_index")
-    near = F.array_join(F.collect_list("text").over(w.rowsBetween(-1, 1)), "\n\n")
-    return chunks.withColumns({"previous_chunk_id": F.lag("chunk_id", 1, "").over(w), "next_chunk_id": F.lead("chunk_id", 1, "").over(w), "window_text": F.trim(near)})
+    near = tx.strip(F.array_join(F.collect_list("text").over(w.rowsBetween(-1, 1)), "\n\n"))
+    rows = chunks.withColumns({"previous_chunk_id": F.lag("chunk_id", 1, "").over(w), "next_chunk_id": F.lead("chunk_id", 1, "").over(w), "window_text": near})
+    return rows if table is None else rows.withColumn("window_text", F.when(table, F.concat_ws("\n\n", "text", F.nullif("window_text", F.lit("")))).otherwise(F.col("window_text")))
 
 
 def pack(parts: list[str], size: int, measure, joiner: str, carry: int = 0) -> list[str]:
@@ -65,7 +67,7 @@ def packed_chunks(docs: DataFrame, split: Column, size: int, words: bool, joiner
 
 def paragraph_chunks(docs: DataFrame, size: int = 1200, doc_id: str = "doc_id") -> DataFrame:
     """Paragraphs packed by characters; separators don't count."""
-    return packed_chunks(docs, F.split(F.col("text"), r"\n{2,}"), size, False, "\n\n", 0, doc_id)
+    return packed_chunks(docs, F.transform(F.split(F.col("text"), r"\n{2,}"), tx.strip), size, False, "\n\n", 0, doc_id)
 
 
 def sentence_chunks(docs: DataFrame, size: int = 450, carry: int = 0, doc_id: str = "doc_id") -> DataFrame:
@@ -73,6 +75,57 @@ def sentence_chunks(docs: DataFrame, size: int = 450, carry: int = 0, doc_id: st
     return packed_chunks(docs, tx.sentences(F.col("text")), size, True, " ", carry, doc_id)
 
 
+def semantic_chunks(docs: DataFrame, size: int = 450, carry: int = 100, doc_id: str = "doc_id") -> DataFrame:
+    """Blocks between blank lines, those of more than ``size`` words by sentences, packed by words; a chunk that is closed
+    hands on its last ``carry`` words."""
+    whole = F.filter(F.transform(F.split("text", r"\n\s*\n"), tx.strip), lambda x: x != "")
+    parts = F.flatten(F.transform(whole, lambda b: F.when(F.size(F.split(b, r"\s+")) <= size, F.array(b)).otherwise(tx.sentences(b))))
+    return packed_chunks(docs, parts, size, True, "\n\n", carry, doc_id)
+
+
+def wordsafe(text: str, size: int, overlap: int) -> list[str]:
+    """Windows of ``size`` characters that end at the last space in reach; each starts ``overlap`` before the last one's end,
+    half as much where that would be the text's start again, and a character after the last one's start at least."""
+    out, start = [], 0
+    while start < len(text):
+        end = start + size
+        if end < len(text):
+            space = text.rfind(" ", start + 1, end + 1)
+            end = space if space > start else end
+        out.append(text[start:end].strip())
+        if end >= len(text):
+            break
+        back = end - overlap if end > overlap else end - overlap // 2
+        start = max(start + 1, min(back, end - 1))
+    return [x for x in out if x]
+
+
+def wordsafe_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200, doc_id: str = "doc_id") -> DataFrame:
+    """Character windows that cut no word where they can help it, folded in each document's row."""
+
+    def fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda t: wordsafe(t, size, overlap) if t else [])
+
+    return exploded(docs, F.pandas_udf(fold, "array<string>")("text"), doc_id)
+
+
+def chunk_id_hash(path: Column, company: Column, index: Column) -> Column:
+    """The id of a chunk by where it comes from."""
+    return F.sha2(F.concat_ws("::", path, company, index.cast("string")), 256)
+
+
+def drop_known_paths(docs: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new, refused) of docs (collection, source_file, text, ...): a path that its collection holds is refused, with
+    skipped_chunks, the chunks that it would have made. Paths without a chunk in it are new."""
+    known = chunks.select("collection", "source_file").distinct()
+    at = ["collection", "source_file"]
+    again = docs.join(known, at, "left_semi")
+    parts = packed_chunks(again, F.split(F.col("text"), r"\n{2,}"), 1200, False, "\n\n", 0, "source_file")
+    sizes = parts.groupBy(*at).agg(F.count("*").alias("skipped_chunks"))
+    return docs.join(known, at, "left_anti"), again.join(sizes, at, "left").withColumn("skipped_chunks", F.coalesce("skipped_chunks", F.lit(0)))
+
+
 def drop_known(docs: DataFrame, known: DataFrame, doc_hash: str = "doc_hash", order: str = "source") -> DataFrame:
     """Documents whose hash is not stored yet; of several with one hash the first by ``order``."""
     first = docs.groupBy(doc_hash).agg(F.min(F.struct(F.col(order), F.col("doc_id"))).alias("_first"))
@@ -83,14 +136,15 @@ def drop_known(docs: DataFrame, known: DataFrame, doc_hash: str = "doc_hash", or
 def strip_repeated_margins(pages: DataFrame) -> DataFrame:
     """Pages (doc_id, page_number, text) without the lines that stand among the first or last three of many pages.
 
-    In a document of three pages or more, a line that does so on max(3, half the pages) of them goes everywhere.
+    In a document of three pages or more, a line (stripped) that does so on max(3, half the pages) of them goes everywhere.
+    All else stays as it is: other lines with their blanks, empty pages, and documents of fewer pages. A page has six such
+    lines at most, so a document's list of repeated ones has some twenty.
     """
-    lines = pages.select("doc_id", "page_number", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
-    filled = lines.filter("line != ''")
-    w = Window.partitionBy("doc_id", "page_number").orderBy("pos")
-    edge = filled.withColumns({"up": F.row_number().over(w), "down": F.row_number().over(w.orderBy(F.desc("pos")))}).filter("up <= 3 OR down <= 3")
-    total = pages.groupBy("doc_id").agg(F.count_distinct("page_number").alias("pages"))
-    often = edge.groupBy("doc_id", "line").agg(F.count_distinct("page_number").alias("on")).join(total, "doc_id")
-    often = often.filter((F.col("pages") >= 3) & (F.col("on") >= F.greatest(F.lit(3), F.floor(F.col("pages") / 2)))).select("doc_id", "line")
-    left = filled.join(often, ["doc_id", "line"], "left_anti").groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
-    return left.select("doc_id", "page_number", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
+    lines = pages.select("doc_id", "page_number", "text", F.split(F.regexp_replace("text", r"\r?\n\z", ""), r"\r?\n", -1).alias("_lines"))
+    edges = F.concat(F.slice("_lines", 1, 3), F.slice("_lines", F.greatest(F.lit(1), F.size("_lines") - 2), F.lit(3)))
+    edge = lines.select("doc_id", "page_number", F.explode(F.array_distinct(F.filter(F.transform(edges, tx.strip), lambda x: x != ""))).alias("line"))
+    total = pages.groupBy("doc_id").agg(F.count("*").alias("n"))
+    often = edge.groupBy("doc_id", "line").agg(F.count("*").alias("on")).join(total, "doc_id")
+    often = often.filter((F.col("n") >= 3) & (F.col("on") >= F.greatest(F.lit(3), F.floor(F.col("n") / 2)))).groupBy("doc_id").agg(F.collect_list("line").alias("_often"))
+    left = F.array_join(F.filter("_lines", lambda x: ~F.array_contains("_often", tx.strip(x))), "\n")
+    return lines.join(often, "doc_id", "left").select("doc_id", "page_number", F.when(F.col("_often").isNull(), F.col("text")).otherwise(left).alias("text"))

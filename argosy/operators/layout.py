@@ -10,132 +10,157 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from argosy.functions import tags
+from argosy.functions import text as tx
 from argosy.operators.chunk import pack
 
 
 def blocks(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """(..., pos, text, kind): the parts between blank lines with their kind."""
     keep = [c for c in docs.columns if c != "text"]
-    rows = docs.select(*keep, F.posexplode(F.filter(F.transform(F.split("text", r"\n\s*\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("pos", "text"))
+    rows = docs.select(*keep, F.posexplode(F.filter(F.transform(F.split("text", r"\n\s*\n"), tx.strip), lambda x: x != "")).alias("pos", "text"))
     return rows.withColumn("kind", tags.block_type(F.col("text")))
 
 
+def place(parts: DataFrame) -> list[str]:
+    """The columns by which a document's blocks stand in order."""
+    return (["page_number"] if "page_number" in parts.columns else []) + ["pos"]
+
+
+def heading_of(c: Column) -> Column:
+    """struct(title, type) of a heading block: by the section rules, else a short heading itself; null if it is neither."""
+    head = tags.section_heading(c)
+    own = F.when(F.size(F.split(c, r"\s+")) <= 10, F.struct(tx.normalize_heading(c).alias("title"), F.lit("other").alias("type")))
+    return F.when(head["title"] != "", head).otherwise(own)
+
+
 def section_carry(parts: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Add section_title and section_type: those of the latest heading up to each block, '' and other before the first."""
-    head = tags.section_heading(F.col("text"))
-    w = Window.partitionBy(doc_id).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    of = F.last(F.when(F.col("kind") == "heading", head), ignorenulls=True).over(w)
+    """Add section_title and section_type: those of the latest heading up to each block, '' and other before the first.
+
+    Blocks stand in order by page_number, where there is one, and pos.
+    """
+    w = Window.partitionBy(doc_id).orderBy(*place(parts)).rowsBetween(Window.unboundedPreceding, 0)
+    of = F.last(F.when(F.col("kind") == "heading", heading_of(F.col("text"))), ignorenulls=True).over(w)
     return parts.withColumn("_h", of).withColumns({"section_title": F.coalesce("_h.title", F.lit("")), "section_type": F.coalesce("_h.type", F.lit("other"))}).drop("_h")
 
 
 def table_rows(c: Column) -> Column:
-    """The rows of a table block with their cells joined by " | ": cells part at bars, else tabs, else wide gaps."""
-    lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    cells = lambda x: F.when(F.contains(x, F.lit("|")), F.split(x, r"\|")).when(F.contains(x, F.lit("\t")), F.split(x, r"\t+")).otherwise(F.split(x, r"\s{2,}"))
-    return F.transform(lines, lambda x: F.array_join(F.filter(F.transform(cells(x), lambda x: F.trim(x)), lambda y: y != ""), " | "))
+    """The rows of a table block, cells joined by " | ": they part at bars, else tabs (empty ones count), else wide gaps. A row
+    of one cell stays as it is."""
+    lines = F.filter(F.transform(F.split(c, r"\r?\n"), lambda x: F.regexp_replace(x, r"\s+\z", "")), lambda x: x != "")
+
+    def row(x: Column) -> Column:
+        cells = F.when(F.contains(x, F.lit("|")), F.split(x, r"\|", -1)).when(F.contains(x, F.lit("\t")), F.split(x, r"\t", -1)).otherwise(F.filter(F.split(x, r"\s{2,}"), lambda y: tx.strip(y) != ""))
+        return F.when(F.size(cells) > 1, F.array_join(F.transform(cells, tx.strip), " | ")).otherwise(x)
+
+    return F.transform(lines, row)
 
 
 def block_chunks(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """(..., section_title, section_type, chunk_index, text): a heading takes the block after it; tables stand alone.
 
-    Blocks that a heading opens are grouped by a running count, so no state passes between documents.
+    Blocks that a heading opens are grouped by a running count, so no state passes between documents. With pages, a chunk
+    carries the page that it begins on.
     """
     parts = section_carry(blocks(docs, doc_id), doc_id)
-    w = Window.partitionBy(doc_id).orderBy("pos")
+    at = place(parts)
+    w = Window.partitionBy(doc_id).orderBy(*at)
     alone = (F.col("kind") == "table") & (F.coalesce(F.lag("kind").over(w), F.lit("")) != "heading")
     no = parts.withColumn("_alone", alone).withColumn("_a", F.lag("_alone").over(w)).withColumn("_open", ((F.col("kind") == "heading") | F.col("_alone") | F.coalesce("_a", F.lit(True))).cast("int"))
     grouped = no.withColumn("chunk_index", F.sum("_open").over(w) - 1)
-    keep = [c for c in docs.columns if c != "text"]
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n\n")
-    return grouped.groupBy(*keep, "section_title", "section_type", "chunk_index").agg(joined.alias("text"))
+    keep = [c for c in docs.columns if c not in ("text", "page_number")]
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*at, "text"))), lambda x: x["text"]), "\n\n")
+    pages = [F.min("page_number").alias("page_number")] if "page_number" in docs.columns else []
+    return grouped.groupBy(*keep, "section_title", "section_type", "chunk_index").agg(joined.alias("text"), *pages)
 
 
-PIECE = "array<struct<text: string, kind: string, pages: array<int>, section_title: string, section_type: string>>"
+PIECE = "array<struct<text: string, block_types: array<string>, page_numbers: array<int>, section_title: string, section_type: string>>"
 ATOMIC = ("list", "heading", "note")
 
 
-class Chunker:
-    """Packs the blocks of one document, in order, into chunks of up to ``size`` words."""
-
-    def __init__(self, size: int, overlap: int) -> None:
-        self.size, self.overlap = size, overlap
-        self.done: list[dict] = []
-        self.parts: list[str] = []
-        self.pages: list[int] = []
-        self.kinds: list[str] = []
-        self.words, self.fresh, self.title, self.type = 0, False, "", "other"
-
-    def emit(self, text: str, kind: str, pages: list[int]) -> None:
-        self.done.append({"text": text, "kind": kind, "pages": sorted(set(pages)), "section_title": self.title, "section_type": self.type})
-
-    def flush(self, carry: bool) -> None:
-        if self.fresh:
-            self.emit("\n\n".join(self.parts), self.kinds[0] if len(set(self.kinds)) == 1 else "narrative", self.pages)
-        tail = " ".join(self.parts).split()[-self.overlap :] if self.fresh and self.overlap else []
-        self.words = len(tail)
-        # what is carried counts even where its text is not handed on
-        self.parts, self.pages, self.kinds = ([" ".join(tail)], self.pages[-1:], ["narrative"]) if carry and tail else ([], [], [])
-        self.fresh = False
-
-    def table(self, rows: list[str], page: int) -> None:
-        self.flush(False)
-        self.words = 0
-        held: list[str] = []
-        for row in rows:
-            if len(held) > 1 and sum(len(x.split()) for x in [*held, row]) > self.size:
-                self.emit("\n".join(held), "table", [page])
-                held = held[:1]
-            held.append(row)
-        self.emit("\n".join(held), "table", [page])
-
-    def add(self, text: str, kind: str, page: int) -> None:
-        n = len(text.split())
-        if self.fresh and (self.words + n > self.size or kind in ATOMIC):
-            self.flush(kind not in ATOMIC)
-        self.parts.append(text)
-        self.pages.append(page)
-        self.kinds.append(kind)
-        self.words, self.fresh = self.words + n, True
-
-
-def _sentences(text: str, size: int) -> list[str]:
-    if len(text.split()) <= size:
-        return [text]
-    return pack([s for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()], size, lambda s: len(s.split()), " ")
+def n_words(text: str) -> int:
+    return len(text.split())
 
 
-def chunk_blocks(blocks_: list, size: int, overlap: int) -> list[dict]:
-    """The chunks of a document's blocks (page, text, kind, title, type, rows), which stand in order."""
-    c, at = Chunker(size, overlap), 0
-    while at < len(blocks_):
-        b = blocks_[at]
+def sentence_pieces(text: str, size: int) -> list[str]:
+    if n_words(text) <= size:
+        return [text]
+    return pack([s.strip() for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()], size, n_words, " ")
+
+
+def table_pieces(rows: list[str], size: int) -> list[str]:
+    """A table of more than ``size`` words in pieces, each under its first row."""
+    if n_words(" ".join(rows)) <= size:
+        return ["\n".join(rows)]
+    head, out, held = rows[0].strip(), [], []
+    for row in (r.strip() for r in rows[1:]):
+        if held and sum(map(n_words, [head, *held, row])) > size:
+            out.append("\n".join([head, *held]))
+            held = []
+        held.append(row)
+    return [*out, "\n".join([head, *held])]
+
+
+def merged(parts: list) -> Iterator[tuple[str, int, str, str, str, list[str]]]:
+    """(text, page, kind, title, type, rows) of a document's blocks in order. A heading sets the section and takes the next block
+    of its page into one narrative, so of two headings in a row the second sets none; tables come in pieces."""
+    title, kind_of, taken = "", "other", False
+    for b, after in zip(parts, [*parts[1:], None], strict=True):
+        if taken:
+            taken = False
+            continue
         text, kind = b["text"], b["kind"]
         if kind == "heading":
-            new = (b["title"] or text, b["type"] or "other")
-            if new[0] != c.title and c.fresh:
-                c.flush(False)
-            c.title, c.type = new
-            if at + 1 < len(blocks_) and blocks_[at + 1]["page"] == b["page"]:
-                at += 1
-                text, kind = f"{text}\n\n{blocks_[at]['text']}", "narrative"
+            if b["title"] is not None:
+                title, kind_of = b["title"], b["type"]
+            if after is not None and after["page"] == b["page"]:
+                text, kind, taken = f"{text}\n\n{after['text']}", "narrative", True
+        yield text, b["page"], kind, title, kind_of, list(b["rows"])
+
+
+def chunk_blocks(parts: list, size: int, overlap: int) -> list[dict]:
+    """The chunks of a document's blocks (page, text, kind, title, type, rows), which stand in order."""
+    out: list[dict] = []
+    held: list[tuple[str, int, str]] = []
+    label, used = ("", "other"), 0
+
+    def emit(rows: list[tuple[str, int, str]], of: tuple[str, str]) -> str:
+        text = "\n\n".join(t for t, _, _ in rows)
+        out.append({"text": text.strip(), "block_types": sorted({k for _, _, k in rows}), "page_numbers": sorted({p for _, p, _ in rows}), "section_title": of[0], "section_type": of[1]})
+        return text
+
+    for text, page, kind, title, of, rows in merged(parts):
         if kind == "table":
-            c.table(list(b["rows"]), b["page"])
-        else:
-            for piece in _sentences(text, size) if kind == "narrative" else [text]:
-                c.add(piece, kind, b["page"])
-        at += 1
-    c.flush(False)
-    return c.done
+            if held:
+                emit(held, label)
+                held, used = [], 0
+            for piece in table_pieces(rows, size):
+                emit([(piece, page, "table")], (title, of))
+            continue
+        for piece in sentence_pieces(text, size) if kind == "narrative" else [text]:
+            alone = kind in ATOMIC
+            if held and (alone or used + n_words(piece) > size):
+                words = emit(held, label).split()
+                tail = words[-overlap:] if overlap else []
+                # what would be carried counts even where a block that stands alone does not take it on
+                used = len(tail)
+                held = [(" ".join(tail), held[-1][1], "narrative")] if tail and not alone else []
+            if title:
+                label = (title, of)
+            held.append((piece, page, kind))
+            used += n_words(piece)
+    if held:
+        emit(held, label)
+    return out
 
 
 def layout_chunks(pages: DataFrame, size: int = 450, overlap: int = 100) -> DataFrame:
-    """(doc_id, chunk_index, text, kind, pages, section_title, section_type) from (doc_id, page_number, text).
+    """(doc_id, chunk_index, text, block_types, page_numbers, section_title, section_type) from (doc_id, page_number, text).
 
     Blocks, their kinds, headings and table rows are columns; only the packing, which depends on all before it in its
     document, is a small helper over each document's blocks.
     """
     parts = blocks(pages.select("doc_id", "page_number", "text"))
-    head = tags.section_heading(F.col("text"))
+    head = F.when(F.col("kind") == "heading", heading_of(F.col("text")))
     one = F.struct(F.col("page_number").alias("page"), "pos", "text", "kind", head["title"].alias("title"), head["type"].alias("type"), table_rows(F.col("text")).alias("rows"))
     docs = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("b"))
 
