@@ -1,104 +1,274 @@
-"""Report tables, chart series and text sections for each company, out of a wide metric table."""
+"""Report tables, chart series and text sections out of a wide metric table.
+
+A report is about one row of ``wide``: company, fy and the columns of METRICS, any of them null, with industry,
+business_model and market_position where there are any. Risks (company, fy, category, severity, description), peers (company,
+fy, peer and figures), ratios (company, fy, ratios) and research (company, fy, question, answer, source) are tables of their
+own, aggregated before they are joined.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+BY = ["company", "fy"]
 MISSING = "N/A"
 TAKEAWAYS = 10
-# Metric columns with the names and charts that show them.
-METRICS = [("revenue", "Revenue"), ("debt", "Debt"), ("assets", "Assets")]
-CHARTS = [("revenue", "revenue_profit", "Revenue"), ("assets", "assets_liabilities", "Assets"), ("debt", "assets_liabilities", "Debt")]
+# Metric columns and their names, peers' columns and their names, charts of metric columns, levels of risks.
+METRICS = [
+    ("revenue", "Revenue"),
+    ("net_profit", "Net Profit"),
+    ("eps", "EPS"),
+    ("operating_margin", "Operating Margin"),
+    ("gross_margin", "Gross Margin"),
+    ("ebitda", "EBITDA"),
+    ("assets", "Assets"),
+    ("liabilities", "Liabilities"),
+    ("cash_flow", "Cash Flow"),
+]
+PEER_METRICS = [("revenue", "Revenue"), ("net_profit", "Net Profit"), ("operating_margin", "Operating Margin"), ("debt", "Debt"), ("cash_flow", "Cash Flow")]
+CHARTS = [
+    ("revenue", "revenue_profit", "Revenue"),
+    ("net_profit", "revenue_profit", "Net Profit"),
+    ("assets", "assets_liabilities", "Assets"),
+    ("liabilities", "assets_liabilities", "Liabilities"),
+    ("cash_flow", "cash_flow", "Cash Flow"),
+]
+LEVELS = ("Low", "Medium", "High")
+# Ratios and what they mean.
+RATIOS = [
+    ("ROE", "Return on Equity measures how efficiently shareholder capital is used."),
+    ("ROA", "Return on Assets measures how efficiently assets generate profit."),
+    ("Current Ratio", "Measures the company's ability to meet short-term obligations."),
+    ("Debt-to-Equity", "Indicates the level of financial leverage."),
+    ("Profit Margin", "Shows how much profit is earned from each unit of revenue."),
+    ("Operating Margin", "Measures operating efficiency before interest and taxes."),
+]
+# Sentences of a report.
+NO_METRIC = "Information was not available in the source documents."
+METRIC_ADVICE = "This metric should be analysed alongside historical performance and industry benchmarks to assess the company's financial health."
+NO_RISK_FOUND = "No major financial risks were identified."
+NO_RISK_DETECTED = "No major financial risks detected."
+PROFITS = "Company is generating profits."
+POSITIVE_CASH = "Positive cash flow supports operations."
+RISKS_FOUND = "Financial risks have been identified."
+BENCHMARKS = "Benchmarking against peers may identify growth opportunities."
+CHANGING_MARKETS = "Changing market conditions may impact future financial performance."
+OUTLOOK = (
+    "This report provides an objective assessment of the company's financial position based on the available financial documents. "
+    "The findings should be considered alongside broader market, industry, and economic factors. This report does not constitute investment advice."
+)
+ANALYSED = (
+    " has been analysed using the Multi-Agent Financial Research System. The report combines financial extraction, risk detection, "
+    "company comparison, and research findings to provide an overall assessment of the organisation."
+)
+OVERALL = (
+    "Overall, the financial information suggests that further evaluation of profitability, liquidity, financial risks and competitive "
+    "positioning is required before drawing investment conclusions."
+)
+CONCLUSION = (
+    "The financial information available for ",
+    " has been successfully analysed using the Multi-Agent Financial Research System. This report combines structured financial data, detected "
+    "risks, company benchmarking and research findings into a single analyst-style document.\n\nThe results should be interpreted alongside "
+    "industry trends, macroeconomic conditions and future company disclosures. This report is intended for educational and analytical purposes "
+    "and does not constitute investment advice.",
+)
+UNKNOWN = "Information not available"
+FURTHER = "Additional financial analysis recommended."
+
+
+def _rows(wide: DataFrame, rows: list[Column]) -> DataFrame:
+    return wide.select(*BY, F.inline(F.array_compact(F.array(*rows))))
 
 
 def metrics_table(wide: DataFrame) -> DataFrame:
-    """(company, fy, metric, value): values as text, N/A where missing."""
-    rows = F.array(*(F.struct(F.lit(name).alias("metric"), F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("value")) for c, name in METRICS))
-    return wide.select("company", "fy", F.inline(rows))
+    """(company, fy, metric, value): nine rows, values as text, N/A where missing."""
+    return _rows(wide, [F.struct(F.lit(name).alias("metric"), F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("value")) for c, name in METRICS])
 
 
-def chart_series(wide: DataFrame) -> DataFrame:
-    """(company, fy, chart, label, value): missing values are 0."""
-    rows = F.array(*(F.struct(F.lit(chart).alias("chart"), F.lit(label).alias("label"), F.coalesce(F.col(c), F.lit(0)).alias("value")) for c, chart, label in CHARTS))
-    return wide.select("company", "fy", F.inline(rows))
+def ratio_table(rated: DataFrame) -> DataFrame:
+    """(company, fy, ratio, value): a row for each ratio, or one that says there is none."""
+    rows = rated.select(*BY, F.explode_outer("ratios").alias("ratio", "value"))
+    return rows.select(*BY, F.coalesce("ratio", F.lit("No Ratio Available")).alias("ratio"), F.coalesce(F.col("value").cast("string"), F.lit(MISSING)).alias("value"))
 
 
-def swot(wide: DataFrame, strict: bool = False) -> DataFrame:
-    """(company, fy, quadrant, statement): what a company's figures say. Any non-zero figure counts; strict: a positive one."""
-    on = (lambda c: F.coalesce(F.col(c) > 0, F.lit(False))) if strict else (lambda c: F.coalesce(F.col(c) != 0, F.lit(False)))
-    say = lambda q, t, cond: F.when(cond, F.struct(F.lit(q).alias("quadrant"), F.lit(t).alias("statement")))
-    rows = F.array_compact(
-        F.array(
-            say("strength", "The company earns revenue.", on("revenue")),
-            say("strength", "The company holds assets.", on("assets")),
-            say("weakness", "The company carries debt.", on("debt")),
-            say("opportunity", "Assets exceed debt.", F.coalesce(F.col("assets") > F.col("debt"), F.lit(False))),
-            say("threat", "Debt exceeds assets.", F.coalesce(F.col("debt") > F.col("assets"), F.lit(False))),
-        )
-    )
-    return wide.select("company", "fy", F.inline(rows))
+def ratios(wide: DataFrame) -> DataFrame:
+    """(company, fy, ratios): a map of the known ratios that these figures give, cut to two digits; one by zero or of a missing
+    figure is left out."""
+    equity = F.col("assets") - F.col("liabilities")
+    made = {"ROE": ("net_profit", equity), "ROA": ("net_profit", "assets"), "Debt-to-Equity": ("liabilities", equity), "Profit Margin": ("net_profit", "revenue")}
+    cut = lambda x: (F.floor(x * 100) / 100).cast("decimal(20,2)")
+    pairs = [F.struct(F.lit(k).alias("key"), cut(F.try_divide(F.col(a).cast("double"), (b if isinstance(b, Column) else F.col(b)).cast("double"))).alias("value")) for k, (a, b) in made.items()]
+    pairs.append(F.struct(F.lit("Operating Margin").alias("key"), F.col("operating_margin").cast("decimal(20,2)").alias("value")))
+    return wide.select(*BY, F.map_from_entries(F.filter(F.array(*pairs), lambda x: x["value"].isNotNull())).alias("ratios"))
+
+
+def _or_none(wide: DataFrame, rows: DataFrame, none: dict[str, str]) -> DataFrame:
+    """Each report's rows, or one row of fixed values where it has none."""
+    marked = rows.withColumn("_has", F.lit(True))
+    joined = wide.select(*BY).distinct().join(marked, BY, "left")
+    return joined.select(*BY, *(F.when(F.col("_has"), F.col(c).cast("string")).otherwise(v).alias(c) for c, v in none.items()))
+
+
+def risk_table(wide: DataFrame, risks: DataFrame) -> DataFrame:
+    """(company, fy, category, severity, description): a report's risks, or a general row where it has none."""
+    return _or_none(wide, risks.select(*BY, "category", "severity", "description"), {"category": "General", "severity": "Low", "description": NO_RISK_DETECTED})
+
+
+def risk_assessment(wide: DataFrame, risks: DataFrame) -> DataFrame:
+    """risk_table() with the words of the assessment's section."""
+    return _or_none(wide, risks.select(*BY, "category", "severity", "description"), {"category": "General", "severity": "Low", "description": NO_RISK_FOUND})
+
+
+def comparison_table(wide: DataFrame, peers: DataFrame) -> DataFrame:
+    """(company, fy, peer and its five figures as text), or a row of dashes where a report has no peer."""
+    return _or_none(wide, peers.select(*BY, "peer", *(c for c, _ in PEER_METRICS)), {"peer": "No Comparison Data"} | {c: "-" for c, _ in PEER_METRICS})
+
+
+def research_table(wide: DataFrame, research: DataFrame) -> DataFrame:
+    """(company, fy, question, answer, source), or a row that says there is none."""
+    return _or_none(wide, research.select(*BY, "question", "answer", "source"), {"question": "No Research", "answer": "-", "source": "-"})
 
 
 def commentary(wide: DataFrame) -> DataFrame:
-    """(company, fy, metric, sentence): one sentence for each metric."""
-    rows = F.array(*(F.struct(F.lit(name).alias("metric"), F.coalesce(F.concat(F.lit(f"{name} stood at "), F.col(c).cast("string"), F.lit(".")), F.lit(f"{name} is not available.")).alias("sentence")) for c, name in METRICS))
-    return wide.select("company", "fy", F.inline(rows))
-
-
-def key_takeaways(wide: DataFrame, risks: DataFrame) -> DataFrame:
-    """(company, fy, no, takeaway): the commentary and the overall risk, filled up to TAKEAWAYS lines."""
-    lines = [F.coalesce(F.concat(F.lit(f"{name}: "), F.col(c).cast("string")), F.lit(f"{name}: {MISSING}")) for c, name in METRICS]
-    risk = F.concat(F.lit("Overall risk: "), F.coalesce("overall_risk", F.lit("Low")))
-    padded = F.slice(F.concat(F.array(*lines, risk), F.array_repeat(F.lit("No further finding."), TAKEAWAYS)), 1, TAKEAWAYS)
-    rows = wide.join(risks, ["company", "fy"], "left")
-    return rows.select("company", "fy", F.posexplode(padded).alias("no", "takeaway")).withColumn("no", F.col("no") + 1)
-
-
-def risk_table(flags: DataFrame, companies: DataFrame) -> DataFrame:
-    """(company, category, severity, title): a company's flags, or a general row where it has none."""
-    rows = companies.select("company").distinct().join(flags.select("company", "category", "severity", "title"), "company", "left")
-    return rows.select("company", F.coalesce("category", F.lit("General")).alias("category"), F.coalesce("severity", F.lit("Low")).alias("severity"), F.coalesce("title", F.lit("No risk found")).alias("title"))
-
-
-def sections(wide: DataFrame, flags: DataFrame, citations: DataFrame | None = None) -> DataFrame:
-    """(company, section_no, section, body): the report of each company in order; each part is aggregated before it is joined."""
-    text = lambda df, body, order: df.groupBy("company").agg(F.array_sort(F.collect_list(F.struct(*order, body.alias("b")))).alias("x")).select("company", F.array_join(F.transform("x", lambda r: r["b"]), "\n").alias("body"))
-    parts = [("Performance", text(commentary(wide), F.concat(F.lit("FY"), "fy", F.lit(": "), "sentence"), ["fy", "metric"])), ("Risks", text(flags, F.concat("severity", F.lit(": "), "title"), ["severity", "title"])), ("SWOT", text(swot(wide), F.concat("quadrant", F.lit(": "), "statement"), ["fy", "quadrant", "statement"]))]
-    if citations is not None:
-        parts.append(("Research", text(citations, F.col("citation"), ["citation"])))
-    out = None
-    for i, (name, df) in enumerate(parts, 1):
-        part = df.select("company", F.lit(i).alias("section_no"), F.lit(name).alias("section"), "body")
-        out = part if out is None else out.unionByName(part)
+    """(company, fy, no, metric, sentence): one sentence for each of the nine metrics."""
+    say = lambda c, name: F.coalesce(F.concat(F.lit(f"{name}: Reported value is "), F.col(c).cast("string"), F.lit(f". {METRIC_ADVICE}")), F.lit(f"{name}: {NO_METRIC}"))
+    return _rows(wide, [F.struct(F.lit(i).alias("no"), F.lit(name).alias("metric"), say(c, name).alias("sentence")) for i, (c, name) in enumerate(METRICS, 1)])
+
+
+def ratio_commentary(rated: DataFrame) -> DataFrame:
+    """(company, fy, no, ratio, sentence): one for each of the six known ratios, whether a report has it or not."""
+
+    def say(name: str, meaning: str) -> Column:
+        value = F.try_element_at("ratios", F.lit(name)).cast("string")
+        return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(f"\nInterpretation: {meaning}")), F.lit(f"{name}: Information not available."))
+
+    return _rows(rated, [F.struct(F.lit(i).alias("no"), F.lit(name).alias("ratio"), say(name, meaning).alias("sentence")) for i, (name, meaning) in enumerate(RATIOS, 1)])
+
+
+def with_counts(wide: DataFrame, risks: DataFrame, peers: DataFrame, research: DataFrame) -> DataFrame:
+    """Reports with n_risks, n_peers and n_research."""
+    out = wide
+    for name, rows in (("n_risks", risks), ("n_peers", peers), ("n_research", research)):
+        out = out.join(rows.groupBy(*BY).agg(F.count("*").alias(name)), BY, "left").withColumn(name, F.coalesce(name, F.lit(0)))
     return out
 
 
-# Ratios with what they mean.
-RATIOS = [("debt_to_revenue", "how much of a year's revenue is owed"), ("debt_to_assets", "how much of the assets is owed"), ("asset_turnover", "how much revenue the assets earn")]
+def swot(counted: DataFrame) -> DataFrame:
+    """(company, fy, quadrant, statement) of with_counts(): any profit or cash flow but zero is a strength, a loss as well."""
+    on = lambda c: F.coalesce(F.col(c) != 0, F.lit(False))
+    say = lambda q, t, cond: F.when(cond, F.struct(F.lit(q).alias("quadrant"), F.lit(t).alias("statement")))
+    rows = [
+        say("Strengths", PROFITS, on("net_profit")),
+        say("Strengths", POSITIVE_CASH, on("cash_flow")),
+        say("Weaknesses", RISKS_FOUND, F.col("n_risks") > 0),
+        say("Opportunities", BENCHMARKS, F.col("n_peers") > 0),
+        say("Threats", CHANGING_MARKETS, F.lit(True)),
+    ]
+    return _rows(counted, rows)
 
 
-def ratios(wide: DataFrame) -> DataFrame:
-    """(company, fy, ratios): a map of the ratios that can be made; one by zero or of a missing figure is left out."""
-    made = {"debt_to_revenue": F.try_divide("debt", "revenue"), "debt_to_assets": F.try_divide("debt", "assets"), "asset_turnover": F.try_divide("revenue", "assets")}
-    pairs = F.array(*(F.struct(F.lit(k).alias("key"), v.cast("double").alias("value")) for k, v in made.items()))
-    return wide.select("company", "fy", F.map_from_entries(F.filter(pairs, lambda x: x["value"].isNotNull())).alias("ratios"))
+def key_takeaways(counted: DataFrame) -> DataFrame:
+    """(company, fy, no, takeaway) of with_counts(): what there is, filled up to TAKEAWAYS lines."""
+    lines = [
+        F.when(F.col("revenue").isNotNull(), "Revenue information successfully extracted."),
+        F.when(F.col("net_profit").isNotNull(), "Profitability metrics are available."),
+        F.when(F.col("n_risks") > 0, F.concat(F.col("n_risks").cast("string"), F.lit(" financial risks detected."))).otherwise("No significant financial risks detected."),
+        F.when(F.col("n_peers") > 0, "Company comparison completed."),
+        F.when(F.col("n_research") > 0, "Research findings include cited evidence."),
+    ]
+    padded = F.slice(F.concat(F.array_compact(F.array(*lines)), F.array_repeat(F.lit(FURTHER), TAKEAWAYS)), 1, TAKEAWAYS)
+    return counted.select(*BY, F.posexplode(padded).alias("no", "takeaway")).withColumn("no", F.col("no") + 1)
 
 
-def ratio_table(rated: DataFrame) -> DataFrame:
-    """(company, fy, ratio, value): a row for each ratio, or one that says there is none."""
-    rows = rated.select("company", "fy", F.explode_outer("ratios").alias("ratio", "value"))
-    return rows.select("company", "fy", F.coalesce("ratio", F.lit("No Ratio Available")).alias("ratio"), F.coalesce(F.format_number("value", 2), F.lit(MISSING)).alias("value"))
+def executive_summary(wide: DataFrame) -> DataFrame:
+    """(company, fy, summary)."""
+    money = lambda c: F.format_number(F.col(c).cast("double"), 2)
+    parts = [
+        F.concat(F.col("company"), F.lit(ANALYSED)),
+        F.coalesce(F.concat(F.lit("\n\nThe company reported revenue of "), money("revenue"), F.lit(", indicating the scale of its operations.")), F.lit("")),
+        F.coalesce(F.concat(F.lit(" Net profit of "), money("net_profit"), F.lit(" reflects overall profitability.")), F.lit("")),
+        F.coalesce(F.concat(F.lit(" Operating margin of "), F.col("operating_margin").cast("string"), F.lit("% provides insight into operational efficiency.")), F.lit("")),
+        F.lit(f"\n\n{OVERALL}"),
+    ]
+    return wide.select(*BY, F.concat(*parts).alias("summary"))
 
 
-def ratio_commentary(rated: DataFrame) -> DataFrame:
-    """(company, fy, ratio, sentence) for the known ratios."""
-    rows = F.array_compact(F.array(*(F.when(F.col("ratios").getItem(k).isNotNull(), F.struct(F.lit(k).alias("ratio"), F.concat(F.format_number(F.col("ratios").getItem(k), 2), F.lit(f" says {what}.")).alias("sentence"))) for k, what in RATIOS)))
-    return rated.select("company", "fy", F.inline(rows))
+def company_overview(wide: DataFrame) -> DataFrame:
+    """(company, fy, overview)."""
+    known = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(UNKNOWN)) if c in wide.columns else F.lit(UNKNOWN)
+    parts = [F.lit("Company Name: "), F.col("company"), F.lit("\n\nIndustry: "), known("industry"), F.lit("\n\nBusiness Model:\n"), known("business_model"), F.lit("\n\nMarket Position:\n"), known("market_position")]
+    return wide.select(*BY, F.concat(*parts).alias("overview"))
+
+
+def chart_series(wide: DataFrame, rated: DataFrame, risks: DataFrame, peers: DataFrame) -> DataFrame:
+    """(company, fy, chart, label, value) behind the six charts: missing figures are 0, severities are filled up with zeros and
+    others left out; a report without ratios or peers has no such chart."""
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("decimal(20,2)")
+    figures = _rows(wide, [F.struct(F.lit(chart).alias("chart"), F.lit(label).alias("label"), number(F.col(c)).alias("value")) for c, chart, label in CHARTS])
+    of_ratios = rated.select(*BY, F.explode("ratios").alias("label", "v")).select(*BY, F.lit("ratios").alias("chart"), "label", number(F.col("v")).alias("value"))
+    levels = risks.groupBy(*BY).agg(*(F.count_if(F.initcap("severity") == x).alias(x) for x in LEVELS))
+    shown = wide.select(*BY).join(levels, BY, "left")
+    of_risks = _rows(shown, [F.struct(F.lit("risk_distribution").alias("chart"), F.lit(x).alias("label"), number(F.col(x)).alias("value")) for x in LEVELS])
+    of_peers = peers.select(*BY, F.lit("company_comparison").alias("chart"), F.col("peer").alias("label"), number(F.col("revenue")).alias("value"))
+    return reduce(DataFrame.unionByName, [figures, of_ratios, of_risks, of_peers])
 
 
-def executive_summary(wide: DataFrame, risks: DataFrame) -> DataFrame:
-    """(company, summary): years covered, the latest figures and the overall risk."""
-    last = wide.groupBy("company").agg(F.min("fy").alias("a"), F.max("fy").alias("b"), F.max_by(F.struct("revenue", "debt"), "fy").alias("l")).join(risks, "company", "left")
-    say = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
-    return last.select("company", F.concat("company", F.lit(" reported from FY"), "a", F.lit(" to FY"), "b", F.lit(". Latest revenue "), say("l.revenue"), F.lit(", debt "), say("l.debt"), F.lit(". Overall risk "), F.coalesce("overall_risk", F.lit("Low")), F.lit(".")).alias("summary"))
+SECTIONS = [
+    "Cover", "Contents", "Executive Summary", "Company Overview", "Financial Performance", "Financial Metrics", "Ratio Analysis", "Ratio Table", "Charts", "Risk Assessment",
+    "Risk Table", "SWOT Analysis", "Company Comparison", "Research Findings", "Investment Outlook", "Key Takeaways", "Conclusion", "Appendix",
+]
+
+
+def sections(wide: DataFrame, rated: DataFrame, risks: DataFrame, peers: DataFrame, research: DataFrame, date: str) -> DataFrame:
+    """(company, fy, section_no, section, body): the eighteen sections of each report in order. Long parts are aggregated to a
+    text a report before they meet; none joins another."""
+    counted = with_counts(wide, risks, peers, research)
+
+    def text(df: DataFrame, line: Column, order: list[str], name: str) -> DataFrame:
+        held = df.groupBy(*BY).agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))).alias("x"))
+        return held.select(*BY, F.lit(name).alias("section"), F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("body"))
+
+    def fixed(body: Column, name: str, of: DataFrame = wide) -> DataFrame:
+        return of.select(*BY, F.lit(name).alias("section"), body.alias("body"))
+
+    cells = lambda *names: F.concat_ws(" | ", *names)
+    peer_cells = ["peer", *(c for c, _ in PEER_METRICS)]
+    charts = chart_series(wide, rated, risks, peers)
+    parts = [
+        fixed(F.concat_ws("\n", "company", F.lit(date)), "Cover"),
+        fixed(F.lit("\n".join(f"{i}. {x}" for i, x in enumerate(SECTIONS[2:], 1))), "Contents"),
+        fixed(F.col("summary"), "Executive Summary", executive_summary(wide)),
+        fixed(F.col("overview"), "Company Overview", company_overview(wide)),
+        text(commentary(wide), F.col("sentence"), ["no"], "Financial Performance"),
+        text(metrics_table(wide).withColumn("no", F.array_position(F.array(*(F.lit(n) for _, n in METRICS)), F.col("metric"))), cells("metric", "value"), ["no"], "Financial Metrics"),
+        text(ratio_commentary(rated), F.col("sentence"), ["no"], "Ratio Analysis"),
+        text(ratio_table(rated), cells("ratio", "value"), ["ratio"], "Ratio Table"),
+        text(charts, cells("chart", "label", F.col("value").cast("string")), ["chart", "label"], "Charts"),
+        text(risk_assessment(wide, risks), cells("category", "severity", "description"), ["category", "severity", "description"], "Risk Assessment"),
+        text(risk_table(wide, risks), cells("category", "severity", "description"), ["category", "severity", "description"], "Risk Table"),
+        text(swot(counted), cells("quadrant", "statement"), ["quadrant", "statement"], "SWOT Analysis"),
+        text(comparison_table(wide, peers), cells(*peer_cells), ["peer"], "Company Comparison"),
+        text(research_table(wide, research), cells("question", "answer", "source"), ["question", "source"], "Research Findings"),
+        fixed(F.lit(OUTLOOK), "Investment Outlook"),
+        text(key_takeaways(counted), F.col("takeaway"), ["no"], "Key Takeaways"),
+        fixed(F.concat(F.lit(CONCLUSION[0]), F.col("company"), F.lit(CONCLUSION[1])), "Conclusion"),
+        fixed(F.concat(F.lit("Figures of FY"), F.col("fy").cast("string"), F.lit(".")), "Appendix"),
+    ]
+    number = F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("section")).cast("int")
+    return reduce(DataFrame.unionByName, parts).select(*BY, number.alias("section_no"), "section", "body")
+
+
+def assembly(wide: DataFrame, rated: DataFrame, risks: DataFrame, peers: DataFrame, research: DataFrame) -> DataFrame:
+    """One row a report: company, fy, extraction (a struct of the figures and the ratios), risks, peers, research (sorted
+    arrays, empty where there is nothing)."""
+
+    def listed(df: DataFrame, name: str, fields: list[str]) -> DataFrame:
+        return df.groupBy(*BY).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+
+    out = wide.join(rated, BY, "left").select(*BY, F.struct(F.col("company").alias("company_name"), *(c for c, _ in METRICS), F.col("ratios").alias("financial_ratios")).alias("extraction"))
+    for df, name, fields in ((risks, "risks", ["category", "severity", "description"]), (peers, "peers", ["peer", *(c for c, _ in PEER_METRICS)]), (research, "research", ["question", "answer", "source"])):
+        out = out.join(listed(df, name, fields), BY, "left").withColumn(name, F.coalesce(name, F.array()))
+    return out

@@ -43,11 +43,39 @@ select cast(suppkey as bigint) * 10000 + fy as filing_id,
 from m
 """
 
+#: Nine figures for each supplier and year of shipping, whole numbers as decimals, some of them null.
+FIGURES = """
+with li as (
+  select l_suppkey as suppkey, year(l_shipdate) as fy, count(*) as n,
+         sum(cast(l_extendedprice as decimal(12,2))) as sales,
+         sum(cast(l_extendedprice as decimal(12,2)) * (cast(0.06 as decimal(4,2)) - cast(l_discount as decimal(4,2)))) as profit,
+         sum(cast(l_extendedprice as decimal(12,2)) * cast(l_tax as decimal(4,2))) as earned,
+         sum(case when l_returnflag = 'R' then cast(l_extendedprice as decimal(12,2)) else cast(0 as decimal(12,2)) end) as owed,
+         sum(case when l_linestatus = 'F' then cast(l_extendedprice as decimal(12,2)) else cast(0 as decimal(12,2)) end) as held,
+         sum(case when l_linestatus = 'O' then cast(l_extendedprice as decimal(12,2)) else cast(0 as decimal(12,2)) end) as paid
+  from {lineitem} group by l_suppkey, year(l_shipdate))
+select cast(suppkey as bigint) as suppkey, 'Supplier ' || cast(suppkey as varchar(20)) || ' Holdings Ltd' as company, cast(fy as int) as fy,
+       cast(floor(sales) as decimal(20,2)) as revenue, cast(floor(profit) as decimal(20,2)) as net_profit,
+       cast(floor(cast(profit as double) / n) as decimal(20,2)) as eps,
+       cast(floor(cast(profit as double) * 100 / cast(sales as double)) as decimal(20,2)) as operating_margin,
+       case when mod(suppkey, 3) > 0 then cast(floor(cast(earned as double) * 100 / cast(sales as double)) as decimal(20,2)) end as gross_margin,
+       cast(floor(earned) as decimal(20,2)) as ebitda, cast(floor(held) as decimal(20,2)) as assets, cast(floor(owed) as decimal(20,2)) as liabilities,
+       case when paid > 0 then cast(floor(paid) as decimal(20,2)) end as cash_flow,
+       case when mod(suppkey, 2) = 0 then 'Trade' end as industry
+from li
+"""
+
+
+def figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(suppkey, company, fy, the nine figures, industry)."""
+    return spark.sql(FIGURES, lineitem=table(spark, sf_dir, "lineitem"))
+
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(filing_id, company, period, text)."""
     return spark.sql(SQL, lineitem=table(spark, sf_dir, "lineitem"))
 
 
-#: For oracles: a CTE body.
+#: For oracles: CTE bodies.
+FIGURES_ORACLE = FIGURES.replace("{lineitem}", "lineitem")
 ORACLE = SQL.replace("{lineitem}", "lineitem")
