@@ -7,28 +7,42 @@ from pyspark.sql import functions as F
 
 from argosy.functions import text as tx
 
-REQUIRED = ["company", "report_type", "financial_year", "section", "source", "doc_hash", "chunk_id", "chunk_index", "total_chunks", "text"]
+# The metadata fields that every chunk should have.
+REQUIRED = [
+    "analysis_id", "source", "doc_hash", "chunk_index", "total_chunks", "page_start", "page_end", "page_numbers", "company_name", "report_type", "financial_year", "section_title",
+    "section_type", "semantic_tags", "financial_metrics", "contains_table", "contains_financial_table", "contains_chart", "previous_chunk_id", "next_chunk_id",
+]
 
 
 def filled(c: str) -> Column:
     return F.col(c).isNotNull() & (F.col(c).cast("string") != "")
 
 
-def _listed(c: str) -> Column:
-    return F.array_join(F.array_sort(F.collect_set(F.when(filled(c), F.col(c).cast("string")))), ",")
+def distinct_values(chunks: DataFrame, columns: list[str]) -> DataFrame:
+    """(field, value): the distinct values of some columns but blank ones. A row each, so that no list grows with the table."""
+    each = F.array(*(F.struct(F.lit(c).alias("field"), F.when(filled(c), F.col(c).cast("string")).alias("value")) for c in columns))
+    return chunks.select(F.inline(each)).filter("value IS NOT NULL").distinct()
+
+
+def distinct_companies(chunks: DataFrame, column: str = "company") -> DataFrame:
+    """(company), sorted, but blank ones."""
+    return distinct_values(chunks, [column]).select(F.col("value").alias("company")).orderBy("company")
 
 
 def quality_totals(chunks: DataFrame) -> DataFrame:
-    """One row: chunks, distinct hashes and sessions, the sorted companies, report types and years, mean words of a chunk."""
-    return chunks.agg(
-        F.count("*").alias("chunks"),
-        F.count_distinct(F.when(filled("doc_hash"), F.col("doc_hash"))).alias("documents"),
-        F.count_distinct(F.when(filled("analysis_id"), F.col("analysis_id"))).alias("sessions"),
-        _listed("company").alias("companies"),
-        _listed("report_type").alias("report_types"),
-        _listed("financial_year").alias("years"),
-        F.coalesce(F.avg(F.size(tx.words(F.col("text")))), F.lit(0.0)).alias("avg_chunk_words"),
-    )
+    """One row of numbers: chunks, distinct hashes, sessions, companies, report types and years (but blank ones), mean words of
+    a chunk. distinct_values() lists what is only counted here."""
+    named = ["doc_hash", "analysis_id", "company", "report_type", "financial_year"]
+    counts = distinct_values(chunks, named).groupBy("field").agg(F.count("*").alias("n"))
+    wide = counts.agg(*(F.coalesce(F.max(F.when(F.col("field") == c, F.col("n"))), F.lit(0)).alias(n) for c, n in zip(named, ["documents", "sessions", "companies", "report_types", "years"], strict=True)))
+    totals = chunks.agg(F.count("*").alias("chunks"), F.coalesce(F.avg(F.size(tx.words(F.col("text")))), F.lit(0.0)).alias("avg_chunk_words"))
+    # both sides are one row
+    return totals.join(wide).select("chunks", "documents", "sessions", "companies", "report_types", "years", "avg_chunk_words")
+
+
+def feature_counts(chunks: DataFrame) -> DataFrame:
+    """One row: the chunks that are tables, tables of money, and charts, as their metadata say."""
+    return chunks.agg(*(F.count_if(F.col(f"contains_{c}") == "true").alias(n) for c, n in (("table", "tables"), ("financial_table", "financial_tables"), ("chart", "charts"))))
 
 
 def completeness(chunks: DataFrame, required: list[str] | None = None) -> DataFrame:
@@ -46,6 +60,12 @@ def missing_fields(df: DataFrame, required: list[str]) -> list[str]:
     return sorted(set(required) - set(df.columns))
 
 
+def missing_field_rows(df: DataFrame, required: list[str] = REQUIRED) -> DataFrame:
+    """(field) that a table lacks, sorted."""
+    names = df.sparkSession.createDataFrame([(c,) for c in missing_fields(df, required)], "field STRING")
+    return names.orderBy("field")
+
+
 def duplicate_hashes(chunks: DataFrame, of_documents: bool = False) -> DataFrame:
     """(doc_hash, n) of hashes that occur more than once: over chunks, or over the distinct sources that have them."""
     rows = chunks.select("doc_hash", "source").distinct() if of_documents else chunks
@@ -58,24 +78,35 @@ def broken_links(chunks: DataFrame) -> DataFrame:
     return links.join(chunks.select(F.col("chunk_id").alias("link")), "link", "left_anti").select("chunk_id", "link")
 
 
-def tag_counts(chunks: DataFrame, column: str, top: int | None = None) -> DataFrame:
-    """(tag, n) over the values of a CSV column; ``top``: the most frequent ones, ties by name."""
-    each = chunks.select(F.explode(F.split(column, ",")).alias("tag")).filter("tag != ''")
-    out = each.groupBy("tag").agg(F.count("*").alias("n"))
-    return out if top is None else out.orderBy(F.desc("n"), "tag").limit(top)
+def tag_counts(chunks: DataFrame, column: str, top: int | None = None, order: str | None = None) -> DataFrame:
+    """(tag, n) over the values of a CSV column; ``top``: the most frequent ones. Ties go by name or, if ``order`` names the
+    chunks' order, by where a tag comes first."""
+    each = chunks.select(*([order] if order else []), F.posexplode(F.split(column, ",")).alias("_p", "tag")).filter("tag != ''")
+    seen = [F.min(F.struct(order, "_p")).alias("_first")] if order else []
+    out = each.groupBy("tag").agg(F.count("*").alias("n"), *seen)
+    out = out if top is None else out.orderBy(F.desc("n"), "_first" if order else "tag").limit(top)
+    return out.select("tag", "n")
 
 
 def session_breakdown(chunks: DataFrame) -> DataFrame:
-    """One row for each session (missing: unknown), numbered by id: chunks, documents, sources, companies."""
+    """One row for each session (missing: unknown), numbered by id: chunks, documents, sources, companies, and tables and
+    tables of money where chunks have these columns."""
+    tables = [F.count_if(F.col(c) == "true").alias(n) for c, n in (("contains_table", "tables"), ("contains_financial_table", "financial_tables")) if c in chunks.columns]
     by = chunks.groupBy(F.coalesce("analysis_id", F.lit("unknown")).alias("session")).agg(
-        F.count("*").alias("chunks"), F.count_distinct("doc_hash").alias("documents"), F.count_distinct("source").alias("sources"), F.count_distinct("company").alias("companies")
+        F.count("*").alias("chunks"),
+        *(F.count_distinct(F.when(filled(c), F.col(c))).alias(n) for c, n in (("doc_hash", "documents"), ("source", "sources"), ("company", "companies")) if c in chunks.columns),
+        *tables,
     )
+    # a row for each session, not for each chunk
     return by.withColumn("session_no", F.row_number().over(Window.orderBy("session")))
 
 
 def documents_by_session(chunks: DataFrame) -> DataFrame:
-    """(session, sources, n_sources, n_chunks): the sorted sources of each session, joined by commas."""
-    return chunks.groupBy(F.coalesce("analysis_id", F.lit("unknown")).alias("session")).agg(_listed("source").alias("sources"), F.count_distinct("source").alias("n_sources"), F.count("*").alias("n_chunks"))
+    """(session, source, n_sources, n_chunks): a row for each source of a session, with the session's totals."""
+    of = F.coalesce("analysis_id", F.lit("unknown")).alias("session")
+    per = chunks.groupBy(of, F.when(filled("source"), F.col("source")).alias("source")).agg(F.count("*").alias("_n"))
+    totals = per.groupBy("session").agg(F.count("source").alias("n_sources"), F.sum("_n").alias("n_chunks"))
+    return per.filter("source IS NOT NULL").select("session", "source").join(totals, "session")
 
 
 def embedding_dimensions(vectors: DataFrame, column: str = "embedding") -> DataFrame:

@@ -36,6 +36,15 @@ def compare_peers(values: DataFrame, target: str) -> DataFrame:
     return both.withColumn("winner", better(F.col("own"), F.col("value"), F.lit(target), F.col("company")))
 
 
+def compare_with_leader(values: DataFrame) -> DataFrame:
+    """(company, metric, fy, value, leader, leader_value, winner): each company against the one that leads its metric and year,
+    the first by name of equal ones. Every company meets one other, so nothing grows with the square of their number."""
+    known = values.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    top = known.groupBy("metric", "fy").agg(F.max("value").alias("leader_value"))
+    first = known.join(top, ["metric", "fy"]).filter("value = leader_value").groupBy("metric", "fy").agg(F.min("company").alias("leader"), F.first("leader_value").alias("leader_value"))
+    return values.join(first, ["metric", "fy"]).withColumn("winner", better(F.col("value"), F.col("leader_value"), F.col("company"), F.col("leader")))
+
+
 def long_form(compared: DataFrame) -> DataFrame:
     """(metric, series, value) of both value columns, for grouped bars."""
     return compared.select("metric", F.expr("stack(2, 'Company 1', value_1, 'Company 2', value_2) AS (series, value)"))

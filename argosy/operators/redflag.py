@@ -5,15 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from argosy.functions import text as tx
+from argosy.operators import retrieve
+from argosy.sources import files
+
 LEVELS = ("Low", "Medium", "High")
 EVIDENCE = 240
-# Fixed values: (pattern, category, severity, title, confidence); stems, so no word boundaries.
+FALLBACK_MODEL = "offline-fallback"
+# Pattern (stems, so no word boundaries), category, severity, title, confidence, description, reason, recommendation.
 RULES = [
-    (r"declin|drop|fell|down|reduced", "performance", "High", "Revenue or profitability decline", 0.82),
-    (r"borrow|debt|liability|leverag", "capital_structure", "Medium", "Rising leverage or debt burden", 0.78),
-    (r"cash flow|liquidity|working capital", "liquidity", "Medium", "Liquidity pressure", 0.75),
-]
-CLEAR = ("general", "Low", "No clear red flag detected", 0.6)
+    (
+        r"(declin|drop|fell|down|reduced)", "performance", "High", "Revenue or profitability decline", 0.82,
+        "The retrieved evidence mentions a decline in financial performance.",
+        "Declining indicators should be treated as a material risk signal.",
+        "Review management commentary and cash flow drivers in detail.",
+    ),
+    (
+        r"(borrow|debt|liability|leverag)", "capital_structure", "Medium", "Rising leverage or debt burden", 0.78,
+        "The evidence references borrowings, debt, or higher liabilities.",
+        "Higher leverage can increase refinancing and solvency risk.",
+        "Assess debt maturity and covenant headroom.",
+    ),
+    (
+        r"(cash flow|liquidity|working capital)", "liquidity", "Medium", "Liquidity pressure", 0.75,
+        "The evidence mentions cash flow or liquidity concerns.",
+        "Weak liquidity can impair the ability to fund operations.",
+        "Inspect operating cash flow and near-term obligations.",
+    ),
+]
+CLEAR = (
+    "general", "Low", "No clear red flag detected", 0.6,
+    "The retrieved evidence did not contain explicit risk signals.",
+    "The offline analyzer is conservative when no clear risk indicators are present.",
+    "Review the source material for additional context.",
+)
 # Risk categories of single passages by the words that show them.
 PASSAGES = [
     ("Debt", r"\b(debt|borrowings?|leverage)\b"),
@@ -30,17 +55,18 @@ FLAG = "category STRING, severity STRING, title STRING, description STRING, reas
 
 
 def context_text(chunks: DataFrame, by: str, order: str) -> DataFrame:
-    """(by, text): the non-blank chunks of each ``by`` joined by line feeds in order."""
-    held = F.array_sort(F.collect_list(F.when(F.trim("text") != "", F.struct(F.col(order).alias("o"), F.col("text").alias("t")))))
+    """(by, text): the non-empty chunks of each ``by`` joined by line feeds in order."""
+    held = F.array_sort(F.collect_list(F.when(F.coalesce("text", F.lit("")) != "", F.struct(F.col(order).alias("o"), F.col("text").alias("t")))))
     return chunks.groupBy(by).agg(held.alias("h")).select(by, F.array_join(F.transform("h", lambda x: x["t"]), "\n").alias("text"))
 
 
 def rule_flags(contexts: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
-    """One row for each rule that a context shows, or one that none does: category, severity, title, evidence, confidence."""
+    """One row for each rule that a context shows, or one that none does, with all fields of a flag; page is null."""
     low = F.lower(F.coalesce("text", F.lit("")))
-    flag = lambda c, s, t, p: F.struct(F.lit(c).alias("category"), F.lit(s).alias("severity"), F.lit(t).alias("title"), F.lit(p).alias("confidence"))
-    found = F.array_compact(F.array(*(F.when(low.rlike(p), flag(c, s, t, conf)) for p, c, s, t, conf in rules)))
-    shown = F.when(F.size(found) > 0, found).otherwise(F.array(flag(*CLEAR)))
+    names = ("category", "severity", "title", "confidence", "description", "reason", "recommendation")
+    flag = lambda values: F.struct(*(F.lit(v).alias(n) for n, v in zip(names, values, strict=True)), F.lit(None).cast("int").alias("page"))
+    found = F.array_compact(F.array(*(F.when(low.rlike(p), flag(rest)) for p, *rest in rules)))
+    shown = F.when(F.size(found) > 0, found).otherwise(F.array(flag(CLEAR)))
     keep = [c for c in contexts.columns if c != "text"]
     return contexts.select(*keep, F.substring("text", 1, EVIDENCE).alias("evidence"), F.inline(shown))
 
@@ -69,19 +95,72 @@ def passage_risks(chunks: DataFrame, rules: list[tuple[str, str]] = PASSAGES) ->
     return each.select("*", F.explode(F.array_compact(F.array(*(F.when(low.rlike(p), name) for name, p in rules)))).alias("category"))
 
 
-def flags_of_responses(responses: DataFrame, text: str = "response") -> DataFrame:
-    """(..., flag columns, valid): flags out of model output, which is JSON, JSON in a fence, or JSON between other words.
+def balanced(c: Column, opens: str, closes: str) -> Column:
+    """The text from the first opening sign to the one that closes it; null if there is none. Folded over the signs alone."""
+    begin = F.locate(opens, c)
+    rest = F.substr(c, begin)
+    pieces = F.split(rest, rf"(?=[\{opens}\{closes}])")
+
+    def step(acc: Column, piece: Column) -> Column:
+        up, down = F.startswith(piece, F.lit(opens)), F.startswith(piece, F.lit(closes))
+        depth = acc["depth"] + up.cast("int") - down.cast("int")
+        end = F.when(acc["end"] == 0, F.when(down & (depth == 0), acc["at"] + 1).otherwise(0)).otherwise(acc["end"])
+        return F.struct(depth.alias("depth"), (acc["at"] + F.length(piece)).alias("at"), end.alias("end"))
+
+    end = F.aggregate(pieces, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end")), step, lambda acc: acc["end"])
+    return F.when((begin > 0) & (end > 0), F.left(rest, end))
+
+
+def json_of(c: Column) -> Column:
+    """The JSON in a model's response: all of it, else a fenced block, else the first balanced object, else the first balanced
+    array; null if none of them is JSON."""
+    whole = tx.strip(c)
+    fenced = tx.strip(F.regexp_extract(whole, r"(?is)```(?:json)?\s*(.*?)\s*```", 1))
+    ok = lambda x: F.when(F.try_parse_json(x).isNotNull() & (x != ""), x)
+    return F.coalesce(ok(whole), ok(fenced), ok(balanced(whole, "{", "}")), ok(balanced(whole, "[", "]")))
 
-    A response without JSON gives one row of nulls with valid false; a flag without category, severity or title is not valid.
+
+REQUIRED = ("category", "severity", "title", "description", "reason", "evidence", "recommendation", "confidence")
+
+
+def flags_of_responses(responses: DataFrame, text: str = "response", required: tuple[str, ...] = REQUIRED) -> DataFrame:
+    """(..., flag columns, valid): flags out of model output; see json_of. An object holds them as flags, an array is them.
+
+    A response without JSON or without flags gives one row of nulls with valid false; a flag is valid if no required field
+    is missing.
     """
-    c = F.col(text)
-    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    braced = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
-    schema = f"overall_risk STRING, flags ARRAY<STRUCT<{FLAG.replace(' ', ': ').replace(',: ', ', ')}>>"
-    parsed = lambda x: F.from_json(x, schema)
-    ok = lambda x: F.when(F.try_parse_json(x).isNotNull() & (F.trim(x) != ""), parsed(x))
-    rows = responses.withColumn("_r", F.coalesce(ok(c), ok(fenced), ok(braced)))
+    each = f"ARRAY<STRUCT<{FLAG.replace(' ', ': ').replace(',: ', ', ')}>>"
     keep = [x for x in responses.columns if x != text]
-    each = rows.select(*keep, F.explode_outer("_r.flags").alias("f"))
-    valid = F.col("f.category").isNotNull() & F.col("f.severity").isNotNull() & F.col("f.title").isNotNull()
-    return each.select(*keep, "f.*", F.coalesce(valid, F.lit(False)).alias("valid"))
+    rows = responses.select(*keep, json_of(F.col(text)).alias("_j"))
+    listed = F.startswith("_j", F.lit("["))
+    found = F.when(listed, F.from_json("_j", each)).otherwise(F.from_json("_j", f"flags {each}")["flags"])
+    flat = rows.select(*keep, F.explode_outer(found).alias("f"))
+    valid = F.lit(True)
+    for name in required:
+        valid = valid & F.col(f"f.{name}").isNotNull()
+    return flat.select(*keep, "f.*", F.coalesce(valid, F.lit(False)).alias("valid"))
+
+
+def flags_or_rules(responses: DataFrame, contexts: DataFrame, key: str) -> DataFrame:
+    """The flags of responses (key, response), with model_used; those of the rules over contexts (key, text) where a response
+    has no JSON."""
+    read = responses.withColumn("_ok", json_of(F.col("response")).isNotNull())
+    fields = [key, "category", "severity", "title", "description", "reason", "evidence", "page", "recommendation", "confidence", "model_used"]
+    of_model = flags_of_responses(read.filter("_ok").select(key, "response")).filter("valid").withColumn("model_used", F.lit("model"))
+    of_rules = rule_flags(contexts.join(read.filter("_ok").select(key), key, "left_anti").select(key, "text")).withColumn("model_used", F.lit(FALLBACK_MODEL))
+    return of_model.select(*fields).unionByName(of_rules.select(*fields))
+
+
+def analyze(requests: DataFrame, chunks: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(responses, refused) for requests (company, collection) over chunks (collection, chunk_id, chunk_order, text, company).
+
+    A response: company, collection, overall_risk, total_flags, flags, model_used, by the rules over the k best chunks of its
+    collection. A blank or unknown request and one without chunks are refused with a reason.
+    """
+    checked = files.validate_requests(requests.distinct(), chunks.select("collection").distinct())
+    found = retrieve.retrieve_for_company(checked.filter("reason IS NULL").select("company", "collection"), chunks, k)
+    context = context_text(found.withColumn("key", F.struct("company", "collection")), "key", "rank")
+    flags = rule_flags(context)
+    one = F.struct("category", "severity", "title", "description", "reason", "evidence", "page", "recommendation", "confidence")
+    rolled = flags.groupBy("key").agg(overall(F.col("severity")).alias("overall_risk"), F.count("*").alias("total_flags"), F.array_sort(F.collect_list(one)).alias("flags"))
+    return rolled.select("key.company", "key.collection", "overall_risk", "total_flags", "flags", F.lit(FALLBACK_MODEL).alias("model_used")), checked.filter("reason IS NOT NULL")

@@ -65,3 +65,18 @@ def prompts(cited: DataFrame, questions: DataFrame) -> DataFrame:
     whole = _whole(_steps(cited), F.array_join(lines, "\n"), questions)
     text = F.concat(F.lit("Answer from the evidence alone, step by step, and cite the bracketed tags.\n\nQuestion: "), "question", F.lit("\n\nEvidence:\n"), F.array_join(F.transform("steps", lambda s: s["block"]), "\n"))
     return whole.select("question_id", text.alias("prompt"))
+
+
+RISK_RULES = """You are a financial risk analyst. Find red flags in the passages below.
+Use nothing but the passages, invent no figures, quote evidence for every finding and name its page where it is known.
+Answer in JSON alone: overall_risk (Low, Medium, High or Critical), total_flags and flags. A flag has category (Debt, Liquidity, Profitability, Revenue, Cash Flow, Auditor, Legal, Accounting or Corporate Governance), severity, title, description, reason, evidence, page, recommendation and confidence (0 to 1).
+Without evidence answer {"overall_risk":"Low","total_flags":0,"flags":[]}."""
+
+
+def risk_prompts(chunks: DataFrame, by: str, metadata: tuple[str, ...] = ("company", "section", "source_file")) -> DataFrame:
+    """(by, prompt) for a language model that a caller runs: the rules, then the chunks of each ``by`` in order of rank, each
+    with its metadata as JSON."""
+    here = [c for c in metadata if c in chunks.columns]
+    held = F.array_sort(F.collect_list(F.struct("rank", "text", F.to_json(F.struct(*here)).alias("meta"))))
+    lines = F.transform("h", lambda x, i: F.concat(F.lit("Chunk "), (i + 1).cast("string"), F.lit(": "), F.coalesce(x["text"], F.lit("")), F.lit("\nMetadata: "), x["meta"]))
+    return chunks.groupBy(by).agg(held.alias("h")).select(by, F.concat(F.lit(f"{RISK_RULES}\n\nContext:\n"), F.array_join(lines, "\n\n")).alias("prompt"))

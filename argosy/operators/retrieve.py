@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from argosy.functions import text as tx
 
 SEED = 8
+# Fixed value: what is asked about a company behind its name.
+COMPANY_QUERY = "financial report risks financial statements performance"
 
 
 def where(df: DataFrame, equal: dict) -> DataFrame:
@@ -17,17 +19,40 @@ def where(df: DataFrame, equal: dict) -> DataFrame:
     return df
 
 
+def get(df: DataFrame, equal: dict | None = None, limit: int | None = None, include: list[str] | None = None, order: str = "chunk_id") -> DataFrame:
+    """Rows where columns equal values, the first ``limit`` by ``order`` (all if None), with the ``include`` columns."""
+    rows = where(df, equal or {})
+    rows = rows if limit is None else rows.orderBy(order).limit(limit)
+    return rows if include is None else rows.select(*dict.fromkeys([order, *include]))
+
+
+def session(df: DataFrame, analysis_id: str) -> DataFrame:
+    """The rows of one analysis session."""
+    return where(df, {"analysis_id": analysis_id})
+
+
+def sample_one(df: DataFrame, equal: dict | None = None) -> DataFrame:
+    """Any one row where columns equal values; none if there is none."""
+    return where(df, equal or {}).limit(1)
+
+
 def infer_company(questions: DataFrame, companies: DataFrame, question: str = "sub_question", key: str = "qid") -> DataFrame:
     """Add company: the first by code point whose lower-cased name is part of the lower-cased question; null if none.
 
-    Names meet questions by their first SEED characters, an equi-join, and are then tested whole.
+    A name that is part of a question shares all its grams of SEED characters with it (a shorter one: itself), so it is looked
+    for by the one gram that fewest names have, an equi-join, and then tested whole. Words that most names share, such as
+    their legal form, so bring no name and question together.
     """
-    names = companies.select(F.col("company").alias("_name")).filter("_name != ''").distinct().withColumn("_seed", F.substring(F.lower("_name"), 1, SEED))
+    names = companies.select(F.col("company").alias("_name")).filter("_name != ''").distinct()
+    at = lambda c, n: F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1))
+    grams = F.array_distinct(F.transform(at(F.lower("_name"), SEED), lambda i: F.substring(F.lower("_name"), i, SEED)))
+    each = names.select("_name", F.explode(grams).alias("_seed"))
+    shared = each.groupBy("_seed").agg(F.count("*").alias("_n"))
+    rarest = each.join(shared, "_seed").groupBy("_name").agg(F.min(F.struct("_n", "_seed"))["_seed"].alias("_seed"))
     low = F.lower(F.col(question))
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low)))
-    seeds = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(SEED)), lambda n: F.transform(at, lambda i: F.substring(low, i, n)))))
+    seeds = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(SEED)), lambda n: F.transform(at(low, n), lambda i: F.substring(low, i, n)))))
     asked = questions.select(F.col(key).alias("_key"), low.alias("_low"), F.explode(seeds).alias("_seed"))
-    found = asked.join(names, "_seed").filter(F.contains("_low", F.lower("_name"))).groupBy("_key").agg(F.min("_name").alias("company"))
+    found = asked.join(rarest, "_seed").filter(F.contains("_low", F.lower("_name"))).groupBy("_key").agg(F.min("_name").alias("company"))
     return questions.drop("company").join(found, F.col(key) == F.col("_key"), "left").drop("_key")
 
 
@@ -59,8 +84,31 @@ def retrieve(questions: DataFrame, chunks: DataFrame, k: int = 4) -> DataFrame:
     return out.withColumn("distance", F.bround(1 - F.col("score"), 4))
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2sq") -> DataFrame:
-    """(query_id, vec_id, distance, rank): the exact k nearest vectors of each query.
+def retrieve_for_company(requests: DataFrame, chunks: DataFrame, k: int = 5, scoped: bool = False) -> DataFrame:
+    """(company, collection, rank, score) with the chunk's columns: the k best chunks of a request's collection for a fixed
+    question about its company. Chunks of other companies count unless ``scoped``.
+
+    Requests find chunks by an inverted index of (collection, token); the first chunks of a collection by order are offered
+    with score 0, as only these can fill up k.
+    """
+    text = F.concat(F.col("company"), F.lit(f" {COMPANY_QUERY}"))
+    asked = requests.select(F.struct("company", "collection").alias("qid"), F.col("company").alias("_c"), "collection", tx.tokens(text).alias("q")).distinct()
+    held = chunks.select("collection", "chunk_id", "chunk_order", F.col("company").alias("_of"), tx.tokens(F.col("text")).alias("t"))
+    index = held.select("collection", "chunk_id", "chunk_order", "_of", F.explode("t").alias("token"))
+    hits = asked.select("qid", "_c", "collection", F.size("q").alias("n"), F.explode("q").alias("token")).join(index, ["collection", "token"])
+    place = Window.partitionBy("collection", *(["_of"] if scoped else [])).orderBy("chunk_order")
+    spare = held.withColumn("_p", F.row_number().over(place)).filter(F.col("_p") <= 2 * k)
+    spare = asked.select("qid", "_c", "collection").join(spare.select("collection", "chunk_id", "chunk_order", "_of"), "collection")
+    own = (lambda df: df.filter(F.col("_c") == F.col("_of"))) if scoped else (lambda df: df)
+    scores = own(hits).groupBy("qid", "chunk_id", "chunk_order").agg((F.count("*") / F.first("n")).alias("score"))
+    offered = scores.unionByName(own(spare).select("qid", "chunk_id", "chunk_order", F.lit(0.0).alias("score"))).groupBy("qid", "chunk_id", "chunk_order").agg(F.max("score").alias("score"))
+    best = top_k(offered, k, "qid", F.col("score"), ["chunk_order"]).select(F.col("qid.company").alias("company"), F.col("qid.collection").alias("collection"), "chunk_id", "rank", "score")
+    rest = chunks.withColumnRenamed("company", "chunk_company").drop("chunk_order")
+    return best.join(rest, ["collection", "chunk_id"])
+
+
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2sq", equal: dict | None = None) -> DataFrame:
+    """(query_id, vec_id, distance, rank): the exact k nearest vectors of each query, of those where columns equal values.
 
     queries: query_id, q; vectors: vec_id, embedding. Each block of vectors meets all queries and keeps its k best (a partial
     top k) before anything is shuffled.
@@ -75,5 +123,5 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "
         d = -dot(x, y)
     else:
         raise ValueError(f"unknown metric {metric}")
-    pairs = vectors.filter("embedding IS NOT NULL").join(queries).select("query_id", "vec_id", d.alias("distance"))
+    pairs = where(vectors, equal or {}).filter("embedding IS NOT NULL").join(queries).select("query_id", "vec_id", d.alias("distance"))
     return top_k(pairs, k, "query_id", -F.col("distance"), ["vec_id"])

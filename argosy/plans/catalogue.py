@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from argosy.functions import tags
 from argosy.functions import text as tx
-from argosy.operators import audit, chunk, company, compare, extract, layout, metadata, redflag, report, research, retrieve
+from argosy.operators import audit, chunk, company, compare, extract, metadata, redflag, research, retrieve
+from argosy.plans import reports, texts
 from argosy.plans.filings import ORACLE as FILINGS_SQL
 from argosy.plans.filings import filings
 from argosy.session import table
@@ -41,13 +42,6 @@ def values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.statement_values(filing_docs(spark, sf_dir).drop("period"))
 
 
-def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(company, fy, revenue, debt, assets) of each filing's own year."""
-    v = values(spark, sf_dir).filter(F.col("fy") == F.col("doc_id") % 10000)
-    pick = lambda m: F.max(F.when(F.col("metric") == m, F.col("value")))
-    return v.groupBy("company", "fy").agg(pick("Total Revenue").alias("revenue"), pick("Total Debt").alias("debt"), pick("Total Assets").alias("assets"))
-
-
 def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redflag.rule_flags(filing_docs(spark, sf_dir).drop("period"))
 
@@ -55,22 +49,11 @@ def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Queries
 
 
-def doc_hash_dedupe(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("doc_hash"))
-    known = d.filter(F.col("doc_id") < 0).select("doc_hash")
-    return chunk.drop_known(d, known)
-
-
 def _document_windows(d: DataFrame) -> DataFrame:
     c = chunk.with_neighbours(chunk.exploded(d, tx.word_windows(F.col("text"), 450, 100)))
     return c.select("doc_id", "chunk_id", "chunk_index", "total_chunks", "previous_chunk_id", "next_chunk_id", F.md5("text").alias("text_md5"), F.length("window_text").alias("window_chars"))
 
 
-def word_windows(spark, sf_dir):
-    """Windows of the English documents; see word_windows_all."""
-    return _document_windows(table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "text"))
-
-
 def word_windows_all(spark, sf_dir):
     """Windows of every document, whatever its language."""
     return _document_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -91,21 +74,6 @@ def sentence_stats(spark, sf_dir):
     return d.select("doc_id", *(c.cast("long").alias(n) for n, c in tx.text_measures(F.col("text")).items() if n != "reading_seconds"))
 
 
-def paragraph_pack(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
-    return chunk.paragraph_chunks(d).select("doc_id", "chunk_index", F.length("text").alias("chars"))
-
-
-def sentence_pack(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return chunk.sentence_chunks(d, 450, 100).select("doc_id", "chunk_index", F.size(tx.words(F.col("text"))).alias("words"))
-
-
-def page_margins(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"(?<=\.)\n")).alias("page_number", "text"))
-    return chunk.strip_repeated_margins(d).select("doc_id", "page_number", F.md5("text").alias("text_md5"))
-
-
 def searchable(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "text")).withColumn("page_number", F.col("p") + 1)
     return files.searchable_docs(d)
@@ -145,20 +113,6 @@ def filing_tags(spark, sf_dir):
     return d.select("doc_id", tags.report_type(c).alias("report_type"), tags.guess_section(c).alias("section"), tags.financial_metrics(c).alias("financial_metrics"), tags.semantic_tags(c).alias("semantic_tags"), tags.financial_year(c, AS_OF_YEAR).alias("financial_year"))
 
 
-def section_carry(spark, sf_dir):
-    d = layout.section_carry(layout.blocks(filing_docs(spark, sf_dir).drop("period")))
-    return d.select("doc_id", "pos", "kind", "section_title", "section_type")
-
-
-def block_chunks(spark, sf_dir):
-    return layout.block_chunks(filing_docs(spark, sf_dir).drop("period")).select("doc_id", "chunk_index", "section_title", F.md5("text").alias("text_md5"))
-
-
-def layout_chunks(spark, sf_dir):
-    pages = filing_docs(spark, sf_dir).select("doc_id", F.lit(1).alias("page_number"), "text")
-    return layout.layout_chunks(pages, 40, 10).select("doc_id", "chunk_index", "kind", "section_title", F.md5("text").alias("text_md5"))
-
-
 def decomposed_questions(spark, sf_dir):
     return research.sub_questions(questions(spark, sf_dir)).select("question_id", "step", "sub_question")
 
@@ -184,10 +138,6 @@ def research_answers(spark, sf_dir):
     return research.answers(research.evidence(q, filing_chunks(spark, sf_dir)), q)
 
 
-def rule_flags(spark, sf_dir):
-    return flags(spark, sf_dir).select("doc_id", "category", "severity", "title", "confidence", F.md5("evidence").alias("evidence_md5"))
-
-
 def risk_rollup(spark, sf_dir):
     return redflag.risk_rollup(flags(spark, sf_dir), "company")
 
@@ -196,24 +146,11 @@ def severity_distribution(spark, sf_dir):
     return redflag.severity_distribution(flags(spark, sf_dir), "company")
 
 
-def passage_risks(spark, sf_dir):
-    rows = redflag.passage_risks(filing_docs(spark, sf_dir).drop("period", "company"))
-    return rows.groupBy("doc_id", "category").agg(F.count("*").alias("n"))
-
-
 def company_contexts(spark, sf_dir):
     c = filing_chunks(spark, sf_dir)
     return redflag.context_text(c, "company", "chunk_order").select("company", F.md5("text").alias("text_md5"))
 
 
-def response_flags(spark, sf_dir):
-    f = redflag.rule_flags(filing_docs(spark, sf_dir).select("doc_id", "text"))
-    as_json = F.to_json(F.struct(F.array(F.struct("category", "severity", "title", "confidence")).alias("flags")))
-    shapes = F.array(as_json, F.concat(F.lit("Here:\n```json\n"), as_json, F.lit("\n```")), F.concat(F.lit("I found "), as_json, F.lit(" in it.")), F.lit("no flags"))
-    r = f.select("doc_id", F.col("category").alias("asked"), F.get(shapes, (F.col("doc_id") % 4).cast("int")).alias("response"))
-    return redflag.flags_of_responses(r).select("doc_id", "asked", "category", "severity", "confidence", "valid")
-
-
 def vector_topk(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     q = v.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
@@ -224,160 +161,253 @@ def embedding_dimensions(spark, sf_dir):
     return audit.embedding_dimensions(table(spark, sf_dir, "embeddings"))
 
 
-def quality_totals(spark, sf_dir):
-    return audit.quality_totals(filing_chunks(spark, sf_dir)).withColumn("avg_chunk_words", F.round("avg_chunk_words", 6))
+def duplicate_hashes(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source"), F.sha2("text", 256).alias("doc_hash"))
+    return audit.duplicate_hashes(d, True)
 
 
-def metadata_completeness(spark, sf_dir):
-    return audit.completeness(table(spark, sf_dir, "documents"), ["doc_id", "text", "lang", "source", "company"])
+def tagged_metrics(spark, sf_dir):
+    rules = [("Revenue", r"total revenue: \$([\d.,]+)"), ("Debt", r"total debt: \$([\d.,]+)"), ("EPS", r"earnings per share.*?([\d.]+)")]
+    return extract.tagged_metrics(filing_chunks(spark, sf_dir), rules)
 
 
-def session_breakdown(spark, sf_dir):
-    return audit.session_breakdown(filing_chunks(spark, sf_dir))
+def company_name(spark, sf_dir):
+    pages = filing_docs(spark, sf_dir).select("doc_id", F.lit(1).alias("page_number"), "text")
+    return company.company_names(pages)
 
 
-def tag_counts(spark, sf_dir):
-    return audit.tag_counts(filing_chunks(spark, sf_dir), "financial_metrics", 10)
+def company_metrics_wide(spark, sf_dir):
+    v = values(spark, sf_dir).groupBy("company", "metric", "fy").agg(F.max("value").alias("value"))
+    w = extract.company_metrics_wide(v, ["Total Revenue", "Total Debt", "Total Assets"])
+    return w.select("company", *(F.col(f"`{c}`").alias(c.lower().replace(" ", "_")) for c in ("Total Revenue", "Total Debt", "Total Assets")))
 
 
-def duplicate_hashes(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source"), F.sha2("text", 256).alias("doc_hash"))
-    return audit.duplicate_hashes(d, True)
+def replaced_sources(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("source", "doc_id")
+    new = d.filter("source = 'src1' AND doc_id % 3 = 0").withColumn("doc_id", -F.col("doc_id") - 1)
+    return files.replaced(d, new)
 
 
-def broken_links(spark, sf_dir):
-    c = chunk.with_neighbours(filing_chunks(spark, sf_dir)).filter("section != 'General'")
-    return audit.broken_links(c)
+def hashed_and_stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with doc_hash, and the hashes of those that labels covers, which stand for the store."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.sha2("text", 256).alias("doc_hash"))
+    return d, d.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("doc_hash")
 
 
-def tagged_metrics(spark, sf_dir):
-    rules = [("Revenue", r"total revenue: \$([\d.,]+)"), ("Debt", r"total debt: \$([\d.,]+)"), ("EPS", r"earnings per share.*?([\d.]+)")]
-    return extract.tagged_metrics(filing_chunks(spark, sf_dir), rules)
+def doc_hash_dedupe_stored(spark, sf_dir):
+    d, known = hashed_and_stored(spark, sf_dir)
+    return chunk.drop_known(d.drop("text"), known)
 
 
-def company_name(spark, sf_dir):
-    pages = filing_docs(spark, sf_dir).select("doc_id", F.lit(1).alias("page_number"), "text")
-    return company.company_names(pages)
+def replaced_sources_whole(spark, sf_dir):
+    """The new batch is all of the first source, under new ids."""
+    d = table(spark, sf_dir, "documents").select("source", "doc_id")
+    first = d.agg(F.min("source").alias("_first"))
+    new = d.join(F.broadcast(first), F.col("source") == F.col("_first")).select("source", (-F.col("doc_id") - 1).alias("doc_id"))
+    return files.replaced(d, new)
 
 
-def chunk_metadata(spark, sf_dir):
-    d = filing_docs(spark, sf_dir)
-    rows = metadata.chunk_metadata(chunk.word_chunks(d.select("doc_id", "text"), 40, 10), d, AS_OF_YEAR)
-    return rows.select("chunk_id", "company_name", "report_type", "financial_year", "currency", "financial_metrics", "semantic_tags", F.array_join("financial_values", ";").alias("financial_values"), "chunk_type", "chunk_summary", "confidence_score")
+def cascade_delete(spark, sf_dir):
+    gone = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return files.cascade_delete(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), gone, "l_orderkey")
+
+
+def doc_hash_dedupe(spark, sf_dir):
+    """Nothing is stored yet; doc_hash_dedupe_stored has a store."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("doc_hash"))
+    return chunk.drop_known(d, d.filter(F.col("doc_id") < 0).select("doc_hash"))
+
+
+def word_windows(spark, sf_dir):
+    return _document_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
 
+def compare_all(spark, sf_dir):
+    """Every company against the one that leads a metric and year."""
+    return compare.compare_with_leader(values(spark, sf_dir).groupBy("company", "metric", "fy").agg(F.max("value").alias("value")))
 
-def report_metrics(spark, sf_dir):
-    return report.metrics_table(wide(spark, sf_dir).withColumns({c: F.round(c, 2).cast("decimal(20,2)") for c in ("revenue", "debt", "assets")}))
+
+def research_prompts(spark, sf_dir):
+    q = questions(spark, sf_dir)
+    return research.prompts(evidence(spark, sf_dir), q).select("question_id", F.md5("prompt").alias("prompt_md5"))
 
 
-def chart_series(spark, sf_dir):
-    return report.chart_series(wide(spark, sf_dir))
+def rule_flags(spark, sf_dir):
+    f = flags(spark, sf_dir)
+    return f.select("doc_id", "category", "severity", "title", "confidence", "description", "reason", "recommendation", F.md5("evidence").alias("evidence_md5"))
 
 
-def swot(spark, sf_dir):
-    return report.swot(wide(spark, sf_dir)).select("company", "fy", "quadrant", "statement")
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flags of filings as a model might answer them, in seven forms by filing; the last two have none."""
+    f = redflag.rule_flags(filing_docs(spark, sf_dir).select("doc_id", "text"))
+    one = F.struct("category", "severity", "title", "description", "reason", "evidence", "recommendation", "confidence")
+    listed, whole = F.to_json(F.array(one)), F.to_json(F.struct(F.array(one).alias("flags")))
+    shapes = [whole, F.concat(F.lit("Here:\n```json\n"), whole, F.lit("\n```")), F.concat(F.lit("I found "), whole, F.lit(" in it, and {more}.")), listed, F.concat(F.lit("note {x} then "), whole), F.lit("no flags"), F.lit("{\"flags\": [")]
+    return f.select("doc_id", F.col("category").alias("asked"), F.get(F.array(*shapes), (F.col("doc_id") % len(shapes)).cast("int")).alias("response"))
 
 
-def key_takeaways(spark, sf_dir):
-    risks = redflag.risk_rollup(flags(spark, sf_dir).withColumn("fy", (F.col("doc_id") % 10000).cast("int")).withColumn("key", F.struct("company", "fy")), "key")
-    return report.key_takeaways(wide(spark, sf_dir).withColumns({c: F.round(c, 2).cast("decimal(20,2)") for c in ("revenue", "debt", "assets")}), risks.select("key.company", "key.fy", "overall_risk"))
+def response_flags(spark, sf_dir):
+    return redflag.flags_of_responses(responses(spark, sf_dir)).select("doc_id", "asked", "category", "severity", "confidence", "valid")
 
 
-def report_sections(spark, sf_dir):
-    w = wide(spark, sf_dir).withColumns({c: F.round(c, 2).cast("decimal(20,2)") for c in ("revenue", "debt", "assets")})
-    return report.sections(w, flags(spark, sf_dir).select("company", "category", "severity", "title")).select("company", "section_no", "section", F.md5("body").alias("body_md5"))
+def response_fallback(spark, sf_dir):
+    """The flags of the first answer about each filing, those of the rules where it has no JSON."""
+    r = responses(spark, sf_dir).groupBy("doc_id").agg(F.min_by("response", "asked").alias("response"))
+    return redflag.flags_or_rules(r, filing_docs(spark, sf_dir).select("doc_id", "text"), "doc_id").select("doc_id", "category", "severity", "confidence", "model_used")
 
 
-def exact_wide(spark, sf_dir):
-    """wide() with money as decimals."""
-    return wide(spark, sf_dir).withColumns({c: F.round(c, 2).cast("decimal(20,2)") for c in ("revenue", "debt", "assets")})
+def risk_prompts(spark, sf_dir):
+    return research.risk_prompts(filing_chunks(spark, sf_dir).withColumnRenamed("chunk_order", "rank"), "company").select("company", F.md5("prompt").alias("prompt_md5"))
 
 
-def ratio_table(spark, sf_dir):
-    return report.ratio_table(report.ratios(wide(spark, sf_dir)))
+def quality_totals(spark, sf_dir):
+    return audit.quality_totals(filing_chunks(spark, sf_dir)).withColumn("avg_chunk_words", F.round("avg_chunk_words", 6))
 
 
-def ratio_commentary(spark, sf_dir):
-    return report.ratio_commentary(report.ratios(wide(spark, sf_dir)))
+def distinct_values(spark, sf_dir):
+    return audit.distinct_values(filing_chunks(spark, sf_dir), ["company", "report_type", "financial_year"])
 
 
-def performance_commentary(spark, sf_dir):
-    return report.commentary(exact_wide(spark, sf_dir))
+def distinct_companies(spark, sf_dir):
+    return audit.distinct_companies(filing_chunks(spark, sf_dir))
 
 
-def executive_summary(spark, sf_dir):
-    return report.executive_summary(exact_wide(spark, sf_dir), redflag.risk_rollup(flags(spark, sf_dir), "company"))
+def metadata_completeness(spark, sf_dir):
+    c = chunk.with_neighbours(filing_chunks(spark, sf_dir)).withColumnRenamed("company", "company_name")
+    return audit.completeness(c)
 
 
-def risk_table(spark, sf_dir):
-    shown = flags(spark, sf_dir).filter("severity != 'Low'").select("company", "category", "severity", "title").distinct()
-    return report.risk_table(shown, filing_docs(spark, sf_dir))
+def missing_fields(spark, sf_dir):
+    return audit.missing_field_rows(table(spark, sf_dir, "documents"), ["doc_id", "text", "source", "doc_hash", "page_number", "company_index"])
 
 
-def company_metrics_wide(spark, sf_dir):
-    v = values(spark, sf_dir).groupBy("company", "metric", "fy").agg(F.max("value").alias("value"))
-    w = extract.company_metrics_wide(v, ["Total Revenue", "Total Debt", "Total Assets"])
-    return w.select("company", *(F.col(f"`{c}`").alias(c.lower().replace(" ", "_")) for c in ("Total Revenue", "Total Debt", "Total Assets")))
+def session_breakdown(spark, sf_dir):
+    return audit.session_breakdown(filing_chunks(spark, sf_dir))
+
+
+def profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filings as one chunk each, with what their table profile says."""
+    d = filing_docs(spark, sf_dir).withColumn("_p", tags.table_profile(F.col("text")))
+    d = d.withColumns({"contains_table": F.col("_p.is_table").cast("string"), "contains_financial_table": F.col("_p.is_financial_table").cast("string"), "contains_chart": F.col("text").rlike(metadata.CHART).cast("string")})
+    return d.withColumns({"analysis_id": F.when(F.col("doc_id") % 7 > 0, F.concat(F.lit("s"), F.col("doc_id") % 7)), "doc_hash": F.sha2("text", 256), "source": F.concat("doc_id", F.lit(".txt"))})
+
+
+def session_tables(spark, sf_dir):
+    return audit.session_breakdown(profiled(spark, sf_dir))
+
+
+def feature_counts(spark, sf_dir):
+    return audit.feature_counts(profiled(spark, sf_dir))
+
+
+def tag_counts(spark, sf_dir):
+    return audit.tag_counts(filing_chunks(spark, sf_dir), "financial_metrics", 10)
+
+
+def top_tags(spark, sf_dir):
+    """The ten most frequent tags; ties go to the one that comes first."""
+    return audit.tag_counts(filing_chunks(spark, sf_dir), "financial_metrics", 10, "chunk_order")
+
+
+def broken_links(spark, sf_dir):
+    """The links that break when all chunks that name liquidity are deleted."""
+    c = chunk.with_neighbours(filing_chunks(spark, sf_dir))
+    return audit.broken_links(files.cascade_delete(c, c.filter(F.contains("financial_metrics", F.lit("Liquidity"))), "chunk_id"))
 
 
 def documents_by_session(spark, sf_dir):
     return audit.documents_by_session(filing_chunks(spark, sf_dir))
 
 
-def ingest_manifest(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2("text", 256).alias("doc_hash"))
-    known = d.filter("doc_id < 100").select("doc_hash")
-    new = d.filter("doc_id >= 100")
-    return files.ingest_manifest(new, known, chunk.char_chunks(new.select("doc_id", "text")))
+def index_chunks(spark, sf_dir):
+    """Chunks of the filings that a manifest names: those of suppliers without debts of their own."""
+    named = table(spark, sf_dir, "supplier").filter("s_acctbal >= 0").select(F.concat(F.lit("Supplier "), F.col("s_suppkey").cast("string"), F.lit(" Holdings Ltd")).alias("company"))
+    d = filing_docs(spark, sf_dir).withColumn("source_file", F.concat("doc_id", F.lit(".txt")))
+    manifest = d.join(named, "company").select("source_file", "company", F.lit("Annual Report").alias("doc_type"), "period")
+    return files.index_chunks(d.select("doc_id", "source_file", "text"), manifest).withColumn("text", F.md5("text")).withColumnRenamed("text", "text_md5")
 
 
-def replaced_sources(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("source", "doc_id")
-    new = d.filter("source = 'src1' AND doc_id % 3 = 0").withColumn("doc_id", -F.col("doc_id") - 1)
-    return files.replaced(d, new)
+def get_chunks(spark, sf_dir):
+    """The first hundred chunks of a section, with what is asked for."""
+    return retrieve.get(filing_chunks(spark, sf_dir), {"section": "Balance Sheet"}, 100, ["company", "source"], "chunk_order")
 
 
-def hashed_and_stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Documents with doc_hash, and the hashes of those that labels covers, which stand for the store."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.sha2("text", 256).alias("doc_hash"))
-    return d, d.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("doc_hash")
+def session_chunks(spark, sf_dir):
+    return retrieve.session(filing_chunks(spark, sf_dir), "s5").select("chunk_id", "company")
 
 
-def doc_hash_dedupe_stored(spark, sf_dir):
-    d, known = hashed_and_stored(spark, sf_dir)
-    return chunk.drop_known(d.drop("text"), known)
+def list_documents(spark, sf_dir):
+    d = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").cast("date").alias("created_at"))
+    return files.list_documents(d).withColumn("created_at", F.col("created_at").cast("string"))
 
 
-def ingest_manifest_stored(spark, sf_dir):
+def collection_stats(spark, sf_dir):
+    return files.collection_stats(filing_chunks(spark, sf_dir).withColumnRenamed("analysis_id", "collection"), "hashed-tokens")
+
+
+def stored_chunks(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("unknown")).alias("source"), "text")
+    _, chunks = files.stored_pair(d, chunk.char_chunks(d))
+    return chunks.select("doc_id", "chunk_index", "metadata")
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request about each supplier to one of eleven sessions, of which ten exist; some name no company."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k"))
+    name = F.concat(F.lit("Supplier "), F.col("k").cast("string"), F.lit(" Holdings Ltd"))
+    return s.select(F.when(F.col("k") % 13 == 0, " \t").otherwise(name).alias("company"), F.concat(F.lit("s"), (F.col("k") % 11).cast("string")).alias("collection"))
+
+
+def collected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filing_chunks(spark, sf_dir).select(F.col("analysis_id").alias("collection"), "chunk_id", "chunk_order", "company", "text")
+
+
+def request_checks(spark, sf_dir):
+    return files.validate_requests(requests(spark, sf_dir), collected(spark, sf_dir).select("collection").distinct())
+
+
+def company_retrieval(spark, sf_dir):
+    asked = requests(spark, sf_dir)
+    return retrieve.retrieve_for_company(asked, collected(spark, sf_dir)).select("company", "collection", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+def company_analysis(spark, sf_dir):
+    found, _ = redflag.analyze(requests(spark, sf_dir), collected(spark, sf_dir))
+    return found.select("company", "collection", "overall_risk", "total_flags", F.array_join(F.transform("flags", lambda x: x["category"]), ",").alias("categories"), "model_used")
+
+
+def known_paths(spark, sf_dir):
+    """Documents of a path that its collection holds, with the chunks that they would have made; the store holds the labelled ones."""
     d, known = hashed_and_stored(spark, sf_dir)
-    return files.ingest_manifest(d, known, chunk.char_chunks(d.select("doc_id", "text")))
+    d = d.select("doc_id", F.coalesce("source", F.lit("none")).alias("collection"), F.concat(F.col("doc_hash"), F.lit(".txt")).alias("source_file"), F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    held = d.join(known.select(F.concat("doc_hash", F.lit(".txt")).alias("source_file")).distinct(), "source_file", "left_semi")
+    new, again = chunk.drop_known_paths(d.groupBy("collection", "source_file").agg(F.min_by("text", "doc_id").alias("text")), held)
+    return new.select("collection", "source_file", F.lit(0).cast("long").alias("skipped_chunks"), F.lit("new").alias("status")).unionByName(again.select("collection", "source_file", "skipped_chunks", F.lit("duplicate").alias("status")))
 
 
-def replaced_sources_whole(spark, sf_dir):
-    """The new batch is all of the first source, under new ids."""
-    d = table(spark, sf_dir, "documents").select("source", "doc_id")
-    first = d.agg(F.min("source").alias("_first"))
-    new = d.join(F.broadcast(first), F.col("source") == F.col("_first")).select("source", (-F.col("doc_id") - 1).alias("doc_id"))
-    return files.replaced(d, new)
+def ingest_manifest(spark, sf_dir):
+    """The store holds the first documents of each source; see ingest_manifest_stored for another."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.sha2("text", 256).alias("doc_hash"))
+    known = d.groupBy("source").agg(F.min("doc_id").alias("doc_id")).join(d.select("doc_id", "doc_hash"), "doc_id").select("doc_hash")
+    return files.ingest_manifest(d, known, chunk.char_chunks(d.select("doc_id", "text")))
 
 
-def cascade_delete(spark, sf_dir):
-    gone = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return files.cascade_delete(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), gone, "l_orderkey")
+def ingest_manifest_stored(spark, sf_dir):
+    d, known = hashed_and_stored(spark, sf_dir)
+    return files.ingest_manifest(d, known, chunk.char_chunks(d.select("doc_id", "text")))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        research_topk, doc_hash_dedupe, word_windows, word_windows_all, char_windows, clean_documents, sentence_stats, paragraph_pack, sentence_pack, page_margins, searchable,
-        filing_lines, metric_trend, metric_ranking, compare_companies, comparison_series, compare_peers, filing_tags, section_carry, block_chunks, layout_chunks,
-        decomposed_questions, inferred_companies, citations, research_answers, rule_flags, risk_rollup, severity_distribution, passage_risks, company_contexts,
-        response_flags, vector_topk, embedding_dimensions, quality_totals, metadata_completeness, session_breakdown, tag_counts, duplicate_hashes, broken_links,
-        tagged_metrics, company_name, chunk_metadata, report_metrics, chart_series, swot, key_takeaways, report_sections,
-        ratio_table, ratio_commentary, performance_commentary, executive_summary, risk_table, company_metrics_wide, documents_by_session, ingest_manifest,
-        replaced_sources, cascade_delete, doc_hash_dedupe_stored, ingest_manifest_stored, replaced_sources_whole,
+        research_topk, doc_hash_dedupe, word_windows, word_windows_all, char_windows, clean_documents, sentence_stats, searchable, filing_lines, metric_trend, metric_ranking, compare_companies,
+        comparison_series, compare_peers, compare_all, filing_tags, decomposed_questions, inferred_companies, citations, research_answers, research_prompts, rule_flags, risk_rollup, severity_distribution,
+        company_contexts, response_flags, response_fallback, risk_prompts, vector_topk, embedding_dimensions, quality_totals, distinct_values, distinct_companies, metadata_completeness, missing_fields,
+        session_breakdown, session_tables, feature_counts, tag_counts, top_tags, duplicate_hashes, broken_links, tagged_metrics, company_name, company_metrics_wide, documents_by_session, index_chunks,
+        get_chunks, session_chunks, list_documents, collection_stats, stored_chunks, request_checks, company_retrieval, company_analysis, known_paths, ingest_manifest, replaced_sources, cascade_delete,
+        doc_hash_dedupe_stored, ingest_manifest_stored, replaced_sources_whole,
     )
-}
+} | texts.QUERIES | reports.QUERIES
 
 # Oracles
 
@@ -419,12 +449,17 @@ wide as (
   select company, fy, max(value) filter (metric = 'Total Revenue') as revenue, max(value) filter (metric = 'Total Debt') as debt, max(value) filter (metric = 'Total Assets') as assets
   from v where fy = doc_id % 10000 group by company, fy),
 dec as (select company, fy, cast(cast(round(revenue, 2) as decimal(20,2)) as varchar) as revenue, cast(cast(round(debt, 2) as decimal(20,2)) as varchar) as debt, cast(cast(round(assets, 2) as decimal(20,2)) as varchar) as assets from wide)"""
-_FLAGS = rf"""{_F},
-hit as (
-  {" union all ".join(f"select doc_id, company, '{c}' as category, '{s}' as severity, '{t}' as title, cast({p} as double) as confidence, substring(text, 1, 240) as evidence from docs where regexp_matches(lower(text), '{r}')" for r, c, s, t, p in redflag.RULES)}),
+_RULES = """rules as (select unnest(['declin|drop|fell|down|reduced', 'borrow|debt|liability|leverag', 'cash flow|liquidity|working capital']) as p, unnest(['performance', 'capital_structure', 'liquidity']) as category,
+  unnest(['High', 'Medium', 'Medium']) as severity, unnest(['Revenue or profitability decline', 'Rising leverage or debt burden', 'Liquidity pressure']) as title, unnest([0.82, 0.78, 0.75]::double[]) as confidence,
+  unnest(['The retrieved evidence mentions a decline in financial performance.', 'The evidence references borrowings, debt, or higher liabilities.', 'The evidence mentions cash flow or liquidity concerns.']) as description,
+  unnest(['Declining indicators should be treated as a material risk signal.', 'Higher leverage can increase refinancing and solvency risk.', 'Weak liquidity can impair the ability to fund operations.']) as reason,
+  unnest(['Review management commentary and cash flow drivers in detail.', 'Assess debt maturity and covenant headroom.', 'Inspect operating cash flow and near-term obligations.']) as recommendation)"""
+_FLAGS = rf"""{_F}, {_RULES},
+hit as (select doc_id, company, category, severity, title, confidence, substring(text, 1, 240) as evidence, description, reason, recommendation from docs, rules where regexp_matches(lower(text), p)),
 flags as (
   select * from hit union all
-  select doc_id, company, '{redflag.CLEAR[0]}', '{redflag.CLEAR[1]}', '{redflag.CLEAR[2]}', {redflag.CLEAR[3]}, substring(text, 1, 240) from docs where doc_id not in (select doc_id from hit))"""
+  select doc_id, company, 'general', 'Low', 'No clear red flag detected', 0.6, substring(text, 1, 240), 'The retrieved evidence did not contain explicit risk signals.', 'The offline analyzer is conservative when no clear risk indicators are present.',
+    'Review the source material for additional context.' from docs where doc_id not in (select doc_id from hit))"""
 _QUESTIONS = r"""q as (select distinct cast(l_suppkey as bigint) as question_id from lineitem),
 sub as (select question_id, 1 as step, 'What is total revenue for Supplier ' || question_id || ' Holdings Ltd' as sub_question, 'Supplier ' || question_id || ' Holdings Ltd' as company from q
   union all select question_id, 2, 'what is total debt', null from q)"""
@@ -437,17 +472,80 @@ ev as (select question_id, step, rank, chunk_id, score, section, best.company, t
 
 _STORED = "d as (select doc_id, source, text, sha256(text) as h from documents), k as (select distinct h from d where doc_id in (select doc_id from labels))"
 
+_REQUESTS = "req as (select case when s_suppkey % 13 = 0 then ' ' || chr(9) else 'Supplier ' || s_suppkey || ' Holdings Ltd' end as company, 's' || (s_suppkey % 11) as collection from supplier)"
+_BEST = """q as (select distinct company as c, collection, list_distinct(regexp_extract_all(lower(company || ' financial report risks financial statements performance'), '[a-z]+')) as qt from req),
+sc as (select c as company, q.collection, chunk_id, chunk_order, text, len(list_intersect(qt, list_distinct(regexp_extract_all(lower(text), '[a-z]+')))) / len(qt) as score from q join chunks on analysis_id = q.collection),
+best as (select *, row_number() over (partition by company, collection order by score desc, chunk_order) as rank from sc qualify rank <= 5)"""
+_MANIFEST = """r as (select doc_id, text, case when trim(coalesce(text, '')) = '' then 'no_content' when exists (select 1 from k where k.h = d.h) then 'duplicate' else 'success' end as status from d)
+select doc_id, status, case when status = 'success' then cast(ceil(length(text) / 800.0) as bigint) else 0 end as chunks, status = 'duplicate' as duplicates_skipped, case when status = 'no_content' then 'Document is empty or unreadable' else '' end as error, 0.0::double as seconds from r"""
+
 ORACLES = {
+    "rule_flags": f"with {_FLAGS} select doc_id, category, severity, title, confidence, description, reason, recommendation, md5(evidence) as evidence_md5 from flags",
+    "word_windows": rf"""with src as (select doc_id, list_filter(string_split_regex({_SQUASH}, ' '), lambda x: x <> '') as ws from documents), {_windows(450, 350, "src")}
+select doc_id, doc_id || '-' || i as chunk_id, i as chunk_index, n as total_chunks, case when i > 0 then doc_id || '-' || (i - 1) else '' end as previous_chunk_id,
+  case when i < n - 1 then doc_id || '-' || (i + 1) else '' end as next_chunk_id, md5(piece) as text_md5,
+  length(piece) + coalesce(length(lag(piece) over p) + 2, 0) + coalesce(length(lead(piece) over p) + 2, 0) as window_chars from w window p as (partition by doc_id order by i)""",
+    "filing_tags": rf"""with {_F} select doc_id, {_case(tags.REPORT_TYPES, "lower(" + _SQUASH + ")", "Other")} as report_type, {_case(tags.GUESSES, "lower(text)", "General")} as section,
+  {_csv(tags.METRICS, "lower(text)")} as financial_metrics, {_csv(tags.TOPICS, "lower(text)")} as semantic_tags, cast(regexp_extract(lower(text), '\bannual\s+report\s+((19|20)\d{{2}})\b', 1) as int) as financial_year from docs""",
+    "compare_all": f"""with {_VALUES}, k as (select * from one where value is not null), l as (select metric, fy, arg_min(company, row(-value, company)) as leader, max(value) as leader_value from k group by metric, fy)
+select o.company, metric, fy, o.value, leader, leader_value, case when o.value > leader_value then o.company when leader_value > o.value then leader else 'Equal' end as winner from one o join l using (metric, fy)""",
+    "response_flags": f"""with {_FLAGS} select doc_id, category as asked, case when doc_id % 7 < 5 then category end as category, case when doc_id % 7 < 5 then severity end as severity,
+  case when doc_id % 7 < 5 then confidence end as confidence, doc_id % 7 < 5 as valid from flags""",
+    "response_fallback": f"""with {_FLAGS}, one as (select doc_id, min(category) as category from flags group by 1)
+select doc_id, category, severity, confidence, 'model' as model_used from flags join one using (doc_id, category) where doc_id % 7 < 5
+union all select doc_id, category, severity, confidence, 'offline-fallback' from flags where doc_id % 7 >= 5""",
+    "risk_prompts": f"""with {_CHUNKS}, t as (select company, row_number() over (partition by company order by chunk_order) as i, text, to_json({{'company': company, 'section': section, 'source_file': source}}) as meta from chunks)
+select company, md5('{research.RISK_RULES}' || chr(10) || chr(10) || 'Context:' || chr(10) || string_agg('Chunk ' || i || ': ' || text || chr(10) || 'Metadata: ' || meta, chr(10) || chr(10) order by i)) as prompt_md5 from t group by company""",
+    "quality_totals": f"""with {_CHUNKS} select count(*) as chunks, count(distinct doc_hash) as documents, count(distinct analysis_id) as sessions, count(distinct company) as companies, count(distinct report_type) as report_types,
+  count(distinct financial_year) as years, round(avg(len(string_split(text, ' '))), 6) as avg_chunk_words from chunks""",
+    "distinct_values": f"""with {_CHUNKS} select distinct field, value from (select unnest(['company', 'report_type', 'financial_year']) as field, unnest([company, report_type, cast(financial_year as varchar)]) as value from chunks) where value <> ''""",
+    "distinct_companies": f"with {_CHUNKS} select distinct company from chunks where company <> ''",
+    "metadata_completeness": f"""with {_CHUNKS}, s as (select count(*) as n, count(nullif(financial_metrics, '')) as m, count(*) filter (chunk_index > 0) as p, count(*) filter (chunk_index < total_chunks - 1) as q from chunks),
+f as (select n, unnest(['analysis_id', 'source', 'doc_hash', 'chunk_index', 'total_chunks', 'company_name', 'report_type', 'financial_year', 'financial_metrics', 'previous_chunk_id', 'next_chunk_id', 'page_start', 'page_end', 'page_numbers', 'section_title', 'section_type',
+    'semantic_tags', 'contains_table', 'contains_financial_table', 'contains_chart']) as field, unnest([n, n, n, n, n, n, n, n, m, p, q, 0, 0, 0, 0, 0, 0, 0, 0, 0]) as h from s)
+select field, n - h as missing, coalesce(h / nullif(n, 0), 0.0) as share from f""",
+    "missing_fields": "select unnest(['company_index', 'doc_hash', 'page_number']) as field",
+    "session_breakdown": f"""with {_CHUNKS}, s as (select analysis_id as session, count(*) as chunks, count(distinct doc_hash) as documents, count(distinct source) as sources, count(distinct company) as companies from chunks group by 1)
+select *, row_number() over (order by session) as session_no from s""",
+    "session_tables": f"""with p as ({texts.ORACLES['table_profiles']}), filing2 as ({FILINGS_SQL}), s as (select coalesce(case when filing_id % 7 > 0 then 's' || (filing_id % 7) end, 'unknown') as session, count(*) as chunks, count(distinct sha256(text)) as documents, count(distinct filing_id) as sources,
+  count(distinct company) as companies, count(*) filter (is_table) as tables, count(*) filter (is_financial_table) as financial_tables from filing2 join p on p.doc_id = filing_id group by 1)
+select *, row_number() over (order by session) as session_no from s""",
+    "feature_counts": f"with p as ({texts.ORACLES['table_profiles']}) select count(*) filter (is_table) as tables, count(*) filter (is_financial_table) as financial_tables, 0 as charts from p",
+    "tag_counts": f"with {_CHUNKS}, t as (select unnest(string_split(financial_metrics, ',')) as tag from chunks) select tag, count(*) as n from t where tag <> '' group by tag order by n desc, tag limit 10",
+    "top_tags": f"""with {_CHUNKS}, t as (select chunk_order, i, string_split(financial_metrics, ',')[i] as tag from chunks, unnest(range(1, len(string_split(financial_metrics, ',')) + 1)) t(i))
+select tag, count(*) as n from t where tag <> '' group by tag order by n desc, min(row(chunk_order, i)) limit 10""",
+    "broken_links": f"""with {_CHUNKS}, c as (select * from chunks where not contains(financial_metrics, 'Liquidity')),
+l as (select chunk_id, unnest([case when chunk_index > 0 then doc_id || '-' || (chunk_index - 1) end, case when chunk_index < total_chunks - 1 then doc_id || '-' || (chunk_index + 1) end]) as link from c)
+select chunk_id, link from l where link is not null and link not in (select chunk_id from c)""",
+    "documents_by_session": f"with {_CHUNKS}, t as (select analysis_id as session, count(distinct source) as n_sources, count(*) as n_chunks from chunks group by 1) select distinct analysis_id as session, source, n_sources, n_chunks from chunks join t on session = analysis_id",
+    "index_chunks": rf"""with {_F}, m as (select docs.*, list_filter(string_split({_SQUASH}, ' '), lambda x: x <> '') as ws from docs join supplier on company = 'Supplier ' || s_suppkey || ' Holdings Ltd' where s_acctbal >= 0), {_windows(120, 100, "m")}
+select w.doc_id || '-' || i as chunk_id, w.doc_id, i as chunk_index, n as total_chunks, company, 'Annual Report' as doc_type, {_case(tags.GUESSES, "lower(piece)", "General")} as section, w.doc_id || '.txt' as source_file, 'FY' || (w.doc_id % 10000) as period, md5(piece) as text_md5 from w join m using (doc_id)""",
+    "get_chunks": f"with {_CHUNKS} select chunk_order, company, source from chunks where section = 'Balance Sheet' order by chunk_order limit 100",
+    "session_chunks": f"with {_CHUNKS} select chunk_id, company from chunks where analysis_id = 's5'",
+    "list_documents": "select o_orderkey as doc_id, cast(cast(o_orderdate as date) as varchar) as created_at from orders",
+    "collection_stats": f"with {_CHUNKS} select analysis_id as collection, count(*) as chunks, 'hashed-tokens' as embedding_model from chunks group by 1",
+    "stored_chunks": r"""select doc_id, i // 800 as chunk_index, '{"source":"' || coalesce(source, 'unknown') || '","length":' || least(1000, length(text) - i) || '}' as metadata
+  from documents, unnest(range(0, length(text), 800)) t(i) where regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''""",
+    "request_checks": f"""with {_CHUNKS}, {_REQUESTS} select company, collection, case when trim(company, chr(9) || ' ') = '' then 'company is blank' when collection not in (select analysis_id from chunks) then 'collection is unknown' end as reason from req""",
+    "company_retrieval": f"with {_CHUNKS}, {_REQUESTS}, {_BEST} select company, collection, rank, chunk_id, round(score, 6) as score from best",
+    "company_analysis": f"""with {_CHUNKS}, {_REQUESTS}, {_BEST}, {_RULES}, ctx as (select company, collection, lower(string_agg(text, chr(10) order by rank)) as low from best where trim(company, chr(9) || ' ') <> '' group by 1, 2),
+h as (select company, collection, category, severity from ctx, rules where regexp_matches(low, p)),
+a as (select * from h union all select company, collection, 'general', 'Low' from ctx where not exists (select 1 from h where h.company = ctx.company and h.collection = ctx.collection))
+select company, collection, case when bool_or(severity = 'High') then 'High' when count(*) > 1 then 'Medium' else 'Low' end as overall_risk, count(*) as total_flags, string_agg(category, ',' order by category) as categories, 'offline-fallback' as model_used from a group by 1, 2""",
+    "known_paths": rf"""with recursive {_STORED}, q as (select coalesce(source, 'none') as collection, h || '.txt' as source_file, arg_min(text, doc_id) as text, bool_or(h in (select h from k)) as held from d where h is not null group by 1, 2),
+src as (select row_number() over (order by collection, source_file) as doc_id, * from q), p0 as (select doc_id, i, {texts._STRIP.format("string_split(text, chr(10))[i]")} as x from src, unnest(range(1, len(string_split(text, chr(10))) + 1)) t(i) where held),
+p as (select doc_id, row_number() over (partition by doc_id order by i) as i, length(x) as n from p0 where x <> ''),
+r as (select doc_id, i, n as used, 0 as chunk from p where i = 1 union all select p.doc_id, p.i, case when r.used + p.n > 1200 then p.n else r.used + p.n end, r.chunk + case when r.used + p.n > 1200 then 1 else 0 end from r join p on p.doc_id = r.doc_id and p.i = r.i + 1),
+c as (select doc_id, max(chunk) + 1 as n from r group by 1)
+select collection, source_file, case when held then coalesce(n, 0) else 0 end as skipped_chunks, case when held then 'duplicate' else 'new' end as status from src left join c using (doc_id)""",
+    "ingest_manifest": f"""with d as (select doc_id, source, text, sha256(text) as h from documents), k as (select distinct h from d join (select source as s, min(doc_id) as m from d group by 1) f on d.doc_id = f.m), {_MANIFEST}""",
+    "ingest_manifest_stored": f"with {_STORED}, {_MANIFEST}",
     "research_topk": f"with {_TOPK} select question_id, step, rank, chunk_id, round(score, 6) as score, section from ev",
     "citations": f"""with {_TOPK}, one as (select * from ev qualify row_number() over (partition by question_id, chunk_id order by step, rank) = 1)
 select question_id, row_number() over (partition by question_id order by step, rank) as citation_no,
   '[' || company || ' | Annual Report | ' || section || ' | ' || source || ' | chunk ' || chunk_id || ']' as citation,
   md5(case when length(text) > 220 then substring(text, 1, 220) || '{tx.ELLIPSIS}' else text end) as snippet_md5 from one""",
     "doc_hash_dedupe": "select doc_id, source, sha256(text) as doc_hash from documents qualify row_number() over (partition by sha256(text) order by source, doc_id) = 1",
-    "word_windows": rf"""with src as (select doc_id, list_filter(string_split_regex({_SQUASH}, ' '), lambda x: x <> '') as ws from documents where lang = 'en'), {_windows(450, 350, "src")}
-select doc_id, doc_id || '-' || i as chunk_id, i as chunk_index, n as total_chunks, case when i > 0 then doc_id || '-' || (i - 1) else '' end as previous_chunk_id,
-  case when i < n - 1 then doc_id || '-' || (i + 1) else '' end as next_chunk_id, md5(piece) as text_md5,
-  length(piece) + coalesce(length(lag(piece) over p) + 2, 0) + coalesce(length(lead(piece) over p) + 2, 0) as window_chars from w window p as (partition by doc_id order by i)""",
     "word_windows_all": rf"""with src as (select doc_id, list_filter(string_split_regex({_SQUASH}, ' '), lambda x: x <> '') as ws from documents), {_windows(450, 350, "src")}
 select doc_id, doc_id || '-' || i as chunk_id, i as chunk_index, n as total_chunks, case when i > 0 then doc_id || '-' || (i - 1) else '' end as previous_chunk_id,
   case when i < n - 1 then doc_id || '-' || (i + 1) else '' end as next_chunk_id, md5(piece) as text_md5,
@@ -474,58 +572,33 @@ select metric, case company when 'Supplier 1 Holdings Ltd' then 'Company 1' else
 where company in ('Supplier 1 Holdings Ltd', 'Supplier 2 Holdings Ltd') and metric in (select metric from k where company = 'Supplier 1 Holdings Ltd' intersect select metric from k where company = 'Supplier 2 Holdings Ltd')""",
     "compare_peers": f"""with {_VALUES} select b.company, metric, fy, a.value as own, b.value, case when a.value > b.value then a.company when b.value > a.value then b.company else 'Equal' end as winner
 from one a join one b using (metric, fy) where a.company = 'Supplier 1 Holdings Ltd' and b.company <> a.company""",
-    "filing_tags": rf"""with {_F} select doc_id, {_case(tags.REPORT_TYPES, "lower(" + _SQUASH + ")", "Other")} as report_type, {_case(tags.GUESSES, "lower(text)", "General")} as section,
-  {_csv(tags.METRICS, "lower(text)")} as financial_metrics, {_csv(tags.TOPICS, "lower(text)")} as semantic_tags,
-  cast(regexp_extract(lower(text), '\bfy\s*((19|20)\d{{2}})\b', 1) as int) as financial_year from docs""",
+    "research_prompts": f"""with {_TOPK}, qq as (select question_id, 'What is total revenue for Supplier ' || question_id || ' Holdings Ltd, and what is total debt?' as question from q),
+l as (select question_id, step, 0 as rank, 'Sub-question: ' || sub_question as line from sub union all
+  select question_id, step, rank, '- Evidence [' || company || ' | Annual Report | ' || section || ' | ' || source || ' | chunk ' || chunk_id || ']: ' || case when length(text) > 220 then substring(text, 1, 220) || '{tx.ELLIPSIS}' else text end from ev)
+select question_id, md5('Answer from the evidence alone, step by step, and cite the bracketed tags.' || chr(10) || chr(10) || 'Question: ' || any_value(question) || chr(10) || chr(10) || 'Evidence:' || chr(10) || string_agg(line, chr(10) order by step, rank)) as prompt_md5 from l join qq using (question_id) group by 1""",
+    "research_answers": f"""with {_TOPK}, qq as (select question_id, 'What is total revenue for Supplier ' || question_id || ' Holdings Ltd, and what is total debt?' as question from q),
+n as (select question_id, step, count(*) as n, string_agg('    - ' || case when length(text) > 220 then substring(text, 1, 220) || '{tx.ELLIPSIS}' else text end || chr(10) || '      Source: [' || company || ' | Annual Report | ' || section || ' | ' || source || ' | chunk ' || chunk_id || ']', chr(10) order by rank) as body from ev group by 1, 2),
+s as (select question_id, step, 'Step ' || step || ': ' || sub_question || chr(10) || coalesce('  Evidence found in ' || n || ' source passage(s):' || chr(10) || body, '  No indexed documents contain evidence for this.') as block from sub left join n using (question_id, step))
+select question_id, any_value(question) as question, 'Research question: ' || any_value(question) || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) order by step) as answer from s join qq using (question_id) group by 1""",
     "decomposed_questions": f"with {_QUESTIONS} select question_id, step, sub_question from sub",
     "inferred_companies": f"with {_QUESTIONS} select question_id, step, company from sub",
-    "rule_flags": f"with {_FLAGS} select doc_id, category, severity, title, confidence, md5(evidence) as evidence_md5 from flags",
     "risk_rollup": f"with {_FLAGS} select company, case when bool_or(severity = 'High') then 'High' when count(*) > 1 then 'Medium' else 'Low' end as overall_risk, count(*) as total_flags from flags group by company",
     "severity_distribution": f"with {_FLAGS} select company, count(*) filter (severity = 'Low') as low, count(*) filter (severity = 'Medium') as medium, count(*) filter (severity = 'High') as high from flags group by company",
     "company_contexts": f"with {_CHUNKS} select company, md5(string_agg(text, chr(10) order by chunk_order)) as text_md5 from chunks group by company",
-    "response_flags": f"""with {_FLAGS} select doc_id, category as asked, case when doc_id % 4 < 3 then category end as category, case when doc_id % 4 < 3 then severity end as severity,
-  case when doc_id % 4 < 3 then confidence end as confidence, doc_id % 4 < 3 as valid from flags""",
     "vector_topk": """with d as (select a.vec_id as query_id, b.vec_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (cast(x[1] as double) - x[2]) * (cast(x[1] as double) - x[2]))) as d
   from embeddings a, embeddings b where a.vec_id % 50 = 0)
 select query_id, vec_id, row_number() over (partition by query_id order by d, vec_id) as rank, round(d, 6) as distance from d qualify rank <= 5""",
     "embedding_dimensions": "select len(embedding) as dimension, count(*) as n from embeddings where embedding is not null group by 1",
-    "quality_totals": f"""with {_CHUNKS} select count(*) as chunks, count(distinct doc_hash) as documents, count(distinct analysis_id) as sessions, array_to_string(list_sort(list(distinct company)), ',') as companies,
-  array_to_string(list_sort(list(distinct report_type)), ',') as report_types, array_to_string(list_sort(list(distinct cast(financial_year as varchar))), ',') as years, round(avg(len(string_split(text, ' '))), 6) as avg_chunk_words from chunks""",
-    "metadata_completeness": """with s as (select count(*) as n, count(doc_id) as a, count(nullif(text, '')) as b, count(nullif(lang, '')) as c, count(nullif(source, '')) as d from documents),
-f as (select n, unnest([{'f': 'doc_id', 'h': a}, {'f': 'text', 'h': b}, {'f': 'lang', 'h': c}, {'f': 'source', 'h': d}, {'f': 'company', 'h': 0}]) as x from s)
-select x.f as field, n - x.h as missing, coalesce(x.h / nullif(n, 0), 0.0) as share from f""",
-    "session_breakdown": f"""with {_CHUNKS}, s as (select analysis_id as session, count(*) as chunks, count(distinct doc_hash) as documents, count(distinct source) as sources, count(distinct company) as companies from chunks group by 1)
-select *, row_number() over (order by session) as session_no from s""",
-    "tag_counts": f"with {_CHUNKS}, t as (select unnest(string_split(financial_metrics, ',')) as tag from chunks) select tag, count(*) as n from t where tag <> '' group by tag order by n desc, tag limit 10",
     "duplicate_hashes": "select sha256(text) as doc_hash, count(*) as n from documents group by 1 having count(*) > 1",
-    "broken_links": f"""with {_CHUNKS}, c as (select * from chunks where section <> 'General'),
-l as (select chunk_id, unnest([case when chunk_index > 0 then doc_id || '-' || (chunk_index - 1) end, case when chunk_index < total_chunks - 1 then doc_id || '-' || (chunk_index + 1) end]) as link from c)
-select chunk_id, link from l where link is not null and link not in (select chunk_id from c)""",
     "company_name": f"with {_F} select doc_id, company, 0.73 as score from docs",
-    "report_metrics": f"with {_VALUES} select company, fy, unnest(['Revenue', 'Debt', 'Assets']) as metric, unnest([coalesce(revenue, 'N/A'), coalesce(debt, 'N/A'), coalesce(assets, 'N/A')]) as value from dec",
-    "chart_series": f"""with {_VALUES} select company, fy, unnest(['revenue_profit', 'assets_liabilities', 'assets_liabilities']) as chart, unnest(['Revenue', 'Assets', 'Debt']) as label,
-  unnest([coalesce(revenue, 0), coalesce(assets, 0), coalesce(debt, 0)]) as value from wide""",
-    "swot": f"""with {_VALUES}
-select company, fy, 'strength' as quadrant, 'The company earns revenue.' as statement from wide where revenue <> 0
-union all select company, fy, 'strength', 'The company holds assets.' from wide where assets <> 0
-union all select company, fy, 'weakness', 'The company carries debt.' from wide where debt <> 0
-union all select company, fy, 'opportunity', 'Assets exceed debt.' from wide where assets > debt
-union all select company, fy, 'threat', 'Debt exceeds assets.' from wide where debt > assets""",
-    "performance_commentary": f"""with {_VALUES} select company, fy, unnest(['Revenue', 'Debt', 'Assets']) as metric,
-  unnest([coalesce('Revenue stood at ' || revenue || '.', 'Revenue is not available.'), coalesce('Debt stood at ' || debt || '.', 'Debt is not available.'), coalesce('Assets stood at ' || assets || '.', 'Assets is not available.')]) as sentence from dec""",
-    "risk_table": f"""with {_FLAGS}, shown as (select distinct company, category, severity, title from flags where severity <> 'Low')
-select company, coalesce(category, 'General') as category, coalesce(severity, 'Low') as severity, coalesce(title, 'No risk found') as title from (select distinct company from docs) left join shown using (company)""",
+    "tagged_metrics": rf"""with {_CHUNKS}, r as (select unnest(['Revenue', 'Debt', 'EPS']) as metric, unnest(['(?i)total revenue: \$([\d.,]+)', '(?i)total debt: \$([\d.,]+)', '(?i)earnings per share.*?([\d.]+)']) as p),
+v as (select company, metric, chunk_order, case when contains(lower(financial_metrics), lower(metric)) and regexp_matches(text, p) then trim(regexp_extract(text, p, 1)) end as v from chunks, r)
+select company, metric, coalesce(arg_min(v, chunk_order) filter (v is not null), 'Not Found') as value from v group by 1, 2""",
     "company_metrics_wide": f"""with {_VALUES}, l as (select company, metric, max_by(value, fy) as value from one group by all)
 select company, max(value) filter (metric = 'Total Revenue') as total_revenue, max(value) filter (metric = 'Total Debt') as total_debt, max(value) filter (metric = 'Total Assets') as total_assets from l group by company""",
-    "documents_by_session": f"with {_CHUNKS} select analysis_id as session, array_to_string(list_sort(list(distinct source)), ',') as sources, count(distinct source) as n_sources, count(*) as n_chunks from chunks group by 1",
-    "ingest_manifest": """with d as (select doc_id, text, sha256(text) as h from documents), k as (select distinct h from d where doc_id < 100)
-select doc_id, case when trim(coalesce(text, '')) = '' then 'no_content' when h in (select h from k) then 'duplicate' else 'success' end as status,
-  case when trim(coalesce(text, '')) <> '' and h not in (select h from k) then cast(ceil(length(text) / 800.0) as bigint) else 0 end as chunks from d where doc_id >= 100""",
     "replaced_sources": "select source, doc_id from documents where source <> 'src1' union all select source, -doc_id - 1 from documents where source = 'src1' and doc_id % 3 = 0",
     "cascade_delete": "select l_orderkey, l_linenumber from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F')",
     "doc_hash_dedupe_stored": f"with {_STORED} select doc_id, source, h as doc_hash from d where not exists (select 1 from k where k.h = d.h) qualify row_number() over (partition by h order by source, doc_id) = 1",
-    "ingest_manifest_stored": f"""with {_STORED}, r as (select doc_id, text, case when trim(coalesce(text, '')) = '' then 'no_content' when exists (select 1 from k where k.h = d.h) then 'duplicate' else 'success' end as status from d)
-select doc_id, status, case when status = 'success' then cast(ceil(length(text) / 800.0) as bigint) else 0 end as chunks from r""",
     "replaced_sources_whole": """with f as (select min(source) as s from documents)
 select source, doc_id from documents where source is distinct from (select s from f) union all select source, -doc_id - 1 from documents where source = (select s from f)""",
-}
+} | texts.ORACLES | reports.ORACLES

@@ -13,19 +13,19 @@ from argosy.operators.chunk import drop_known, word_chunks
 def ingest_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, size: int = 120, overlap: int = 20) -> StreamingQuery:
     """Chunks of the files in a folder go to the Parquet table at ``out``; a text whose hash is stored is skipped.
 
-    Each batch is written to a folder of its own number, so a batch that is run again replaces itself.
+    Hashes have a small table of their own beside it, so that a batch does not read the chunks. Each batch is written to
+    folders of its own number, so a batch that is run again replaces itself.
     """
+    hashes = f"{out.rstrip('/')}_hashes"
+    spark.createDataFrame([], "doc_hash STRING").write.mode("ignore").parquet(f"{hashes}/batch=-1")
 
     def store(batch: DataFrame, number: int) -> None:
         docs = batch.select(F.sha2("value", 256).alias("doc_hash"), F.col("file").alias("source"), tx.clean_text(F.make_valid_utf8("value")).alias("text")).withColumn("doc_id", F.col("doc_hash")).filter("text != ''")
         docs = docs.groupBy("doc_hash", "doc_id").agg(F.min_by(F.struct("source", "text"), "source").alias("d")).select("doc_hash", "doc_id", "d.source", "d.text")
-        try:
-            known = spark.read.schema("doc_hash STRING, batch INT").parquet(out).filter(F.col("batch") != number)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = spark.createDataFrame([], "doc_hash STRING")
-        word_chunks(drop_known(docs, known), size, overlap).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        known = spark.read.schema("doc_hash STRING, batch INT").parquet(hashes).filter(F.col("batch") != number)
+        new = drop_known(docs, known)
+        word_chunks(new, size, overlap).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        spark.read.parquet(f"{out}/batch={number}").select("doc_hash").distinct().write.mode("overwrite").parquet(f"{hashes}/batch={number}")
 
     files = spark.readStream.format("text").option("wholetext", True).load(folder).select("value", F.col("_metadata.file_path").alias("file"))
     return files.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
