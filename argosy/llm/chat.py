@@ -9,7 +9,9 @@ A transcript is one row. Conversations become transcripts in blocks of BLOCK_TUR
 a row; a longer conversation is parsed block by block, none of it is left out.
 
 Defined cases: a null or empty transcript has no lines and no turns; lines of white space join the turn
-they stand in; a null turn is turn 0; a row without conv_id is a conversation of its own; without labelled turns the probabilities are even and markers alone decide; ties go to
+they stand in; a null turn is turn 0; a row without conv_id is a conversation of its own; turns of
+other roles than ROLES, of null role or null text are left out of training, and written with the role
+they have; without labelled turns the probabilities are even and markers alone decide; ties go to
 the state that is first; repeated rows are parsed each by itself; a column with the name of a result
 column is replaced.
 """
@@ -28,6 +30,8 @@ from argosy.llm.common import kept, map_batches
 
 ROLES = ("system", "user", "assistant")
 BLOCK_TURNS = 4096
+#: What is trimmed off a line before its form is read, while counting as while parsing.
+SPACES = " \t\n\x0b\f\r"
 #: What speakers are called in transcripts.
 NAMES = {
     "system": "system instruction instructions context",
@@ -50,13 +54,13 @@ def marker_of(line: str) -> tuple[str | None, str]:
 
 def form_of(line: str) -> int:
     """Length in four steps, a question, a capital at the start: one of 16 forms."""
-    x = line.strip()
+    x = line.strip(SPACES)
     return min(3, len(x) // 60) * 4 + 2 * x.endswith("?") + x[:1].isupper()
 
 
 def form_column(line: Column) -> Column:
     """form_of() as a column, for counting."""
-    x = F.trim(line)
+    x = F.btrim(line, F.lit(SPACES))
     return F.least(F.lit(3), F.floor(F.length(x) / 60)).cast("int") * 4 + F.when(F.endswith(x, F.lit("?")), 2).otherwise(0) + F.when(x.rlike(r"^\p{Lu}"), 1).otherwise(0)
 
 

@@ -222,6 +222,31 @@ def test_chat(spark):
     assert chat.transcripts_of(empty).collect() == []
 
 
+def test_chat_held_out(spark, sf):
+    """Most lines of conversations that were not trained on get their role, though every fifth turn has no marker."""
+    out = [r for r in queries.op4_chat(spark, sf).collect() if r.held_out]
+    assert out and sum(r.n_right for r in out) >= 0.85 * sum(r.n_lines for r in out)
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    assert {r.conv_id for r in queries.op4_chat(spark, sf).collect()} == {r.conv_id for r in turns.collect()}
+
+
+def test_chat_forms_agree(spark):
+    """Counting and parsing see the same form of a line."""
+    lines = ["", " ", "\t", "Is it?\t", "\x0bUpper", " é?", "É", "x" * 61, "\r" + "y" * 119 + " ", "?", "\u00a0a"]
+    got = spark.createDataFrame(list(enumerate(lines)), "i INT, x STRING").select("i", chat.form_column(F.col("x")).alias("f")).collect()
+    assert {r.i: r.f for r in got} == {i: chat.form_of(x) for i, x in enumerate(lines)}
+
+
+def test_chat_odd_rows(spark):
+    """Clashing names, repeated rows and other roles."""
+    rows = [(1, 0, "tool", "Hi."), (1, 1, "user", "What?"), (1, 1, "user", "What?"), (2, 0, None, None)]
+    turns = spark.createDataFrame(rows, "conv_id INT, turn INT, role STRING, text STRING")
+    model = chat.train(turns)
+    t = chat.transcripts_of(turns).withColumn("Rendered", F.lit("old"))
+    out = {r.conv_id: r for r in chat.format_transcripts(t.union(t), model).collect()}
+    assert len(out) == 2 and out[1]["transcript"].count("What?") == 2 and out[1]["rendered"].startswith("<|") and [c.lower() for c in chat.format_transcripts(t, model).columns].count("rendered") == 1
+
+
 def test_chat_blocks_by_place(spark, monkeypatch):
     """Repeated, null and sparse turns fill blocks by their place; rows without a conversation stand alone."""
     monkeypatch.setattr(chat, "BLOCK_TURNS", 4)
@@ -268,6 +293,39 @@ def test_quality(spark, rows):
     assert quality.judge(docs_of(spark, []), labels).collect() == []
 
 
+def test_quality_score(spark, rows):
+    """The score and the verdict, by counting the hashed words and pairs once more."""
+    import math
+
+    import xxhash
+
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    word = lambda w: signed(xxhash.xxh64(w, seed=42).intdigest())
+    number = lambda n, seed: signed(xxhash.xxh64((n % 2**64).to_bytes(8, "little"), seed=seed % 2**64).intdigest())
+
+    def grams(t):
+        h = [word(w) for w in (t or "").encode().split()]
+        return h + [number(b, number(a, 42)) for a, b in zip(h, h[1:], strict=False)]
+
+    rows = [*rows, (3000, "toxic words " * 3 + "w1 w2 w3 " * 9, "s", "en")]
+    labels = [(i, int(i % 2 == 0), int(i % 10 == 0)) for i in range(0, 40, 2)] + [(None, 1, 0)]
+    good = {i for i, q, x in labels if q == 1 and x == 0 and i is not None}
+    raw, target = Counter(), Counter()
+    for i, t, *_ in rows:
+        raw.update(g % quality.BUCKETS for g in grams(t))
+        if i in good:
+            target.update(g % quality.BUCKETS for g in grams(t))
+    share = [quality.SMOOTHING + raw[b] for b in range(quality.BUCKETS)]
+    whole, seen, prior = sum(share), sum(target.values()), quality.PRIOR * quality.BUCKETS
+    ratio = [math.log((target[b] + prior * share[b] / whole) / (seen + prior)) - math.log(share[b] / whole) for b in range(quality.BUCKETS)]
+    for threshold in (quality.THRESHOLD, 0.0):
+        out = quality.judge(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id LONG, quality INT, toxic INT"), threshold).collect()
+        for r in out:
+            g = grams(r.text)
+            score = sum(ratio[x % quality.BUCKETS] for x in g) / len(g) if g else 0.0
+            assert abs(r.score - score) < 1e-9 and r.kept == (not r.base_failed and r.score >= threshold)
+
+
 def test_quality_rejects_junk(spark):
     r = random.Random(5)
     vocab = ["word%d" % i for i in range(200)]
@@ -584,3 +642,28 @@ def test_pipeline(spark, sf):
     want = classes(sorted(sets), lambda a, b: bool(sets[a] & sets[b]) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
     assert sorted(r.doc_id for r in kept["near_dedup"].collect()) == sorted(set(want.values()))
     assert n["sharding"] == n["mixing"] and {"shard", "slot", "size"} <= set(kept["sharding"].columns)
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Every stage keeps columns whatever their names are, and takes nulls, empty and repeated rows and empty tables."""
+    import corpus_pipeline
+
+    r = random.Random(11)
+    text = lambda n: " ".join("v%d" % r.randrange(500) for _ in range(n))
+    rows = [(i, text(40), f"s{i % 3}", "en") for i in range(40)] + [(None, text(40), None, None), (50, None, "s0", None), (51, "", "s1", "en"), (3, text(40), "s1", "en"), (60, text(20_000), "s2", "en")]
+    clash = "score n_words kept _n copies target contaminated component_id rate size_ _row".split()
+    docs = docs_of(spark, rows).withColumns({c: F.lit(f"own {c}") for c in clash})
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id LONG, quality INT, toxic INT")
+    bench = spark.createDataFrame([(1, rows[5][1])], "item_id LONG, text STRING")
+    for name, df in (("labels", labels), ("benchmark", bench)):
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    for start in (docs, docs.limit(0)):
+        step = start
+        for name, stage in corpus_pipeline.STAGES:
+            step = stage(spark, step, str(tmp_path)).cache()
+            assert set(docs.columns) <= set(step.columns) and (name == "sharding" or step.columns == docs.columns), name
+            assert all(x[c] == f"own {c}" for x in step.collect() for c in clash), name
+            ids = {x.doc_id for x in step.collect()}
+            if start is docs:
+                assert 1 in ids and None in ids or name in ("mixing", "sharding")
+                assert not ids & {50, 51} and (5 in ids) == (name in ("quality_rules", "near_dedup"))
