@@ -564,6 +564,45 @@ def test_langid(spark, sf):
     assert {r.lang_pred for r in langid.identify(d, langid.train(d.limit(1))).collect()} == {"en", "und"}
 
 
+def test_langid_by_counting(spark):
+    """Predictions and scores of all rows, by counting trigrams in plain loops; clashing names, repeated rows, no rows."""
+    import math
+
+    r = random.Random(12)
+    words = {"aa": "lo mi ta ru", "bb": "schön grün weiß", "cc": "été garçon là", "dd": "ñu año sí"}
+    rows = [(i, " ".join(r.choice(words[x].split()) for _ in range(r.randint(3, 12))), "s", x) for i, x in enumerate(sorted(words) * 8)]
+    asked = rows + [(100, "lo grün là año", "s", None), (101, "", "s", "aa"), (102, "9 9 9", "s", "aa"), (103, "x", "s", None), rows[0], (104, "lo " * 5000, "s", None)]
+
+    def count(text):
+        b, out = b" " + text.lower().encode() + b" ", Counter()
+        for k in range(len(b) - 2):
+            out[(int.from_bytes(b[k : k + 3], "big") * 0x9E3779B1 % 2**32) >> 19] += 1
+        return out
+
+    total = {x: sum((count(t) for _, t, _, y in rows if y == x), Counter()) for x in sorted(words)}
+    share = {x: [(c[b] + langid.SMOOTHING) / (sum(c.values()) + langid.SMOOTHING * langid.BUCKETS) for b in range(langid.BUCKETS)] for x, c in total.items()}
+    code, langs = langid.codewords(4), sorted(words)
+    weights, weigh = [], []
+    for k in range(code.shape[1]):
+        side = [[share[x] for i, x in enumerate(langs) if code[i, k] == s] for s in (1, -1)]
+        weights.append([math.log(sum(a) / len(a)) - math.log(sum(b) / len(b)) for a, b in zip(zip(*side[0], strict=True), zip(*side[1], strict=True), strict=True)])
+        weigh.append(sum(abs(sum(p * w for p, w in zip(share[x], weights[-1], strict=True))) for x in langs) / 4)
+    weigh = [w / sum(weigh) for w in weigh]
+    model = langid.train(docs_of(spark, rows))
+    out = langid.identify(docs_of(spark, asked).withColumn("SCORE", F.lit("old")), model).collect()
+    assert len(out) == len(asked)
+    for row in out:
+        if not any(c.isalpha() for c in row.text):
+            assert (row.lang_pred, row.score) == ("und", 0.0)
+            continue
+        c = count(row.text)
+        margin = [langid.SHARPNESS * sum(w[b] * n for b, n in c.items()) / sum(c.values()) for w in weights]
+        loss = [sum(g * math.log1p(math.exp(-code[i, k] * m)) for k, (m, g) in enumerate(zip(margin, weigh, strict=True))) for i in range(4)]
+        near = [math.exp((min(loss) - v) * len(weigh)) for v in loss]
+        assert row.lang_pred == langs[loss.index(min(loss))] and abs(row.score - max(near) / sum(near)) < 1e-4
+    assert langid.identify(docs_of(spark, []), model).collect() == []
+
+
 def test_codewords():
     for n in (2, 3, 7, 9):
         code = langid.codewords(n)
