@@ -119,11 +119,19 @@ def report_assembly(spark, sf_dir):
     )
 
 
+def labelled_metrics(spark, sf_dir):
+    """The labels of reports of figures, written out with a line for each figure that there is."""
+    line = lambda label, c: F.concat(F.lit(f"{label}: "), F.col(c).cast("string"))
+    lines = [line("Company", "company"), line("Revenue", "revenue"), line("Net Income", "net_profit"), line("Total Assets", "assets"), line("Total Liabilities", "liabilities"), line("Cash Flow from Operations", "cash_flow"), line("Gross Margin", "gross_margin"), line("Earnings Per Share (EPS)", "eps")]
+    texts = wide(spark, sf_dir).select("company", "fy", F.concat_ws("\n", *lines).alias("text"))
+    return extract.labelled_metrics(texts)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         report_metrics, ratio_table, risk_table, risk_assessment, comparison_table, research_table, performance_commentary, ratio_commentary, swot, key_takeaways,
-        executive_summary, company_overview, chart_series, report_sections, report_assembly,
+        executive_summary, company_overview, chart_series, report_sections, report_assembly, labelled_metrics,
     )
 }
 
@@ -205,6 +213,7 @@ ORACLES = {
     "executive_summary": f"with {_W} select * from execu",
     "company_overview": f"with {_W} select * from over_",
     "chart_series": f"with {_W} select company, fy, chart, label, cast(value as double) as value from charts",
+    "labelled_metrics": f"""with {_W} select company, fy, ['Company', 'Revenue', 'Net Income', 'Total Assets', 'Total Liabilities', 'Cash Flow', 'EPS'][k] as metric, coalesce([company, t1, t2, t7, t8, t9, t3][k], 'Not Found') as value from wide, unnest(range(1, 8)) t(k)""",
     "report_assembly": f"""with {_W} select company, fy, cast(revenue as double) as revenue, (select count(*) from rat r where r.company = w.company and r.fy = w.fy) as n_ratios, n_risks, n_peers, n_research,
   coalesce((select min(category) from risks r where r.company = w.company and r.fy = w.fy), '') as first_risk, coalesce((select min(peer) from peers r where r.company = w.company and r.fy = w.fy), '') as first_peer,
   coalesce((select min(question) from research r where r.company = w.company and r.fy = w.fy), '') as first_question from wide w join n using (company, fy)""",
