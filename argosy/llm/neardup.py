@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     open_ = open_.join(bits, "rep")
     x, y = (open_.select("band", *(F.col(c).alias(f"{c}_{i}") for c in ("rep", "n", "part", "bits"))) for i in "xy")
     # a bit that only one text has is a shingle at least that the other lacks, which bounds the similarity from above
-    lacks = lambda a, b: sum((F.bit_count(F.get(a, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(i))))) for i in range(MAP)), F.lit(0))
+    lacks = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda n, k: n + k)
     most = F.least(F.col("n_x") - lacks("bits_x", "bits_y"), F.col("n_y") - lacks("bits_y", "bits_x"))
     within = F.lit(100) * most >= F.lit(percent) * (F.col("n_x") + F.col("n_y") - most)
     rest = x.join(y, (x["band"] == y["band"]) & (F.col("part_x") < F.col("part_y")) & within)
