@@ -61,7 +61,7 @@ OUTLOOK = (
     "The findings should be considered alongside broader market, industry, and economic factors. This report does not constitute investment advice."
 )
 ANALYSED = (
-    " has been analysed using the Multi-Agent Financial Research System. The report combines financial extraction, risk detection, "
+    " has been analysed using the report system. The report combines financial extraction, risk detection, "
     "company comparison, and research findings to provide an overall assessment of the organisation."
 )
 OVERALL = (
@@ -70,7 +70,7 @@ OVERALL = (
 )
 CONCLUSION = (
     "The financial information available for ",
-    " has been successfully analysed using the Multi-Agent Financial Research System. This report combines structured financial data, detected "
+    " has been successfully analysed using the report system. This report combines structured financial data, detected "
     "risks, company benchmarking and research findings into a single analyst-style document.\n\nThe results should be interpreted alongside "
     "industry trends, macroeconomic conditions and future company disclosures. This report is intended for educational and analytical purposes "
     "and does not constitute investment advice.",

@@ -185,7 +185,7 @@ keyp as (select company, fy, list_filter([case when revenue is not null then 'Re
   case when n_risks > 0 then n_risks || ' financial risks detected.' else 'No significant financial risks detected.' end, case when n_peers > 0 then 'Company comparison completed.' end,
   case when n_research > 0 then 'Research findings include cited evidence.' end], lambda x: x is not null) as l from wide join n using (company, fy)),
 keyt as (select company, fy, k as no, coalesce(l[k], 'Additional financial analysis recommended.') as takeaway from keyp, unnest(range(1, 11)) t(k)),
-execu as (select company, fy, company || ' has been analysed using the Multi-Agent Financial Research System. The report combines financial extraction, risk detection, company comparison, and research findings to provide an overall assessment of the organisation.'
+execu as (select company, fy, company || ' has been analysed using the report system. The report combines financial extraction, risk detection, company comparison, and research findings to provide an overall assessment of the organisation.'
   || coalesce(chr(10) || chr(10) || 'The company reported revenue of ' || format('{{:,.2f}}', cast(revenue as double)) || ', indicating the scale of its operations.', '')
   || coalesce(' Net profit of ' || format('{{:,.2f}}', cast(net_profit as double)) || ' reflects overall profitability.', '')
   || coalesce(' Operating margin of ' || t4 || '% provides insight into operational efficiency.', '')
@@ -236,7 +236,7 @@ body as (
   union all select company, fy, 14, string_agg(question || ' | ' || answer || ' | ' || source, chr(10) order by question, source, answer) from rese group by company, fy
   union all select company, fy, 15, 'This report provides an objective assessment of the company''s financial position based on the available financial documents. The findings should be considered alongside broader market, industry, and economic factors. This report does not constitute investment advice.' from wide
   union all select company, fy, 16, string_agg(takeaway, chr(10) order by no) from keyt group by company, fy
-  union all select company, fy, 17, 'The financial information available for ' || company || ' has been successfully analysed using the Multi-Agent Financial Research System. This report combines structured financial data, detected risks, company benchmarking and research findings into a single analyst-style document.'
+  union all select company, fy, 17, 'The financial information available for ' || company || ' has been successfully analysed using the report system. This report combines structured financial data, detected risks, company benchmarking and research findings into a single analyst-style document.'
     || chr(10) || chr(10) || 'The results should be interpreted alongside industry trends, macroeconomic conditions and future company disclosures. This report is intended for educational and analytical purposes and does not constitute investment advice.' from wide
   union all select company, fy, 18, 'Figures of FY' || fy || '.' from wide)
 select company, fy, i as section_no, t[i] as section, md5(b) as body_md5 from body, titles""",
