@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argosy.llm import chat, decontaminate, html, langid, linedup, mix, neardup, quality, shard, substring
+from argosy.llm import chat, decontaminate, html, langid, linedup, mix, nearest, neardup, quality, shard, spelling, substring, whiten
 from argosy.session import table
 
 
@@ -80,7 +80,27 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2)
 
 
-QUERIES = {"pipeline": pipeline, "op1_decontaminate": op1_decontaminate, "op2_mix": op2_mix, "op3_html": op3_html, "op4_chat": op4_chat, "op5_quality": op5_quality, "op6_linedup": op6_linedup, "op7_shard": op7_shard, "op8_substring": op8_substring, "op9_langid": op9_langid, "op10_neardup": op10_neardup}
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whiten.fit(vectors)
+    out = whiten.whiten(vectors, model, keep=["vec_id"])
+    error = whiten.identity_error(out, model.rows, len(model.variances))
+    each = out.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    explained = F.element_at(F.lit(model.explained or [0.0]).cast("array<double>"), F.col("at") + 1)
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.rows).cast("long").alias("n"), "deviation", "whitened", explained.alias("explained"), F.lit(error).alias("identity_error"))
+
+
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+QUERIES = {"pipeline": pipeline, "op1_decontaminate": op1_decontaminate, "op2_mix": op2_mix, "op3_html": op3_html, "op4_chat": op4_chat, "op5_quality": op5_quality, "op6_linedup": op6_linedup, "op7_shard": op7_shard, "op8_substring": op8_substring, "op9_langid": op9_langid, "op10_neardup": op10_neardup, "op11_whiten": op11_whiten, "op12_nearest": op12_nearest, "op13_spelling": op13_spelling}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -115,4 +135,10 @@ word as (select doc_id, q, ws[q] as x from d, unnest(range(1, len(ws) + 1)) t(q)
 left_ as (select doc_id, string_agg(x, ' ' order by q) as kept, count(*) as n from word anti join gone using (doc_id, q) group by doc_id)
 select doc_id, len(ws) as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
 from d left join left_ using (doc_id)""",
+    "op12_nearest": """
+with v as (select distinct vec_id, cast(embedding as double[]) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e) as score from v q join v c on q.vec_id % 20 = 0 and q.vec_id is distinct from c.vec_id),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20""",
 }
