@@ -5,7 +5,11 @@ an element's points are discounted by the share of its text that lies in links.
 and those siblings that score like it are kept, without boilerplate and blocks of links inside them.
 Paragraphs, lists, tables and text runs beside it or beside what holds it are judged by their own
 length, commas and links, and headings stay that lie before or between kept blocks. Within an
-article element all stays but marked parts and blocks of links.
+article element all stays but marked parts and lists of short links without a heading of their own.
+
+A name in class or id marks an element only as a whole word ("related", "comment-list"; not "related-work"),
+and one that names a gadget (share, tags, menu) only if its text scores low. A form is one only if most of
+the page stands outside it; else it wraps the page, and only its controls go.
 
 Pages are independent: one scan, no shuffle; a page's tree is the only state, and the work grows with
 the page's length.
@@ -32,16 +36,17 @@ NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 REST = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+)>""")
 ATTRIBUTE = re.compile(r"""(?<![^\s="'>/])([^\s="'>/]++)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++)""")
 SPACE = re.compile(r"\s+")
+DIGIT = re.compile(r"\d")
 
 # Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math noframes xmp".split())
+RAW = frozenset("script style textarea title noscript iframe template svg noframes xmp annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCK - {"html", "body", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
-DROPPED = frozenset("nav aside footer form button select input menu dialog head object canvas audio video fieldset search".split())
+DROPPED = frozenset("nav aside footer button label datalist select input menu dialog head object canvas audio video fieldset search".split())
 CONTAINER = frozenset("article main section div td body blockquote".split())
 #: What a start tag ends: elements of the same kind, up to the nearest of the bounds. (start tags, what they end, bounds)
 ENDS = [
@@ -58,6 +63,14 @@ MARKS = frozenset(
     " promo promoted promotion related recommended recommendations share sharing social sidebar widget widgets skip sponsor sponsored popup modal"
     " overlay paywall login toolbar tags complementary contentinfo".split()
 )
+#: Of these, gadgets: an element of such a name with a text of its own is part of the article.
+GADGETS = frozenset("share sharing social menu nav navbar navigation tags login toolbar skip popup modal overlay respond".split())
+#: What may stand beside a mark in a hyphenated name.
+NEUTRAL = frozenset(
+    "area bar block body bottom box button buttons card cell col column container content count feed footer form global grid group header heading holder icon icons"
+    " inner item items label large layout left link links list local main message mini mobile module notice outer page panel post posts primary region right row"
+    " secondary section site slot small space sticky story stories tag text thread title toggle top unit view wrap wrapper zone js wp div id ul li".split()
+)
 #: These count only without a word that speaks for the article.
 WEAK_MARKS = frozenset("header notice notices alert side search reply foot".split())
 KEEP_MARKS = frozenset("article main content post entry story body text".split())
@@ -67,14 +80,15 @@ NOT_ARTICLE = frozenset("comment comments reply replies ad ads advert advertisem
 
 
 class Node:
-    """An element. ``block`` is the nearest block around it, ``scope`` the inline elements open in its block, ``p`` the open
+    """An element. ``soft`` marks are settled by judge; ``headed``: a heading stands directly before it; ``block`` is the nearest block around it, ``scope`` the inline elements open in its block, ``p`` the open
     paragraph around it within its block and ``outer`` the outermost open element of each of ENDS within its bounds."""
 
-    __slots__ = ("name", "parent", "parts", "marked", "wrapper", "in_article", "block", "scope", "p", "outer", "hidden", "score", "size", "linked", "own", "own_linked", "commas")
+    __slots__ = ("name", "parent", "parts", "marked", "soft", "headed", "wrapper", "in_article", "block", "scope", "p", "outer", "hidden", "score", "size", "linked", "links", "heads", "figures", "own", "own_linked", "commas")
 
     def __init__(self, name: str, parent: Node | None, marked: bool = False) -> None:
         self.name, self.parent, self.marked, self.parts, self.wrapper, self.score = name, parent, marked, [], False, 0.0
-        self.size = self.linked = self.own = self.own_linked = self.commas = 0
+        self.soft = self.headed = False
+        self.size = self.linked = self.links = self.heads = self.figures = self.own = self.own_linked = self.commas = 0
         blocky = name in BLOCK
         if parent is None:
             self.in_article, self.block, self.scope, self.p, self.outer = False, None, {}, None, (None,) * len(ENDS)
@@ -88,37 +102,60 @@ class Node:
             self.outer = tuple(None if name in bounds else at or (self if name in ended else None) for at, (_, ended, bounds) in zip(parent.outer, ENDS, strict=True))
 
     def dense(self) -> bool:
-        """Do links make up a block? Headings never count as such, items go with their list, a paragraph counts if it is all links."""
-        if self.name in HEADINGS or self.name in ITEMS or self.name not in BLOCK:
+        """Is a block like a menu: short links and hardly a word besides? Headings never are, nor what holds one, nor figures
+        in a table; items go with their list, and a paragraph is if it is one short link."""
+        if self.name in HEADINGS or self.name in ITEMS or self.name not in BLOCK or not self.links or self.heads:
+            return False
+        if self.name in ("p", "pre"):
+            return self.linked >= self.size and self.linked < SHORT_LINE
+        if 5 * (self.size - self.linked) > self.size or self.linked >= SHORT_LINK * self.links or self.name == "table" and self.figures:
             return False
-        return self.linked > 0 and (self.linked >= self.size if self.name in ("p", "pre") else 2 * self.linked > self.size)
+        return self.links < 2 or not self.headed
 
 
+#: Code points: a paragraph that is one link is an article's from here on, and a list if its links have so many on average.
+SHORT_LINE, SHORT_LINK = 25, 40
 ENDING = frozenset(x for rule in ENDS for names in rule for x in names)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ITEMS = frozenset("li dt dd tr td th tbody thead tfoot caption".split())
 
 
-def is_marked(name: str, attributes: str, in_article: bool) -> bool:
-    """Does the name, class, id or role say that an element is not the article?"""
+def words_of_names(value: str) -> set[str]:
+    """The words of class names, without names of which a word is neither a mark nor neutral."""
+    out: set[str] = set()
+    for name in value.split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        known = [w in MARKS or w in WEAK_MARKS or w in NEUTRAL or w in KEEP_MARKS or w in ("has", "with", "no") for w in words]
+        if all(known):
+            out.update(words)
+    return out
+
+
+def mark_of(name: str, attributes: str, in_article: bool) -> str:
+    """Does the name, class, id or role say that an element is not the article? "hard", "soft" (unless its text says otherwise) or ""."""
     if name in DROPPED or name in RAW or name == "header" and not in_article:
-        return True
+        return "hard"
     if name in ("main", "body", "html") or not attributes:
-        return False
+        return ""
     words: set[str] = set()
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key in ("class", "id", "role"):
-            words.update(re.split(r"[^a-z0-9]+", value))
+        if key in ("class", "id"):
+            words |= words_of_names(value)
+        elif key == "role" and value in MARKS:
+            return "hard"
         elif key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+            return "hard"
     if re.search(r"(?:^|\s)hidden(?:\s|$)", re.sub(r"=\s*(\"[^\"]*\"|'[^']*'|\S+)", "", attributes)):
-        return True
+        return "hard"
     if words & {"has", "with", "no"}:
         words -= LAYOUT
     if name == "article":
-        return bool(words & NOT_ARTICLE)
-    return bool(words & MARKS) or bool(words & WEAK_MARKS) and not words & KEEP_MARKS
+        return "hard" if words & NOT_ARTICLE else ""
+    found = words & MARKS
+    if found:
+        return "soft" if found <= GADGETS else "hard"
+    return "hard" if words & WEAK_MARKS and not words & KEEP_MARKS else ""
 
 
 def parse(html: str) -> list[Node]:
@@ -182,15 +219,17 @@ def parse(html: str) -> list[Node]:
             here.parts.append(" ")
             continue
         node = Node(name, here)
-        node.marked = is_marked(name, rest[1], node.in_article)
+        mark = mark_of(name, rest[1], node.in_article)
+        node.marked, node.soft = bool(mark), mark == "soft" or name == "form" and not mark
         here.parts.append(node)
         nodes.append(node)
-        if name in ("article", "main", "h1") and not node.marked:
+        if name in ("article", "main", "h1") and (node.soft or not node.marked):
             # what holds the article or its heading is a wrapper, whatever its class says
             up = here
             while up is not None and not up.wrapper:
                 up.wrapper = True
                 up.marked = up.marked and (up.name in DROPPED or up.name in ("header", "article"))
+                up.soft = up.soft and up.name == "form"
                 up = up.parent if not up.marked else None
         if not rest[1].endswith("/") or name in BLOCK:
             here = node
@@ -200,9 +239,35 @@ def parse(html: str) -> list[Node]:
     return nodes
 
 
+def judge(nodes: list[Node]) -> None:
+    """Settle soft marks: a gadget with a text of its own is none; a form is one if most of the page stands outside it."""
+    total: dict[Node, int] = {}
+    linked: dict[Node, int] = {}
+    linking = set()
+    for x in nodes:
+        if x.name == "a" or x.parent in linking:
+            linking.add(x)
+    for x in reversed(nodes):
+        n = sum(len(p.strip()) if isinstance(p, str) else total.get(p, 0) for p in x.parts if isinstance(p, str) or p.soft or not p.marked)
+        total[x] = n
+        linked[x] = n if x in linking else sum(linked.get(p, 0) for p in x.parts if isinstance(p, Node) and (p.soft or not p.marked))
+    for x in nodes:
+        if x.soft:
+            if x.name == "form":
+                x.marked = 2 * total[x] <= total[nodes[0]]
+            else:
+                x.marked = total[x] < TEXT or 4 * linked[x] > total[x]
+
+
+#: Code points of a gadget from which its text, if it is not in links, is the article's.
+TEXT = 80
+
+
 def measure(nodes: list[Node]) -> None:
-    """Characters of each element's text and of its links, in all (size, linked) and outside inner blocks (own, own_linked,
-    with commas); marked elements count for nothing. Inner elements come later in page order, so they are summed first."""
+    """Characters of each element's text and of its links, in all (size, linked, with links and heads as numbers of links and
+    headings, and figures of digits outside links) and outside inner blocks (own, own_linked, with commas); marked elements
+    count for nothing. Inner elements come later in page order, so they are summed first."""
+    judge(nodes)
     linking = set()
     for x in nodes:
         x.hidden = x.marked or x.parent is not None and x.parent.hidden
@@ -211,16 +276,23 @@ def measure(nodes: list[Node]) -> None:
     for x in reversed(nodes):
         if x.hidden:
             continue
+        heading = False
         for part in x.parts:
             if isinstance(part, str):
                 n = len(part.strip())
+                heading = heading and not n
                 x.size, x.own, x.commas = x.size + n, x.own + n, x.commas + part.count(",")
                 if x in linking:
                     x.linked, x.own_linked = x.linked + n, x.own_linked + n
+                elif n:
+                    x.figures += len(DIGIT.findall(part))
             elif not part.marked:
-                x.size, x.linked = x.size + part.size, x.linked + part.linked
+                part.headed, heading = heading, part.name in HEADINGS
+                x.size, x.linked, x.links, x.heads, x.figures = x.size + part.size, x.linked + part.linked, x.links + part.links, x.heads + part.heads, x.figures + part.figures
                 if part.name not in BLOCK:
                     x.own, x.own_linked, x.commas = x.own + part.own, x.own_linked + part.own_linked, x.commas + part.commas
+        x.links += x.name == "a" and x.size > 0
+        x.heads += x.name in HEADINGS and x.size > 0
 
 
 def points(size: int, linked: int, commas: int) -> float:
