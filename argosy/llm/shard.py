@@ -10,8 +10,8 @@ document. A hot group of equal texts is split by the second half of the key. The
 thousand cells of keys; where such a cell would have more than CELL_ROWS rows, it is cut into slices
 by further bits of the key, which are counted and summed up by Spark.
 
-Defined cases: a null text has no bytes and the key of an empty one; a null id has the key of an
-empty one; rows with equal text and id have one key and stay in one shard; an empty table gives no
+Defined cases: a null text has no bytes and the key of an empty one; rows without an id are numbered
+once, so equal texts among them are parted like others; rows with equal text and id have one key and stay in one shard; an empty table gives no
 rows; a document column with the name of a result column is replaced.
 """
 
@@ -122,8 +122,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.0, doc_id:
     spark = with_checkpoint_dir(docs.sparkSession)
     on = kept(docs, keep, ["size", "shard", "slot"])
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
-    d = docs.select(row(on).alias("_row"), key_of(F.col(text)).alias("k1"), key_of(F.col(doc_id)).alias("k2"), size.alias("size"))
-    keys = docs.select(key_of(F.col(text)).alias("k1"), key_of(F.col(doc_id)).alias("k2"), size.alias("size")).checkpoint()
+    d = docs.select(row(on).alias("_row"), key_of(F.col(text)).alias("k1"), F.col(doc_id).alias("_id"), size.alias("size"))
+    # the numbers of rows without an id must not change between the passes, so these rows are written with them
+    unnamed = d.filter("_id IS NULL").withColumn("k2", key_of(F.monotonically_increasing_id())).checkpoint()
+    d = d.filter("_id IS NOT NULL").withColumn("k2", key_of(F.col("_id"))).unionByName(unnamed).drop("_id")
+    keys = d.select("k1", "k2", "size").checkpoint()
     ranges, total, count = find_ranges(keys, shards, tolerance)
     cells = find_cells(ranges, total, count, shards)
     made = literal_table(spark, cells, "bin long, l1 long, l2 long, h1 long, h2 long, shard int, base long, cell int")
