@@ -8,11 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ELLIPSIS = "\u2026"
+#: White space of every script and the separators of ASCII, as a Java pattern; \\s alone is ASCII's.
+SPACE = r"(?U)[\s\x1c-\x1f]"
 
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends; trim() takes spaces alone."""
-    return F.regexp_replace(c, r"^\s+|\s+\z", "")
+    return F.regexp_replace(c, rf"{SPACE}+\z|^{SPACE[4:]}+", "")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -28,7 +30,7 @@ def clean_text(c: Column) -> Column:
 
 def squash(c: Column) -> Column:
     """White space runs become one space; trimmed."""
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
 def words(c: Column) -> Column:
@@ -68,7 +70,7 @@ def char_windows(c: Column, size: int = 1000, overlap: int = 200) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    return F.split(c, r"(?<=[.!?])\s+")
+    return F.split(c, rf"(?<=[.!?]){SPACE}+")
 
 
 def overlap_score(query: Column, text: Column) -> Column:
@@ -100,7 +102,7 @@ def text_measures(c: Column) -> dict[str, Column]:
         "characters": F.length(c),
         "words": n,
         "sentences": filled(sentences(c)),
-        "paragraphs": filled(F.split(c, r"\n\s*\n")),
+        "paragraphs": filled(F.split(c, rf"\n{SPACE}*\n")),
         "reading_seconds": F.bround(n / 3.33, 1),
     }
 

@@ -60,10 +60,11 @@ def missing_fields(df: DataFrame, required: list[str]) -> list[str]:
     return sorted(set(required) - set(df.columns))
 
 
-def missing_field_rows(df: DataFrame, required: list[str] = REQUIRED) -> DataFrame:
-    """(field) that a table lacks, sorted."""
-    names = df.sparkSession.createDataFrame([(c,) for c in missing_fields(df, required)], "field STRING")
-    return names.orderBy("field")
+def missing_keys(df: DataFrame, required: list[str] = REQUIRED, metadata: str = "metadata") -> DataFrame:
+    """(field) that no row's metadata, a JSON object, holds, sorted."""
+    held = df.select(F.explode(F.json_object_keys(metadata)).alias("field")).distinct()
+    names = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, sorted(set(required))))).alias("field"))
+    return names.join(held, "field", "left_anti").orderBy("field")
 
 
 def duplicate_hashes(chunks: DataFrame, of_documents: bool = False) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from argosy.functions import text as tx
+from argosy.session import with_checkpoint_dir
 
 SEED = 8
 # Fixed value: what is asked about a company behind its name.
@@ -62,66 +63,109 @@ def top_k(scored: DataFrame, k: int, by: str, score: Column, order: list[str]) -
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def best_overlap(asked: DataFrame, held: DataFrame, k: int, work: Observation | None = None) -> DataFrame:
+    """(qid, grp, chunk_id, score, rank): the k chunks of each question that share most of its tokens, ties by order.
+
+    asked: qid, grp, q (distinct tokens); held: chunk_id, chunk_order, t (distinct tokens), grps, the groups in which the chunk
+    can be found. A question meets the chunks of its group. Exact, without holding every question against every chunk of a
+    common token:
+
+    * Only tokens that questions have count. Chunks of a group that have the same of them score alike for every question, so
+      they are one class, of which the k first by order can be needed.
+    * The k first classes of each token's list give a question k chunks, and so a floor under its k-th score.
+    * A chunk that reaches the floor has one at least of the question's tokens but the (floor - 1) most frequent. Only the
+      lists of these rarer tokens are joined; the others are looked up in the classes found.
+
+    A question with fewer than k such chunks gets the first chunks of its group with score 0. ``work`` is told how many
+    (question, class) pairs were scored behind the floor.
+    """
+    with_checkpoint_dir(held.sparkSession)
+    asked = asked.select("qid", "grp", "q").checkpoint()
+    words = asked.select("qid", "grp", F.explode("q").alias("token"))
+    sought = words.select("token").distinct().withColumn("_sought", F.lit(True))
+    tokens = held.select("grps", "chunk_id", "chunk_order", F.explode_outer("t").alias("token")).join(sought, "token", "left")
+    marked = tokens.groupBy("grps", "chunk_id", "chunk_order").agg(F.array_sort(F.collect_set(F.when(F.col("_sought"), F.col("token")))).alias("mark"))
+    marked = marked.select(F.explode("grps").alias("grp"), "chunk_id", "chunk_order", "mark")
+    place = Window.partitionBy("grp", "mark").orderBy("chunk_order")
+    members = marked.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= k)
+    listed = members.groupBy("grp", "mark").agg(F.array_sort(F.collect_list(F.struct("chunk_order", "chunk_id"))).alias("members"))
+    classes = listed.select("grp", "mark", "members", F.col("members")[0]["chunk_order"].alias("first"), F.monotonically_increasing_id().alias("class")).checkpoint()
+
+    lists = classes.select("grp", F.explode("mark").alias("token"), "class", "first")
+    often = lists.groupBy("grp", "token").agg(F.count("*").alias("often"))
+    rare, whole = Window.partitionBy("qid", "grp").orderBy("often", "token"), Window.partitionBy("qid", "grp")
+    words = words.join(often, ["grp", "token"]).select("qid", "grp", "token", F.row_number().over(rare).alias("at"), F.count("*").over(whole).alias("known"))
+
+    def scored(found: DataFrame) -> DataFrame:
+        """(qid, grp, shared, members) of distinct (qid, grp, class)."""
+        both = found.join(classes.select("class", "mark", "members"), "class").join(asked, ["qid", "grp"])
+        return both.select("qid", "grp", F.size(F.array_intersect("q", "mark")).alias("shared"), "members")
+
+    head = Window.partitionBy("grp", "token").orderBy("first")
+    heads = lists.withColumn("_n", F.row_number().over(head)).filter(F.col("_n") <= k)
+    tried = scored(words.join(heads, ["grp", "token"]).select("qid", "grp", "class").distinct())
+    order = Window.partitionBy("qid", "grp").orderBy(F.desc("shared")).rowsBetween(Window.unboundedPreceding, 0)
+    floor = tried.withColumn("_sum", F.sum(F.size("members")).over(order)).filter(F.col("_sum") >= k).groupBy("qid", "grp").agg(F.max("shared").alias("floor"))
+    needed = words.join(floor, ["qid", "grp"], "left").filter(F.col("at") <= F.col("known") - F.coalesce("floor", F.lit(1)) + 1)
+    met = needed.join(lists, ["grp", "token"]).select("qid", "grp", "class").distinct()
+    met = met if work is None else met.observe(work, F.count(F.lit(1)).alias("pairs"))
+    hits = scored(met).select("qid", "grp", F.explode("members").alias("_m"), "shared")
+
+    # chunks that share nothing fill up k: the first of a group
+    start = Window.partitionBy("grp").orderBy("chunk_order")
+    first = classes.select("grp", F.inline("members")).withColumn("_n", F.row_number().over(start)).filter(F.col("_n") <= k)
+    spare = asked.select("qid", "grp").join(first.select("grp", F.struct("chunk_order", "chunk_id").alias("_m")), "grp")
+    offered = hits.unionByName(spare.withColumn("shared", F.lit(0))).groupBy("qid", "grp", "_m").agg(F.max("shared").alias("shared"))
+    best = Window.partitionBy("qid", "grp").orderBy(F.desc("shared"), "_m.chunk_order")
+    top = offered.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).join(asked, ["qid", "grp"])
+    score = F.coalesce(F.col("shared") / F.nullif(F.size("q"), F.lit(0)), F.lit(0.0))
+    return top.select("qid", "grp", F.col("_m.chunk_id").alias("chunk_id"), score.alias("score"), "rank")
+
+
 def retrieve(questions: DataFrame, chunks: DataFrame, k: int = 4) -> DataFrame:
     """(qid, rank, score, distance) with the chunk's columns: the k best chunks of each question.
 
-    questions: qid, sub_question, company (null: all companies are asked). chunks: chunk_id, company, text, chunk_order.
-    Scoped questions meet their company's chunks. Others find chunks by an inverted index of tokens, and the first chunks by
-    order are offered to them with score 0, as only these can fill up their k.
+    questions: qid, sub_question, company (null: all companies are asked). chunks: chunk_id, company, text, chunk_order; they
+    are read twice, so a caller may want to checkpoint them. Scoped questions meet their company's chunks.
     """
-    asked = questions.select("qid", F.col("company").alias("scope"), tx.tokens(F.col("sub_question")).alias("q"))
-    held = chunks.select("chunk_id", "company", "chunk_order", tx.tokens(F.col("text")).alias("t"))
-    scoped = asked.filter("scope IS NOT NULL").join(held, F.col("scope") == F.col("company")).select("qid", "chunk_id", "chunk_order", tx.overlap_score(F.col("q"), F.col("t")).alias("score"))
-    free = asked.filter("scope IS NULL")
-    index = held.select("chunk_id", "chunk_order", F.explode("t").alias("token"))
-    hits = free.select("qid", F.size("q").alias("n"), F.explode("q").alias("token")).join(index, "token").groupBy("qid", "chunk_id", "chunk_order").agg((F.count("*") / F.first("n")).alias("score"))
-    first = held.select("chunk_id", "chunk_order").orderBy("chunk_order").limit(2 * k)
-    # 2k rows at most go to every question
-    spare = free.select("qid").join(F.broadcast(first)).select("qid", "chunk_id", "chunk_order", F.lit(0.0).alias("score"))
-    open_ = hits.unionByName(spare).groupBy("qid", "chunk_id", "chunk_order").agg(F.max("score").alias("score"))
-    best = top_k(scoped.unionByName(open_), k, "qid", F.col("score"), ["chunk_order"])
-    out = best.join(chunks.drop("chunk_order"), "chunk_id")
-    return out.withColumn("distance", F.bround(1 - F.col("score"), 4))
+    every, of = F.struct(F.lit(True).alias("every"), F.lit(None).cast("string").alias("company")), F.struct(F.lit(False).alias("every"), F.col("company").alias("company"))
+    asked = questions.select("qid", F.when(F.col("company").isNull(), every).otherwise(of).alias("grp"), tx.tokens(F.col("sub_question")).alias("q"))
+    held = chunks.select("chunk_id", "chunk_order", tx.tokens(F.col("text")).alias("t"), F.array(every, of).alias("grps"))
+    best = best_overlap(asked, held, k).drop("grp")
+    return best.join(chunks.drop("chunk_order"), "chunk_id").withColumn("distance", F.bround(1 - F.col("score"), 4))
 
 
 def retrieve_for_company(requests: DataFrame, chunks: DataFrame, k: int = 5, scoped: bool = False) -> DataFrame:
     """(company, collection, rank, score) with the chunk's columns: the k best chunks of a request's collection for a fixed
-    question about its company. Chunks of other companies count unless ``scoped``.
-
-    Requests find chunks by an inverted index of (collection, token); the first chunks of a collection by order are offered
-    with score 0, as only these can fill up k.
-    """
+    question about its company. Chunks of other companies count unless ``scoped``."""
     text = F.concat(F.col("company"), F.lit(f" {COMPANY_QUERY}"))
-    asked = requests.select(F.struct("company", "collection").alias("qid"), F.col("company").alias("_c"), "collection", tx.tokens(text).alias("q")).distinct()
-    held = chunks.select("collection", "chunk_id", "chunk_order", F.col("company").alias("_of"), tx.tokens(F.col("text")).alias("t"))
-    index = held.select("collection", "chunk_id", "chunk_order", "_of", F.explode("t").alias("token"))
-    hits = asked.select("qid", "_c", "collection", F.size("q").alias("n"), F.explode("q").alias("token")).join(index, ["collection", "token"])
-    place = Window.partitionBy("collection", *(["_of"] if scoped else [])).orderBy("chunk_order")
-    spare = held.withColumn("_p", F.row_number().over(place)).filter(F.col("_p") <= 2 * k)
-    spare = asked.select("qid", "_c", "collection").join(spare.select("collection", "chunk_id", "chunk_order", "_of"), "collection")
-    own = (lambda df: df.filter(F.col("_c") == F.col("_of"))) if scoped else (lambda df: df)
-    scores = own(hits).groupBy("qid", "chunk_id", "chunk_order").agg((F.count("*") / F.first("n")).alias("score"))
-    offered = scores.unionByName(own(spare).select("qid", "chunk_id", "chunk_order", F.lit(0.0).alias("score"))).groupBy("qid", "chunk_id", "chunk_order").agg(F.max("score").alias("score"))
-    best = top_k(offered, k, "qid", F.col("score"), ["chunk_order"]).select(F.col("qid.company").alias("company"), F.col("qid.collection").alias("collection"), "chunk_id", "rank", "score")
+    tokens = F.coalesce(tx.tokens(text), F.array().cast("array<string>"))
+    grp = F.struct(F.col("collection").alias("collection"), (F.col("company") if scoped else F.lit(None).cast("string")).alias("of"))
+    named = lambda df: df.filter("collection IS NOT NULL" + " AND company IS NOT NULL" * scoped)
+    asked = named(requests).select(F.struct("company").alias("qid"), grp.alias("grp"), tokens.alias("q")).distinct()
+    held = named(chunks).select("chunk_id", "chunk_order", tx.tokens(F.col("text")).alias("t"), F.array(grp).alias("grps"))
+    best = best_overlap(asked, held, k).select(F.col("qid.company").alias("company"), F.col("grp.collection").alias("collection"), "chunk_id", "rank", "score")
     rest = chunks.withColumnRenamed("company", "chunk_company").drop("chunk_order")
     return best.join(rest, ["collection", "chunk_id"])
 
 
+def distance(metric: str, x: Column, y: Column) -> Column:
+    """The distance of two arrays: l2sq, cosine, or dot (the negative product)."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda i, j: i.cast("double") * j.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    if metric == "l2sq":
+        return F.aggregate(F.zip_with(x, y, lambda i, j: (i.cast("double") - j.cast("double")) * (i.cast("double") - j.cast("double"))), F.lit(0.0), lambda s, v: s + v)
+    if metric == "cosine":
+        return 1 - dot(x, y) / F.sqrt(dot(x, x) * dot(y, y))
+    if metric == "dot":
+        return -dot(x, y)
+    raise ValueError(f"unknown metric {metric}")
+
+
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2sq", equal: dict | None = None) -> DataFrame:
     """(query_id, vec_id, distance, rank): the exact k nearest vectors of each query, of those where columns equal values.
 
     queries: query_id, q; vectors: vec_id, embedding. Each block of vectors meets all queries and keeps its k best (a partial
-    top k) before anything is shuffled.
+    top k) before anything is shuffled; vector_index finds them without meeting all.
     """
-    x, y = F.col("q"), F.col("embedding")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda i, j: i.cast("double") * j.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    if metric == "l2sq":
-        d = F.aggregate(F.zip_with(x, y, lambda i, j: (i.cast("double") - j.cast("double")) * (i.cast("double") - j.cast("double"))), F.lit(0.0), lambda s, v: s + v)
-    elif metric == "cosine":
-        d = 1 - dot(x, y) / F.sqrt(dot(x, x) * dot(y, y))
-    elif metric == "dot":
-        d = -dot(x, y)
-    else:
-        raise ValueError(f"unknown metric {metric}")
-    pairs = where(vectors, equal or {}).filter("embedding IS NOT NULL").join(queries).select("query_id", "vec_id", d.alias("distance"))
+    pairs = where(vectors, equal or {}).filter("embedding IS NOT NULL").join(queries).select("query_id", "vec_id", distance(metric, F.col("q"), F.col("embedding")).alias("distance"))
     return top_k(pairs, k, "query_id", -F.col("distance"), ["vec_id"])

@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from argosy.functions import tags
 from argosy.functions import text as tx
-from argosy.operators import audit, chunk, company, compare, extract, metadata, redflag, research, retrieve
+from argosy.operators import audit, chunk, company, compare, extract, metadata, redflag, research, retrieve, vector_index
 from argosy.plans import reports, texts
 from argosy.plans.filings import ORACLE as FILINGS_SQL
 from argosy.plans.filings import filings
-from argosy.session import table
+from argosy.session import table, with_checkpoint_dir
 from argosy.sources import files
 
 AS_OF_YEAR = 2026
+#: Percent of the cells that a query of vector_topk_index probes.
+PROBES = 50
 
 
 def filing_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +33,12 @@ def filing_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("financial_metrics", tags.financial_metrics(F.col("text")))
 
 
+def stored_filing_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, made once for operators that read it several times."""
+    with_checkpoint_dir(spark)
+    return filing_chunks(spark, sf_dir).checkpoint()
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question of two parts about each supplier that has filings; only the first part names it."""
     suppliers = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("long").alias("question_id")).distinct()
@@ -122,7 +130,7 @@ def inferred_companies(spark, sf_dir):
 
 
 def evidence(spark, sf_dir):
-    return research.evidence(questions(spark, sf_dir), filing_chunks(spark, sf_dir))
+    return research.evidence(questions(spark, sf_dir), stored_filing_chunks(spark, sf_dir))
 
 
 def research_topk(spark, sf_dir):
@@ -135,7 +143,7 @@ def citations(spark, sf_dir):
 
 def research_answers(spark, sf_dir):
     q = questions(spark, sf_dir)
-    return research.answers(research.evidence(q, filing_chunks(spark, sf_dir)), q)
+    return research.answers(evidence(spark, sf_dir), q)
 
 
 def risk_rollup(spark, sf_dir):
@@ -157,6 +165,28 @@ def vector_topk(spark, sf_dir):
     return retrieve.vector_top_k(q, v, 5).select("query_id", "vec_id", "rank", F.round("distance", 6).alias("distance"))
 
 
+def _indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, vector_index.Index]:
+    """Vectors whose id is divisible by 50 as queries, and an index of all vectors with about as many cells as a cell has rows."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    cells = max(2, round(v.count() ** 0.5))
+    q = v.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return q, vector_index.build(v, cells)
+
+
+def vector_topk_index(spark, sf_dir):
+    """The nearest of the nearest cells: most of vector_topk (recall is measured in the tests), a part of its work."""
+    q, index = _indexed(spark, sf_dir)
+    found = vector_index.search(index, q, 5, PROBES * len(index.centroids) // 100 + 1)
+    return found.select("query_id", "vec_id", "rank", F.round("distance", 6).alias("distance"))
+
+
+def vector_topk_index_exact(spark, sf_dir):
+    """vector_topk through the index: cells that can't hold a neighbour are not read."""
+    q, index = _indexed(spark, sf_dir)
+    found = vector_index.search(vector_index.measured(index), q, 5, 4, exact=True)
+    return found.select("query_id", "vec_id", "rank", F.round("distance", 6).alias("distance"))
+
+
 def embedding_dimensions(spark, sf_dir):
     return audit.embedding_dimensions(table(spark, sf_dir, "embeddings"))
 
@@ -278,7 +308,10 @@ def metadata_completeness(spark, sf_dir):
 
 
 def missing_fields(spark, sf_dir):
-    return audit.missing_field_rows(table(spark, sf_dir, "documents"), ["doc_id", "text", "source", "doc_hash", "page_number", "company_index"])
+    """Fields that the metadata of no stored chunk has; a source is one only where a document has it."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    _, chunks = files.stored_pair(d, chunk.char_chunks(d))
+    return audit.missing_keys(chunks, ["source", "length", "doc_hash", "page_number", "company_index"])
 
 
 def session_breakdown(spark, sf_dir):
@@ -359,7 +392,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filing_chunks(spark, sf_dir).select(F.col("analysis_id").alias("collection"), "chunk_id", "chunk_order", "company", "text")
+    with_checkpoint_dir(spark)
+    return filing_chunks(spark, sf_dir).select(F.col("analysis_id").alias("collection"), "chunk_id", "chunk_order", "company", "text").checkpoint()
 
 
 def request_checks(spark, sf_dir):
@@ -402,7 +436,7 @@ QUERIES = {
     for f in (
         research_topk, doc_hash_dedupe, word_windows, word_windows_all, char_windows, clean_documents, sentence_stats, searchable, filing_lines, metric_trend, metric_ranking, compare_companies,
         comparison_series, compare_peers, compare_all, filing_tags, decomposed_questions, inferred_companies, citations, research_answers, research_prompts, rule_flags, risk_rollup, severity_distribution,
-        company_contexts, response_flags, response_fallback, risk_prompts, vector_topk, embedding_dimensions, quality_totals, distinct_values, distinct_companies, metadata_completeness, missing_fields,
+        company_contexts, response_flags, response_fallback, risk_prompts, vector_topk, vector_topk_index, vector_topk_index_exact, embedding_dimensions, quality_totals, distinct_values, distinct_companies, metadata_completeness, missing_fields,
         session_breakdown, session_tables, feature_counts, tag_counts, top_tags, duplicate_hashes, broken_links, tagged_metrics, company_name, company_metrics_wide, documents_by_session, index_chunks,
         get_chunks, session_chunks, list_documents, collection_stats, stored_chunks, request_checks, company_retrieval, company_analysis, known_paths, ingest_manifest, replaced_sources, cascade_delete,
         doc_hash_dedupe_stored, ingest_manifest_stored, replaced_sources_whole,
@@ -504,7 +538,9 @@ select company, md5('{research.RISK_RULES}' || chr(10) || chr(10) || 'Context:'
 f as (select n, unnest(['analysis_id', 'source', 'doc_hash', 'chunk_index', 'total_chunks', 'company_name', 'report_type', 'financial_year', 'financial_metrics', 'previous_chunk_id', 'next_chunk_id', 'page_start', 'page_end', 'page_numbers', 'section_title', 'section_type',
     'semantic_tags', 'contains_table', 'contains_financial_table', 'contains_chart']) as field, unnest([n, n, n, n, n, n, n, n, m, p, q, 0, 0, 0, 0, 0, 0, 0, 0, 0]) as h from s)
 select field, n - h as missing, coalesce(h / nullif(n, 0), 0.0) as share from f""",
-    "missing_fields": "select unnest(['company_index', 'doc_hash', 'page_number']) as field",
+    "missing_fields": r"""with d as (select source, text from documents where regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') <> ''),
+k as (select distinct unnest(json_keys(case when source is null then json_object('length', length(text)) else json_object('source', source, 'length', length(text)) end)) as f from d)
+select f.field from (select unnest(['source', 'length', 'doc_hash', 'page_number', 'company_index']) as field) f where field not in (select f from k)""",
     "session_breakdown": f"""with {_CHUNKS}, s as (select analysis_id as session, count(*) as chunks, count(distinct doc_hash) as documents, count(distinct source) as sources, count(distinct company) as companies from chunks group by 1)
 select *, row_number() over (order by session) as session_no from s""",
     "session_tables": f"""with p as ({texts.ORACLES['table_profiles']}), filing2 as ({FILINGS_SQL}), s as (select coalesce(case when filing_id % 7 > 0 then 's' || (filing_id % 7) end, 'unknown') as session, count(*) as chunks, count(distinct sha256(text)) as documents, count(distinct filing_id) as sources,
@@ -602,3 +638,4 @@ select company, max(value) filter (metric = 'Total Revenue') as total_revenue, m
     "replaced_sources_whole": """with f as (select min(source) as s from documents)
 select source, doc_id from documents where source is distinct from (select s from f) union all select source, -doc_id - 1 from documents where source = (select s from f)""",
 } | texts.ORACLES | reports.ORACLES
+ORACLES["vector_topk_index_exact"] = ORACLES["vector_topk"]

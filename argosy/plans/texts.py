@@ -109,11 +109,22 @@ def text_years(spark, sf_dir):
     """Year, period and currency of texts that name several of each."""
     k = F.col("doc_id") % 5
     said = F.element_at(F.array(*map(F.lit, [" fiscal year ended June 30, 2021", " Q3 FY 2022 in EUR", " Annual Report 2023. Outlook to 2025", " FY24 and GBP", " grew from 1999 to 2031"])), (k + 1).cast("int"))
-    d = documents(spark, sf_dir).withColumn("text", F.concat(F.left(F.coalesce("text", F.lit("")), F.lit(60)), said, F.lit(" paid $5 or INR 7, year ended May 1, 2020")))
+    d = documents(spark, sf_dir).withColumn("text", F.concat(F.coalesce("text", F.lit("")), said, F.lit(" paid $5 or INR 7, year ended May 1, 2020")))
     cols = metadata.document_columns(F.col("text"), AS_OF_YEAR)
     return d.select("doc_id", *(cols[c].alias(c) for c in ("financial_year", "report_period", "currency", "fiscal_year_start", "fiscal_year_end")))
 
 
+NAMES = ["acme_annual_report_2023.pdf", "in/q3_fy22_results.txt", "proxy_statement.pdf", "a.b/notes_to_1999.v2.txt", "acme_esg_report_2019"]
+
+
+def file_name_metadata(spark, sf_dir):
+    """What a file's name adds to its text: title, type, year and period; the currency is the text's alone."""
+    path = F.get(F.array(*map(F.lit, NAMES)), (F.col("doc_id") % 5).cast("int"))
+    cols = metadata.document_columns(F.coalesce("text", F.lit("")), AS_OF_YEAR, F.concat(path, F.when(F.col("doc_id") % 7 == 0, "_usd").otherwise("")))
+    year = F.coalesce(cols["financial_year"].cast("string"), F.lit(""))
+    return documents(spark, sf_dir).select("doc_id", year.alias("financial_year"), *(cols[c].alias(c) for c in ("document_title", "report_type", "report_period", "currency")))
+
+
 def chunk_entities(spark, sf_dir):
     """Names, amounts and terms of filings, with a sentence that has some more of each."""
     more = F.concat(F.lit("\nPartners include Alpha Steel, Beta Mills; CEO Jane Doe leads. The ticker: ABC. Sold in Germany and India. See the chart and footnote 3. Unaudited guidance, litigation. Growth of 5% in "), F.col("company"))
@@ -161,7 +172,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         paragraph_pack, sentence_pack, semantic_pack, wordsafe_windows, page_margins, page_records, evidence_texts, repeated_headers, frequency_candidates, section_carry, block_chunks,
-        layout_chunks, table_rows, table_profiles, document_metadata, text_years, chunk_entities, chunk_metadata, chunk_id_hashes, passage_risks,
+        layout_chunks, table_rows, table_profiles, document_metadata, file_name_metadata, text_years, chunk_entities, chunk_metadata, chunk_id_hashes, passage_risks,
     )
 }
 
@@ -205,6 +216,12 @@ head as (
 sec as (select doc_id, page_number, pos, kind, text, coalesce(last_value(h ignore nulls) over w, row('', 'other')) as h from head window w as (partition by doc_id order by page_number, pos rows unbounded preceding))"""
 
 
+_LOW = r"lower(regexp_replace(text, '\s+', ' ', 'g'))"
+_FORM = rf"""case when regexp_matches({_LOW}, '\b10-k\b') then '10-K' when regexp_matches({_LOW}, '\b10-q\b') then '10-Q' when regexp_matches({_LOW}, '\bproxy\b|definitive proxy statement|annual meeting of shareholders') then 'Proxy Statement'
+  when regexp_matches({_LOW}, '\bintegrated report\b|\bintegrated annual report\b') then 'Integrated Report' when regexp_matches({_LOW}, '\b(sustainability|esg) report\b|\benvironmental,? social,? and governance report\b') then 'Sustainability Report'
+  when regexp_matches({_LOW}, '\bquarterly report\b|\bquarter ended\b|\bq[1-4]\b') then 'Quarterly Report' when regexp_matches({_LOW}, '\bannual report\b|\bform 10-k\b') then 'Annual Report' else 'Other' end"""
+
+
 def _named(c: str, labels: str) -> str:
     return rf"""array_to_string(list_sort(list_distinct(flatten(list_transform(regexp_extract_all({c}, '(?i)(?:{labels})\s*(?:include|are|:)?\s*([^.;\n]+)', 1), lambda x: regexp_extract_all(x, '\b[A-Z][A-Za-z0-9&.-]{{1,30}}(?:\s+[A-Z][A-Za-z0-9&.-]{{1,30}}){{0,3}}\b'))))), ',')"""
 
@@ -246,7 +263,7 @@ n as (select doc_id, count(*) as n from pages group by 1),
 o as (select doc_id, list(line) as o from (select doc_id, line, any_value(n) as n, count(*) as k from e join n using (doc_id) where line <> '' group by 1, 2) where n >= 3 and k >= greatest(3, n // 2) group by 1)
 select doc_id, page_number, md5(case when o is null then text else array_to_string(list_filter(l, lambda x: not list_contains(o, {_STRIP.format('x')})), chr(10)) end) as text_md5 from l join pages using (doc_id, page_number) left join o using (doc_id)""",
     "page_records": f"with {_PAGES}, c as (select doc_id, page_number, {_CLEAN} as t from pages) select doc_id, page_number, length(t) as content_length, md5(t) as text_md5 from c where t <> ''",
-    "evidence_texts": f"with {_PAGES}, j as (select doc_id, string_agg(text, chr(10) order by page_number) filter (page_number <= 3) as a, string_agg(text, chr(10) order by page_number) as b from pages group by 1), e as (select doc_id, substring(a || chr(10) || b, 1, 16000) as t from j) select doc_id, length(t) as chars, md5(t) as evidence_md5 from e",
+    "evidence_texts": f"with {_PAGES}, j as (select doc_id, string_agg(text, chr(10) || chr(10) order by page_number) filter (page_number <= 3) as a, string_agg(text, chr(10) || chr(10) order by page_number) as b from pages group by 1), e as (select doc_id, substring(a || chr(10) || chr(10) || b, 1, 16000) as t from j) select doc_id, length(t) as chars, md5(t) as evidence_md5 from e",
     "section_carry": f"with {_D}, {_BLOCKS} select doc_id, page_number, pos, kind, h[1] as section_title, h[2] as section_type from sec",
     "block_chunks": f"""with {_D}, {_BLOCKS}, a as (select *, kind = 'table' and coalesce(lag(kind) over w, '') <> 'heading' as alone from sec window w as (partition by doc_id order by page_number, pos)),
 g as (select *, sum(cast(kind = 'heading' or alone or coalesce(prev, true) as int)) over (partition by doc_id order by page_number, pos) - 1 as chunk_index from (select *, lag(alone) over (partition by doc_id order by page_number, pos) as prev from a))
@@ -267,7 +284,10 @@ select doc_id, is_table, is_financial_table, case when regexp_matches(low, 'bala
 select doc_id, title as document_title, title as report_title, case when regexp_matches(lower(text), '\bannual report\b') then 'Annual Report' else 'Other' end as report_type, {_YEAR} as financial_year, {_PERIOD} as report_period,
   '' as filing_date, coalesce({_DATES}[1], '') as fiscal_year_start, coalesce({_DATES}[-1], '') as fiscal_year_end, {_CURRENCY} as currency,
   case when len(regexp_extract_all(text, '(?i)\b(?:the|and|of|for|financial|report|corporate|company)\b')) >= 5 then 'English' else '' end as document_language, '' as industry from t""",
-    "text_years": rf"""with d as (select doc_id, substring(coalesce(text, ''), 1, 60) || [' fiscal year ended June 30, 2021', ' Q3 FY 2022 in EUR', ' Annual Report 2023. Outlook to 2025', ' FY24 and GBP', ' grew from 1999 to 2031'][doc_id % 5 + 1] || ' paid $5 or INR 7, year ended May 1, 2020' as text from documents)
+    "file_name_metadata": rf"""with n as (select doc_id, coalesce(text, '') as cover, ['acme annual report 2023', 'q3 fy22 results', 'proxy statement', 'notes to 1999.v2', 'acme esg report 2019'][doc_id % 5 + 1] || case when doc_id % 7 = 0 and doc_id % 5 = 4 then ' usd' else '' end as name from documents),
+e as (select doc_id, cover || chr(10) || name as text from n), c as (select doc_id, {_CURRENCY} as currency from (select doc_id, cover as text from n))
+select doc_id, trim(substring({_STRIP.format("regexp_replace(regexp_extract(text, '" + _TITLE + r"', 1), '\s+', ' ', 'g')")}, 1, 200)) as document_title, {_FORM} as report_type, coalesce(cast({_YEAR} as varchar), '') as financial_year, {_PERIOD} as report_period, currency from e join c using (doc_id)""",
+    "text_years": rf"""with d as (select doc_id, coalesce(text, '') || [' fiscal year ended June 30, 2021', ' Q3 FY 2022 in EUR', ' Annual Report 2023. Outlook to 2025', ' FY24 and GBP', ' grew from 1999 to 2031'][doc_id % 5 + 1] || ' paid $5 or INR 7, year ended May 1, 2020' as text from documents)
 select doc_id, {_YEAR} as financial_year, {_PERIOD} as report_period, {_CURRENCY} as currency, coalesce({_DATES}[1], '') as fiscal_year_start, coalesce({_DATES}[-1], '') as fiscal_year_end from d""",
     "chunk_entities": rf"""with {_D}, c as (select doc_id, text as t0, text || chr(10) || 'Partners include Alpha Steel, Beta Mills; CEO Jane Doe leads. The ticker: ABC. Sold in Germany and India. See the chart and footnote 3. Unaudited guidance, litigation. Growth of 5% in ' || company as t from d)
 select doc_id, {_named('t', 'companies|organizations|partners|customer|customers')} as organizations, {_named('t', 'products|services|platforms|offerings')} as products, {_named('t', 'segments|business segments|operating segments')} as business_segments,

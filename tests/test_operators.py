@@ -322,3 +322,57 @@ def test_hooks(spark):
     assert hooks.generate(spark.createDataFrame([("hi",)], "prompt STRING"), lambda p: [x.upper() for x in p]).first().answer == "HI"
     f = spark.createDataFrame([("a", b"one|two")], "path STRING, content BINARY")
     assert [(r.page_number, r.text) for r in hooks.read_pages(f, lambda b: b.decode().split("|")).collect()] == [(1, "one"), (2, "two")]
+
+
+def test_title_field_alone(spark):
+    """A title field earns no bonus for its place, so alone it does not name the company; beside the cover it does."""
+    from pyspark.sql import functions as F
+
+    from argosy.operators import company
+
+    pages = spark.createDataFrame([(1, 1, "nothing of use here, as it seems to be."), (2, 1, "Northwind Trading\nmore of it, as it seems.")], "doc_id INT, page_number INT, text STRING")
+    titles = spark.createDataFrame([(1, "Northwind Trading"), (2, "Northwind Trading")], "doc_id INT, value STRING")
+    got = {r.doc_id: r.company for r in company.company_names(pages, titles=titles).collect()}
+    assert got == {1: "", 2: "Northwind Trading"}
+    score = {r.doc_id: r.score for r in company.scored(company.candidates(pages, titles)).filter(F.col("name") == "Northwind Trading").collect()}
+    assert score[1] == 0.40
+
+
+def test_white_space_of_all_scripts(spark):
+    from pyspark.sql import functions as F
+
+    from argosy.functions import tags
+    from argosy.functions import text as tx
+
+    rows = [(0, "a b c"), (1, " x y\x1cz "), (2, "One. Two! Three"), (3, "a\n \nb")]
+    df = spark.createDataFrame(rows, "i INT, t STRING")
+    got = {r.i: r for r in df.select("i", tx.squash(F.col("t")).alias("s"), F.size(tx.words(F.col("t"))).alias("n"), *(c.alias(k) for k, c in tx.text_measures(F.col("t")).items())).collect()}
+    for i, t in rows:
+        assert got[i].s == " ".join(t.split()) and got[i].n == len(t.split())
+    assert got[2].sentences == 3 and got[3].paragraphs == 2
+    t = spark.createDataFrame([("dettes: débt",), ("debt rose",), ("édebt",)], "t STRING").select(tags.first_rule(F.col("t"), [("Debt", r"\bdebt\b")], "").alias("x")).collect()
+    assert [r.x for r in t] == ["", "Debt", ""]
+
+
+def test_evidence_and_file_names(spark):
+    from pyspark.sql import functions as F
+
+    from argosy.operators import metadata
+
+    pages = spark.createDataFrame([(1, i, f"page {i}") for i in (3, 1, 2, 4)], "doc_id INT, page_number INT, text STRING")
+    p = ["page 1", "page 2", "page 3", "page 4"]
+    assert metadata.evidence_text(pages).first().evidence == "\n\n".join(p[:3] + p)
+    assert metadata.evidence_text(pages, 20).first().evidence == "\n\n".join(p[:3] + p)[:20]
+    names = ["in/annual_report_2023.pdf", "a.b/q3_fy22.tar.gz", "plain", "x/.hidden"]
+    df = spark.createDataFrame([(n,) for n in names], "n STRING")
+    assert [r.s for r in df.select(metadata.stem(F.col("n")).alias("s")).collect()] == ["annual report 2023", "q3 fy22.tar", "plain", ".hidden"]
+    cols = metadata.document_columns(F.lit("Some text"), 2026, F.col("n"))
+    assert [(r.y, r.t) for r in df.select(cols["financial_year"].alias("y"), cols["report_type"].alias("t")).collect()] == [(2023, "Annual Report"), (2022, "Quarterly Report"), (None, "Other"), (None, "Other")]
+
+
+def test_missing_keys(spark):
+    from argosy.operators import audit
+
+    df = spark.createDataFrame([('{"a": 1}',), ('{"b": null}',), (None,), ("no json",)], "metadata STRING")
+    assert [r.field for r in audit.missing_keys(df, ["a", "b", "c", "d"]).collect()] == ["c", "d"]
+    assert [r.field for r in audit.missing_keys(df.limit(0), ["b", "a"]).collect()] == ["a", "b"]
