@@ -8,13 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ELLIPSIS = "\u2026"
-#: White space of every script and the separators of ASCII, as a Java pattern; \\s alone is ASCII's.
-SPACE = r"(?U)[\s\x1c-\x1f]"
+# White space of all scripts and the separators of ASCII, as a Java pattern; \\s alone is a part of ASCII's.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends; trim() takes spaces alone."""
-    return F.regexp_replace(c, rf"{SPACE}+\z|^{SPACE[4:]}+", "")
+    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", "")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -34,7 +34,12 @@ def squash(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    return F.array_remove(F.split(squash(c), " "), "")
+    return F.array_remove(F.split(c, f"{SPACE}+"), "")
+
+
+def blank(c: Column) -> Column:
+    """Is there nothing but white space?"""
+    return ~c.rlike(f"[^{SPACE[1:]}")
 
 
 def tokens(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,8 +14,8 @@ from argosy.functions import text as tx
 
 def exploded(docs: DataFrame, pieces: Column, doc_id: str = "doc_id") -> DataFrame:
     """One row for each piece: chunk_id {doc_id}-{index}, chunk_index from 0, total_chunks, text."""
-    made = docs.withColumn("_pieces", pieces).withColumn("total_chunks", F.size("_pieces"))
-    rows = made.select(*(c for c in docs.columns if c not in ("text", "chunk_index", "total_chunks", "chunk_id")), "total_chunks", F.posexplode("_pieces").alias("chunk_index", "text"))
+    each = tx.let(pieces, lambda p: F.transform(p, lambda x, i: F.struct(F.size(p).alias("total_chunks"), i.alias("chunk_index"), x.alias("text"))))
+    rows = docs.select(*(c for c in docs.columns if c not in ("text", "chunk_index", "total_chunks", "chunk_id")), F.inline(each))
     return rows.withColumn("chunk_id", F.concat_ws("-", F.col(doc_id), F.col("chunk_index")))
 
 
@@ -37,32 +37,60 @@ def with_neighbours(chunks: DataFrame, doc_id: str = "doc_id", table: Column | N
     return rows if table is None else rows.withColumn("window_text", F.when(table, F.concat_ws("\n\n", "text", F.nullif("window_text", F.lit("")))).otherwise(F.col("window_text")))
 
 
-def pack(parts: list[str], size: int, measure, joiner: str, carry: int = 0) -> list[str]:
-    """Fill chunks with parts up to size; a chunk that is closed hands on its last ``carry`` words."""
-    out: list[str] = []
-    held: list[str] = []
-    used, fresh = 0, False
-    for part in parts:
-        n = measure(part)
-        if fresh and used + n > size:
-            out.append(joiner.join(held))
-            tail = joiner.join(held).split()[-carry:] if carry else []
-            held, used = ([" ".join(tail)] if tail else []), len(tail)
-        held.append(part)
-        used, fresh = used + n, True
-    return [*out, joiner.join(held)] if fresh else out
+def starts(sizes: Column, size: int, after: Callable[[Column], Column]) -> Column:
+    """Where greedy packing opens a chunk: the places (from 0) of an array of sizes at which ``size`` would be passed, the first
+    included. after(used) is what a closed chunk of so much leaves in the next one."""
+    first = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("used"), F.lit(0).alias("at"))
 
+    def step(s: Column, n: Column) -> Column:
+        opens = (s["at"] == 0) | (s["used"] + n > size)
+        used = F.when(s["at"] == 0, n).when(opens, after(s["used"]) + n).otherwise(s["used"] + n)
+        return F.struct(F.when(opens, F.concat(s["starts"], F.array(s["at"]))).otherwise(s["starts"]).alias("starts"), used.alias("used"), (s["at"] + 1).alias("at"))
 
-def packed_chunks(docs: DataFrame, split: Column, size: int, words: bool, joiner: str, carry: int = 0, doc_id: str = "doc_id") -> DataFrame:
-    """Greedy packing of the parts that ``split`` gives. What a chunk hands on depends on all before it in its document, so
-    each document is folded by a small pandas helper in place; nothing is shuffled."""
-    measure = (lambda s: len(s.split())) if words else len
+    return F.aggregate(sizes, first, step, lambda s: s["starts"])
 
-    def fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for parts in batches:
-            yield parts.map(lambda p: pack([x for x in p if x.strip()], size, measure, joiner, carry) if p is not None else [])
 
-    return exploded(docs, F.pandas_udf(fold, "array<string>")(split), doc_id)
+def last_words(c: Column, n: int) -> Column:
+    """The last n words of a text (all, if fewer), as an array."""
+    return tx.let(tx.words(c), lambda w: F.slice(w, F.greatest(F.size(w) - n, F.lit(0)) + 1, F.lit(n)))
+
+
+def packed(parts: Column, size: int, words: bool, joiner: str, carry: int = 0) -> Column:
+    """Chunks of an array of parts that are filled up to size; one that is closed hands on its last ``carry`` words.
+
+    The fold keeps places and counts alone; texts are put together once, from the parts between two places. What is handed on
+    are the last words before a place, wherever in the parts before it they stand.
+    """
+
+    def run(p: Column, at: Column, end: Column) -> Column:
+        return F.slice(p, at + 1, end - at)
+
+    def tail(w: Column, before: Column, at: Column) -> Column:
+        last = lambda x: F.slice(x, F.greatest(F.size(x) - carry, F.lit(0)) + 1, F.lit(carry))
+        near = tx.let(F.flatten(run(w, before, at)), lambda x: F.when(F.size(x) >= carry, last(x)).otherwise(tx.let(F.flatten(run(w, F.greatest(at - carry, F.lit(0)), at)), last)))
+        return F.array(F.array_join(near, " "))
+
+    def texts(p: Column, w: Column | None, at: Column) -> Column:
+        def text(begin: Column, i: Column) -> Column:
+            own = run(p, begin, F.coalesce(F.get(at, i + 1), F.size(p)))
+            return F.array_join(own if w is None else F.when(i > 0, F.concat(tail(w, F.get(at, i - 1), begin), own)).otherwise(own), joiner)
+
+        return F.transform(at, text)
+
+    after = lambda used: F.least(F.lit(carry), used)
+    filled = F.coalesce(F.filter(parts, lambda x: ~tx.blank(x)), F.array().cast("array<string>"))
+    if not carry:
+        measure = (lambda x: F.size(tx.words(x))) if words else F.length
+        return tx.let(filled, lambda p: tx.let(starts(F.transform(p, measure), size, after), lambda at: texts(p, None, at)))
+    if not words:
+        raise ValueError("words are handed on only where words are counted")
+    each = lambda p: tx.let(F.transform(p, tx.words), lambda w: tx.let(starts(F.transform(w, F.size), size, after), lambda at: texts(p, w, at)))
+    return tx.let(filled, each)
+
+
+def packed_chunks(docs: DataFrame, split: Column, size: int, words: bool, joiner: str, carry: int = 0, doc_id: str = "doc_id") -> DataFrame:
+    """Greedy packing of the parts that ``split`` gives, in each document's row; nothing is shuffled."""
+    return exploded(docs, packed(split, size, words, joiner, carry), doc_id)
 
 
 def paragraph_chunks(docs: DataFrame, size: int = 1200, doc_id: str = "doc_id") -> DataFrame:

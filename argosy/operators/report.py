@@ -223,42 +223,50 @@ SECTIONS = [
 
 
 def sections(wide: DataFrame, rated: DataFrame, risks: DataFrame, peers: DataFrame, research: DataFrame, date: str) -> DataFrame:
-    """(company, fy, section_no, section, body): the eighteen sections of each report in order. Long parts are aggregated to a
-    text a report before they meet; none joins another."""
+    """(company, fy, section_no, section, body): the eighteen sections of each report in order.
+
+    Every part gives lines with their place, of all sections in one table; one aggregation makes the bodies. The inputs are
+    read several times, so a caller may want to checkpoint them.
+    """
     counted = with_counts(wide, risks, peers, research)
 
-    def text(df: DataFrame, line: Column, order: list[str], name: str) -> DataFrame:
-        held = df.groupBy(*BY).agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))).alias("x"))
-        return held.select(*BY, F.lit(name).alias("section"), F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("body"))
+    def lines(df: DataFrame, line: Column, order: list[str], name: str) -> DataFrame:
+        words = F.array(*(F.col(c).cast("string") for c in order if c != "no")).cast("array<string>")
+        no = F.col("no").cast("int") if "no" in order else F.lit(0)
+        return df.select(*BY, F.lit(SECTIONS.index(name) + 1).alias("section_no"), F.struct(no.alias("no"), words.alias("words"), line.alias("line")).alias("at"))
 
     def fixed(body: Column, name: str, of: DataFrame = wide) -> DataFrame:
-        return of.select(*BY, F.lit(name).alias("section"), body.alias("body"))
+        return lines(of, body, [], name)
 
     cells = lambda *names: F.concat_ws(" | ", *names)
     peer_cells = ["peer", *(c for c, _ in PEER_METRICS)]
     charts = chart_series(wide, rated, risks, peers)
+    alone = [
+        ("Cover", F.concat_ws("\n", "company", F.lit(date))),
+        ("Contents", F.lit("\n".join(f"{i}. {x}" for i, x in enumerate(SECTIONS[2:], 1)))),
+        ("Investment Outlook", F.lit(OUTLOOK)),
+        ("Conclusion", F.concat(F.lit(CONCLUSION[0]), F.col("company"), F.lit(CONCLUSION[1]))),
+        ("Appendix", F.concat(F.lit("Figures of FY"), F.col("fy").cast("string"), F.lit("."))),
+    ]
+    one = lambda name, body: F.struct(F.lit(SECTIONS.index(name) + 1).alias("section_no"), F.struct(F.lit(0).alias("no"), F.array().cast("array<string>").alias("words"), body.alias("line")).alias("at"))
     parts = [
-        fixed(F.concat_ws("\n", "company", F.lit(date)), "Cover"),
-        fixed(F.lit("\n".join(f"{i}. {x}" for i, x in enumerate(SECTIONS[2:], 1))), "Contents"),
+        wide.select(*BY, F.inline(F.array(*(one(name, body) for name, body in alone)))),
         fixed(F.col("summary"), "Executive Summary", executive_summary(wide)),
         fixed(F.col("overview"), "Company Overview", company_overview(wide)),
-        text(commentary(wide), F.col("sentence"), ["no"], "Financial Performance"),
-        text(metrics_table(wide).withColumn("no", F.array_position(F.array(*(F.lit(n) for _, n in METRICS)), F.col("metric"))), cells("metric", "value"), ["no"], "Financial Metrics"),
-        text(ratio_commentary(rated), F.col("sentence"), ["no"], "Ratio Analysis"),
-        text(ratio_table(rated), cells("ratio", "value"), ["ratio"], "Ratio Table"),
-        text(charts, cells("chart", "label", F.col("value").cast("string")), ["chart", "label"], "Charts"),
-        text(risk_assessment(wide, risks), cells("category", "severity", "description"), ["category", "severity", "description"], "Risk Assessment"),
-        text(risk_table(wide, risks), cells("category", "severity", "description"), ["category", "severity", "description"], "Risk Table"),
-        text(swot(counted), cells("quadrant", "statement"), ["quadrant", "statement"], "SWOT Analysis"),
-        text(comparison_table(wide, peers), cells(*peer_cells), ["peer"], "Company Comparison"),
-        text(research_table(wide, research), cells("question", "answer", "source"), ["question", "source"], "Research Findings"),
-        fixed(F.lit(OUTLOOK), "Investment Outlook"),
-        text(key_takeaways(counted), F.col("takeaway"), ["no"], "Key Takeaways"),
-        fixed(F.concat(F.lit(CONCLUSION[0]), F.col("company"), F.lit(CONCLUSION[1])), "Conclusion"),
-        fixed(F.concat(F.lit("Figures of FY"), F.col("fy").cast("string"), F.lit(".")), "Appendix"),
+        lines(commentary(wide), F.col("sentence"), ["no"], "Financial Performance"),
+        lines(metrics_table(wide).withColumn("no", F.array_position(F.array(*(F.lit(n) for _, n in METRICS)), F.col("metric"))), cells("metric", "value"), ["no"], "Financial Metrics"),
+        lines(ratio_commentary(rated), F.col("sentence"), ["no"], "Ratio Analysis"),
+        lines(ratio_table(rated), cells("ratio", "value"), ["ratio"], "Ratio Table"),
+        lines(charts, cells("chart", "label", F.col("value").cast("string")), ["chart", "label"], "Charts"),
+        lines(risk_assessment(wide, risks), cells("category", "severity", "description"), ["category", "severity", "description"], "Risk Assessment"),
+        lines(risk_table(wide, risks), cells("category", "severity", "description"), ["category", "severity", "description"], "Risk Table"),
+        lines(swot(counted), cells("quadrant", "statement"), ["quadrant", "statement"], "SWOT Analysis"),
+        lines(comparison_table(wide, peers), cells(*peer_cells), ["peer"], "Company Comparison"),
+        lines(research_table(wide, research), cells("question", "answer", "source"), ["question", "source"], "Research Findings"),
+        lines(key_takeaways(counted), F.col("takeaway"), ["no"], "Key Takeaways"),
     ]
-    number = F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("section")).cast("int")
-    return reduce(DataFrame.unionByName, parts).select(*BY, number.alias("section_no"), "section", "body")
+    whole = reduce(DataFrame.unionByName, parts).groupBy(*BY, "section_no").agg(F.array_sort(F.collect_list("at")).alias("x"))
+    return whole.select(*BY, "section_no", F.element_at(F.array(*map(F.lit, SECTIONS)), F.col("section_no")).alias("section"), F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("body"))
 
 
 def assembly(wide: DataFrame, rated: DataFrame, risks: DataFrame, peers: DataFrame, research: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from argosy.operators import extract, redflag, report
 from argosy.plans.filings import FIGURES_ORACLE, ORACLE, figures, filings
-from argosy.session import table
+from argosy.session import table, with_checkpoint_dir
 
 DATE = "01 January 2026"
 PEERS = 3
@@ -23,14 +23,22 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risks_of(docs(spark, sf_dir))
+
+
+def risks_of(filed: DataFrame) -> DataFrame:
     """The red flags of each filing; a row that says there is none is no risk."""
-    return redflag.rule_flags(docs(spark, sf_dir)).filter("category != 'general'").select("company", "fy", "category", "severity", "description")
+    return redflag.rule_flags(filed).filter("category != 'general'").select("company", "fy", "category", "severity", "description")
 
 
 def peers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return peers_of(wide(spark, sf_dir), table(spark, sf_dir, "supplier"))
+
+
+def peers_of(figured: DataFrame, suppliers: DataFrame) -> DataFrame:
     """The PEERS suppliers with most revenue in a supplier's nation and year, but itself."""
-    nation = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("suppkey"), F.col("s_nationkey").alias("nation"))
-    all_ = wide(spark, sf_dir).join(nation, "suppkey")
+    nation = suppliers.select(F.col("s_suppkey").cast("long").alias("suppkey"), F.col("s_nationkey").alias("nation"))
+    all_ = figured.join(nation, "suppkey")
     w = Window.partitionBy("nation", "fy").orderBy(F.desc("revenue"), "company")
     best = all_.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= PEERS)
     best = best.select("nation", "fy", F.col("company").alias("peer"), "revenue", "net_profit", "operating_margin", F.col("liabilities").alias("debt"), "cash_flow")
@@ -42,14 +50,26 @@ def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def research(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return research_of(docs(spark, sf_dir))
+
+
+def research_of(filed: DataFrame) -> DataFrame:
     """What a filing says about the year before it."""
-    v = extract.statement_values(docs(spark, sf_dir).withColumnRenamed("fy", "own")).filter("fy < own")
+    v = extract.statement_values(filed.withColumnRenamed("fy", "own")).filter("fy < own")
     said = F.concat(F.col("metric"), F.lit(" of FY"), F.col("fy").cast("string"), F.lit(" is reported."))
     return v.select("company", F.col("own").alias("fy"), F.concat(F.lit("What was "), F.col("metric"), F.lit(" before?")).alias("question"), said.alias("answer"), F.concat("doc_id", F.lit(".txt")).alias("source"))
 
 
+def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """wide, rated, risks, peers and research, from figures, filings and peers that are made once."""
+    with_checkpoint_dir(spark)
+    w, d = wide(spark, sf_dir).checkpoint(), docs(spark, sf_dir).checkpoint()
+    return w, report.ratios(w), risks_of(d), peers_of(w, table(spark, sf_dir, "supplier")).checkpoint(), research_of(d)
+
+
 def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.with_counts(wide(spark, sf_dir), risks(spark, sf_dir), peers(spark, sf_dir), research(spark, sf_dir))
+    w, _, *rest = inputs(spark, sf_dir)
+    return report.with_counts(w, *rest)
 
 
 def report_metrics(spark, sf_dir):
@@ -101,17 +121,17 @@ def company_overview(spark, sf_dir):
 
 
 def chart_series(spark, sf_dir):
-    c = report.chart_series(wide(spark, sf_dir), rated(spark, sf_dir), risks(spark, sf_dir), peers(spark, sf_dir))
+    c = report.chart_series(*inputs(spark, sf_dir)[:4])
     return c.withColumn("value", F.col("value").cast("double"))
 
 
 def report_sections(spark, sf_dir):
-    s = report.sections(wide(spark, sf_dir), rated(spark, sf_dir), risks(spark, sf_dir), peers(spark, sf_dir), research(spark, sf_dir), DATE)
+    s = report.sections(*inputs(spark, sf_dir), DATE)
     return s.select("company", "fy", "section_no", "section", F.md5("body").alias("body_md5"))
 
 
 def report_assembly(spark, sf_dir):
-    a = report.assembly(wide(spark, sf_dir), rated(spark, sf_dir), risks(spark, sf_dir), peers(spark, sf_dir), research(spark, sf_dir))
+    a = report.assembly(*inputs(spark, sf_dir))
     first = lambda c, f: F.coalesce(F.get(c, F.lit(0))[f], F.lit(""))
     return a.select(
         "company", "fy", F.col("extraction.revenue").cast("double").alias("revenue"), F.size("extraction.financial_ratios").alias("n_ratios"), F.size("risks").alias("n_risks"), F.size("peers").alias("n_peers"),

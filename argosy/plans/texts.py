@@ -41,12 +41,12 @@ def paragraph_pack(spark, sf_dir):
 
 
 def sentence_pack(spark, sf_dir):
-    return chunk.sentence_chunks(documents(spark, sf_dir), 450, 100).select("doc_id", "chunk_index", F.size(tx.words(F.col("text"))).alias("words"))
+    return chunk.sentence_chunks(documents(spark, sf_dir), 450, 100).select("doc_id", "chunk_index", F.size(tx.words(F.col("text"))).alias("words"), F.md5("text").alias("text_md5"))
 
 
 def semantic_pack(spark, sf_dir):
     d = documents(spark, sf_dir).withColumn("text", F.regexp_replace("text", "\n", "\n\n"))
-    return chunk.semantic_chunks(d, 120, 20).select("doc_id", "chunk_index", F.size(tx.words(F.col("text"))).alias("words"))
+    return chunk.semantic_chunks(d, 120, 20).select("doc_id", "chunk_index", F.size(tx.words(F.col("text"))).alias("words"), F.md5("text").alias("text_md5"))
 
 
 def wordsafe_windows(spark, sf_dir):
@@ -83,8 +83,15 @@ def block_chunks(spark, sf_dir):
     return layout.block_chunks(filing_pages(spark, sf_dir)).select("doc_id", "page_number", "chunk_index", "section_title", F.md5("text").alias("text_md5"))
 
 
+def tabled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of filings; a third of them with tables in place of labelled lines, a third with notes and lists."""
+    bars = F.regexp_replace("text", ": ", " | ")
+    noted = F.concat(F.lit("Note 1: figures are rounded.\n\n"), "text", F.lit("\n\n- one item\n- and another"))
+    return filing_pages(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 3 == 0, bars).when(F.col("doc_id") % 3 == 1, noted).otherwise(F.col("text")))
+
+
 def layout_chunks(spark, sf_dir):
-    c = layout.layout_chunks(filing_pages(spark, sf_dir), 40, 10)
+    c = layout.layout_chunks(tabled_pages(spark, sf_dir), 14, 4)
     return c.select("doc_id", "chunk_index", F.array_join("block_types", ",").alias("block_types"), F.array_join(F.transform("page_numbers", lambda x: x.cast("string")), ",").alias("page_numbers"), "section_title", F.md5("text").alias("text_md5"))
 
 
@@ -194,14 +201,23 @@ r as (
   from r join p on p.doc_id = r.doc_id and p.i = r.i + 1)"""
 
 
+def _carried(joiner: str, carry: int) -> str:
+    """The chunks of _pack with words carried: a chunk's text, behind the last words of all parts before it."""
+    return f""", c as (select doc_id, chunk, min(i) as i, max(used) as words, string_agg(x, {joiner} order by i) as t from r join p using (doc_id, i) group by 1, 2),
+d as (select doc_id, flatten(list(regexp_extract_all(x, '\\S+') order by i)) as ws, list(len(regexp_extract_all(x, '\\S+')) order by i) as ns from p group by 1),
+e as (select doc_id, chunk, words, t, cast(coalesce(list_sum(ns[:i - 1]), 0) as bigint) as k, ws from c join d using (doc_id))
+select doc_id, chunk as chunk_index, words, md5(case when chunk = 0 then t else array_to_string(ws[greatest(k - {carry}, 0) + 1:k], ' ') || {joiner} || t end) as text_md5 from e"""
+
+
 _WORDS = r"len(regexp_extract_all(x, '\S+'))"
 _LINES = r"select doc_id, i, " + _STRIP.format("l") + r" as x from (select doc_id, i, string_split(text, chr(10))[i] as l from documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) t(i)) where trim(l) <> ''"
 _SENTENCES = r"""select doc_id, i, s[i] as x from (select doc_id, string_split(regexp_replace({}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) as s from documents), unnest(range(1, len(s) + 1)) t(i) where trim(s[i]) <> ''"""
 _BLOCK_SENTENCES = r"""select doc_id, i * 100000 + k as i, s[k] as x from (select doc_id, i, case when len(regexp_extract_all(x, '\S+')) <= 120 then [x] else string_split(regexp_replace(x, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) end as s
   from (""" + _LINES + r""")), unnest(range(1, len(s) + 1)) t(k) where trim(s[k]) <> ''"""
-_BLOCKS = rf"""pg as (select doc_id, cast((i - 1) // 2 + 1 as int) as page_number, string_agg(x, chr(10) || chr(10) order by i) as text
-  from (select doc_id, i, string_split(text, chr(10) || chr(10))[i] as x from d, unnest(range(1, len(string_split(text, chr(10) || chr(10))) + 1)) t(i)) group by 1, 2),
-parts as (select doc_id, page_number, list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: {_STRIP.format("x")}), lambda x: x <> '') as b from pg),
+_PAGE = rf"""pg as (select doc_id, cast((i - 1) // 2 + 1 as int) as page_number, string_agg(x, chr(10) || chr(10) order by i) as text
+  from (select doc_id, i, string_split(text, chr(10) || chr(10))[i] as x from d, unnest(range(1, len(string_split(text, chr(10) || chr(10))) + 1)) t(i)) group by 1, 2)"""
+_TABLED = r"""pt as (select doc_id, page_number, case doc_id % 3 when 0 then replace(text, ': ', ' | ') when 1 then 'Note 1: figures are rounded.' || chr(10) || chr(10) || text || chr(10) || chr(10) || '- one item' || chr(10) || '- and another' else text end as text from pg)"""
+_BLOCK_KINDS = rf"""parts as (select doc_id, page_number, list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: {_STRIP.format("x")}), lambda x: x <> '') as b from pg),
 b0 as (select doc_id, page_number, cast(i - 1 as int) as pos, b[i] as text, list_filter(list_transform(string_split(b[i], chr(10)), lambda x: {_STRIP.format("x")}), lambda x: x <> '') as l from parts, unnest(range(1, len(b) + 1)) t(i)),
 blk as (
   select *, case when regexp_matches(l[1], '^(?:[-*•▪◦]|\(?\d{{1,3}}[.)])\s+') then 'list'
@@ -214,6 +230,7 @@ head as (
     when regexp_matches(lower(text), 'income statement') then row('Income Statement', 'financial_statement') when regexp_matches(lower(text), 'auditor''s report') then row('Auditor''s Report', 'financial_statement')
     else row(regexp_replace(text, '\s*[:–—-]\s*$', ''), 'other') end as h from blk),
 sec as (select doc_id, page_number, pos, kind, text, coalesce(last_value(h ignore nulls) over w, row('', 'other')) as h from head window w as (partition by doc_id order by page_number, pos rows unbounded preceding))"""
+_BLOCKS = f"{_PAGE}, {_BLOCK_KINDS}"
 
 
 _LOW = r"lower(regexp_replace(text, '\s+', ' ', 'g'))"
@@ -246,8 +263,8 @@ _TITLE = r"(?im)^\s*(.{2,120}(?:annual|integrated|sustainability|esg|proxy|quart
 
 ORACLES = {
     "paragraph_pack": f"with recursive {_pack(_LINES, 'length(x)', 1200, 0)}, c as (select doc_id, chunk as chunk_index, string_agg(x, chr(10) || chr(10) order by i) as t from r join p using (doc_id, i) group by 1, 2) select doc_id, chunk_index, length(t) as chars, md5(t) as text_md5 from c",
-    "sentence_pack": f"with recursive {_pack(_SENTENCES.format('text'), _WORDS, 450, 100)} select doc_id, chunk as chunk_index, max(used) as words from r group by 1, 2",
-    "semantic_pack": f"with recursive {_pack(_BLOCK_SENTENCES, _WORDS, 120, 20)} select doc_id, chunk as chunk_index, max(used) as words from r group by 1, 2",
+    "sentence_pack": f"with recursive {_pack(_SENTENCES.format('text'), _WORDS, 450, 100)}" + _carried("' '", 100),
+    "semantic_pack": f"with recursive {_pack(_BLOCK_SENTENCES, _WORDS, 120, 20)}" + _carried("chr(10) || chr(10)", 20),
     "wordsafe_windows": """with recursive d as (select doc_id, text, length(text) as n from documents where text <> ''),
 w as (
   select doc_id, 0 as s from d
@@ -268,6 +285,40 @@ select doc_id, page_number, md5(case when o is null then text else array_to_stri
     "block_chunks": f"""with {_D}, {_BLOCKS}, a as (select *, kind = 'table' and coalesce(lag(kind) over w, '') <> 'heading' as alone from sec window w as (partition by doc_id order by page_number, pos)),
 g as (select *, sum(cast(kind = 'heading' or alone or coalesce(prev, true) as int)) over (partition by doc_id order by page_number, pos) - 1 as chunk_index from (select *, lag(alone) over (partition by doc_id order by page_number, pos) as prev from a))
 select doc_id, min(page_number) as page_number, cast(chunk_index as bigint) as chunk_index, h[1] as section_title, md5(string_agg(text, chr(10) || chr(10) order by page_number, pos)) as text_md5 from g group by doc_id, chunk_index, h""",
+    "layout_chunks": rf"""with recursive {_D}, {_PAGE}, {_TABLED}, {_BLOCK_KINDS.replace("from pg)", "from pt)")},
+n1 as (select *, row_number() over (partition by doc_id, page_number order by pos) as n from head),
+n2 as (select *, kind = 'heading' and (n - coalesce(max(case when kind <> 'heading' then n end) over (partition by doc_id, page_number order by pos rows unbounded preceding), 0)) % 2 = 1 as takes from n1),
+n3 as (select *, coalesce(lag(takes) over w, false) as taken, lead(text) over w as nxt from n2 window w as (partition by doc_id, page_number order by pos)),
+m as (select doc_id, page_number, pos, case when takes and nxt is not null then text || chr(10) || chr(10) || nxt else text end as text, case when takes and nxt is not null then 'narrative' else kind end as kind,
+  coalesce(last_value(case when takes then h end ignore nulls) over (partition by doc_id order by page_number, pos rows unbounded preceding), row('', 'other')) as sec from n3 where not taken),
+g as (select *, sum(cast(kind = 'table' as int)) over w as seg, coalesce(last_value(case when sec[1] <> '' and kind <> 'table' then sec end ignore nulls) over w, row('', 'other')) as label from m window w as (partition by doc_id order by page_number, pos rows unbounded preceding)),
+-- sentences of long narratives, filled up to 14 words
+sn as (select doc_id, page_number, pos, k, {_STRIP.format("s[k]")} as x from (select *, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) as s from g where kind = 'narrative' and len(regexp_extract_all(text, '\S+')) > 14), unnest(range(1, len(s) + 1)) t(k)),
+sp as (select doc_id, page_number, pos, row_number() over (partition by doc_id, page_number, pos order by k) as k, x, len(regexp_extract_all(x, '\S+')) as n from sn where x <> ''),
+sr as (select doc_id, page_number, pos, k, n as used, 0 as piece from sp where k = 1
+  union all select sp.doc_id, sp.page_number, sp.pos, sp.k, case when sr.used + sp.n > 14 then sp.n else sr.used + sp.n end, sr.piece + cast(sr.used + sp.n > 14 as int) from sr join sp on sp.doc_id = sr.doc_id and sp.page_number = sr.page_number and sp.pos = sr.pos and sp.k = sr.k + 1),
+pc as (select doc_id, seg, page_number, pos, 0 as piece, text, kind, label from g where kind <> 'table' and not (kind = 'narrative' and len(regexp_extract_all(text, '\S+')) > 14)
+  union all select doc_id, any_value(seg), page_number, pos, piece, string_agg(x, ' ' order by k), 'narrative', any_value(label) from sr join sp using (doc_id, page_number, pos, k) join g using (doc_id, page_number, pos) group by doc_id, page_number, pos, piece),
+q as (select *, row_number() over (partition by doc_id, seg order by page_number, pos, piece) as i, len(regexp_extract_all(text, '\S+')) as n, kind in ('list', 'heading', 'note') as alone from pc),
+f as (
+  select doc_id, seg, i, text as held, n as used, 0 as chunk, [page_number] as pages, [kind] as kinds, label from q where i = 1
+  union all
+  select doc_id, seg, i, case when not cut then held || chr(10) || chr(10) || text when alone then text else array_to_string(tail, ' ') || chr(10) || chr(10) || text end, n + case when cut then len(tail) else used end, chunk + cast(cut as int),
+    case when not cut then list_append(pages, page_number) when alone then [page_number] else [pages[-1], page_number] end, case when not cut then list_append(kinds, kind) when alone then [kind] else ['narrative', kind] end, label
+  from (select q.*, held, used, chunk, pages, kinds, q.alone or used + q.n > 14 as cut, list_reverse(list_reverse(regexp_extract_all(held, '\S+'))[1:4]) as tail from f join q on q.doc_id = f.doc_id and q.seg = f.seg and q.i = f.i + 1)),
+-- rows of long tables, filled up to 14 words under the first
+tl as (select doc_id, seg, page_number, sec, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '\s+$', '')), lambda x: x <> '') as l from g where kind = 'table'),
+tw as (select *, len(regexp_extract_all(array_to_string(l, ' '), '\S+')) > 14 as long, len(regexp_extract_all(l[1], '\S+')) as h from tl),
+tp as (select doc_id, seg, k - 1 as k, {_STRIP.format("l[k]")} as x, len(regexp_extract_all(l[k], '\S+')) as n, h from tw, unnest(range(2, len(l) + 1)) t(k) where long),
+tr as (select doc_id, seg, k, h + n as used, 0 as piece from tp where k = 1
+  union all select tp.doc_id, tp.seg, tp.k, case when tr.used + tp.n > 14 then tp.h + tp.n else tr.used + tp.n end, tr.piece + cast(tr.used + tp.n > 14 as int) from tr join tp on tp.doc_id = tr.doc_id and tp.seg = tr.seg and tp.k = tr.k + 1),
+tb as (select doc_id, seg, page_number, sec, 0 as piece, array_to_string(l, chr(10)) as text from tw where not long or len(l) = 1
+  union all select doc_id, seg, any_value(page_number), any_value(sec), piece, {_STRIP.format("any_value(l[1])")} || chr(10) || string_agg(x, chr(10) order by k) from tr join tp using (doc_id, seg, k) join tw using (doc_id, seg) group by doc_id, seg, piece),
+al as (
+  select doc_id, seg, 1 as t, chunk as piece, {_STRIP.format("arg_max(held, i)")} as text, arg_max(kinds, i) as kinds, arg_max(pages, i) as pages, arg_max(label, i)[1] as section_title from f group by doc_id, seg, chunk
+  union all select doc_id, seg, 0, piece, {_STRIP.format("text")}, ['table'], [page_number], sec[1] from tb)
+select doc_id, cast(row_number() over (partition by doc_id order by seg, t, piece) - 1 as int) as chunk_index, array_to_string(list_sort(list_distinct(kinds)), ',') as block_types,
+  array_to_string(list_sort(list_distinct(pages)), ',') as page_numbers, section_title, md5(text) as text_md5 from al""",
     "table_rows": rf"""with {_D}, x as (select doc_id, list_filter(list_transform(string_split_regex(replace(text, ': ', ' | '), '\n\s*\n'), lambda x: {_STRIP.format('x')}), lambda x: x <> '') as b from d),
 t as (select doc_id, cast(i - 1 as int) as pos, string_split(b[i], chr(10)) as l from x, unnest(range(1, len(b) + 1)) t(i))
 select doc_id, pos, array_to_string(l, chr(10)) as rows from t where len(l) >= 2 and len(list_filter(l, lambda x: contains(x, '|'))) > 0 and len(list_filter(l, lambda x: regexp_matches(x, '\d'))) >= 2""",

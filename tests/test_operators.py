@@ -47,10 +47,13 @@ def test_tags(spark):
     assert tuple(one(spark, "Our Outlook Today\ntext.", tags.section_heading)) == ("Our Outlook Today", "other")
 
 
-def test_pack():
-    assert chunk.pack(["aa", "bb", "cc"], 4, len, "-") == ["aa-bb", "cc"]
-    assert chunk.pack(["a b", "c d"], 3, lambda s: len(s.split()), " ", 1) == ["a b", "b c d"]
-    assert chunk.pack([], 4, len, "-") == []
+def test_pack(spark):
+    from pyspark.sql import functions as F
+
+    pack = lambda parts, *how: spark.createDataFrame([(parts,)], "p ARRAY<STRING>").select(chunk.packed(F.col("p"), *how)).first()[0]
+    assert pack(["aa", "bb", "cc"], 4, False, "-") == ["aa-bb", "cc"]
+    assert pack(["a b", "c d"], 3, True, " ", 1) == ["a b", "b c d"]
+    assert pack([], 4, False, "-") == []
 
 
 def test_drop_known(spark):
