@@ -5,7 +5,6 @@ from argosy.functions import tags
 from argosy.functions import text as tx
 from argosy.operators import audit, chunk, compare, extract, redflag, research, retrieve
 from argosy.sources import files
-from argosy.streaming.ingest import ingest_stream
 
 
 def one(spark, value, column):
@@ -188,20 +187,6 @@ def test_requests(spark):
     assert sorted(str(x.reason) for x in files.validate_requests(r, known).collect()) == ["None", "collection is blank", "collection is unknown", "company is blank"]
 
 
-def test_ingest_stream(spark, tmp_path):
-    src = tmp_path / "in"
-    src.mkdir()
-    run = lambda: ingest_stream(spark, str(src), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
-    (src / "a.txt").write_text("one two three")
-    (src / "b.txt").write_text("one two three")
-    run()
-    (src / "c.txt").write_text("one two three")
-    (src / "d.txt").write_text("four")
-    run()
-    out = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted(r.text for r in out.collect()) == ["four", "one two three"]
-
-
 @pytest.mark.parametrize(
     "text,name",
     [
