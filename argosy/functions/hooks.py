@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,15 +33,27 @@ def generate(prompts: DataFrame, generator: Callable[[list[str]], list[str]], ou
     return prompts.withColumn(out, F.pandas_udf(run, "string")("prompt"))
 
 
-def embed(chunks: DataFrame, features: int = FEATURES) -> DataFrame:
-    """Chunks with a default embedding: hashed token counts, weighted by rarity over all chunks, of length 1 (0 if empty)."""
+def fit_embedding(texts: DataFrame, features: int = FEATURES) -> PipelineModel:
+    """The default embedding of texts (..., text): hashed token counts, weighted by their rarity over ``texts``, of length 1.
+
+    What it learns is a weight for each feature; save() and load() keep it, so that questions are weighed like chunks.
+    """
     from pyspark.ml.feature import IDF, HashingTF, Normalizer
+
+    steps = [HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=features), IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_v")]
+    return Pipeline(stages=steps).fit(_tokens(texts))
+
+
+def _tokens(texts: DataFrame) -> DataFrame:
+    return texts.withColumn("_tokens", F.coalesce(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0), F.array().cast("array<string>")))
+
+
+def embed(chunks: DataFrame, features: int = FEATURES, model: PipelineModel | None = None) -> DataFrame:
+    """Chunks with the default embedding (0 for an empty text), fitted on them if no model is given."""
     from pyspark.ml.functions import vector_to_array
 
-    words = chunks.withColumn("_tokens", F.coalesce(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0), F.array().cast("array<string>")))
-    counted = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=features).transform(words)
-    weighed = IDF(inputCol="_tf", outputCol="_idf").fit(counted).transform(counted)
-    return Normalizer(inputCol="_idf", outputCol="_v").transform(weighed).withColumn("embedding", vector_to_array("_v", "float32")).drop("_tokens", "_tf", "_idf", "_v")
+    made = (model or fit_embedding(chunks, features)).transform(_tokens(chunks))
+    return made.withColumn("embedding", vector_to_array("_v", "float32")).drop("_tokens", "_tf", "_idf", "_v")
 
 
 def embed_with(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]]) -> DataFrame:

@@ -89,19 +89,38 @@ def tag_counts(chunks: DataFrame, column: str, top: int | None = None, order: st
     return out.select("tag", "n")
 
 
+#: Columns whose distinct values a session is counted by, and the size of their sketches: 2 ** SKETCH_BITS registers.
+DISTINCT = (("doc_hash", "documents"), ("source", "sources"), ("company", "companies"))
+SKETCH_BITS = 14
+
+
 def session_breakdown(chunks: DataFrame) -> DataFrame:
     """One row for each session (missing: unknown), numbered by id: chunks, documents, sources, companies, and tables and
     tables of money where chunks have these columns."""
     tables = [F.count_if(F.col(c) == "true").alias(n) for c, n in (("contains_table", "tables"), ("contains_financial_table", "financial_tables")) if c in chunks.columns]
     by = chunks.groupBy(F.coalesce("analysis_id", F.lit("unknown")).alias("session")).agg(
         F.count("*").alias("chunks"),
-        *(F.count_distinct(F.when(filled(c), F.col(c))).alias(n) for c, n in (("doc_hash", "documents"), ("source", "sources"), ("company", "companies")) if c in chunks.columns),
+        *(F.count_distinct(F.when(filled(c), F.col(c))).alias(n) for c, n in DISTINCT if c in chunks.columns),
         *tables,
     )
     # a row for each session, not for each chunk
     return by.withColumn("session_no", F.row_number().over(Window.orderBy("session")))
 
 
+def session_sketches(chunks: DataFrame, batch: str = "batch") -> DataFrame:
+    """(batch, session, chunks, documents, sources, companies) of the chunks of some batches: counts, and HyperLogLog sketches
+    of the distinct values. One aggregation; rows of this table are kept, and chunks need not be read again."""
+    of = F.coalesce("analysis_id", F.lit("unknown")).alias("session")
+    sketch = lambda c: F.hll_sketch_agg(F.when(filled(c), F.col(c).cast("string")), F.lit(SKETCH_BITS))
+    return chunks.groupBy(F.col(batch).alias("batch"), of).agg(F.count("*").alias("chunks"), *(sketch(c).alias(n) for c, n in DISTINCT if c in chunks.columns))
+
+
+def session_totals(sketches: DataFrame) -> DataFrame:
+    """(session, chunks, documents, sources, companies) of all batches together: the distinct counts are estimates, some 1 % off
+    (session_breakdown has the exact ones)."""
+    return sketches.groupBy("session").agg(F.sum("chunks").alias("chunks"), *(F.hll_sketch_estimate(F.hll_union_agg(n)).alias(n) for _, n in DISTINCT if n in sketches.columns))
+
+
 def documents_by_session(chunks: DataFrame) -> DataFrame:
     """(session, source, n_sources, n_chunks): a row for each source of a session, with the session's totals."""
     of = F.coalesce("analysis_id", F.lit("unknown")).alias("session")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from argosy.functions import text as tx
@@ -51,6 +51,8 @@ PASSAGES = [
     ("Accounting", r"\b(restatement|impairment)\b"),
     ("Corporate Governance", r"\b(governance|related party)\b"),
 ]
+#: Characters of a part of a context, and of a prompt.
+CONTEXT = 16_000
 FLAG = "category STRING, severity STRING, title STRING, description STRING, reason STRING, evidence STRING, page INT, recommendation STRING, confidence DOUBLE"
 
 
@@ -60,6 +62,20 @@ def context_text(chunks: DataFrame, by: str, order: str) -> DataFrame:
     return chunks.groupBy(by).agg(held.alias("h")).select(by, F.array_join(F.transform("h", lambda x: x["t"]), "\n").alias("text"))
 
 
+def part_no(by: str, order: str, chars: Column, budget: int) -> Column:
+    """The part, from 0, of a row among the rows of ``by`` in order, when each part takes on rows until ``budget`` characters
+    are reached: no part is longer than the budget and one row."""
+    before = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.floor(F.coalesce(F.sum(chars).over(before), F.lit(0)) / budget).cast("int")
+
+
+def context_parts(chunks: DataFrame, by: str, order: str, budget: int = CONTEXT) -> DataFrame:
+    """(by, part_no, text): context_text in rows of bounded length that follow one another, nothing left out."""
+    filled = chunks.filter(F.coalesce("text", F.lit("")) != "").withColumn("_part", part_no(by, order, F.length("text") + 1, budget))
+    held = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("text").alias("t"))))
+    return filled.groupBy(by, "_part").agg(held.alias("h")).select(by, F.col("_part").alias("part_no"), F.array_join(F.transform("h", lambda x: x["t"]), "\n").alias("text"))
+
+
 def rule_flags(contexts: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
     """One row for each rule that a context shows, or one that none does, with all fields of a flag; page is null."""
     low = F.lower(F.coalesce("text", F.lit("")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from argosy.functions import text as tx
 from argosy.operators import retrieve as rt
+from argosy.operators.redflag import CONTEXT, part_no
 
 NO_EVIDENCE = "No indexed documents contain evidence for this."
 
@@ -73,10 +74,12 @@ Answer in JSON alone: overall_risk (Low, Medium, High or Critical), total_flags
 Without evidence answer {"overall_risk":"Low","total_flags":0,"flags":[]}."""
 
 
-def risk_prompts(chunks: DataFrame, by: str, metadata: tuple[str, ...] = ("company", "section", "source_file")) -> DataFrame:
-    """(by, prompt) for a language model that a caller runs: the rules, then the chunks of each ``by`` in order of rank, each
-    with its metadata as JSON."""
+def risk_prompts(chunks: DataFrame, by: str, metadata: tuple[str, ...] = ("company", "section", "source_file"), budget: int = CONTEXT) -> DataFrame:
+    """(by, part_no, prompt) for a language model that a caller runs: the rules, then the chunks of each ``by`` in order of rank,
+    each with its number and its metadata as JSON. More chunks than ``budget`` characters go on in further prompts."""
     here = [c for c in metadata if c in chunks.columns]
-    held = F.array_sort(F.collect_list(F.struct("rank", "text", F.to_json(F.struct(*here)).alias("meta"))))
-    lines = F.transform("h", lambda x, i: F.concat(F.lit("Chunk "), (i + 1).cast("string"), F.lit(": "), F.coalesce(x["text"], F.lit("")), F.lit("\nMetadata: "), x["meta"]))
-    return chunks.groupBy(by).agg(held.alias("h")).select(by, F.concat(F.lit(f"{RISK_RULES}\n\nContext:\n"), F.array_join(lines, "\n\n")).alias("prompt"))
+    place = Window.partitionBy(by).orderBy("rank")
+    rows = chunks.withColumns({"_no": F.row_number().over(place), "_part": part_no(by, "rank", F.length(F.coalesce("text", F.lit(""))) + 1, budget)})
+    line = F.concat(F.lit("Chunk "), F.col("_no").cast("string"), F.lit(": "), F.coalesce("text", F.lit("")), F.lit("\nMetadata: "), F.to_json(F.struct(*here)))
+    held = rows.groupBy(by, "_part").agg(F.array_sort(F.collect_list(F.struct("_no", line.alias("line")))).alias("h"))
+    return held.select(by, F.col("_part").alias("part_no"), F.concat(F.lit(f"{RISK_RULES}\n\nContext:\n"), F.array_join(F.transform("h", lambda x: x["line"]), "\n\n")).alias("prompt"))

@@ -13,11 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from argosy.functions import hooks
 from argosy.operators import retrieve
 from argosy.session import with_checkpoint_dir
 
@@ -153,3 +155,11 @@ def search(index: Index, queries: DataFrame, k: int, probes: int, exact: bool =
     open_ = asked.join(kth, "query_id", "left").withColumn("_cells", rest("_p", F.coalesce(reach, F.lit(float("inf")))))
     both = near.drop("rank").unionByName(among(open_).drop("rank"))
     return retrieve.top_k(both, k, "query_id", -F.col("distance"), ["vec_id"])
+
+
+def retrieve_by_embedding(questions: DataFrame, index: Index, model: PipelineModel, k: int, probes: int, exact: bool = False) -> DataFrame:
+    """(qid, chunk_id, distance, rank): the k chunks of an index (vec_id is the chunk's id) whose embeddings are nearest to those of
+    the questions (qid, sub_question) by the same ``model``. A question without a known token finds nothing."""
+    asked = hooks.embed(questions.select("qid", F.col("sub_question").alias("text")), model=model)
+    some = asked.filter(F.exists("embedding", lambda x: x != 0)).select(F.col("qid").alias("query_id"), F.col("embedding").alias("q"))
+    return search(index, some, k, probes, exact).withColumnsRenamed({"query_id": "qid", "vec_id": "chunk_id"})

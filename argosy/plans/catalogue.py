@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argosy.functions import tags
+from argosy.functions import hooks, tags
 from argosy.functions import text as tx
 from argosy.operators import audit, chunk, company, compare, extract, metadata, redflag, research, retrieve, vector_index
 from argosy.plans import reports, texts
 from argosy.plans.filings import ORACLE as FILINGS_SQL
 from argosy.plans.filings import filings
 from argosy.session import table, with_checkpoint_dir
-from argosy.sources import files
+from argosy.sources import files, store
 
 AS_OF_YEAR = 2026
 #: Percent of the cells that a query of vector_topk_index probes.
 PROBES = 50
+#: Characters of a part of a company's context: small, so that the given companies have several.
+CONTEXT = 1_000
 
 
 def filing_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +160,7 @@ def severity_distribution(spark, sf_dir):
 
 def company_contexts(spark, sf_dir):
     c = filing_chunks(spark, sf_dir)
-    return redflag.context_text(c, "company", "chunk_order").select("company", F.md5("text").alias("text_md5"))
+    return redflag.context_parts(c, "company", "chunk_order", CONTEXT).select("company", "part_no", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
 
 
 def vector_topk(spark, sf_dir):
@@ -213,9 +217,13 @@ def company_metrics_wide(spark, sf_dir):
 
 
 def replaced_sources(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("source", "doc_id")
-    new = d.filter("source = 'src1' AND doc_id % 3 = 0").withColumn("doc_id", -F.col("doc_id") - 1)
-    return files.replaced(d, new)
+    """Documents in a store, of whose first source a new batch under new ids takes the place."""
+    d = table(spark, sf_dir, "documents").select(F.lit("all").alias("collection"), "source", "doc_id")
+    path = f"{with_checkpoint_dir(spark).sparkContext.getCheckpointDir()}/stores/{uuid.uuid4()}"
+    store.append(d, path, "first")
+    first = d.agg(F.min("source").alias("_first"))
+    store.replace(d.join(F.broadcast(first), F.col("source") == F.col("_first")).select("collection", "source", (-F.col("doc_id") - 1).alias("doc_id")), path, "second")
+    return store.read(spark, path).select("source", "doc_id")
 
 
 def hashed_and_stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -243,9 +251,8 @@ def cascade_delete(spark, sf_dir):
 
 
 def doc_hash_dedupe(spark, sf_dir):
-    """Nothing is stored yet; doc_hash_dedupe_stored has a store."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("doc_hash"))
-    return chunk.drop_known(d, d.filter(F.col("doc_id") < 0).select("doc_hash"))
+    """The store holds the documents that labels covers."""
+    return doc_hash_dedupe_stored(spark, sf_dir)
 
 
 def word_windows(spark, sf_dir):
@@ -287,7 +294,7 @@ def response_fallback(spark, sf_dir):
 
 
 def risk_prompts(spark, sf_dir):
-    return research.risk_prompts(filing_chunks(spark, sf_dir).withColumnRenamed("chunk_order", "rank"), "company").select("company", F.md5("prompt").alias("prompt_md5"))
+    return research.risk_prompts(filing_chunks(spark, sf_dir).withColumnRenamed("chunk_order", "rank"), "company", budget=CONTEXT).select("company", "part_no", F.md5("prompt").alias("prompt_md5"))
 
 
 def quality_totals(spark, sf_dir):
@@ -318,6 +325,33 @@ def session_breakdown(spark, sf_dir):
     return audit.session_breakdown(filing_chunks(spark, sf_dir))
 
 
+def session_estimates(spark, sf_dir):
+    """The sessions of chunks that came in a batch for each year, from sketches alone."""
+    c = filing_chunks(spark, sf_dir).withColumn("batch", F.col("financial_year"))
+    return audit.session_totals(audit.session_sketches(c))
+
+
+def embedded_retrieval(spark, sf_dir):
+    """The four nearest to each question, of the chunks in the nearest cells, by embeddings whose weights are those of the chunks."""
+    chunks = stored_filing_chunks(spark, sf_dir).select(F.col("chunk_id").alias("vec_id"), "text")
+    model = hooks.fit_embedding(chunks, 256)
+    held = hooks.embed(chunks, model=model).filter(F.exists("embedding", lambda x: x != 0)).select("vec_id", "embedding")
+    index = vector_index.build(held, max(2, round(chunks.count() ** 0.5)), "cosine")
+    asked = research.sub_questions(questions(spark, sf_dir))
+    one = asked.groupBy("sub_question").agg(F.min("qid").alias("qid"))
+    found = vector_index.retrieve_by_embedding(one, index, model, 4, 4)
+    return asked.select("question_id", "step", "sub_question").join(one.withColumnRenamed("qid", "asked"), "sub_question").join(found, F.col("asked") == F.col("qid")).select("question_id", "step", "rank", "chunk_id", F.round("distance", 5).alias("distance"))
+
+
+def surveyed_metrics(spark, sf_dir):
+    """The seven rules for values in running text, over filings that say some of them in a sentence."""
+    c = filing_chunks(spark, sf_dir)
+    n = F.col("chunk_order") % 7
+    said = ["Sales brought $12.5 billion in revenue.", "It made $3.4 billion of operating income.", "A net income of $7,100 was left.", "With total assets of $99.5 in all.", "And total liabilities: $42.", "Free cash flow reached $8.25.", "Earnings per share were 1.75 again."]
+    text = F.concat_ws(" ", "text", F.get(F.array(*map(F.lit, said)), n.cast("int")))
+    return extract.tagged_metrics(c.withColumns({"text": text, "financial_metrics": tags.financial_metrics(text)}))
+
+
 def profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filings as one chunk each, with what their table profile says."""
     d = filing_docs(spark, sf_dir).withColumn("_p", tags.table_profile(F.col("text")))
@@ -437,7 +471,7 @@ QUERIES = {
         research_topk, doc_hash_dedupe, word_windows, word_windows_all, char_windows, clean_documents, sentence_stats, searchable, filing_lines, metric_trend, metric_ranking, compare_companies,
         comparison_series, compare_peers, compare_all, filing_tags, decomposed_questions, inferred_companies, citations, research_answers, research_prompts, rule_flags, risk_rollup, severity_distribution,
         company_contexts, response_flags, response_fallback, risk_prompts, vector_topk, vector_topk_index, vector_topk_index_exact, embedding_dimensions, quality_totals, distinct_values, distinct_companies, metadata_completeness, missing_fields,
-        session_breakdown, session_tables, feature_counts, tag_counts, top_tags, duplicate_hashes, broken_links, tagged_metrics, company_name, company_metrics_wide, documents_by_session, index_chunks,
+        session_breakdown, session_estimates, embedded_retrieval, surveyed_metrics, session_tables, feature_counts, tag_counts, top_tags, duplicate_hashes, broken_links, tagged_metrics, company_name, company_metrics_wide, documents_by_session, index_chunks,
         get_chunks, session_chunks, list_documents, collection_stats, stored_chunks, request_checks, company_retrieval, company_analysis, known_paths, ingest_manifest, replaced_sources, cascade_delete,
         doc_hash_dedupe_stored, ingest_manifest_stored, replaced_sources_whole,
     )
@@ -528,8 +562,9 @@ select o.company, metric, fy, o.value, leader, leader_value, case when o.value >
     "response_fallback": f"""with {_FLAGS}, one as (select doc_id, min(category) as category from flags group by 1)
 select doc_id, category, severity, confidence, 'model' as model_used from flags join one using (doc_id, category) where doc_id % 7 < 5
 union all select doc_id, category, severity, confidence, 'offline-fallback' from flags where doc_id % 7 >= 5""",
-    "risk_prompts": f"""with {_CHUNKS}, t as (select company, row_number() over (partition by company order by chunk_order) as i, text, to_json({{'company': company, 'section': section, 'source_file': source}}) as meta from chunks)
-select company, md5('{research.RISK_RULES}' || chr(10) || chr(10) || 'Context:' || chr(10) || string_agg('Chunk ' || i || ': ' || text || chr(10) || 'Metadata: ' || meta, chr(10) || chr(10) order by i)) as prompt_md5 from t group by company""",
+    "risk_prompts": f"""with {_CHUNKS}, t as (select company, row_number() over (partition by company order by chunk_order) as i, text, to_json({{'company': company, 'section': section, 'source_file': source}}) as meta,
+  cast(coalesce(sum(length(text) + 1) over (partition by company order by chunk_order rows between unbounded preceding and 1 preceding), 0) // 1000 as int) as part_no from chunks)
+select company, part_no, md5('{research.RISK_RULES}' || chr(10) || chr(10) || 'Context:' || chr(10) || string_agg('Chunk ' || i || ': ' || text || chr(10) || 'Metadata: ' || meta, chr(10) || chr(10) order by i)) as prompt_md5 from t group by company, part_no""",
     "quality_totals": f"""with {_CHUNKS} select count(*) as chunks, count(distinct doc_hash) as documents, count(distinct analysis_id) as sessions, count(distinct company) as companies, count(distinct report_type) as report_types,
   count(distinct financial_year) as years, round(avg(len(string_split(text, ' '))), 6) as avg_chunk_words from chunks""",
     "distinct_values": f"""with {_CHUNKS} select distinct field, value from (select unnest(['company', 'report_type', 'financial_year']) as field, unnest([company, report_type, cast(financial_year as varchar)]) as value from chunks) where value <> ''""",
@@ -581,7 +616,6 @@ select collection, source_file, case when held then coalesce(n, 0) else 0 end as
 select question_id, row_number() over (partition by question_id order by step, rank) as citation_no,
   '[' || company || ' | Annual Report | ' || section || ' | ' || source || ' | chunk ' || chunk_id || ']' as citation,
   md5(case when length(text) > 220 then substring(text, 1, 220) || '{tx.ELLIPSIS}' else text end) as snippet_md5 from one""",
-    "doc_hash_dedupe": "select doc_id, source, sha256(text) as doc_hash from documents qualify row_number() over (partition by sha256(text) order by source, doc_id) = 1",
     "word_windows_all": rf"""with src as (select doc_id, list_filter(string_split_regex({_SQUASH}, ' '), lambda x: x <> '') as ws from documents), {_windows(450, 350, "src")}
 select doc_id, doc_id || '-' || i as chunk_id, i as chunk_index, n as total_chunks, case when i > 0 then doc_id || '-' || (i - 1) else '' end as previous_chunk_id,
   case when i < n - 1 then doc_id || '-' || (i + 1) else '' end as next_chunk_id, md5(piece) as text_md5,
@@ -620,7 +654,8 @@ select question_id, any_value(question) as question, 'Research question: ' || an
     "inferred_companies": f"with {_QUESTIONS} select question_id, step, company from sub",
     "risk_rollup": f"with {_FLAGS} select company, case when bool_or(severity = 'High') then 'High' when count(*) > 1 then 'Medium' else 'Low' end as overall_risk, count(*) as total_flags from flags group by company",
     "severity_distribution": f"with {_FLAGS} select company, count(*) filter (severity = 'Low') as low, count(*) filter (severity = 'Medium') as medium, count(*) filter (severity = 'High') as high from flags group by company",
-    "company_contexts": f"with {_CHUNKS} select company, md5(string_agg(text, chr(10) order by chunk_order)) as text_md5 from chunks group by company",
+    "company_contexts": f"""with {_CHUNKS}, p as (select company, chunk_order, text, cast(coalesce(sum(length(text) + 1) over (partition by company order by chunk_order rows between unbounded preceding and 1 preceding), 0) // 1000 as int) as part_no from chunks where text <> '')
+select company, part_no, length(string_agg(text, chr(10) order by chunk_order)) as chars, md5(string_agg(text, chr(10) order by chunk_order)) as text_md5 from p group by 1, 2""",
     "vector_topk": """with d as (select a.vec_id as query_id, b.vec_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (cast(x[1] as double) - x[2]) * (cast(x[1] as double) - x[2]))) as d
   from embeddings a, embeddings b where a.vec_id % 50 = 0)
 select query_id, vec_id, row_number() over (partition by query_id order by d, vec_id) as rank, round(d, 6) as distance from d qualify rank <= 5""",
@@ -630,12 +665,21 @@ select query_id, vec_id, row_number() over (partition by query_id order by d, ve
     "tagged_metrics": rf"""with {_CHUNKS}, r as (select unnest(['Revenue', 'Debt', 'EPS']) as metric, unnest(['(?i)total revenue: \$([\d.,]+)', '(?i)total debt: \$([\d.,]+)', '(?i)earnings per share.*?([\d.]+)']) as p),
 v as (select company, metric, chunk_order, case when contains(lower(financial_metrics), lower(metric)) and regexp_matches(text, p) then trim(regexp_extract(text, p, 1)) end as v from chunks, r)
 select company, metric, coalesce(arg_min(v, chunk_order) filter (v is not null), 'Not Found') as value from v group by 1, 2""",
+    "surveyed_metrics": rf"""with {_CHUNKS},
+said as (select company, chunk_order, text || ' ' || ['Sales brought $12.5 billion in revenue.', 'It made $3.4 billion of operating income.', 'A net income of $7,100 was left.', 'With total assets of $99.5 in all.', 'And total liabilities: $42.', 'Free cash flow reached $8.25.', 'Earnings per share were 1.75 again.'][chunk_order % 7 + 1] as text from chunks),
+tagged as (select *, lower({_csv(tags.METRICS, "lower(text)")}) as t from said),
+r as (select unnest(['Revenue', 'Operating Income', 'Net Income', 'Assets', 'Liabilities', 'Cash Flow', 'EPS']) as metric, unnest(['(?i)\$([\d.,]+)\s*billion.*?revenue', '(?i)\$([\d.,]+)\s*billion.*?operating income', '(?i)net income.*?\$([\d.,]+)',
+  '(?i)total assets.*?\$([\d.,]+)', '(?i)total liabilities.*?\$([\d.,]+)', '(?i)cash flow.*?\$([\d.,]+)', '(?i)earnings per share.*?([\d.]+)']) as p),
+v as (select company, metric, chunk_order, case when contains(t, lower(metric)) and regexp_matches(text, p) then trim(regexp_extract(text, p, 1)) end as v from tagged, r)
+select company, metric, coalesce(arg_min(v, chunk_order) filter (v is not null), 'Not Found') as value from v group by 1, 2""",
+    "session_estimates": f"with {_CHUNKS} select analysis_id as session, count(*) as chunks, count(distinct doc_hash) as documents, count(distinct source) as sources, count(distinct company) as companies from chunks group by 1",
     "company_metrics_wide": f"""with {_VALUES}, l as (select company, metric, max_by(value, fy) as value from one group by all)
 select company, max(value) filter (metric = 'Total Revenue') as total_revenue, max(value) filter (metric = 'Total Debt') as total_debt, max(value) filter (metric = 'Total Assets') as total_assets from l group by company""",
-    "replaced_sources": "select source, doc_id from documents where source <> 'src1' union all select source, -doc_id - 1 from documents where source = 'src1' and doc_id % 3 = 0",
     "cascade_delete": "select l_orderkey, l_linenumber from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F')",
     "doc_hash_dedupe_stored": f"with {_STORED} select doc_id, source, h as doc_hash from d where not exists (select 1 from k where k.h = d.h) qualify row_number() over (partition by h order by source, doc_id) = 1",
     "replaced_sources_whole": """with f as (select min(source) as s from documents)
 select source, doc_id from documents where source is distinct from (select s from f) union all select source, -doc_id - 1 from documents where source = (select s from f)""",
 } | texts.ORACLES | reports.ORACLES
 ORACLES["vector_topk_index_exact"] = ORACLES["vector_topk"]
+ORACLES["doc_hash_dedupe"] = ORACLES["doc_hash_dedupe_stored"]
+ORACLES["replaced_sources"] = ORACLES["replaced_sources_whole"]
