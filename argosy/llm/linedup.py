@@ -298,8 +298,8 @@ def line_classes(lines: DataFrame, t: int = THRESHOLD) -> DataFrame:
     long_ = lines.filter(F.length("line") >= max(MIN_LENGTH, t + 1))
     made, places = keys("line", t)
     own = [i for i, (_, shifts, gap) in enumerate(places) if gap == 0 and not any(shifts)]
-    each = long_.select("id", made.alias("keys")).groupBy("id").agg(F.first("keys").alias("keys"))
-    rows = each.select("id", F.posexplode("keys").alias("i", "key")).filter("key IS NOT NULL").select("id", "key", F.col("i").cast("byte").alias("i"))
+    # equal lines collapse before their keys are made
+    rows = long_.select("id", "line").distinct().select("id", F.posexplode(made).alias("i", "key")).filter("key IS NOT NULL").select("id", "key", F.col("i").cast("byte").alias("i"))
     w = Window.partitionBy("key")
     met = rows.withColumns({"lead": F.min(F.when(F.col("i").isin(own), F.col("id"))).over(w), "low": F.min("id").over(w), "high": F.max("id").over(w)})
     met = met.filter("lead IS NOT NULL AND low < high").select("key", "id", "i", "lead").checkpoint()
