@@ -165,7 +165,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     keyed = sets.select("rep", "n", F.explode("bands").alias("band"))
     leaders = keyed.groupBy("band").agg(F.min("rep").alias("lead"), F.count("*").alias("members")).filter("members > 1")
     shared = keyed.join(leaders, "band").checkpoint()
+    # only texts that share a band are ever verified; they are packed once
     packed = map_batches(d.filter(F.col("_id").isNotNull()), lambda batch: squeezed(batch, "_t"), [T.StructField("_z", T.BinaryType())], ["_id"])
+    packed = packed.join(shared.select(F.col("rep").alias("_id")).distinct(), "_id", "left_semi").checkpoint()
 
     tested = shared.filter(F.col("rep") != F.col("lead")).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     links = verify(tested, packed, shingle, percent).distinct().checkpoint()
