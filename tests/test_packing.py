@@ -121,3 +121,19 @@ def test_chunkers_stay_in_the_jvm(spark):
     docs = pages.drop("page_number")
     for df in (layout.layout_chunks(pages), chunk.paragraph_chunks(docs), chunk.sentence_chunks(docs, 5, 2), chunk.semantic_chunks(docs)):
         assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
+
+
+def test_rules_in_one_pass(spark):
+    """Rules give the labels that their patterns give one by one."""
+    from argosy.functions import tags
+
+    assert tags.alternatives(r"\ba\b|(?:b|c)|d\|e|\(|f") == [r"\ba\b", "(?:b|c)", r"d\|e", r"\(", "f"]
+    r = random.Random(1)
+    vocab = "revenue operating income gross profit cash flow free eps diluted net data center machine learning regulator regulatory services service ai e.b.i.t. r&d r & d growth rate x é".split()
+    texts = [r.choice([" ", "  ", "\n", "-"]).join(r.choice(vocab) + r.choice(["", "", "", ".", "s", "é", "_"]) for _ in range(r.randint(0, 25))) for _ in range(300)] + ["", None, "REVENUE and Cash Flow", "cash\nflow"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING")
+    for rules in (tags.METRICS, tags.TOPICS):
+        got = {x.i: x.l for x in df.select("i", tags.all_rules(F.col("t"), rules).alias("l")).collect()}
+        for i, t in enumerate(texts):
+            want = list(dict.fromkeys(label for label, p in rules if t is not None and re.search(p, t.lower())))
+            assert (got[i] or []) == want, t
