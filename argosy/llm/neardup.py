@@ -4,7 +4,7 @@ Equal shingle sets collapse to the smallest id first, so copies cost one row eac
 band keys of 5 values: two texts of similarity 0.8 share none of them with probability 7e-6. In a
 bucket every member is verified against the smallest one. After the components of these links, only
 members of different components are compared, and of these only pairs whose bit maps leave room for a
-link. So a large group of near copies costs about one
+link: in bands of many members by blocks of bit maps, as matrices. So a large group of near copies costs about one
 comparison a member, and no link between different components is left out.
 
 Defined cases: a text without words has the empty set and is linked with nothing; one with fewer
@@ -35,6 +35,8 @@ PERCENT = 80
 BANDS, ROWS = 30, 5
 #: Numbers of 64 bits in a text's bit map, in which each shingle sets the bit that its hash names.
 MAP = 32
+#: Bands with more members than FEW are held against each other in blocks of about BLOCK rows.
+FEW, BLOCK = 64, 2048
 SKETCH = [
     T.StructField("_n", T.LongType()),
     T.StructField("_set", T.BinaryType()),
@@ -154,6 +156,48 @@ def verify(pairs: DataFrame, packed: DataFrame, k: int, percent: int) -> DataFra
     return both.mapInArrow(check, pairs.select("a", "b").schema)
 
 
+def few_pairs(open_: DataFrame, percent: int) -> DataFrame:
+    """(rep_x, rep_y) of different parts in one band whose bit maps leave room for a link, by a join."""
+    x, y = (open_.select("band", *(F.col(c).alias(f"{c}_{i}") for c in ("rep", "n", "part", "bits"))) for i in "xy")
+    # a bit that only one text has is a shingle at least that the other lacks, which bounds the similarity from above
+    lacks = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda n, k: n + k)
+    most = F.least(F.col("n_x") - lacks("bits_x", "bits_y"), F.col("n_y") - lacks("bits_y", "bits_x"))
+    within = F.lit(100) * most >= F.lit(percent) * (F.col("n_x") + F.col("n_y") - most)
+    return x.join(y, (x["band"] == y["band"]) & (F.col("part_x") < F.col("part_y")) & within).select("rep_x", "rep_y")
+
+
+def block_pairs(open_: DataFrame, percent: int) -> DataFrame:
+    """The same of bands with many members, cut into blocks of about BLOCK rows; each two blocks of a band meet in one group, as
+    matrices of bits, and only the pairs that are left leave it."""
+    salts = F.ceil(F.col("held") / BLOCK).cast("int")
+    salt = F.pmod(F.xxhash64("rep"), salts).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), salts - 1), lambda t: F.struct(F.least(salt, t).alias("i"), F.greatest(salt, t).alias("j")))
+    rows = open_.select("band", "rep", "n", "part", "bits", salt.alias("salt"), F.explode(meets).alias("_m")).select("*", "_m.i", "_m.j").drop("_m")
+
+    def meet(group: pa.Table) -> pa.Table:
+        n, salt = (group[c].to_numpy().astype(np.int64) for c in ("n", "salt"))
+        rep, part = group["rep"].combine_chunks(), np.unique(group["part"].to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        bits = group["bits"].combine_chunks().flatten().to_numpy().astype(np.int64).reshape(len(n), MAP).view(np.uint64)
+        one = salt == salt.min()
+        left, right = (np.flatnonzero(one), np.flatnonzero(~one)) if not one.all() else (np.arange(len(n)),) * 2
+        size, out = np.bitwise_count(bits).sum(axis=1, dtype=np.int64), []
+        for at in range(0, len(left), 64):
+            x = left[at : at + 64]
+            both = np.zeros((len(x), len(right)), np.int64)
+            for w in range(MAP):
+                both += np.bitwise_count(bits[x, w][:, None] & bits[right, w][None, :])
+            most = np.minimum(n[x][:, None] - (size[x][:, None] - both), n[right][None, :] - (size[right][None, :] - both))
+            fits = (100 * most >= percent * (n[x][:, None] + n[right][None, :] - most)) & (part[x][:, None] != part[right][None, :])
+            i, j = np.nonzero(fits)
+            out.append((x[i], right[j]))
+        a, b = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
+        once = a < b if left is right else slice(None)
+        return pa.table({"rep_x": rep.take(pa.array(a[once])), "rep_y": rep.take(pa.array(b[once]))})
+
+    kind = open_.schema["rep"].dataType.simpleString()
+    return rows.groupBy("band", "i", "j").applyInArrow(meet, f"rep_x {kind}, rep_y {kind}")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each document."""
     with_checkpoint_dir(docs.sparkSession)
@@ -174,16 +218,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     first = components(links)
     # buckets whose members are still apart; in one of two members both have been compared
     placed = shared.filter("members > 2").join(first, F.col("rep") == F.col("node"), "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("part"))
-    apart = placed.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q")
-    open_ = placed.join(apart.select("band"), "band").checkpoint()
+    apart = placed.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("held")).filter("p < q")
+    open_ = placed.join(apart.select("band", "held"), "band").checkpoint()
     bits = open_.select("rep").distinct().join(sets.select(F.col("rep").alias("_of"), "bits"), F.col("rep") == F.col("_of")).drop("_of")
     open_ = open_.join(bits, "rep")
-    x, y = (open_.select("band", *(F.col(c).alias(f"{c}_{i}") for c in ("rep", "n", "part", "bits"))) for i in "xy")
-    # a bit that only one text has is a shingle at least that the other lacks, which bounds the similarity from above
-    lacks = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda n, k: n + k)
-    most = F.least(F.col("n_x") - lacks("bits_x", "bits_y"), F.col("n_y") - lacks("bits_y", "bits_x"))
-    within = F.lit(100) * most >= F.lit(percent) * (F.col("n_x") + F.col("n_y") - most)
-    rest = x.join(y, (x["band"] == y["band"]) & (F.col("part_x") < F.col("part_y")) & within)
+    rest = few_pairs(open_.filter(F.col("held") <= FEW), percent).unionByName(block_pairs(open_.filter(F.col("held") > FEW), percent))
     rest = rest.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     late = verify(rest, packed, shingle, percent).distinct().checkpoint()
     final = first

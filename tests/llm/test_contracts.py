@@ -57,3 +57,40 @@ def test_shard_rows_without_id(spark):
     assert max(sizes) - min(sizes) <= 2 * max(r.size for r in got)
     for i in range(24):
         assert sorted(r.slot for r in got if r.shard == i) == list(range(sum(r.shard == i for r in got)))
+
+
+@pytest.mark.parametrize("few,block", [(64, 2048), (1, 2048), (1, 5)])
+def test_neardup_bands_of_many(spark, monkeypatch, few, block):
+    """Late pairs by a join, by one block and by several blocks are those of brute force."""
+    import random
+
+    from argosy.llm import neardup
+
+    monkeypatch.setattr(neardup, "FEW", few)
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    docs = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(r.randint(2, 9)):
+            w[r.randrange(60)] = f"x{r.randrange(400)}"
+        docs.append((i, " ".join(w)))
+    sets = {i: {tuple(t.split()[k : k + 2]) for k in range(59)} for i, t in docs}
+    of = {i: i for i in sets}
+
+    def root(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                of[y] = x
+    seen = []
+    monkeypatch.setattr(neardup, "block_pairs", lambda df, p, f=neardup.block_pairs: (seen.append(df.count()), f(df, p))[1])
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id INT, text STRING"), shingle=2).collect()
+    assert {x.doc_id: x.component_id for x in got} == {i: root(i) for i in sets} and len({root(i) for i in sets}) > 3
+    assert (seen[0] > 0) == (few == 1)
