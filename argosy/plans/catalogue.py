@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argosy.functions import hooks, tags
+from argosy.functions import hooks, table_functions, tags
 from argosy.functions import text as tx
 from argosy.operators import audit, chunk, company, compare, extract, metadata, redflag, research, retrieve, vector_index
 from argosy.plans import reports, texts
@@ -259,6 +259,20 @@ def word_windows(spark, sf_dir):
     return _document_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def word_windows_sql(spark, sf_dir):
+    """word_windows as SQL calls it."""
+    table_functions.register(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spark.sql("SELECT doc_id, chunk_index, md5(text) AS text_md5 FROM word_windows(TABLE(SELECT * FROM {docs}), 450, 100)", docs=docs)
+
+
+def wordsafe_windows_sql(spark, sf_dir):
+    """wordsafe_windows as SQL calls it."""
+    table_functions.register(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spark.sql("SELECT doc_id, chunk_index, char_length(text) AS chars, md5(text) AS text_md5 FROM wordsafe_windows(TABLE(SELECT * FROM {docs}), 1000, 200)", docs=docs)
+
+
 def compare_all(spark, sf_dir):
     """Every company against the one that leads a metric and year."""
     return compare.compare_with_leader(values(spark, sf_dir).groupBy("company", "metric", "fy").agg(F.max("value").alias("value")))
@@ -468,7 +482,7 @@ def ingest_manifest_stored(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        research_topk, doc_hash_dedupe, word_windows, word_windows_all, char_windows, clean_documents, sentence_stats, searchable, filing_lines, metric_trend, metric_ranking, compare_companies,
+        research_topk, doc_hash_dedupe, word_windows, word_windows_all, word_windows_sql, wordsafe_windows_sql, char_windows, clean_documents, sentence_stats, searchable, filing_lines, metric_trend, metric_ranking, compare_companies,
         comparison_series, compare_peers, compare_all, filing_tags, decomposed_questions, inferred_companies, citations, research_answers, research_prompts, rule_flags, risk_rollup, severity_distribution,
         company_contexts, response_flags, response_fallback, risk_prompts, vector_topk, vector_topk_index, vector_topk_index_exact, embedding_dimensions, quality_totals, distinct_values, distinct_companies, metadata_completeness, missing_fields,
         session_breakdown, session_estimates, embedded_retrieval, surveyed_metrics, session_tables, feature_counts, tag_counts, top_tags, duplicate_hashes, broken_links, tagged_metrics, company_name, company_metrics_wide, documents_by_session, index_chunks,
@@ -683,3 +697,5 @@ select source, doc_id from documents where source is distinct from (select s fro
 ORACLES["vector_topk_index_exact"] = ORACLES["vector_topk"]
 ORACLES["doc_hash_dedupe"] = ORACLES["doc_hash_dedupe_stored"]
 ORACLES["replaced_sources"] = ORACLES["replaced_sources_whole"]
+ORACLES["word_windows_sql"] = f"select doc_id, chunk_index, text_md5 from ({ORACLES['word_windows']})"
+ORACLES["wordsafe_windows_sql"] = ORACLES["wordsafe_windows"]
