@@ -281,7 +281,7 @@ o as (select doc_id, list(line) as o from (select doc_id, line, any_value(n) as
 select doc_id, page_number, md5(case when o is null then text else array_to_string(list_filter(l, lambda x: not list_contains(o, {_STRIP.format('x')})), chr(10)) end) as text_md5 from l join pages using (doc_id, page_number) left join o using (doc_id)""",
     "page_records": f"with {_PAGES}, c as (select doc_id, page_number, {_CLEAN} as t from pages) select doc_id, page_number, length(t) as content_length, md5(t) as text_md5 from c where t <> ''",
     "evidence_texts": f"with {_PAGES}, j as (select doc_id, string_agg(text, chr(10) || chr(10) order by page_number) filter (page_number <= 3) as a, string_agg(text, chr(10) || chr(10) order by page_number) as b from pages group by 1), e as (select doc_id, substring(a || chr(10) || chr(10) || b, 1, 16000) as t from j) select doc_id, length(t) as chars, md5(t) as evidence_md5 from e",
-    "frequency_candidates": r"""with r as (select doc_id, unnest(regexp_extract_all(substring(text, 1, 16000), '\b[A-Z][A-Za-z&.-]{2,}(?:\s+[A-Z][A-Za-z&.-]{2,}){0,2}\b')) as line from documents),
+    "frequency_candidates": r"""with r as (select doc_id, unnest(regexp_extract_all(regexp_replace(substring(text, 1, 16000), '[À-ÖØ-öø-ÿ]', '_', 'g'), '\b[A-Z][A-Za-z&.-]{2,}(?:\s+[A-Z][A-Za-z&.-]{2,}){0,2}\b')) as line from documents),
 n1 as (select doc_id, line, regexp_replace(regexp_replace(trim(regexp_replace(line, '\s+', ' ', 'g')), '(?i)^\s*(?:page\s*)?\d{1,4}\s+', ''), '(?i)^(?:the\s+)?(?:company|issuer|registrant|issuer name|registrant name|company name)\s*[:-]\s*', '') as name from r),
 n2 as (select doc_id, line, regexp_replace(regexp_replace(name, '\s+(?:annual|quarterly|sustainability|esg|proxy|integrated|report|statement|letter|results|update|presentation|shareholder|notice|form)(?:\s+(?:report|statement|letter|results|update|presentation|shareholder|notice|form))*\s*(?:\b(?:19|20)\d{2}\b)?$', ''), '\s+\b(?:19|20)\d{2}\b$', '') as name from n1),
 n as (select doc_id, line, trim(regexp_replace(name, '^[^A-Za-z0-9]+|[^A-Za-z0-9.]+$', '', 'g')) as name from n2),
