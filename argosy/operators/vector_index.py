@@ -67,7 +67,7 @@ def fit_centroids(vectors: DataFrame, cells: int, metric: str = "l2sq", sample:
     try:
         if some.isEmpty():
             return np.zeros((0, 0))
-        model = KMeans(k=max(2, min(cells, MOST_CELLS)), maxIter=ROUNDS, seed=seed, initMode="random").fit(some)
+        model = KMeans(k=max(2, min(cells, MOST_CELLS)), maxIter=ROUNDS, seed=seed, initMode="random", solver="row").fit(some)  # the block solver fails where fewer centres than k are drawn
         return np.array(model.clusterCenters())
     finally:
         some.unpersist()
