@@ -41,11 +41,13 @@ _RUN = re.compile("[a-zÀ-ÿ]{%d,}" % LEAST)
 
 def words_of(doc_id: str, text: bytes) -> Counter:
     """The runs of at least LEAST code points, each with the letter deleted that the hash of id and run names."""
-    runs = Counter(_RUN.findall(text.translate(_LOWER).decode("utf-8", "ignore")))
+    runs = Counter(_RUN.findall(text.translate(_LOWER).decode("utf-8", "replace")))  # a broken character ends a run
     begun, crc = zlib.crc32(f"{doc_id}:".encode()), zlib.crc32
-    for run in [r for r in runs if crc(r.encode(), begun) % EVERY == 0]:
-        at = crc(run.encode(), begun) % len(run)
-        runs[run[:at] + run[at + 1 :]] += runs.pop(run)
+    hit = [(r, crc(r.encode(), begun)) for r in runs]
+    # all are taken out before any result goes in: a result may be another run that the hash names
+    for run, h, n in [(r, h, runs.pop(r)) for r, h in hit if h % EVERY == 0]:
+        at = h % len(run)
+        runs[run[:at] + run[at + 1 :]] += n
     return runs
 
 

@@ -207,6 +207,15 @@ def test_spelling(spark):
     assert {(x.word, x.n, x.n_near, x.form, x.form_n, x.root) for x in got} == brute_variants(n)
 
 
+def test_spelling_words_of():
+    """A result that the hash names as a run too keeps all its letters; what is no character ends a run."""
+    text = "ddcfhdha ddchdha ddcfhdha"
+    assert changed(1, "ddcfhdha") == "ddchdha" and changed(1, "ddchdha") != "ddchdha"
+    for t in (text, text[::-1], "ddchdha ddcfhdha"):
+        assert spelling.words_of("1", t.encode()) == Counter(changed(1, w) for w in t.split())
+    assert spelling.words_of("1", b"abcdef\xffghijk") == Counter(changed(1, w) for w in ("abcdef", "ghijk"))
+
+
 def test_spelling_chains_and_none(spark):
     n = {"aaaaa": 3, "aaaab": 6, "aaabb": 12, "aabbb": 24, "abbbb": 48, "bbbbb": 96, "zzzzz": 3, "zzzzy": 5}
     got = {x.word: x for x in spelling.variants(spark.createDataFrame(list(n.items()), "word STRING, n LONG")).collect()}
