@@ -340,9 +340,10 @@ def session_breakdown(spark, sf_dir):
 
 
 def session_estimates(spark, sf_dir):
-    """The sessions of chunks that came in a batch for each year, from sketches alone."""
+    """The sessions of chunks that came in a batch for each year, from what is kept of each batch alone; exact, as estimates by
+    sketches (audit.session_totals) differ with the hash that makes them."""
     c = filing_chunks(spark, sf_dir).withColumn("batch", F.col("financial_year"))
-    return audit.session_totals(audit.session_sketches(c))
+    return audit.session_counts(audit.session_states(c))
 
 
 def embedded_retrieval(spark, sf_dir):

@@ -364,3 +364,12 @@ def test_missing_keys(spark):
     df = spark.createDataFrame([('{"a": 1}',), ('{"b": null}',), (None,), ("no json",)], "metadata STRING")
     assert [r.field for r in audit.missing_keys(df, ["a", "b", "c", "d"]).collect()] == ["c", "d"]
     assert [r.field for r in audit.missing_keys(df.limit(0), ["b", "a"]).collect()] == ["a", "b"]
+
+
+def test_session_counts(spark):
+    """Distinct values of sessions over batches, many of them in two: exact, where sketches are some percent off."""
+    rows = spark.range(90_000).selectExpr("id % 3 AS batch", "nullif(concat('s', id % 2), 's1') AS analysis_id", "concat('d', id % 70000) AS source", "if(id % 5 = 0, '', concat('h', id % 20000)) AS doc_hash", "cast(null AS string) AS company")
+    got = {r.session: tuple(r)[1:] for r in audit.session_counts(audit.session_states(rows)).collect()}
+    assert got == {"s0": (45_000, 8_000, 35_000, 0), "unknown": (45_000, 8_000, 35_000, 0)}
+    about = {r.session: tuple(r)[1:] for r in audit.session_totals(audit.session_sketches(rows)).collect()}
+    assert about != got and all(abs(a - b) <= 0.05 * b for s in got for a, b in zip(about[s], got[s], strict=True))
