@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from argosy.functions import text as tx
+from argosy.operators import vector_blocks
 from argosy.session import with_checkpoint_dir
 
 SEED = 8
@@ -164,8 +165,9 @@ def distance(metric: str, x: Column, y: Column) -> Column:
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2sq", equal: dict | None = None) -> DataFrame:
     """(query_id, vec_id, distance, rank): the exact k nearest vectors of each query, of those where columns equal values.
 
-    queries: query_id, q; vectors: vec_id, embedding. Each block of vectors meets all queries and keeps its k best (a partial
-    top k) before anything is shuffled; vector_index finds them without meeting all.
+    queries: query_id, q; vectors: vec_id, embedding. Blocks of vectors meet blocks of queries and hand on the k best of each
+    query (vector_blocks); vector_index finds them without meeting all.
     """
-    pairs = where(vectors, equal or {}).filter("embedding IS NOT NULL").join(queries).select("query_id", "vec_id", distance(metric, F.col("q"), F.col("embedding")).alias("distance"))
+    held = where(vectors, equal or {}).filter("embedding IS NOT NULL")
+    pairs = vector_blocks.candidates(queries, held, k, metric, lambda x, y: distance(metric, x, y))
     return top_k(pairs, k, "query_id", -F.col("distance"), ["vec_id"])

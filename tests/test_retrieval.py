@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from argosy.operators import retrieve, vector_index
+from argosy.operators import retrieve, vector_blocks, vector_index
 from argosy.plans import catalogue
 
 HELD = "chunk_id STRING, chunk_order LONG, t ARRAY<STRING>, grps ARRAY<STRING>"
@@ -116,3 +116,22 @@ def test_index_recall(spark, folder):
     recall = len(want & got) / len(want)
     print(folder, recall)
     assert recall >= 0.9
+
+
+@pytest.mark.parametrize("metric", ["l2sq", "dot"])
+def test_blocks(spark, metric, monkeypatch):
+    """Products of blocks against plain distances of all pairs, with copies and rows that no block holds; k rows a query and pair
+    of blocks go on, where a pair of vectors each did."""
+    monkeypatch.setattr(vector_blocks, "ROWS", 64)
+    r = np.random.default_rng(7)
+    x = [[float(a) for a in v] for v in r.integers(-2, 3, (300, 4)).astype(np.float32) * np.float32(0.1)]
+    rows = list(enumerate(x)) + [(1_000 + i, x[5]) for i in range(40)] + [(None, x[5]), (2_000, [1.0, None, 0.0, 0.0]), (2_001, [float("nan")] * 4), (2_002, [1.0]), (2_003, [])]
+    vectors = spark.createDataFrame(rows, "vec_id LONG, embedding ARRAY<FLOAT>").repartition(3)
+    queries = vectors.filter("vec_id % 10 = 0 OR vec_id > 1999").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    plain = vectors.join(queries).select("query_id", "vec_id", retrieve.distance(metric, F.col("q"), F.col("embedding")).alias("distance"))
+    want = retrieve.top_k(plain, 5, "query_id", -F.col("distance"), ["vec_id"])
+    rows_of = lambda df: sorted((str(a.query_id), a["rank"], str(a.vec_id), str(a.distance)) for a in df.collect())
+    assert rows_of(retrieve.vector_top_k(queries, vectors, 5, metric)) == rows_of(want)
+    good = lambda df, c: df.filter(F.forall(c, lambda a: a.isNotNull() & ~F.isnan(a)) & (F.size(c) == 4))
+    handed = vector_blocks.candidates(good(queries, "q"), good(vectors, "embedding"), 5, metric, lambda a, b: retrieve.distance(metric, a, b)).count()
+    assert handed <= 5 * 9 * good(queries, "q").count() < good(queries, "q").count() * good(vectors, "embedding").count()
