@@ -20,12 +20,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from argosy.functions import hooks
-from argosy.operators import retrieve
+from argosy.operators import retrieve, vector_blocks
 from argosy.session import with_checkpoint_dir
 
 #: Most vectors that centroids are fitted on, the first by hash of the vector, and most cells: what the driver holds.
 SAMPLE, MOST_CELLS = 50_000, 4_096
 ROUNDS = 12
+#: Parts of the sample: a fixed number, as what k-means draws depends on it.
+PARTS = 24
 #: Rounding of distances: bounds are widened by this share.
 SLACK = 1e-6
 METRICS = ("l2sq", "cosine")
@@ -63,7 +65,8 @@ def _gaps(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 def fit_centroids(vectors: DataFrame, cells: int, metric: str = "l2sq", sample: int = SAMPLE, seed: int = 1) -> np.ndarray:
     """k-means centres of the first ``sample`` vectors by hash; fewer if there are fewer different vectors."""
     some = vectors.filter("embedding IS NOT NULL").select(_placed(F.col("embedding"), metric).alias("x"), F.xxhash64("embedding").alias("h")).orderBy("h").limit(sample)
-    some = some.select(array_to_vector("x").alias("features")).persist()
+    # a limit leaves one partition
+    some = some.repartition(PARTS, "h").select(array_to_vector("x").alias("features")).persist()
     try:
         if some.isEmpty():
             return np.zeros((0, 0))
@@ -141,14 +144,17 @@ def search(index: Index, queries: DataFrame, k: int, probes: int, exact: bool =
             yield pd.Series(out)
 
     def among(cells: DataFrame) -> DataFrame:
-        pairs = cells.select("query_id", "q", F.explode("_cells").alias("cell")).join(held.select("cell", "vec_id", "embedding"), "cell")
-        return retrieve.top_k(pairs.select("query_id", "vec_id", retrieve.distance(index.metric, F.col("q"), F.col("embedding")).alias("distance")), k, "query_id", -F.col("distance"), ["vec_id"])
+        probed = cells.select("query_id", "q", F.explode("_cells").alias("cell"))
+        pairs = vector_blocks.candidates(probed, held, k, index.metric, lambda x, y: retrieve.distance(index.metric, x, y), "cell")
+        return retrieve.top_k(pairs, k, "query_id", -F.col("distance"), ["vec_id"])
 
     near = among(asked.withColumn("_cells", first("_p")))
     if not exact:
         return near
     if radii is None:
         raise ValueError("an exact search needs the radii of a stored index")
+    with_checkpoint_dir(near.sparkSession)
+    near = near.checkpoint()
     # the k-th distance as a plain distance of placed vectors; without k neighbours all cells are open
     kth = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("distance")).alias("_d"))
     reach = F.sqrt(F.col("_d") * (2 if index.metric == "cosine" else 1))
