@@ -373,3 +373,16 @@ def test_session_counts(spark):
     assert got == {"s0": (45_000, 8_000, 35_000, 0), "unknown": (45_000, 8_000, 35_000, 0)}
     about = {r.session: tuple(r)[1:] for r in audit.session_totals(audit.session_sketches(rows)).collect()}
     assert about != got and all(abs(a - b) <= 0.05 * b for s in got for a, b in zip(about[s], got[s], strict=True))
+
+
+def test_first_rule(spark):
+    """Patterns are tried where what they need stands, on a text that is made once."""
+    assert [tags.literal(p) for p in (r"\bq[1-4]\b", r"\benvironmental,? social,? and governance report\b", r"risk factors?", r"(?:ab|cd)e{2}f", r"\d+")] == ["q", " and governance report", "risk factor", "f", ""]
+    rules = [*tags.REPORT_TYPES, *tags.GUESSES, *tags.PASSAGE_SECTIONS]
+    texts = ["", None, "10-K", "x10-k", "Environmental Social, and Governance Report", "Q3 and q5", "INTEGRATED  ANNUAL REPORT", "definitive proxy statement", "risk factor", "éproxy", "Q\u00a03"] + [a for _, p in rules for a in tags.alternatives(p)]
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    for some in (tags.REPORT_TYPES, tags.GUESSES, tags.PASSAGE_SECTIONS):
+        want = F.coalesce(*(F.when(F.lower("t").rlike(f"(?U){p}"), label) for label, p in some), F.lit("none"))
+        assert df.filter(~tags.first_rule(F.col("t"), some, "none").eqNullSafe(want)).count() == 0
+    plan = df.select(tags.report_type(F.col("t")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
