@@ -26,8 +26,8 @@ from argosy.session import with_checkpoint_dir
 #: Most vectors that centroids are fitted on, the first by hash of the vector, and most cells: what the driver holds.
 SAMPLE, MOST_CELLS = 50_000, 4_096
 ROUNDS = 12
-#: Parts of the sample: a fixed number, as what k-means draws depends on it.
-PARTS = 24
+#: Rows of a part of the sample: their number depends on the sample alone, as what k-means draws depends on it.
+PART = 2_000
 #: Rounding of distances: bounds are widened by this share.
 SLACK = 1e-6
 METRICS = ("l2sq", "cosine")
@@ -65,12 +65,13 @@ def _gaps(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 def fit_centroids(vectors: DataFrame, cells: int, metric: str = "l2sq", sample: int = SAMPLE, seed: int = 1) -> np.ndarray:
     """k-means centres of the first ``sample`` vectors by hash; fewer if there are fewer different vectors."""
     some = vectors.filter("embedding IS NOT NULL").select(_placed(F.col("embedding"), metric).alias("x"), F.xxhash64("embedding").alias("h")).orderBy("h").limit(sample)
-    # a limit leaves one partition
-    some = some.repartition(PARTS, "h").select(array_to_vector("x").alias("features")).persist()
+    some = some.select(array_to_vector("x").alias("features"), "h").persist()
     try:
-        if some.isEmpty():
+        n = some.count()
+        if not n:
             return np.zeros((0, 0))
-        model = KMeans(k=max(2, min(cells, MOST_CELLS)), maxIter=ROUNDS, seed=seed, initMode="random", solver="row").fit(some)  # the block solver fails where fewer centres than k are drawn
+        spread = some if n <= PART else some.repartition(-(-n // PART), "h")  # a limit leaves one partition
+        model = KMeans(k=max(2, min(cells, MOST_CELLS)), maxIter=ROUNDS, seed=seed, initMode="random", solver="row").fit(spread)  # the block solver fails where fewer centres than k are drawn
         return np.array(model.clusterCenters())
     finally:
         some.unpersist()
