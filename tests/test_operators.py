@@ -277,6 +277,20 @@ def test_candidates(spark):
     assert [(r.doc_id, r.name) for r in found] == [(2, "Zeta Holdings")]
 
 
+def test_texts_are_read_once_for_names(spark):
+    """The texts are read by one pass for all places, by one for repeated headers and by one for the ids; a name counts in each."""
+    from argosy.operators import company
+
+    text = "Acme Steel Corp\nAcme Steel Corp Annual Report 2024\nIssuer: Acme Steel Corp\nSteel grew."
+    pages = spark.createDataFrame([(1, 1, text), (2, 1, None), (None, 1, text)], "doc_id INT, page_number INT, text STRING")
+    plan = company.company_names(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 3
+    got = {(r.source, r.i, r.n, r.c) for r in company.candidates(pages).filter("doc_id = 1 AND name = 'Acme Steel Corp'").collect()}
+    # the evidence is the page twice; of a page's three lines with the name the first and last are taken, the second as a title
+    assert got == {("title", 1, 1, 2), ("first_page", 0, 1, 2), ("cover", 0, 1, 4), ("issuer", 2, 1, 2), ("frequency", 20, 6, 1)}
+    assert {(r.doc_id, r.company) for r in company.company_names(pages).collect()} == {(1, "Acme Steel Corp"), (2, ""), (None, "")}
+
+
 def test_stores(spark, tmp_path):
     import json
 
