@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,13 +128,13 @@ def wordsafe(text: str, size: int, overlap: int) -> list[str]:
 
 
 def wordsafe_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200, doc_id: str = "doc_id") -> DataFrame:
-    """Character windows that cut no word where they can help it, folded in each document's row."""
+    """Character windows that cut no word where they can help it, folded in each document's row.
 
-    def fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda t: wordsafe(t, size, overlap) if t else [])
-
-    return exploded(docs, F.pandas_udf(fold, "array<string>")("text"), doc_id)
+    Rows go to Python a hundred at a time and come back as they are done. An Arrow batch would hold ten thousand texts and
+    all their windows.
+    """
+    cut = F.udf(lambda t: wordsafe(t, size, overlap) if t else [], "array<string>", useArrow=False)
+    return exploded(docs, cut("text"), doc_id)
 
 
 def chunk_id_hash(path: Column, company: Column, index: Column) -> Column:

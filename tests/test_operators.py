@@ -91,6 +91,15 @@ def test_windows_of_characters(spark):
     assert [r.text for r in chunk.wordsafe_chunks(spark.createDataFrame([(1, "one two three four")], "doc_id INT, text STRING"), 9, 2).orderBy("chunk_index").collect()] == ["one two", "wo three", "ee four"]
 
 
+def test_wordsafe_windows_go_by_rows(spark):
+    """Texts reach Python by the hundred and not by Arrow batches of ten thousand, and workers need no pandas for it."""
+    d = spark.createDataFrame([(1, "one two three four"), (2, None), (3, "")], "doc_id INT, text STRING")
+    got = chunk.wordsafe_chunks(d, 9, 2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan and not hasattr(chunk, "pd")
+    assert sorted((r.doc_id, r.chunk_index, r.total_chunks, r.text) for r in got.collect()) == [(1, 0, 3, "one two"), (1, 1, 3, "wo three"), (1, 2, 3, "ee four")]
+
+
 def test_known_paths(spark):
     d = spark.createDataFrame([("c", "a.txt", "x\n\ny" + "z" * 1300), ("c", "b.txt", "n"), ("k", "a.txt", "n"), ("c", "e.txt", None)], "collection STRING, source_file STRING, text STRING")
     held = spark.createDataFrame([("c", "a.txt"), ("c", "e.txt")], "collection STRING, source_file STRING")
