@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from argosy.functions import text as tx
 from argosy.operators import retrieve as rt
 from argosy.operators.redflag import CONTEXT, part_no
+from argosy.session import with_checkpoint_dir
 
 NO_EVIDENCE = "No indexed documents contain evidence for this."
 
@@ -19,12 +20,14 @@ def sub_questions(questions: DataFrame) -> DataFrame:
 
 
 def evidence(questions: DataFrame, chunks: DataFrame, k: int = 4) -> DataFrame:
-    """One row for each sub-question and cited chunk. Equal sub-questions of equal scope are retrieved once."""
-    subs = rt.infer_company(sub_questions(questions), chunks.select("company"))
-    one = subs.groupBy("sub_question", F.col("company").alias("scope")).agg(F.min("qid").alias("qid"))
-    found = rt.retrieve(one.select("qid", "sub_question", F.col("scope").alias("company")), chunks, k).withColumnRenamed("qid", "asked")
-    of = subs.select("question_id", "step", "sub_question", F.col("company").alias("scope")).join(one.withColumnRenamed("qid", "asked").withColumnRenamed("scope", "_s").withColumnRenamed("sub_question", "_q"), (F.col("sub_question") == F.col("_q")) & F.col("scope").eqNullSafe(F.col("_s")))
-    cited = of.drop("_s", "_q").join(found, "asked", "left").drop("asked")
+    """One row for each sub-question and cited chunk. Equal sub-questions are looked at and retrieved once."""
+    with_checkpoint_dir(chunks.sparkSession)
+    subs = sub_questions(questions)
+    one = subs.groupBy("sub_question").agg(F.min("qid").alias("qid"))
+    one = rt.infer_company(one, chunks.select("company")).checkpoint()
+    found = rt.retrieve(one, chunks, k).withColumnRenamed("qid", "asked")
+    of = subs.drop("qid").join(one.select("sub_question", F.col("company").alias("scope"), F.col("qid").alias("asked")), "sub_question").select("question_id", "step", "sub_question", "scope", "asked")
+    cited = of.join(found, "asked", "left").drop("asked")
     default = lambda c: F.coalesce(F.col(c), F.lit("unknown")) if c in cited.columns else F.lit("unknown")
     cited = cited.withColumns({c: default(c) for c in ("company", "doc_type", "section", "source_file")}).withColumn("snippet", tx.snippet(F.col("text")))
     tag = F.concat(F.lit("["), F.concat_ws(" | ", "company", "doc_type", "section", "source_file", F.concat(F.lit("chunk "), "chunk_id")), F.lit("]"))

@@ -10,6 +10,8 @@ from argosy.operators import vector_blocks
 from argosy.session import with_checkpoint_dir
 
 SEED = 8
+#: So many distinct tokens of questions go to every task, so that chunks need not be dealt by token.
+FEW_TOKENS = 200_000
 # Fixed value: what is asked about a company behind its name.
 COMPANY_QUERY = "financial report risks financial statements performance"
 
@@ -51,10 +53,14 @@ def infer_company(questions: DataFrame, companies: DataFrame, question: str = "s
     each = names.select("_name", F.explode(grams).alias("_seed"))
     shared = each.groupBy("_seed").agg(F.count("*").alias("_n"))
     rarest = each.join(shared, "_seed").groupBy("_name").agg(F.min(F.struct("_n", "_seed"))["_seed"].alias("_seed"))
+    # a name's gram has SEED characters or is all of the name, so these are the lengths to look for
+    sizes = names.agg(F.collect_set(F.least(F.length(F.lower("_name")), F.lit(SEED))).alias("_sizes"))
     low = F.lower(F.col(question))
-    seeds = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(SEED)), lambda n: F.transform(at(low, n), lambda i: F.substring(low, i, n)))))
-    asked = questions.select(F.col(key).alias("_key"), low.alias("_low"), F.explode(seeds).alias("_seed"))
-    found = asked.join(rarest, "_seed").filter(F.contains("_low", F.lower("_name"))).groupBy("_key").agg(F.min("_name").alias("company"))
+    seeds = F.array_distinct(F.flatten(F.transform("_sizes", lambda n: F.transform(at(low, n), lambda i: F.substring(low, i, n)))))
+    asked = questions.crossJoin(F.broadcast(sizes)).select(F.col(key).alias("_key"), F.explode(seeds).alias("_seed"))
+    texts = questions.select(F.col(key).alias("_key"), low.alias("_low"))
+    met = asked.join(rarest, "_seed").select("_key", "_name").join(texts, "_key")
+    found = met.filter(F.contains("_low", F.lower("_name"))).groupBy("_key").agg(F.min("_name").alias("company"))
     return questions.drop("company").join(found, F.col(key) == F.col("_key"), "left").drop("_key")
 
 
@@ -84,6 +90,8 @@ def best_overlap(asked: DataFrame, held: DataFrame, k: int, work: Observation |
     asked = asked.select("qid", "grp", "q").checkpoint()
     words = asked.select("qid", "grp", F.explode("q").alias("token"))
     sought = words.select("token").distinct().withColumn("_sought", F.lit(True))
+    sought = sought.checkpoint()
+    sought = F.broadcast(sought) if sought.count() <= FEW_TOKENS else sought
     tokens = held.select("grps", "chunk_id", "chunk_order", F.explode_outer("t").alias("token")).join(sought, "token", "left")
     marked = tokens.groupBy("grps", "chunk_id", "chunk_order").agg(F.array_sort(F.collect_set(F.when(F.col("_sought"), F.col("token")))).alias("mark"))
     marked = marked.select(F.explode("grps").alias("grp"), "chunk_id", "chunk_order", "mark")

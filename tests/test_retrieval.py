@@ -135,3 +135,30 @@ def test_blocks(spark, metric, monkeypatch):
     good = lambda df, c: df.filter(F.forall(c, lambda a: a.isNotNull() & ~F.isnan(a)) & (F.size(c) == 4))
     handed = vector_blocks.candidates(good(queries, "q"), good(vectors, "embedding"), 5, metric, lambda a, b: retrieve.distance(metric, a, b)).count()
     assert handed <= 5 * 9 * good(queries, "q").count() < good(queries, "q").count() * good(vectors, "embedding").count()
+
+
+def test_equal_sub_questions_are_looked_at_once(spark, monkeypatch):
+    """The company of a sub-question that many questions share is looked for once, and every question gets its evidence."""
+    from argosy.operators import research
+
+    q = spark.createDataFrame([(i, f"What is revenue of Acme {i % 2} Ltd, and what is total debt?") for i in range(6)] + [(6, None)], "question_id INT, question STRING")
+    chunks = spark.createDataFrame([(f"{c}-0", c, f"Acme {c} Ltd", f"revenue and total debt of Acme {c}") for c in range(2)], "chunk_id STRING, chunk_order INT, company STRING, text STRING")
+    looked, real = [], retrieve.infer_company
+    monkeypatch.setattr(retrieve, "infer_company", lambda questions, *more: (looked.append(questions.filter("sub_question IS NOT NULL").count()), real(questions, *more))[1])
+    got = {(r.question_id, r.step, r["rank"]): (r.scope, r.chunk_id) for r in research.evidence(q, chunks).collect()}
+    assert looked == [3]
+    assert got == {(i, 1, 1): (f"Acme {i % 2} Ltd", f"{i % 2}-0") for i in range(6)} | {(i, 2, r): (None, f"{r - 1}-0") for i in range(6) for r in (1, 2)}
+
+
+def test_names_of_all_lengths(spark):
+    """The first name by code point that is part of the question, by brute force, whether names are shorter than a gram or not."""
+    import random
+
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("abC é") for _ in range(n))
+    for lengths in ((1, 2, 3), (9, 10, 12), (2, 7, 8, 9)):
+        names = sorted({word(r.choice(lengths)) for _ in range(40)})
+        asked = [word(r.randint(0, 6)) + r.choice(names) + word(r.randint(0, 6)) for _ in range(30)] + ["", "a", None]
+        q = spark.createDataFrame(list(enumerate(asked)), "qid INT, sub_question STRING")
+        got = {x.qid: x.company for x in retrieve.infer_company(q, spark.createDataFrame([(n,) for n in names], "company STRING")).collect()}
+        assert got == {i: next((n for n in names if n.lower() in t.lower()), None) if t is not None else None for i, t in enumerate(asked)}
