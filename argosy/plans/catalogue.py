@@ -134,7 +134,10 @@ def inferred_companies(spark, sf_dir):
 
 
 def evidence(spark, sf_dir):
-    return research.evidence(questions(spark, sf_dir), stored_filing_chunks(spark, sf_dir))
+    """Evidence of all filings; only the columns that it shows are made of the chunks."""
+    with_checkpoint_dir(spark)
+    chunks = filing_chunks(spark, sf_dir).select("chunk_id", "chunk_order", "company", "doc_type", "section", "source_file", "text").checkpoint()
+    return research.evidence(questions(spark, sf_dir), chunks)
 
 
 def research_topk(spark, sf_dir):

@@ -162,3 +162,12 @@ def test_names_of_all_lengths(spark):
         q = spark.createDataFrame(list(enumerate(asked)), "qid INT, sub_question STRING")
         got = {x.qid: x.company for x in retrieve.infer_company(q, spark.createDataFrame([(n,) for n in names], "company STRING")).collect()}
         assert got == {i: next((n for n in names if n.lower() in t.lower()), None) if t is not None else None for i, t in enumerate(asked)}
+
+
+def test_columns_of_evidence(spark, sf, monkeypatch):
+    """Chunks for evidence are made without the columns that no answer shows."""
+    from argosy.operators import research
+    from argosy.plans import catalogue
+
+    monkeypatch.setattr(research, "evidence", lambda questions, chunks: chunks)
+    assert set(catalogue.evidence(spark, sf).columns) == {"chunk_id", "chunk_order", "company", "doc_type", "section", "source_file", "text"}
