@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FEATURES = 1 << 10
@@ -44,8 +44,17 @@ def fit_embedding(texts: DataFrame, features: int = FEATURES) -> PipelineModel:
     return Pipeline(stages=steps).fit(_tokens(texts))
 
 
+def _words(c: Column) -> Column:
+    return F.coalesce(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), 0), F.array().cast("array<string>"))
+
+
 def _tokens(texts: DataFrame) -> DataFrame:
-    return texts.withColumn("_tokens", F.coalesce(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0), F.array().cast("array<string>")))
+    return texts.withColumn("_tokens", _words(F.col("text")))
+
+
+def words(c: Column) -> Column:
+    """What the default embedding reads of a text; equal words have equal embeddings."""
+    return F.array_join(_words(c), " ")
 
 
 def embed(chunks: DataFrame, features: int = FEATURES, model: PipelineModel | None = None) -> DataFrame:

@@ -46,15 +46,41 @@ def _first(groups: np.ndarray, k: int) -> np.ndarray:
     return at - np.maximum.accumulate(np.where(new, at, 0)) < k
 
 
+def _copies(ids: pa.Array, x: np.ndarray, k: int, cells: np.ndarray | None = None) -> np.ndarray:
+    """The places of rows, without what stands behind the k first by id of equal vectors (of a cell)."""
+    void = np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel() if x.shape[1] else np.zeros(len(x))
+    which = np.unique(void, return_inverse=True)[1].ravel()
+    if cells is not None:
+        which = np.unique(np.stack([which, cells]), axis=1, return_inverse=True)[1].ravel()
+    order = np.lexsort((_places(ids), which))
+    return order[_first(which[order], k)]
+
+
 def _few_copies(ids: pa.Array, x: np.ndarray, k: int) -> tuple[pa.Array, np.ndarray]:
     if x.shape[1]:
-        _, which = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel(), return_inverse=True)
-        order = np.lexsort((_places(ids), which.ravel()))
-        order = order[_first(which.ravel()[order], k)]
+        order = _copies(ids, x, k)
         return ids.take(pa.array(order)), x[order]
     return ids, x
 
 
+def _thinned(rows: DataFrame, k: int) -> DataFrame:
+    """Rows (cell, id, v) without copies that can't be among the k first of a cell's equal vectors, as far as a batch shows: not
+    all copies of a vector go to the task of their cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells, ids, v = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+            offsets, values = v.offsets.to_numpy(), v.values.to_numpy(zero_copy_only=False)
+            sizes, kept = np.diff(offsets), []
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                x = values[offsets[at][:, None] + np.arange(size)].reshape(len(at), size)
+                kept.append(at[_copies(ids.take(pa.array(at)), x, k, cells[at])])
+            yield batch.take(pa.array(np.sort(np.concatenate(kept)))) if kept else batch
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def packed(rows: DataFrame, most: int, copies: int | None = None) -> DataFrame:
     """(cell, ids, size, data) of rows (cell, id, v): blocks of a cell's vectors of one length."""
     id_type, entry = rows.schema["id"].dataType, rows.schema["v"].dataType.elementType
@@ -100,7 +126,7 @@ def packed(rows: DataFrame, most: int, copies: int | None = None) -> DataFrame:
     return rows.select("cell", "id", "v").mapInArrow(run, schema)
 
 
-def _sums(a: np.ndarray, b: np.ndarray, term) -> np.ndarray:
+def sums(a: np.ndarray, b: np.ndarray, term) -> np.ndarray:
     out = np.zeros(len(a))
     for d in range(a.shape[1]):
         out += term(a[:, d], b[:, d])
@@ -108,9 +134,9 @@ def _sums(a: np.ndarray, b: np.ndarray, term) -> np.ndarray:
 
 
 def _exact(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    dot = lambda x, y: _sums(x, y, lambda i, j: i * j)
+    dot = lambda x, y: sums(x, y, lambda i, j: i * j)
     if metric == "l2sq":
-        return _sums(a, b, lambda i, j: (i - j) * (i - j))
+        return sums(a, b, lambda i, j: (i - j) * (i - j))
     return 1 - dot(a, b) / np.sqrt(dot(a, a) * dot(b, b)) if metric == "cosine" else -dot(a, b)
 
 
@@ -168,8 +194,8 @@ def candidates(queries: DataFrame, vectors: DataFrame, k: int, metric: str, plai
     spark = vectors.sparkSession
     keys = [by] if by else []
     queries, vectors = queries.select(*keys, "query_id", "q"), vectors.select(*keys, "vec_id", "embedding")
-    if by:  # only cells that are asked for are packed
-        vectors = vectors.join(queries.select(by).distinct(), by, "left_semi")
+    asked_for = lambda df, q: df.join(F.broadcast(q.select(by).distinct()), by, "left_semi") if by else df  # noqa: E731  as many as there are cells at most
+    vectors = asked_for(vectors, queries)  # only cells that are asked for are packed
     cell = (F.col(by) if by else F.lit(0)).cast("int").alias("cell")
     good_q, good_v = _usable(F.col("q"), metric), _usable(F.col("embedding"), metric)
 
@@ -179,7 +205,7 @@ def candidates(queries: DataFrame, vectors: DataFrame, k: int, metric: str, plai
     q = queries.filter(good_q).select(cell, F.col("query_id").alias("id"), number("q", queries).alias("v"))
     v = vectors.filter(good_v).select(cell, F.col("vec_id").alias("id"), number("embedding", vectors).alias("v"))
     if by:
-        q, v = q.repartition("cell"), v.repartition("cell")
+        q, v = q.repartition("cell"), _thinned(v, k).repartition("cell")
     kinds = tuple(np.float32 if isinstance(x.schema["v"].dataType.elementType, T.FloatType) else np.float64 for x in (q, v))
     named = lambda df, p: df.select("cell", *(F.col(c).alias(p + c) for c in ("ids", "size", "data")))
     q, v = named(packed(q, ASKED), "q_"), named(packed(v, ROWS, k), "v_")
@@ -191,4 +217,5 @@ def candidates(queries: DataFrame, vectors: DataFrame, k: int, metric: str, plai
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("vec_id", vectors.schema["vec_id"].dataType), T.StructField("distance", T.DoubleType())])
     met = _met(both.drop("cell"), k, metric, kinds, schema)
     pairs = lambda a, b: a.join(b, keys or None).select("query_id", "vec_id", plain(F.col("q"), F.col("embedding")).alias("distance"))
-    return met.unionByName(pairs(vectors.filter(~good_v), queries)).unionByName(pairs(vectors.filter(good_v), queries.filter(~good_q)))
+    odd = queries.filter(~good_q)
+    return met.unionByName(pairs(vectors.filter(~good_v), queries)).unionByName(pairs(asked_for(vectors.filter(good_v), odd), odd))

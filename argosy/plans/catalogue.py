@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argosy.functions import hooks, table_functions, tags
+from argosy.functions import hooks, plan, table_functions, tags
 from argosy.functions import text as tx
 from argosy.operators import audit, chunk, company, compare, extract, metadata, redflag, research, retrieve, vector_index
 from argosy.plans import reports, texts
@@ -351,10 +351,11 @@ def session_estimates(spark, sf_dir):
 
 def embedded_retrieval(spark, sf_dir):
     """The four nearest to each question, of the chunks in the nearest cells, by embeddings whose weights are those of the chunks."""
-    chunks = stored_filing_chunks(spark, sf_dir).select(F.col("chunk_id").alias("vec_id"), "text")
+    with_checkpoint_dir(spark)
+    chunks = filing_chunks(spark, sf_dir).select(F.col("chunk_id").alias("vec_id"), "text").checkpoint()
     model = hooks.fit_embedding(chunks, 256)
-    held = hooks.embed(chunks, model=model).filter(F.exists("embedding", lambda x: x != 0)).select("vec_id", "embedding")
-    index = vector_index.build(held, max(2, round(chunks.count() ** 0.5)), "cosine")
+    held = plan.fenced_filter(hooks.embed(chunks, model=model), F.exists("embedding", lambda x: x != 0)).select("vec_id", "embedding")
+    index = vector_index.measured(vector_index.build(held, max(2, round(chunks.count() ** 0.5)), "cosine"))
     asked = research.sub_questions(questions(spark, sf_dir))
     one = asked.groupBy("sub_question").agg(F.min("qid").alias("qid"))
     found = vector_index.retrieve_by_embedding(one, index, model, 4, 4)

@@ -171,3 +171,45 @@ def test_columns_of_evidence(spark, sf, monkeypatch):
 
     monkeypatch.setattr(research, "evidence", lambda questions, chunks: chunks)
     assert set(catalogue.evidence(spark, sf).columns) == {"chunk_id", "chunk_order", "company", "doc_type", "section", "source_file", "text"}
+
+
+def test_copies_do_not_fill_the_sample(spark):
+    """Centroids are fitted on different vectors, however many copies of one stand first by hash."""
+    few = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 6)], "vec_id LONG, embedding ARRAY<FLOAT>")
+    first = few.orderBy(F.xxhash64("embedding")).limit(1).crossJoin(spark.range(40)).select("vec_id", "embedding")
+    centroids = vector_index.fit_centroids(few.unionByName(first), 5, "l2sq", sample=20)
+    assert sorted(c[0] for c in centroids) == [1.0, 2.0, 3.0, 4.0, 5.0]
+
+
+def test_placed_rows(spark):
+    """Vectors of length 1 are the same in Spark and in Python, whose sums go by the entries' order."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(50, 257))
+    e = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "i INT, e ARRAY<DOUBLE>")
+    got = np.array([a.x for a in e.orderBy("i").select(vector_index._placed(F.col("e"), "cosine").alias("x")).collect()])
+    assert (got == vector_index._placed_rows(x, "cosine")).all() and (x == vector_index._placed_rows(x, "l2sq")).all()
+    odd = spark.createDataFrame([([0.0, 0.0],), ([3.0, None],)], "e ARRAY<FLOAT>")
+    assert [r.x for r in odd.select(vector_index._placed(F.col("e"), "cosine").alias("x")).collect()] == [[None, None]] * 2
+    assert np.isnan(vector_index._placed_rows(np.array([[0.0, 0.0], [3.0, np.nan]]), "cosine")).all()
+
+
+def test_equal_questions_are_searched_for_once(spark, monkeypatch):
+    """Questions of the same tokens share a search, each gets its chunks; the copies of a vector don't all go to its cell's task."""
+    from argosy.functions import hooks
+
+    texts = ["total debt", "revenue sales", "default risk", "audit report"]
+    chunks = spark.createDataFrame([(f"c{i:03}", texts[i % 4]) for i in range(400)], "vec_id STRING, text STRING").repartition(2)
+    asked = [f"Debt {i}?" if i % 2 else f"REVENUE, {i}" for i in range(30)] + ["17", None, "nothing known"]
+    q = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(asked)], "qid STRING, sub_question STRING")
+    model = hooks.fit_embedding(chunks, 4_096)
+    index = vector_index.measured(vector_index.build(hooks.embed(chunks, model=model).select("vec_id", "embedding"), 4, "cosine"))
+    searched, real = [], vector_index.search
+    monkeypatch.setattr(vector_index, "search", lambda index, queries, *more: (searched.append(queries.count()), real(index, queries, *more))[1])
+    packed, sent = vector_blocks.packed, []
+    monkeypatch.setattr(vector_blocks, "packed", lambda rows, most, copies=None: (sent.append(rows.count()) if copies else None, packed(rows, most, copies))[1])
+    got = {}
+    for r in vector_index.retrieve_by_embedding(q, index, model, 3, 4).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.chunk_id)
+    known = hooks.embed(spark.createDataFrame([("nothing known",)], "text STRING"), model=model).first().embedding
+    assert searched == [2 + any(known)] and sent[0] <= 2 * 4 * 3
+    assert {k: v for k, v in got.items() if k != "q32"} == {f"q{i}": ["c000", "c004", "c008"] if i % 2 else ["c001", "c005", "c009"] for i in range(30)}
